@@ -63,3 +63,48 @@ latest AS (SELECT * FROM allg QUALIFY row_number() OVER (PARTITION BY cluster, g
 SELECT *, CAST(CASE overall_health WHEN 'GOOD' THEN 0 WHEN 'WARNING' THEN 1 WHEN 'CRITICAL' THEN 2 ELSE -1 END AS INTEGER)
        AS health_code
 FROM latest ORDER BY health_code DESC, total_lag DESC, cluster, group_id LIMIT 10"""
+
+# --- incident events -------------------------------------------------------
+from tidewater.config import B_SHORT  # noqa: E402
+from tidewater.schemas import DEFAULT_EVENT_SOURCE, YEAR_ONE_OFFSET_S  # noqa: E402
+
+DETECT_OUT = 'cluster, group_id, topic, "partition", ts_us, event_type, severity'
+
+
+def _detect_sql(bridge: str, src: str, th) -> str:
+    return D.with_(bridge, D.evaluate(src, th, "ev"), D.detect("ev", th, "det")) + f"\nSELECT {DETECT_OUT} FROM det"
+
+
+SQL["e2_incidents_events_long"] = _detect_sql(D.bridge_b(), "samples_b", B_LONG)
+SQL["e2_incidents_events_short"] = _detect_sql(D.bridge_b(), "samples_b", B_SHORT)
+SQL["e2_incidents_orders"] = _detect_sql(D.bridge_a(), "samples_a", A_WEEKLY)
+
+
+def _records_sql(th, source: str = DEFAULT_EVENT_SOURCE) -> str:
+    """CTE `recs`: E6 records with fingerprint and deterministic id over `det` + `ev`."""
+    w_us = int(round(th.dedup_s * 1_000_000))
+    y1 = YEAR_ONE_OFFSET_S * 1_000_000
+    bucket = f"(CAST(((d.ts_us + {y1}) - (((d.ts_us + {y1}) % {w_us}) + {w_us}) % {w_us}) // 1000000 AS BIGINT) - {YEAR_ONE_OFFSET_S})"
+    return f"""
+recs0 AS (
+  SELECT d.*, e.current_lag, e.current_offset, e.high_watermark, e.consumption_rate, e.lag_change_rate,
+         {bucket} AS dedup_bucket_s
+  FROM det d JOIN ev e ON e.cluster = d.cluster AND e.group_id = d.group_id AND e.topic = d.topic
+       AND e."partition" = d."partition" AND e.ts_us = d.ts_us AND e.kind = 'window'),
+recs1 AS (
+  SELECT *, md5(concat_ws(':', '{source}', event_type, group_id, topic, CAST("partition" AS VARCHAR),
+                          CAST(dedup_bucket_s AS VARCHAR))) AS fingerprint
+  FROM recs0),
+recs AS (
+  SELECT md5(concat_ws('|', fingerprint, CAST(ts_us AS VARCHAR), cluster)) AS id, '{source}' AS source,
+         event_type AS type, severity, ts_us, cluster,
+         printf('Kafka Consumer %s: %s', event_type, group_id) AS title, fingerprint,
+         group_id AS consumer_group, topic, "partition", current_lag, current_offset, high_watermark,
+         CAST(0 AS BIGINT) AS lag_delta, CAST(0 AS BIGINT) AS offset_delta, consumption_rate,
+         lag_change_rate, dedup_bucket_s
+  FROM recs1)"""
+
+
+SQL["e7_events_dedup"] = D.with_(D.bridge_b(), D.evaluate("samples_b", B_SHORT, "ev"),
+                                 D.detect("ev", B_SHORT, "det"), _records_sql(B_SHORT)) + """
+SELECT * FROM recs QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY ts_us, cluster, id) = 1"""

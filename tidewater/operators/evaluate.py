@@ -4,12 +4,13 @@ For each sample, the window is the key's last N windowed records up to and
 including it (a ROWS frame, not a time frame).  Everything is one pass of
 built-in window functions over one partitioning and one ordering:
 
-    partitionBy(KEY, kind).orderBy(ts_us)
+    partitionBy(KEY).orderBy(kind_rank, ts_us)
 
 so Spark plans a single Exchange + Sort for all frames (N rows, last
-min(5, N) rows, previous row).  `kind` separates the three row classes so
-no-commit and unreadable rows never enter a window; because KEY is a prefix
-of the partitioning, an input already hash-partitioned by KEY is reused.
+min(5, N) rows, previous row).  `kind_rank` puts windowed rows first in
+each key so no-commit and unreadable rows never enter a window.  The
+output stays hash-partitioned by KEY, so per-key steps downstream (latest
+status, incident fold) reuse that exchange.
 The lag trend (W8) needs the thirds of a window whose size changes during
 warm-up, so it keeps `collect_list(lag)` of at most N longs - never the
 record structs.
@@ -72,9 +73,12 @@ def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages
     kind = (F.when(hwm.isNull(), F.lit(KIND_UNREADABLE))
             .when(off.isNull(), F.lit(KIND_NO_COMMIT))
             .otherwise(F.lit(KIND_WINDOW)))
-    df = samples.withColumn("kind", kind)
+    # Windowed rows sort first inside each key, so their frames never reach
+    # a no-commit/unreadable row; values computed for those rows are discarded.
+    df = samples.withColumn("kind", kind).withColumn(
+        "_krank", F.when(F.col("kind") == KIND_WINDOW, 0).when(F.col("kind") == KIND_NO_COMMIT, 1).otherwise(2))
 
-    by_key = Window.partitionBy(*S.KEY, "kind").orderBy("ts_us")
+    by_key = Window.partitionBy(*S.KEY).orderBy("_krank", "ts_us")
     w = by_key.rowsBetween(-(n_max - 1), 0)
     w_recent = by_key.rowsBetween(-(min(5, n_max) - 1), 0)
     df = df.select(

@@ -84,3 +84,39 @@ def a1_group_status_events(spark, sf_dir):
 def a1_group_status_orders(spark, sf_dir):
     g = M.group_status(M.evaluated_a(spark, sf_dir, A_WEEKLY, messages=False))
     return _group_out(g.withColumn("member_count", F.lit(0)))
+
+
+# ---------------------------------------------------------------------------
+# Incident events
+# ---------------------------------------------------------------------------
+from ..config import B_SHORT  # noqa: E402
+from ..operators.incidents import dedup, detect, event_records  # noqa: E402
+
+DETECT_OUT = ["cluster", "group_id", "topic", "partition", "ts_us", "event_type", "severity"]
+EVENT_OUT = ["id", "source", "type", "severity", "ts_us", "cluster", "title", "fingerprint",
+             "consumer_group", "topic", "partition", "current_lag", "current_offset", "high_watermark",
+             "lag_delta", "offset_delta", "consumption_rate", "lag_change_rate", "dedup_bucket_s"]
+
+
+@register("e2_incidents_events_long")
+def e2_incidents_events_long(spark, sf_dir):
+    """E1-E5 with the suppression gate, Bridge B, long inactivity timeout."""
+    return detect(M.evaluated_b(spark, sf_dir, B_LONG, messages=False), B_LONG).select(*DETECT_OUT)
+
+
+@register("e2_incidents_events_short")
+def e2_incidents_events_short(spark, sf_dir):
+    """Same with the short timeout: reaches consumer_stopped from ACTIVE."""
+    return detect(M.evaluated_b(spark, sf_dir, B_SHORT, messages=False), B_SHORT).select(*DETECT_OUT)
+
+
+@register("e2_incidents_orders")
+def e2_incidents_orders(spark, sf_dir):
+    return detect(M.evaluated_a(spark, sf_dir, A_WEEKLY, messages=False), A_WEEKLY).select(*DETECT_OUT)
+
+
+@register("e7_events_dedup")
+def e7_events_dedup(spark, sf_dir):
+    """E6 records + X5 fingerprint + E7 de-duplication (Bridge B, short timeout)."""
+    ev = M.evaluated_b(spark, sf_dir, B_SHORT)
+    return dedup(event_records(ev, detect(ev, B_SHORT), B_SHORT)).select(*EVENT_OUT)
