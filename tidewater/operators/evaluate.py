@@ -11,9 +11,10 @@ min(5, N) rows, previous row).  `kind_rank` puts windowed rows first in
 each key so no-commit and unreadable rows never enter a window.  The
 output stays hash-partitioned by KEY, so per-key steps downstream (latest
 status, incident fold) reuse that exchange.
-The lag trend (W8) needs the thirds of a window whose size changes during
-warm-up, so it keeps `collect_list(lag)` of at most N longs - never the
-record structs.
+The lag trend (W8) compares the first and last thirds of a window whose
+size changes during warm-up; it uses fixed row frames plus `nth_value` for
+the warm-up rows, so no per-row arrays are built and every projection
+stays inside whole-stage codegen (a higher-order lambda would not).
 """
 
 from __future__ import annotations
@@ -81,6 +82,16 @@ def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages
     by_key = Window.partitionBy(*S.KEY).orderBy("_krank", "ts_us")
     w = by_key.rowsBetween(-(n_max - 1), 0)
     w_recent = by_key.rowsBetween(-(min(5, n_max) - 1), 0)
+    # W8 thirds without arrays or lambdas (which would disable codegen):
+    # a full window (n = N) has fixed frames for both thirds; during warm-up
+    # (n < N) the window starts at the key's first record, so its first
+    # third is a sum of nth_value(lag, i) and its last third a short frame.
+    t_full = max(n_max // 3, 1)
+    t_warm = max((n_max - 1) // 3, 1)
+    lasts = {t: F.sum(lag).over(by_key.rowsBetween(-(t - 1), 0)).alias(f"_last{t}")
+             for t in range(1, max(t_full, t_warm) + 1)}
+    nths = {i: F.nth_value(lag, i).over(by_key.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_nth{i}")
+            for i in range(1, t_warm + 1)}
     df = df.select(
         "*",
         F.count(F.lit(1)).over(w).alias("_n"),
@@ -89,7 +100,8 @@ def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages
         F.first(lag).over(w).alias("_f_lag"),
         F.min(off).over(w_recent).alias("_r_min"),
         F.max(off).over(w_recent).alias("_r_max"),
-        F.collect_list(lag).over(w).alias("_lags"),
+        F.sum(lag).over(by_key.rowsBetween(-(n_max - 1), -(n_max - t_full))).alias("_first_full"),
+        *lasts.values(), *nths.values(),
         F.lag(lag, 1).over(by_key).alias("prev_lag"),
         F.when(off != F.lag(off, 1).over(by_key), ts).alias("_chg"),
     )
@@ -105,12 +117,16 @@ def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages
         (ts - F.greatest(F.coalesce(F.col("_run"), F.col("_f_ts")), F.col("_f_ts"))) / F.lit(1e6))
 
     third = F.greatest(F.floor(n / 3), F.lit(1)).cast("int")
-
-    def _avg(start: Column) -> Column:
-        part = F.slice(F.col("_lags"), start, third)
-        return F.aggregate(part, F.lit(0).cast("long"), lambda acc, x: acc + x) / third
-
-    a, b = _avg(F.lit(1)), _avg(n - third + 1)
+    warm_first = None
+    for t in range(1, t_warm + 1):
+        acc = sum((F.col(f"_nth{i}") for i in range(2, t + 1)), F.col("_nth1"))
+        warm_first = (F.when(third == t, acc) if warm_first is None else warm_first.when(third == t, acc))
+    last_sum = None
+    for t in range(1, max(t_full, t_warm) + 1):
+        last_sum = (F.when(third == t, F.col(f"_last{t}")) if last_sum is None
+                    else last_sum.when(third == t, F.col(f"_last{t}")))
+    first_sum = F.when(n == n_max, F.col("_first_full")).otherwise(warm_first)
+    a, b = first_sum / third, last_sum / third
     rel = (b - a) / a
     trend = (F.when(n < 3, F.lit(S.UNKNOWN))
              .when((a == 0) & (b == 0), F.lit(S.STABLE))

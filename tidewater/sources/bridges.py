@@ -62,15 +62,18 @@ def bridge_events(events: DataFrame, *, density: int = 20, partitions: int | Non
         next_tick_us(epoch_us("ts", events.schema["ts"].dataType), step_us).alias("tick_us"))
 
     # ord of a message = (messages of the partition in earlier ticks) + rank in its tick.
+    # Everything below derives from `per_group` (partitions x ticks x groups,
+    # far smaller than the events), so the events are scanned once for the
+    # ranking and once for P, and the ranking's exchange is reused.
     in_tick = Window.partitionBy("partition", "tick_us").orderBy("ts", "event_id")
     ranked = ev.withColumn("r", F.row_number().over(in_tick))
     per_group = ranked.groupBy("partition", "tick_us", "group_id").agg(F.max("r").alias("m"))
-    per_part = ev.groupBy("partition", "tick_us").agg(F.count(F.lit(1)).alias("cnt"))
+    per_part = per_group.groupBy("partition", "tick_us").agg(F.max("m").alias("cnt"))
 
-    bounds = ev.agg(F.min("tick_us").alias("lo"), F.max("tick_us").alias("hi"))
+    bounds = per_part.agg(F.min("tick_us").alias("lo"), F.max("tick_us").alias("hi"))
     lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
 
-    parts = ev.select("partition").distinct()
+    parts = per_part.select("partition").distinct()
     running = Window.partitionBy("partition").orderBy("tick_us").rowsBetween(Window.unboundedPreceding, 0)
     hwm = (_grid(parts, ["partition"], lo, hi, step_us)
            .join(per_part, ["partition", "tick_us"], "left")
@@ -82,7 +85,7 @@ def bridge_events(events: DataFrame, *, density: int = 20, partitions: int | Non
               .select("group_id", "partition", "tick_us",
                       (F.col("high_watermark") - F.col("cnt") + F.col("m")).alias("c")))
 
-    keys = ev.select("group_id", "partition").distinct()
+    keys = per_group.select("group_id", "partition").distinct()
     carry = Window.partitionBy("group_id", "partition").orderBy("tick_us") \
         .rowsBetween(Window.unboundedPreceding, 0)
     positions = (_grid(keys, ["group_id", "partition"], lo, hi, step_us)
