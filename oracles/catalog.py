@@ -108,3 +108,169 @@ recs AS (
 SQL["e7_events_dedup"] = D.with_(D.bridge_b(), D.evaluate("samples_b", B_SHORT, "ev"),
                                  D.detect("ev", B_SHORT, "det"), _records_sql(B_SHORT)) + """
 SELECT * FROM recs QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY ts_us, cluster, id) = 1"""
+
+# --- scans, latest rows, rollups, reports, metrics -------------------------
+B_EV = [D.bridge_b(), D.evaluate("samples_b", B_LONG, "ev_b")]
+LATEST_B = """
+latest_b AS (SELECT * FROM ev_b WHERE kind <> 'unreadable'
+             QUALIFY row_number() OVER (PARTITION BY cluster, group_id, topic, "partition" ORDER BY ts_us DESC) = 1)"""
+GLATEST_B = """
+glatest_b AS (SELECT * FROM groups_b QUALIFY row_number() OVER (PARTITION BY cluster, group_id ORDER BY ts_us DESC) = 1)"""
+GLATEST_A = """
+glatest_a AS (SELECT * FROM groups_a QUALIFY row_number() OVER (PARTITION BY cluster, group_id ORDER BY ts_us DESC) = 1)"""
+CLUSTERS = """
+cfg AS (
+  SELECT name, enabled, brokers, ordinal FROM (
+    SELECT DISTINCT cluster AS name, true AS enabled,
+           [cluster || '-broker-1:9092', cluster || '-broker-2:9092'] AS brokers,
+           CASE WHEN cluster = 'orders' THEN 1 ELSE 0 END AS ordinal
+    FROM (SELECT cluster FROM samples_b UNION ALL SELECT cluster FROM samples_a))
+  UNION ALL SELECT 'orders', true, ['dup-broker:9092'], 5
+  UNION ALL SELECT 'archive', false, ['old:9092'], 6)"""
+
+SQL["s1_positions"] = D.with_(D.bridge_b()) + '\nSELECT cluster, group_id, topic, "partition", ts_us, committed_offset FROM pos_b'
+SQL["s2_watermarks"] = D.with_(D.bridge_b()) + '\nSELECT cluster, topic, "partition", ts_us, high_watermark FROM wm_b'
+SQL["s3_group_roster"] = D.with_(D.bridge_b(), D.bridge_a()) + """
+SELECT DISTINCT cluster, group_id FROM (SELECT cluster, group_id FROM pos_b UNION ALL SELECT cluster, group_id FROM samples_a)"""
+
+_A_AS_B = A_WEEKLY  # 'orders' override
+SQL["s4_thresholds_per_cluster"] = D.with_(D.bridge_b(), D.bridge_a(), D.evaluate("samples_b", B_LONG, "ev_b"),
+                                           D.evaluate("samples_a", A_WEEKLY, "ev_a")) + f"""
+SELECT cluster, kind, status, count(*) AS "rows",
+       CAST(CASE WHEN cluster = 'orders' THEN {A_WEEKLY.window_size} ELSE {B_LONG.window_size} END AS INTEGER) AS window_size,
+       CASE WHEN cluster = 'orders' THEN {A_WEEKLY.inactivity_s!r} ELSE {B_LONG.inactivity_s!r} END AS inactivity_s
+FROM (SELECT cluster, kind, status FROM ev_b UNION ALL SELECT cluster, kind, status FROM ev_a)
+GROUP BY cluster, kind, status"""
+
+SQL["p4_latest_per_key"] = D.with_(*B_EV, LATEST_B) + f"\nSELECT {STATUS_OUT} FROM latest_b"
+SQL["a6_latest_group_status"] = D.with_(*_groups_b_ctes(), GLATEST_B) + "\nSELECT * FROM glatest_b"
+SQL["a7_groups_per_cluster"] = D.with_(*_groups_b_ctes(), *_groups_a_ctes(), GLATEST_B, GLATEST_A) + """
+SELECT cluster, count(DISTINCT group_id) AS groups FROM (SELECT cluster, group_id FROM glatest_b UNION ALL
+  SELECT cluster, group_id FROM glatest_a) GROUP BY cluster"""
+
+_buckets = [3600.0 * h for h in (1, 2, 3, 6, 12, 24)]
+_le = ",\n".join(f"  SELECT cluster, group_id, \"count\", \"sum\", '{b}' AS le, n{i} AS n FROM h"
+                 for i, b in enumerate(_buckets))
+SQL["a9_idle_histogram"] = D.with_(*B_EV, "h AS (SELECT cluster, group_id, count(*) AS \"count\", "
+                                   "sum(time_since_last_move_s) AS \"sum\", "
+                                   + ", ".join(f"CAST(sum(CASE WHEN time_since_last_move_s <= {b} THEN 1 ELSE 0 END) AS BIGINT) AS n{i}"
+                                               for i, b in enumerate(_buckets))
+                                   + " FROM ev_b WHERE kind <> 'unreadable' GROUP BY cluster, group_id)") + "\n" + \
+    "\nUNION ALL\n".join(f"SELECT cluster, group_id, \"count\", \"sum\", '{b}' AS le, n{i} AS n FROM h"
+                         for i, b in enumerate(_buckets)) + \
+    "\nUNION ALL\nSELECT cluster, group_id, \"count\", \"sum\", '+Inf' AS le, \"count\" AS n FROM h"
+
+SQL["a12_lag_by_group"] = D.with_(*B_EV, LATEST_B) + """
+SELECT cluster, group_id, CAST(sum(current_lag) AS BIGINT) AS total_lag FROM latest_b GROUP BY cluster, group_id"""
+SQL["a13_lag_over_time"] = D.with_(*B_EV, """
+pt AS (SELECT cluster, group_id, ts_us, CAST(sum(current_lag) AS BIGINT) AS lag FROM ev_b
+       WHERE kind <> 'unreadable' GROUP BY cluster, group_id, ts_us)""") + """
+SELECT *, arg_max(lag, ts_us) OVER (PARTITION BY cluster, group_id) AS "last",
+       max(lag) OVER (PARTITION BY cluster, group_id) AS "max" FROM pt"""
+SQL["a14_status_code_counts"] = D.with_(*B_EV, LATEST_B, """
+codes AS (SELECT CAST(unnest([-1, 0, 1, 2, 3, 4]) AS INTEGER) AS status_code),
+c AS (SELECT CAST(CASE status WHEN 'ACTIVE' THEN 0 WHEN 'LAGGING' THEN 1 WHEN 'STALLED' THEN 2
+                   WHEN 'STOPPED' THEN 3 WHEN 'EMPTY' THEN 4 ELSE -1 END AS INTEGER) AS status_code,
+             count(*) AS partitions FROM latest_b GROUP BY 1)""") + """
+SELECT codes.status_code, CAST(coalesce(c.partitions, 0) AS BIGINT) AS partitions
+FROM codes LEFT JOIN c ON c.status_code = codes.status_code"""
+SQL["a15_label_values"] = D.with_(*B_EV, LATEST_B) + """
+SELECT DISTINCT 'group_id' AS label, group_id AS value FROM latest_b
+UNION ALL SELECT DISTINCT 'topic', topic FROM latest_b WHERE group_id IN ('click', 'view')"""
+
+SQL["q1_clusters"] = D.with_(*_groups_b_ctes(), *_groups_a_ctes(), GLATEST_B, GLATEST_A, CLUSTERS, """
+gc AS (SELECT cluster, count(*) AS groups FROM (SELECT cluster FROM glatest_b UNION ALL SELECT cluster FROM glatest_a)
+       GROUP BY cluster)""") + """
+SELECT name, enabled, CAST(len(brokers) AS INTEGER) AS brokers, CAST(coalesce(gc.groups, 0) AS BIGINT) AS groups,
+       CAST(NULL AS VARCHAR) AS last_error
+FROM cfg LEFT JOIN gc ON gc.cluster = cfg.name"""
+SQL["q4_group_lookup"] = D.with_(*_groups_b_ctes(), D.bridge_a(), GLATEST_B, CLUSTERS, """
+req AS (SELECT cluster, group_id FROM glatest_b UNION ALL SELECT 'events', 'no/such-group'
+        UNION ALL SELECT 'nowhere', 'click'),
+known AS (SELECT DISTINCT name AS cluster FROM cfg WHERE enabled)""") + """
+SELECT r.cluster, r.group_id,
+       CASE WHEN k.cluster IS NULL THEN 'cluster_not_found' WHEN g.ts_us IS NULL THEN 'group_not_found'
+            ELSE 'found' END AS outcome, g.total_lag, g.overall_health
+FROM req r LEFT JOIN known k ON k.cluster = r.cluster
+LEFT JOIN glatest_b g ON g.cluster = r.cluster AND g.group_id = r.group_id"""
+SQL["q7_readiness"] = D.with_(*_groups_b_ctes(), D.bridge_a(), GLATEST_B, CLUSTERS, """
+per AS (SELECT c.name AS cluster, (SELECT count(*) FROM glatest_b g WHERE g.cluster = c.name) AS g
+        FROM cfg c WHERE c.enabled)""") + """
+SELECT count(*) FILTER (WHERE g > 0) > 0 AS ready, count(*) AS clusters_total,
+       count(*) FILTER (WHERE g > 0) AS clusters_ready,
+       CASE WHEN count(*) = 0 THEN 'no_clusters_configured'
+            WHEN count(*) FILTER (WHERE g > 0) = 0 THEN 'no_ready_clusters' END AS reason
+FROM per"""
+SQL["q9_overview"] = D.with_(*_groups_b_ctes(), GLATEST_B) + """
+SELECT cluster, group_id, overall_health AS status,
+       CAST(CASE overall_health WHEN 'GOOD' THEN 0 WHEN 'WARNING' THEN 1 WHEN 'CRITICAL' THEN 2 ELSE -1 END AS INTEGER) AS status_code,
+       total_lag, critical_count AS error_partitions, warning_count AS warning_partitions
+FROM glatest_b ORDER BY total_lag DESC, cluster, group_id"""
+SQL["q10_partition_series"] = D.with_(*B_EV) + """
+SELECT topic, "partition", ts_us, current_lag AS lag FROM ev_b
+WHERE kind <> 'unreadable' AND cluster = 'events' AND group_id = 'purchase'"""
+_STC = ("CAST(CASE status WHEN 'ACTIVE' THEN 0 WHEN 'LAGGING' THEN 1 WHEN 'STALLED' THEN 2 WHEN 'STOPPED' THEN 3 "
+        "WHEN 'EMPTY' THEN 4 ELSE -1 END AS INTEGER)")
+_TRC = "CAST(CASE lag_trend WHEN 'STABLE' THEN 1 WHEN 'INCREASING' THEN 2 WHEN 'DECREASING' THEN 3 ELSE 0 END AS INTEGER)"
+_HLC = "CAST(CASE health WHEN 'GOOD' THEN 0 WHEN 'WARNING' THEN 1 WHEN 'CRITICAL' THEN 2 ELSE -1 END AS INTEGER)"
+SQL["q11_partition_detail"] = D.with_(*B_EV, LATEST_B, f"""
+d AS (SELECT cluster, group_id, topic, "partition", current_lag, {_STC} AS status_code, {_TRC} AS trend_code,
+             {_HLC} AS health_code FROM latest_b)""") + """
+SELECT *, CASE status_code WHEN 0 THEN 'Active' WHEN 1 THEN 'Lagging' WHEN 2 THEN 'Stalled' WHEN 3 THEN 'Stopped'
+                           WHEN 4 THEN 'Empty' WHEN -1 THEN 'Unknown' END AS status_label,
+          CASE trend_code WHEN 1 THEN 'Stable' WHEN 2 THEN 'Increasing' WHEN 3 THEN 'Decreasing' WHEN 0 THEN 'Unknown' END AS trend_label,
+          CASE health_code WHEN 0 THEN 'Good' WHEN 1 THEN 'Warning' WHEN 2 THEN 'Critical' WHEN -1 THEN 'Unknown' END AS health_label
+FROM d WHERE regexp_full_match(CAST(status_code AS VARCHAR), '[1-4]')"""
+SQL["t1_top_groups_by_lag"] = D.with_(*_groups_b_ctes(), *_groups_a_ctes(), GLATEST_B, GLATEST_A) + """
+SELECT cluster, group_id, total_lag FROM (SELECT cluster, group_id, total_lag FROM glatest_b UNION ALL
+  SELECT cluster, group_id, total_lag FROM glatest_a) ORDER BY total_lag DESC, cluster, group_id LIMIT 10"""
+SQL["p7_ready_groups"] = D.with_(*B_EV) + """
+SELECT cluster, group_id, max(window_completeness) AS max_completeness, max(window_completeness) >= 80.0 AS ready
+FROM ev_b WHERE kind <> 'unreadable' GROUP BY cluster, group_id"""
+SQL["j4_merge_series"] = D.with_(*_groups_b_ctes()) + """
+SELECT cluster, group_id,
+       CAST(arg_max(CASE WHEN critical_count > 0 THEN critical_count END, CASE WHEN critical_count > 0 THEN ts_us END) AS INTEGER) AS error_partitions,
+       arg_max(total_lag, ts_us) AS total_lag
+FROM groups_b GROUP BY cluster, group_id"""
+
+_PG = [("consumer_lag", "current_lag"), ("consumer_current_offset", "current_offset"),
+       ("consumer_status", _STC), ("consumer_lag_trend", _TRC), ("consumer_health", _HLC),
+       ("consumer_consumption_rate", "consumption_rate"), ("consumer_lag_change_rate", "lag_change_rate"),
+       ("consumer_time_since_last_activity_seconds", "time_since_last_move_s")]
+_GG = [("consumer_group_health",
+        "CASE overall_health WHEN 'GOOD' THEN 0 WHEN 'WARNING' THEN 1 WHEN 'CRITICAL' THEN 2 ELSE -1 END"),
+       ("consumer_group_total_lag", "total_lag"), ("consumer_group_active_partitions", "active_partitions"),
+       ("consumer_group_stopped_partitions", "stopped_partitions"),
+       ("consumer_group_stalled_partitions", "stalled_partitions"), ("consumer_group_members", "member_count")]
+SQL["s8_metrics_long"] = D.with_(*_groups_b_ctes(), GLATEST_B, """
+lw AS (SELECT * FROM ev_b WHERE kind = 'window'
+       QUALIFY row_number() OVER (PARTITION BY cluster, group_id, topic, "partition" ORDER BY ts_us DESC) = 1),
+act AS (SELECT cluster, group_id, topic, "partition", max(CASE WHEN is_active THEN ts_us END) AS la
+        FROM ev_b WHERE kind = 'window' GROUP BY ALL),
+le AS (SELECT cluster, topic, "partition", arg_max(high_watermark, (ts_us, high_watermark)) AS v
+       FROM ev_b WHERE kind = 'window' GROUP BY ALL)""") + "\n" + "\nUNION ALL ".join(
+    [f"SELECT '{m}' AS metric, cluster, group_id, topic, \"partition\", CAST({e} AS DOUBLE) AS value FROM lw"
+     for m, e in _PG]
+    + ["SELECT 'consumer_last_activity_timestamp', cluster, group_id, topic, \"partition\", "
+       "CAST(floor(la / 1000000) AS DOUBLE) FROM act WHERE la IS NOT NULL",
+       "SELECT 'consumer_log_end_offset', cluster, NULL, topic, \"partition\", CAST(v AS DOUBLE) FROM le"]
+    + [f"SELECT '{m}', cluster, group_id, NULL, NULL, CAST({e} AS DOUBLE) FROM glatest_b" for m, e in _GG])
+
+SQL["x8_key_text"] = D.with_(D.bridge_b()) + """
+SELECT cluster || '/' || group_id || '/v1' AS key, cluster, group_id || '/v1' AS group_id
+FROM (SELECT DISTINCT cluster, group_id FROM pos_b)"""
+
+_DET_S = [D.bridge_b(), D.evaluate("samples_b", B_SHORT, "ev"), D.detect("ev", B_SHORT, "det")]
+SQL["a11_event_counts"] = D.with_(*_DET_S) + "\nSELECT event_type AS type, count(*) AS events FROM det GROUP BY 1"
+SQL["a11_first_events"] = D.with_(*_DET_S) + """
+SELECT event_type AS type, CAST(rank AS INTEGER) AS rank, cluster, group_id, topic, "partition", ts_us FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts_us, cluster, group_id, topic, "partition") AS rank
+  FROM det) WHERE rank <= 3"""
+SQL["j6_missing_event_types"] = D.with_(D.bridge_b(), D.evaluate("samples_b", B_LONG, "ev"), D.detect("ev", B_LONG, "det")) + """
+SELECT type FROM (SELECT unnest(['consumer_stopped', 'consumer_stalled', 'rapid_lag_increase', 'consumer_recovered',
+  'lag_cleared']) AS type) WHERE type NOT IN (SELECT event_type FROM det)"""
+SQL["x10_log_lines"] = D.with_(*_DET_S) + """
+SELECT d.cluster, d.group_id, d.topic, d."partition", d.ts_us,
+       printf('[EVENT] Type: %s, Severity: %s, Lag: %d', d.event_type, d.severity, e.current_lag) AS line
+FROM det d JOIN ev e ON e.cluster = d.cluster AND e.group_id = d.group_id AND e.topic = d.topic
+  AND e."partition" = d."partition" AND e.ts_us = d.ts_us AND e.kind = 'window'"""

@@ -120,3 +120,230 @@ def e7_events_dedup(spark, sf_dir):
     """E6 records + X5 fingerprint + E7 de-duplication (Bridge B, short timeout)."""
     ev = M.evaluated_b(spark, sf_dir, B_SHORT)
     return dedup(event_records(ev, detect(ev, B_SHORT), B_SHORT)).select(*EVENT_OUT)
+
+
+# ---------------------------------------------------------------------------
+# Scans, latest rows, rollups, reports, metrics
+# ---------------------------------------------------------------------------
+from ..config import CLUSTER_SCHEMA, resolve_thresholds, thresholds_struct  # noqa: E402
+from ..operators import metrics as MT  # noqa: E402
+from ..operators import rollup as R  # noqa: E402
+from ..operators.evaluate import evaluate, latest_per_key, partition_status  # noqa: E402
+from ..functions import text as TX  # noqa: E402
+from ..sources.bridges import events_samples  # noqa: E402
+from ..sources.positions import list_groups  # noqa: E402
+from . import reports as RP  # noqa: E402
+
+
+def _latest_b(spark, sf_dir):
+    return latest_per_key(partition_status(M.evaluated_b(spark, sf_dir, B_LONG, messages=False)))
+
+
+def _glatest_b(spark, sf_dir):
+    return latest_group_status(M.groups_b(spark, sf_dir, B_LONG))
+
+
+def clusters_config(spark, sf_dir) -> DataFrame:
+    """Cluster configuration over the clusters present in the data: 'orders'
+    overrides the global thresholds with the weekly preset, a second
+    'orders' entry is a rejected duplicate, and 'archive' is disabled."""
+    names = (M.samples_b(spark, sf_dir).select("cluster")
+             .unionByName(M.samples_a(spark, sf_dir).select("cluster")).distinct())
+    ov = F.when(F.col("name") == "orders", thresholds_struct(A_WEEKLY))
+    first = names.select(F.col("cluster").alias("name"), F.lit(True).alias("enabled"),
+                         F.array(F.concat(F.col("cluster"), F.lit("-broker-1:9092")),
+                                 F.concat(F.col("cluster"), F.lit("-broker-2:9092"))).alias("brokers"),
+                         F.col("cluster"))
+    first = first.select("name", "enabled", "brokers", ov.alias("override"),
+                         F.when(F.col("name") == "orders", 1).otherwise(0).alias("ordinal"))
+    extra = spark.createDataFrame(
+        [("orders", True, ["dup-broker:9092"], None, 5), ("archive", False, ["old:9092"], None, 6)],
+        CLUSTER_SCHEMA)
+    return first.unionByName(extra)
+
+
+@register("s1_positions")
+def s1_positions(spark, sf_dir):
+    """Committed offsets per (cluster, group, topic, partition, tick)."""
+    pos, _ = events_samples(spark, sf_dir)
+    from ..functions.timefn import epoch_us
+    return pos.select("cluster", "group_id", "topic", "partition", epoch_us("ts").alias("ts_us"),
+                      "committed_offset")
+
+
+@register("s2_watermarks")
+def s2_watermarks(spark, sf_dir):
+    """End offsets per (cluster, topic, partition, tick)."""
+    _, wm = events_samples(spark, sf_dir)
+    from ..functions.timefn import epoch_us
+    return wm.select("cluster", "topic", "partition", epoch_us("ts").alias("ts_us"), "high_watermark")
+
+
+@register("s3_group_roster")
+def s3_group_roster(spark, sf_dir):
+    pos, _ = events_samples(spark, sf_dir)
+    return list_groups(pos).unionByName(list_groups(M.samples_a(spark, sf_dir))).distinct()
+
+
+@register("s4_thresholds_per_cluster")
+def s4_thresholds_per_cluster(spark, sf_dir):
+    """S4 + J3: resolve per-cluster thresholds (override replaces the whole
+    struct, duplicates rejected, disabled dropped) and evaluate both bridges
+    in one plan with their own thresholds; status counts per cluster."""
+    th = resolve_thresholds(clusters_config(spark, sf_dir), B_LONG)
+    samples = M.samples_b(spark, sf_dir).unionByName(M.samples_a(spark, sf_dir))
+    ev = evaluate(samples, th, messages=False)
+    return (ev.groupBy("cluster", "kind", "status").agg(F.count(F.lit(1)).alias("rows"))
+            .join(th.select("cluster", "window_size", "inactivity_s"), "cluster"))
+
+
+@register("p4_latest_per_key")
+def p4_latest_per_key(spark, sf_dir):
+    return _latest_b(spark, sf_dir).select(*STATUS_OUT)
+
+
+@register("a6_latest_group_status")
+def a6_latest_group_status(spark, sf_dir):
+    return _group_out(_glatest_b(spark, sf_dir))
+
+
+@register("a7_groups_per_cluster")
+def a7_groups_per_cluster(spark, sf_dir):
+    g = _glatest_b(spark, sf_dir).unionByName(
+        latest_group_status(M.group_status(M.evaluated_a(spark, sf_dir, A_WEEKLY, messages=False)))
+        .withColumn("member_count", F.lit(0)))
+    return R.group_count_per_cluster(g)
+
+
+@register("a9_idle_histogram")
+def a9_idle_histogram(spark, sf_dir):
+    """A9 operator over idle durations of evaluated rows (hour buckets)."""
+    ev = partition_status(M.evaluated_b(spark, sf_dir, B_LONG, messages=False))
+    return R.duration_histogram(ev, "time_since_last_move_s", [3600.0 * h for h in (1, 2, 3, 6, 12, 24)])
+
+
+@register("a12_lag_by_group")
+def a12_lag_by_group(spark, sf_dir):
+    return R.lag_by_group(_latest_b(spark, sf_dir))
+
+
+@register("a13_lag_over_time")
+def a13_lag_over_time(spark, sf_dir):
+    return R.lag_over_time(partition_status(M.evaluated_b(spark, sf_dir, B_LONG, messages=False)))
+
+
+@register("a14_status_code_counts")
+def a14_status_code_counts(spark, sf_dir):
+    return R.count_by_status_code(_latest_b(spark, sf_dir))
+
+
+@register("a15_label_values")
+def a15_label_values(spark, sf_dir):
+    g, t = R.label_values(_latest_b(spark, sf_dir), ["click", "view"])
+    return g.select(F.lit("group_id").alias("label"), F.col("group_id").alias("value")).unionByName(
+        t.select(F.lit("topic").alias("label"), F.col("topic").alias("value")))
+
+
+@register("q1_clusters")
+def q1_clusters(spark, sf_dir):
+    g = _glatest_b(spark, sf_dir).select("cluster", "group_id").unionByName(
+        latest_group_status(M.group_status(M.evaluated_a(spark, sf_dir, A_WEEKLY, messages=False)))
+        .select("cluster", "group_id"))
+    cfg = clusters_config(spark, sf_dir)
+    return RP.clusters_report(cfg, g)
+
+
+@register("q4_group_lookup")
+def q4_group_lookup(spark, sf_dir):
+    """Q4/P5: every known group plus an unknown group and an unknown cluster."""
+    gl = _glatest_b(spark, sf_dir)
+    req = gl.select("cluster", "group_id").unionByName(
+        spark.createDataFrame([("events", "no/such-group"), ("nowhere", "click")], "cluster string, group_id string"))
+    cfg = clusters_config(spark, sf_dir).filter("enabled")
+    r = RP.group_lookup(gl, cfg, req)
+    return r.select("cluster", "group_id", "outcome", "total_lag", "overall_health")
+
+
+@register("q7_readiness")
+def q7_readiness(spark, sf_dir):
+    return RP.readiness(clusters_config(spark, sf_dir), _glatest_b(spark, sf_dir))
+
+
+@register("q9_overview")
+def q9_overview(spark, sf_dir):
+    return RP.overview(_glatest_b(spark, sf_dir))
+
+
+@register("q10_partition_series")
+def q10_partition_series(spark, sf_dir):
+    st = partition_status(M.evaluated_b(spark, sf_dir, B_LONG, messages=False))
+    return RP.partition_series(st, "events", "purchase")
+
+
+@register("q11_partition_detail")
+def q11_partition_detail(spark, sf_dir):
+    return RP.partition_detail(_latest_b(spark, sf_dir), "[1-4]")
+
+
+@register("t1_top_groups_by_lag")
+def t1_top_groups_by_lag(spark, sf_dir):
+    return RP.top_groups_by_lag(_glatest_b(spark, sf_dir).unionByName(
+        latest_group_status(M.group_status(M.evaluated_a(spark, sf_dir, A_WEEKLY, messages=False)))
+        .withColumn("member_count", F.lit(0))), 10)
+
+
+@register("p7_ready_groups")
+def p7_ready_groups(spark, sf_dir):
+    return RP.ready_groups(partition_status(M.evaluated_b(spark, sf_dir, B_LONG, messages=False)), 80.0)
+
+
+@register("j4_merge_series")
+def j4_merge_series(spark, sf_dir):
+    g = M.groups_b(spark, sf_dir, B_LONG)
+    lag = g.select("cluster", "group_id", "ts_us", "total_lag")
+    crit = g.filter(F.size("critical_partitions") > 0).select(
+        "cluster", "group_id", "ts_us", F.size("critical_partitions").alias("error_partitions"))
+    return RP.merge_series(lag, crit)
+
+
+@register("s8_metrics_long")
+def s8_metrics_long(spark, sf_dir):
+    ev = M.evaluated_b(spark, sf_dir, B_LONG, messages=False)
+    return MT.metrics_long(ev, _glatest_b(spark, sf_dir))
+
+
+@register("x8_key_text")
+def x8_key_text(spark, sf_dir):
+    g = list_groups(events_samples(spark, sf_dir)[0])
+    k = g.select(TX.key_text(F.col("cluster"), F.concat(F.col("group_id"), F.lit("/v1"))).alias("key"))
+    c, grp = TX.split_key_text(F.col("key"))
+    return k.select("key", c.alias("cluster"), grp.alias("group_id"))
+
+
+@register("a11_event_counts")
+def a11_event_counts(spark, sf_dir):
+    ev = M.evaluated_b(spark, sf_dir, B_SHORT, messages=False)
+    d = detect(ev, B_SHORT).withColumnRenamed("event_type", "type")
+    return RP.event_summary(d)[0]
+
+
+@register("a11_first_events")
+def a11_first_events(spark, sf_dir):
+    ev = M.evaluated_b(spark, sf_dir, B_SHORT, messages=False)
+    d = detect(ev, B_SHORT).withColumnRenamed("event_type", "type")
+    return RP.event_summary(d)[1].select("type", "rank", "cluster", "group_id", "topic", "partition", "ts_us")
+
+
+@register("j6_missing_event_types")
+def j6_missing_event_types(spark, sf_dir):
+    d = detect(M.evaluated_b(spark, sf_dir, B_LONG, messages=False), B_LONG).withColumnRenamed("event_type", "type")
+    return RP.missing_event_types(d)
+
+
+@register("x10_log_lines")
+def x10_log_lines(spark, sf_dir):
+    ev = M.evaluated_b(spark, sf_dir, B_SHORT, messages=False)
+    d = detect(ev, B_SHORT).join(ev.select(*S.KEY, "ts_us", "current_lag", "kind").filter("kind = 'window'"),
+                                  S.KEY + ["ts_us"])
+    return d.select(*S.KEY, "ts_us", TX.log_line(F.col("event_type"), F.col("severity"),
+                                                 F.col("current_lag")).alias("line"))
