@@ -274,3 +274,39 @@ SELECT d.cluster, d.group_id, d.topic, d."partition", d.ts_us,
        printf('[EVENT] Type: %s, Severity: %s, Lag: %d', d.event_type, d.severity, e.current_lag) AS line
 FROM det d JOIN ev e ON e.cluster = d.cluster AND e.group_id = d.group_id AND e.topic = d.topic
   AND e."partition" = d."partition" AND e.ts_us = d.ts_us AND e.kind = 'window'"""
+
+# --- placement and membership ----------------------------------------------
+PL_BASE = """
+pk AS (SELECT DISTINCT 'user-' || CAST(user_id AS VARCHAR) AS key FROM events),
+pm AS (SELECT 'inst-' || lower(n_name) AS member FROM nation),
+owners AS (SELECT CAST(b AS INTEGER) AS bucket, arg_max(member, md5(CAST(b AS VARCHAR) || '|' || member)) AS owner
+           FROM pm, (SELECT unnest(range(0, 997)) AS b) GROUP BY b),
+owners2 AS (SELECT CAST(b AS INTEGER) AS bucket, arg_max(member, md5(CAST(b AS VARCHAR) || '|' || member)) AS owner
+            FROM (SELECT * FROM pm WHERE member <> 'inst-algeria'), (SELECT unnest(range(0, 997)) AS b) GROUP BY b),
+kb AS (SELECT key, CAST(('0x' || substr(md5(key), 1, 8))::BIGINT % 997 AS INTEGER) AS bucket FROM pk),
+asg AS (SELECT key, kb.bucket, owner FROM kb JOIN owners USING (bucket)),
+asg2 AS (SELECT key, kb.bucket, owner FROM kb JOIN owners2 USING (bucket))"""
+SQL["k1_key_buckets"] = D.with_(PL_BASE) + "\nSELECT key, bucket FROM kb"
+SQL["k2_bucket_owners"] = D.with_(PL_BASE) + "\nSELECT bucket, owner FROM owners"
+SQL["k3_assignments"] = D.with_(PL_BASE) + "\nSELECT pm.member, asg.key FROM pm LEFT JOIN asg ON asg.owner = pm.member"
+SQL["k4_load_report"] = D.with_(PL_BASE, """
+per AS (SELECT pm.member, CAST(count(asg.key) AS BIGINT) AS keys FROM pm LEFT JOIN asg ON asg.owner = pm.member
+        GROUP BY pm.member)""") + """
+SELECT member, keys, (sum(keys) OVER () / count(*) OVER ()) * 1.25 AS "limit",
+       keys > (sum(keys) OVER () / count(*) OVER ()) * 1.25 AS over_limit FROM per"""
+SQL["k5_churn"] = D.with_(PL_BASE) + """
+SELECT count(*) AS keys, count(*) FILTER (WHERE NOT coalesce(a.owner = b.owner, false)) AS moved
+FROM asg a FULL OUTER JOIN asg2 b ON a.key = b.key"""
+HB = """
+hb AS (SELECT 'inst-' || lower(n.n_name) AS id, epoch_us(o.o_orderdate) AS ts_us,
+              CASE WHEN o.o_orderstatus = 'P' THEN 'offline' ELSE 'active' END AS status, o.o_orderkey AS assigned_count
+       FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey),
+now_ AS (SELECT max(ts_us) AS now FROM hb),
+cur AS (SELECT id, arg_max(ts_us, (ts_us, status, assigned_count)) AS last_heartbeat_us, arg_max(status, (ts_us, status, assigned_count)) AS status,
+               arg_max(assigned_count, (ts_us, status, assigned_count)) AS assigned_count FROM hb GROUP BY id),
+cur2 AS (SELECT * FROM cur WHERE (SELECT now FROM now_) - last_heartbeat_us <
+         CASE WHEN status = 'offline' THEN 604800.0 ELSE 2592000.0 END * 1000000)"""
+SQL["l2_current_members"] = D.with_(HB) + "\nSELECT id, last_heartbeat_us, status, assigned_count FROM cur2"
+SQL["l1_active_members"] = D.with_(HB) + """
+SELECT id, last_heartbeat_us, status FROM cur2
+WHERE status = 'active' AND (SELECT now FROM now_) - last_heartbeat_us < 1209600.0 * 1000000"""

@@ -347,3 +347,86 @@ def x10_log_lines(spark, sf_dir):
                                   S.KEY + ["ts_us"])
     return d.select(*S.KEY, "ts_us", TX.log_line(F.col("event_type"), F.col("severity"),
                                                  F.col("current_lag")).alias("line"))
+
+
+# ---------------------------------------------------------------------------
+# Placement and membership (K1-K5, L1-L2) over data-derived keys/members
+# ---------------------------------------------------------------------------
+from ..functions.timefn import epoch_us as _epoch_us  # noqa: E402
+from ..operators import placement as PL  # noqa: E402
+from ..sources.bridges import read_table  # noqa: E402
+
+HB_TTL_S, HB_OFFLINE_TTL_S, HB_TIMEOUT_S = 30 * 86400.0, 7 * 86400.0, 14 * 86400.0
+
+
+def placement_keys(spark, sf_dir):
+    """Keys to place: one per user of the events table (grows with the data)."""
+    ev = read_table(spark, sf_dir, "events")
+    return ev.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("key")).distinct()
+
+
+def placement_members(spark, sf_dir):
+    """Members: one instance per nation."""
+    return read_table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("inst-"), F.lower("n_name")).alias("member"))
+
+
+def heartbeat_log(spark, sf_dir):
+    """Heartbeat log: every order is a heartbeat of its customer's nation's
+    instance at the order date; pending orders mark the instance offline."""
+    o = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderstatus", "o_orderkey")
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.select(F.concat(F.lit("inst-"), F.lower("n_name")).alias("id"),
+                    _epoch_us("o_orderdate").alias("ts_us"),
+                    F.when(F.col("o_orderstatus") == "P", F.lit("offline")).otherwise(F.lit("active")).alias("status"),
+                    F.col("o_orderkey").alias("assigned_count"))
+
+
+def _now_us(log):
+    return log.select(F.max("ts_us")).scalar()
+
+
+@register("k1_key_buckets")
+def k1_key_buckets(spark, sf_dir):
+    k = placement_keys(spark, sf_dir)
+    return k.select("key", PL.key_bucket(F.col("key"), PL.DEFAULT_PARTITION_COUNT).alias("bucket"))
+
+
+@register("k2_bucket_owners")
+def k2_bucket_owners(spark, sf_dir):
+    return PL.bucket_owners(placement_members(spark, sf_dir))
+
+
+@register("k3_assignments")
+def k3_assignments(spark, sf_dir):
+    m = placement_members(spark, sf_dir)
+    return PL.assignment_lists(PL.assign(placement_keys(spark, sf_dir), m), m)
+
+
+@register("k4_load_report")
+def k4_load_report(spark, sf_dir):
+    m = placement_members(spark, sf_dir)
+    return PL.load_report(PL.assign(placement_keys(spark, sf_dir), m), m)
+
+
+@register("k5_churn")
+def k5_churn(spark, sf_dir):
+    """Keys that move when one member leaves: only that member's keys."""
+    m = placement_members(spark, sf_dir)
+    k = placement_keys(spark, sf_dir)
+    return PL.churn(PL.assign(k, m), PL.assign(k, m.filter(F.col("member") != "inst-algeria")))
+
+
+@register("l2_current_members")
+def l2_current_members(spark, sf_dir):
+    log = heartbeat_log(spark, sf_dir)
+    return PL.current_members(log, _now_us(log), ttl_s=HB_TTL_S, offline_ttl_s=HB_OFFLINE_TTL_S)
+
+
+@register("l1_active_members")
+def l1_active_members(spark, sf_dir):
+    log = heartbeat_log(spark, sf_dir)
+    cur = PL.current_members(log, _now_us(log), ttl_s=HB_TTL_S, offline_ttl_s=HB_OFFLINE_TTL_S)
+    return PL.active_members(cur, _now_us(log), HB_TIMEOUT_S).select("id", "last_heartbeat_us", "status")
