@@ -310,3 +310,21 @@ SQL["l2_current_members"] = D.with_(HB) + "\nSELECT id, last_heartbeat_us, statu
 SQL["l1_active_members"] = D.with_(HB) + """
 SELECT id, last_heartbeat_us, status FROM cur2
 WHERE status = 'active' AND (SELECT now FROM now_) - last_heartbeat_us < 1209600.0 * 1000000"""
+
+# --- event sink / retention / consumption ------------------------------------
+_RECS = [D.bridge_b(), D.evaluate("samples_b", B_SHORT, "ev"), D.detect("ev", B_SHORT, "det"),
+         _records_sql(B_SHORT),
+         "rd AS (SELECT * FROM recs QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY ts_us, cluster, id) = 1)"]
+SQL["s5_event_envelope"] = D.with_(*_RECS) + """
+SELECT type, severity, cluster, consumer_group AS group_id, topic, CAST("partition" AS VARCHAR) AS "partition",
+       CAST(floor(ts_us / 1000000) AS BIGINT) AS "timestamp", fingerprint, current_lag FROM rd"""
+SQL["s6_retain_latest"] = D.with_(*_RECS) + """
+SELECT id, ts_us, type, consumer_group AS group_id, "partition" FROM rd ORDER BY ts_us DESC, id DESC LIMIT 100"""
+SQL["c1_parse_accepted"] = D.with_(*_RECS) + """
+SELECT id, type, severity, cluster, consumer_group, topic, "partition", current_lag, fingerprint FROM rd
+WHERE substr(fingerprint, 1, 1) NOT IN ('0', '1')"""
+SQL["c2_quarantine"] = D.with_(*_RECS) + """
+SELECT consumer_group AS group_id, topic, CAST("partition" AS VARCHAR) AS "partition",
+       CAST(floor(ts_us / 1000000) AS BIGINT) AS "timestamp",
+       CASE WHEN substr(fingerprint, 1, 1) = '1' THEN 'missing payload' ELSE 'invalid payload' END AS reject_reason
+FROM rd WHERE substr(fingerprint, 1, 1) IN ('0', '1')"""

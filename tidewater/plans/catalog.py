@@ -430,3 +430,54 @@ def l1_active_members(spark, sf_dir):
     log = heartbeat_log(spark, sf_dir)
     cur = PL.current_members(log, _now_us(log), ttl_s=HB_TTL_S, offline_ttl_s=HB_OFFLINE_TTL_S)
     return PL.active_members(cur, _now_us(log), HB_TIMEOUT_S).select("id", "last_heartbeat_us", "status")
+
+
+# ---------------------------------------------------------------------------
+# Event sink / retention / consumption
+# ---------------------------------------------------------------------------
+from ..operators import consume as CS  # noqa: E402
+from ..sources import event_io as EIO  # noqa: E402
+
+
+def _records_b_short(spark, sf_dir):
+    ev = M.evaluated_b(spark, sf_dir, B_SHORT)
+    return dedup(event_records(ev, detect(ev, B_SHORT), B_SHORT))
+
+
+def damaged_envelopes(spark, sf_dir):
+    """Envelopes of the Bridge B events where, deterministically by
+    fingerprint, some payloads are missing or cut in half (C2 inputs)."""
+    rec = _records_b_short(spark, sf_dir)
+    env = EIO.envelope(rec.withColumn("fp0", F.substring("fingerprint", 1, 1)))
+    fp0 = F.get_json_object("event", "$.fingerprint").substr(1, 1)
+    return env.withColumn("event", F.when(fp0 == "1", F.lit(None))
+                          .when(fp0 == "0", F.expr("substring(event, 1, length(event) div 2)"))
+                          .otherwise(F.col("event")))
+
+
+@register("s5_event_envelope")
+def s5_event_envelope(spark, sf_dir):
+    """S5 envelope columns (the JSON text itself is checked by unit tests)."""
+    env = EIO.envelope(_records_b_short(spark, sf_dir))
+    return env.select("type", "severity", "cluster", "group_id", "topic", "partition", "timestamp",
+                      F.get_json_object("event", "$.fingerprint").alias("fingerprint"),
+                      F.get_json_object("event", "$.current_lag").cast("long").alias("current_lag"))
+
+
+@register("s6_retain_latest")
+def s6_retain_latest(spark, sf_dir):
+    rec = _records_b_short(spark, sf_dir)
+    return EIO.retain_latest(rec, 100, "ts_us", "id").select("id", "ts_us", "type", "group_id", "partition")
+
+
+@register("c1_parse_accepted")
+def c1_parse_accepted(spark, sf_dir):
+    ok = CS.accepted(CS.parse(damaged_envelopes(spark, sf_dir)))
+    return ok.select("id", "type", "severity", "cluster", "consumer_group", "topic", "partition",
+                     "current_lag", "fingerprint")
+
+
+@register("c2_quarantine")
+def c2_quarantine(spark, sf_dir):
+    q = CS.quarantine(CS.parse(damaged_envelopes(spark, sf_dir)))
+    return q.select("group_id", "topic", "partition", "timestamp", "reject_reason")
