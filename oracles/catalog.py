@@ -328,3 +328,8 @@ SELECT consumer_group AS group_id, topic, CAST("partition" AS VARCHAR) AS "parti
        CAST(floor(ts_us / 1000000) AS BIGINT) AS "timestamp",
        CASE WHEN substr(fingerprint, 1, 1) = '1' THEN 'missing payload' ELSE 'invalid payload' END AS reject_reason
 FROM rd WHERE substr(fingerprint, 1, 1) IN ('0', '1')"""
+
+# --- streaming = batch ---------------------------------------------------------
+SQL["st2_stream_equals_batch"] = D.with_(D.bridge_b(), D.evaluate("samples_b", B_SHORT, "ev_b")) + \
+    f"\nSELECT {STATUS_OUT} FROM ev_b"
+SQL["st3_stream_events"] = _detect_sql(D.bridge_b(), "samples_b", B_SHORT)

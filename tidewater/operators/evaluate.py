@@ -48,7 +48,7 @@ def _cfg_col() -> dict[str, Column]:
 
 
 def evaluate(samples: DataFrame, thresholds: Thresholds | DataFrame, *,
-             messages: bool = True) -> DataFrame:
+             messages: bool = True, passthrough: tuple[str, ...] = ()) -> DataFrame:
     """samples (KEY, ts, ts_us, committed_offset, high_watermark, lag) ->
     evaluated rows (STATUS_COLUMNS), one per sample.
 
@@ -59,17 +59,18 @@ def evaluate(samples: DataFrame, thresholds: Thresholds | DataFrame, *,
     results are unioned.
     """
     if isinstance(thresholds, Thresholds):
-        return _evaluate_n(samples, thresholds.window_size, _cfg_lit(thresholds), messages)
+        return _evaluate_n(samples, thresholds.window_size, _cfg_lit(thresholds), messages, passthrough)
     # Configuration table: one row per cluster, so collecting its distinct
     # window sizes is bounded by configuration, not by data.
     sizes = sorted(r[0] for r in thresholds.select("window_size").distinct().collect())
     joined = attach_thresholds(samples, thresholds)
-    parts = [_evaluate_n(joined.filter(F.col("window_size") == n), n, _cfg_col(), messages)
+    parts = [_evaluate_n(joined.filter(F.col("window_size") == n), n, _cfg_col(), messages, passthrough)
              for n in sizes]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages: bool) -> DataFrame:
+def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages: bool,
+                passthrough: tuple[str, ...] = ()) -> DataFrame:
     off, hwm, lag, ts = (F.col(c) for c in ("committed_offset", "high_watermark", "lag", "ts_us"))
     kind = (F.when(hwm.isNull(), F.lit(KIND_UNREADABLE))
             .when(off.isNull(), F.lit(KIND_NO_COMMIT))
@@ -179,12 +180,13 @@ def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages
         F.when(ok, status).when(is_win | is_nc, F.lit(S.UNKNOWN)).alias("status"),
         F.when(ok, health).when(is_win | is_nc, F.lit(S.WARNING)).alias("health"),
         F.when(is_win, F.col("prev_lag")).cast("long").alias("prev_lag"),
+        *passthrough,
     ]
     res = df.select(*out, *([] if not messages else [
         _message(ok, insufficient, is_nc, status, rate, lag_rate, lag, idle, n, cfg).alias("message")]))
     if not messages:
         res = res.withColumn("message", F.lit(None).cast("string"))
-    return res.select(*STATUS_COLUMNS)
+    return res.select(*STATUS_COLUMNS, *passthrough)
 
 
 def _message(ok, insufficient, is_nc, status, rate, lag_rate, lag, idle, n, cfg) -> Column:

@@ -57,7 +57,10 @@ FOLD_OUT = T.StructType([
     T.StructField("partition", T.IntegerType()),
     T.StructField("ts_us", T.LongType()),
     T.StructField("ev", T.IntegerType()),
+    T.StructField("prev_st", T.IntegerType()),
+    T.StructField("last_us", T.LongType()),
 ])
+STATE_EV = 0  # output rows with ev = 0 carry a key's final gate state
 
 
 def transition_code(prev: np.ndarray, cur: np.ndarray) -> np.ndarray:
@@ -129,56 +132,110 @@ class GateFold:
         return rows, codes
 
 
-def _fold_partition(gate_us: int):
+def _fold_partition(gate_us: int, emit_state: bool):
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fold = GateFold(gate_us)
+        pending = None  # final state of the current key, flushed when the key ends
+
+        def state_row(key, prev, last):
+            return {**dict(zip(S.KEY, key)), "ts_us": last, "ev": STATE_EV,
+                    "prev_st": None if prev == GateFold.NONE else int(prev), "last_us": last}
+
         for pdf in batches:
             if pdf.empty:
                 continue
             keys = pdf[S.KEY]
             new_key = (keys != keys.shift()).any(axis=1).to_numpy()
-            first = tuple(keys.iloc[0])
-            new_key[0] = first != fold.key
-            starts = np.flatnonzero(new_key)
-            bounds = list(starts) + [len(pdf)]
-            if bounds[0] != 0:
-                bounds = [0] + bounds
+            new_key[0] = tuple(keys.iloc[0]) != fold.key
+            bounds = sorted(set([0, *np.flatnonzero(new_key).tolist(), len(pdf)]))
             ts = pdf["ts_us"].to_numpy(np.int64)
             st = pdf["st"].to_numpy(np.int64)
             e4 = pdf["e4"].to_numpy(bool)
             e5 = pdf["e5"].to_numpy(bool)
-            out_rows, out_codes = [], []
+            seed = pdf["is_seed"].to_numpy(bool)
+            out_rows, out_codes, states = [], [], []
             for a, b in zip(bounds[:-1], bounds[1:]):
                 if new_key[a]:
+                    if pending is not None and emit_state:
+                        states.append(state_row(*pending))
                     fold.key = tuple(keys.iloc[a])
                     fold.prev, fold.last = GateFold.NONE, None
-                r, c = fold.run_key(ts[a:b], st[a:b], e4[a:b], e5[a:b])
-                out_rows.extend(x + a for x in r)
-                out_codes.extend(c)
+                    if seed[a]:  # carried state of this key (streaming)
+                        sp, sl = pdf["seed_prev"].iloc[a], pdf["seed_last"].iloc[a]
+                        fold.prev = GateFold.NONE if pd.isna(sp) else int(sp)
+                        fold.last = None if pd.isna(sl) else int(sl)
+                        a += 1
+                if a < b:
+                    r, c = fold.run_key(ts[a:b], st[a:b], e4[a:b], e5[a:b])
+                    out_rows.extend(x + a for x in r)
+                    out_codes.extend(c)
+                pending = (fold.key, fold.prev, fold.last)
+            parts = []
             if out_rows:
                 res = pdf.iloc[out_rows][S.KEY + ["ts_us"]].copy()
                 res["ev"] = np.asarray(out_codes, dtype=np.int32)
-                yield res
+                res["prev_st"] = None
+                res["last_us"] = None
+                parts.append(res)
+            if states:
+                parts.append(pd.DataFrame(states))
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+        if pending is not None and emit_state:
+            yield pd.DataFrame([state_row(*pending)])
     return fn
 
 
-def detect(evaluated: DataFrame, th: Thresholds) -> DataFrame:
-    """Gated event candidates (KEY, ts_us, event_type, severity)."""
+def _narrow(evaluated: DataFrame, th: Thresholds) -> DataFrame:
     w = evaluated.filter(F.col("kind") == KIND_WINDOW)
-    narrow = w.select(
+    return w.select(
         *S.KEY, "ts_us", status_code("status").alias("st"),
         ((F.col("lag_change_rate") > F.lit(th.rapid_rate) * 2)
          & (F.col("current_lag") > F.lit(th.lag_floor))).alias("e4"),
         ((F.col("current_lag") == 0) & (F.col("n_records") > 2)
-         & F.coalesce(F.col("prev_lag") > F.lit(th.lag_floor), F.lit(False))).alias("e5"))
+         & F.coalesce(F.col("prev_lag") > F.lit(th.lag_floor), F.lit(False))).alias("e5"),
+        F.lit(False).alias("is_seed"), F.lit(None).cast("int").alias("seed_prev"),
+        F.lit(None).cast("long").alias("seed_last"))
+
+
+def fold_gate(evaluated: DataFrame, th: Thresholds, state: DataFrame | None = None,
+              emit_state: bool = False) -> DataFrame:
+    """Run the gate fold; `state` (KEY, prev_st, last_us) seeds keys that
+    were folded before (a stream's previous micro-batches).  Output rows
+    with ev > 0 are events; with `emit_state`, one row per key with ev = 0
+    carries its final (prev_st, last_us)."""
+    narrow = _narrow(evaluated, th)
+    if state is not None:
+        seeds = state.select(*S.KEY, F.lit(-(1 << 62)).cast("long").alias("ts_us"),
+                             F.lit(-1).alias("st"), F.lit(False).alias("e4"), F.lit(False).alias("e5"),
+                             F.lit(True).alias("is_seed"), F.col("prev_st").cast("int").alias("seed_prev"),
+                             F.col("last_us").cast("long").alias("seed_last"))
+        narrow = narrow.unionByName(seeds)
     gate_us = int(round(th.gate_s * 1_000_000))
-    folded = (narrow.repartition(*S.KEY)
-              .sortWithinPartitions(*S.KEY, "ts_us")
-              .mapInPandas(_fold_partition(gate_us), FOLD_OUT))
+    return (narrow.repartition(*S.KEY)
+            .sortWithinPartitions(*S.KEY, "ts_us")
+            .mapInPandas(_fold_partition(gate_us, emit_state), FOLD_OUT))
+
+
+def _typed(folded: DataFrame) -> DataFrame:
     types = F.create_map(*[x for code, (t, _) in EVENT_OF_CODE.items() for x in (F.lit(code), F.lit(t))])
     sev = F.create_map(*[x for code, (_, s) in EVENT_OF_CODE.items() for x in (F.lit(code), F.lit(s))])
-    return folded.select(*S.KEY, "ts_us", "ev", types[F.col("ev")].alias("event_type"),
-                         sev[F.col("ev")].alias("severity"))
+    return folded.filter(F.col("ev") > 0).select(
+        *S.KEY, "ts_us", "ev", types[F.col("ev")].alias("event_type"), sev[F.col("ev")].alias("severity"))
+
+
+def detect(evaluated: DataFrame, th: Thresholds) -> DataFrame:
+    """Gated event candidates (KEY, ts_us, event_type, severity)."""
+    return _typed(fold_gate(evaluated, th))
+
+
+def detect_with_state(evaluated: DataFrame, th: Thresholds, state: DataFrame | None
+                      ) -> tuple[DataFrame, DataFrame]:
+    """Streaming form: (events, new state).  The fold output should be
+    persisted/written once by the caller since both results derive from it."""
+    folded = fold_gate(evaluated, th, state, emit_state=True)
+    new_state = folded.filter(F.col("ev") == STATE_EV).select(*S.KEY, "prev_st", "last_us")
+    return _typed(folded), new_state
 
 
 def event_records(evaluated: DataFrame, detected: DataFrame, th: Thresholds, *,

@@ -481,3 +481,50 @@ def c1_parse_accepted(spark, sf_dir):
 def c2_quarantine(spark, sf_dir):
     q = CS.quarantine(CS.parse(damaged_envelopes(spark, sf_dir)))
     return q.select("group_id", "topic", "partition", "timestamp", "reject_reason")
+
+
+# ---------------------------------------------------------------------------
+# Streaming (ST1-ST3, ST7): the same samples cut into slices and fed to the
+# streaming monitor must give the batch result.
+# ---------------------------------------------------------------------------
+import uuid as _uuid  # noqa: E402
+
+from ..session import checkpoint_path  # noqa: E402
+from ..streaming.monitor import StreamingMonitor, run_available  # noqa: E402
+
+STREAM_SLICES = 3
+
+
+def stream_bridge_b(spark, sf_dir, th=B_SHORT) -> StreamingMonitor:
+    """Write Bridge B samples as STREAM_SLICES time slices, running the
+    stream (availableNow) after each arrival; returns the monitor."""
+    root = checkpoint_path(spark, f"stream-{_uuid.uuid4().hex}")
+    samples = M.samples_b(spark, sf_dir).select(
+        "cluster", "group_id", "topic", "partition", "ts", "ts_us", "committed_offset", "high_watermark")
+    bounds = samples.agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
+    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    mon = StreamingMonitor(spark, th, f"{root}/out")
+    span = (hi - lo + F.lit(1))
+    part = F.floor((F.col("ts_us") - lo) * STREAM_SLICES / span)
+    staged = samples.withColumn("_slice", part)
+    for i in range(STREAM_SLICES):
+        (staged.filter(F.col("_slice") == i).drop("_slice", "ts_us")
+         .write.mode("overwrite").parquet(f"{root}/in/slice={i}"))
+        run_available(spark, mon, f"{root}/in/*/")
+    return mon
+
+
+@register("st2_stream_equals_batch")
+def st2_stream_equals_batch(spark, sf_dir):
+    """ST1/ST2: status rows from the micro-batched stream (tail carried
+    between batches) - equal to the batch evaluation."""
+    return stream_bridge_b(spark, sf_dir).status().select(*STATUS_OUT)
+
+
+@register("st3_stream_events")
+def st3_stream_events(spark, sf_dir):
+    """ST3: events from the stream with the gate state carried between
+    batches - equal to the batch detection."""
+    ev = stream_bridge_b(spark, sf_dir).events()
+    return ev.select("cluster", F.col("consumer_group").alias("group_id"), "topic", "partition", "ts_us",
+                     F.col("type").alias("event_type"), "severity")
