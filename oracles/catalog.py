@@ -333,3 +333,22 @@ FROM rd WHERE substr(fingerprint, 1, 1) IN ('0', '1')"""
 SQL["st2_stream_equals_batch"] = D.with_(D.bridge_b(), D.evaluate("samples_b", B_SHORT, "ev_b")) + \
     f"\nSELECT {STATUS_OUT} FROM ev_b"
 SQL["st3_stream_events"] = _detect_sql(D.bridge_b(), "samples_b", B_SHORT)
+
+# --- window snapshots -------------------------------------------------------------
+SNAP = """
+win AS (SELECT * FROM samples_b WHERE committed_offset IS NOT NULL AND high_watermark IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY cluster, group_id, topic, "partition" ORDER BY ts_us DESC) <= 10),
+snap AS (SELECT cluster, group_id, topic, "partition",
+                list({'ts_us': ts_us, 'committed_offset': committed_offset, 'high_watermark': high_watermark,
+                      'lag': lag} ORDER BY ts_us) AS records,
+                (SELECT max(ts_us) FROM samples_b) AS saved_at_us
+         FROM win GROUP BY cluster, group_id, topic, "partition")"""
+SQL["s9_save_windows"] = D.with_(D.bridge_b(), SNAP) + """
+SELECT cluster, group_id, topic, "partition", CAST(len(records) AS INTEGER) AS records,
+       records[1].ts_us AS first_ts_us, records[-1].committed_offset AS last_offset, saved_at_us FROM snap"""
+SQL["s10_load_windows"] = D.with_(D.bridge_b(), SNAP) + """
+SELECT cluster, group_id, topic, "partition", r.ts_us, r.committed_offset, r.high_watermark, r.lag
+FROM (SELECT cluster, group_id, topic, "partition", unnest(records) AS r FROM snap)"""
+SQL["p6_active_windows"] = D.with_(*_groups_b_ctes(), GLATEST_B, SNAP) + """
+SELECT cluster, group_id, topic, "partition", saved_at_us FROM snap
+WHERE (cluster, group_id) IN (SELECT cluster, group_id FROM glatest_b WHERE active_partitions > 0)"""

@@ -528,3 +528,40 @@ def st3_stream_events(spark, sf_dir):
     ev = stream_bridge_b(spark, sf_dir).events()
     return ev.select("cluster", F.col("consumer_group").alias("group_id"), "topic", "partition", "ts_us",
                      F.col("type").alias("event_type"), "severity")
+
+
+# ---------------------------------------------------------------------------
+# Window snapshots (S9, S10) and stale-key cleanup
+# ---------------------------------------------------------------------------
+from ..streaming.snapshots import load_windows, save_windows  # noqa: E402
+
+
+def _snapshot_b(spark, sf_dir):
+    s = M.samples_b(spark, sf_dir)
+    saved_at = s.select(F.max("ts_us")).scalar()
+    return save_windows(s, B_LONG.window_size, saved_at)
+
+
+@register("s9_save_windows")
+def s9_save_windows(spark, sf_dir):
+    snap = _snapshot_b(spark, sf_dir)
+    return snap.select(*S.KEY, F.size("records").alias("records"),
+                       F.col("records")[0]["ts_us"].alias("first_ts_us"),
+                       F.element_at("records", -1)["committed_offset"].alias("last_offset"), "saved_at_us")
+
+
+@register("s10_load_windows")
+def s10_load_windows(spark, sf_dir):
+    """Round trip: saved windows reloaded as records (within the TTL)."""
+    snap = _snapshot_b(spark, sf_dir)
+    as_of = snap.select(F.max("saved_at_us")).scalar()
+    return load_windows(snap, as_of, 86400.0)
+
+
+@register("p6_active_windows")
+def p6_active_windows(spark, sf_dir):
+    """Keep window snapshots only for groups still in the active set
+    (groups whose latest group row has an active partition)."""
+    snap = _snapshot_b(spark, sf_dir)
+    active = _glatest_b(spark, sf_dir).filter(F.col("active_partitions") > 0)
+    return RP.active_only(snap, active).select(*S.KEY, "saved_at_us")
