@@ -308,8 +308,10 @@ def j4_merge_series(spark, sf_dir):
 
 @register("s8_metrics_long")
 def s8_metrics_long(spark, sf_dir):
+    # one evaluated plan feeds both the partition gauges and the group rollup
     ev = M.evaluated_b(spark, sf_dir, B_LONG, messages=False)
-    return MT.metrics_long(ev, _glatest_b(spark, sf_dir))
+    groups = latest_group_status(R.group_status(ev, M.members_b(spark, sf_dir)))
+    return MT.metrics_long(ev, groups)
 
 
 @register("x8_key_text")
