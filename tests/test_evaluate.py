@@ -143,3 +143,28 @@ def test_differential_against_model(spark, n):
             assert (r.status, r.lag_trend, r.health, r.is_active) == (m["status"], m["trend"], m["health"], m["active"]), (p, ts)
             assert r.consumption_rate == pytest.approx(m["rate"]) and r.lag_change_rate == pytest.approx(m["lrate"])
             assert r.time_since_last_move_s == pytest.approx(m["idle"])
+
+
+@pytest.mark.parametrize("n,hot", [(5, 7), (10, 13), (4, 3)])
+def test_hot_key_split_equals_unsplit(spark, n, hot):
+    rng = np.random.default_rng(100 + n)
+    th = Thresholds(window_size=n, min_size=2, stalled_rate=0.05, rapid_rate=0.3, trend_threshold=0.1,
+                    inactivity_s=25.0, lag_floor=8)
+    rows = []
+    for p in range(4):
+        off, end, t = 0, 0, 0
+        for i in range(40 if p < 3 else 5):
+            # bursts and long gaps so some segments are empty or tiny
+            t += int(rng.choice([1, 2, 3, 200])) if p != 1 else int(rng.choice([1, 500]))
+            end += int(rng.integers(0, 4))
+            if rng.random() < 0.6:
+                off = min(end, off + int(rng.integers(0, 5)))
+            hwm = None if rng.random() < 0.05 else end
+            c = None if rng.random() < 0.05 else off
+            rows.append(("g", p, t, c, hwm))
+    df = _samples(spark, rows)
+    cols = ["partition", "ts_us", "kind", "n_records", "status", "lag_trend", "health", "consumption_rate",
+            "lag_change_rate", "time_since_last_move_s", "is_active", "prev_lag", "message"]
+    a = sorted(tuple(r) for r in evaluate(df, th).select(*cols).collect())
+    b = sorted(tuple(r) for r in evaluate(df, th, hot_key_rows=hot).select(*cols).collect())
+    assert a == b

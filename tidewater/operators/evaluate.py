@@ -48,7 +48,8 @@ def _cfg_col() -> dict[str, Column]:
 
 
 def evaluate(samples: DataFrame, thresholds: Thresholds | DataFrame, *,
-             messages: bool = True, passthrough: tuple[str, ...] = ()) -> DataFrame:
+             messages: bool = True, passthrough: tuple[str, ...] = (),
+             hot_key_rows: int | None = None) -> DataFrame:
     """samples (KEY, ts, ts_us, committed_offset, high_watermark, lag) ->
     evaluated rows (STATUS_COLUMNS), one per sample.
 
@@ -57,20 +58,27 @@ def evaluate(samples: DataFrame, thresholds: Thresholds | DataFrame, *,
     frames need a literal size, so a per-cluster table is evaluated once
     per distinct window size (a handful, bounded by configuration) and the
     results are unioned.
+
+    `hot_key_rows`: keys with more samples than this are cut into time
+    segments of about that many rows, each evaluated in its own task with
+    an exact halo of the previous N-1 windowed records (see
+    `_with_segments`), so one very hot key does not serialise the pass.
     """
     if isinstance(thresholds, Thresholds):
-        return _evaluate_n(samples, thresholds.window_size, _cfg_lit(thresholds), messages, passthrough)
+        return _evaluate_n(samples, thresholds.window_size, _cfg_lit(thresholds), messages, passthrough,
+                           hot_key_rows)
     # Configuration table: one row per cluster, so collecting its distinct
     # window sizes is bounded by configuration, not by data.
     sizes = sorted(r[0] for r in thresholds.select("window_size").distinct().collect())
     joined = attach_thresholds(samples, thresholds)
-    parts = [_evaluate_n(joined.filter(F.col("window_size") == n), n, _cfg_col(), messages, passthrough)
+    parts = [_evaluate_n(joined.filter(F.col("window_size") == n), n, _cfg_col(), messages, passthrough,
+                         hot_key_rows)
              for n in sizes]
     return reduce(DataFrame.unionByName, parts)
 
 
 def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages: bool,
-                passthrough: tuple[str, ...] = ()) -> DataFrame:
+                passthrough: tuple[str, ...] = (), hot_key_rows: int | None = None) -> DataFrame:
     off, hwm, lag, ts = (F.col(c) for c in ("committed_offset", "high_watermark", "lag", "ts_us"))
     kind = (F.when(hwm.isNull(), F.lit(KIND_UNREADABLE))
             .when(off.isNull(), F.lit(KIND_NO_COMMIT))
@@ -80,7 +88,12 @@ def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages
     df = samples.withColumn("kind", kind).withColumn(
         "_krank", F.when(F.col("kind") == KIND_WINDOW, 0).when(F.col("kind") == KIND_NO_COMMIT, 1).otherwise(2))
 
-    by_key = Window.partitionBy(*S.KEY).orderBy("_krank", "ts_us")
+    part = list(S.KEY)
+    if hot_key_rows:
+        df = _with_segments(df, n_max, hot_key_rows)
+        part.append("_seg")
+        passthrough = tuple(passthrough) + ("_own",)
+    by_key = Window.partitionBy(*part).orderBy("_krank", "ts_us")
     w = by_key.rowsBetween(-(n_max - 1), 0)
     w_recent = by_key.rowsBetween(-(min(5, n_max) - 1), 0)
     # W8 thirds without arrays or lambdas (which would disable codegen):
@@ -186,7 +199,10 @@ def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages
         _message(ok, insufficient, is_nc, status, rate, lag_rate, lag, idle, n, cfg).alias("message")]))
     if not messages:
         res = res.withColumn("message", F.lit(None).cast("string"))
-    return res.select(*STATUS_COLUMNS, *passthrough)
+    res = res.select(*STATUS_COLUMNS, *passthrough)
+    if hot_key_rows:
+        res = res.filter(F.col("_own")).drop("_own")
+    return res
 
 
 def _message(ok, insufficient, is_nc, status, rate, lag_rate, lag, idle, n, cfg) -> Column:
@@ -223,3 +239,54 @@ def latest_per_key(status: DataFrame) -> DataFrame:
     return (status.groupBy(*S.KEY)
             .agg(F.max_by(F.struct(*cols), F.col("ts_us")).alias("_r"))
             .select(*S.KEY, "_r.*"))
+
+
+def _with_segments(df: DataFrame, n_max: int, hot_rows: int) -> DataFrame:
+    """Cut keys with more than `hot_rows` samples into time segments and add
+    to every segment, as halo rows (`_own` = false), exactly the last
+    H = max(N-1, 1) windowed records before it - the only rows any window
+    of the segment can reach.
+
+    All bookkeeping happens on a per-(key, segment) table whose size is
+    about (rows / hot_rows): cumulative windowed counts C, and for each
+    segment t the furthest later segment that still needs t's rows,
+    D(t) = max{u : C(u) <= C(t) + H - 1} (a RANGE frame over C).  A tail row
+    of t with reverse rank j is copied to target d in (t, D(t) + 1] iff
+    (j - 1) + C(d - 1) - C(t) < H.  No inequality join, no cross join.
+    Keys under the threshold keep one segment (0) and get no halo rows.
+    """
+    h = max(n_max - 1, 1)
+    is_win = F.col("kind") == KIND_WINDOW
+    stats = df.groupBy(*S.KEY).agg(F.count(F.lit(1)).alias("_cnt"), F.min("ts_us").alias("_lo"),
+                                   F.max("ts_us").alias("_hi"))
+    hot = stats.filter(F.col("_cnt") > hot_rows).select(
+        *S.KEY, F.ceil(F.col("_cnt") / F.lit(hot_rows)).alias("_nseg"), "_lo", "_hi")
+    d = df.join(hot, S.KEY, "left")
+    frac = (F.col("ts_us") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1).cast("double")
+    d = d.withColumn("_rseg", F.when(F.col("_nseg").isNull(), F.lit(0)).otherwise(
+        F.least(F.floor(frac * F.col("_nseg")), F.col("_nseg") - 1)).cast("long"))
+    d = d.withColumn("_hot", F.col("_nseg").isNotNull()).drop("_nseg", "_lo", "_hi")
+
+    by_seg = Window.partitionBy(*S.KEY).orderBy("_rseg")
+    segs = (d.filter(F.col("_hot")).groupBy(*S.KEY, "_rseg")
+            .agg(F.count_if(is_win).cast("long").alias("_c"))
+            .withColumn("_seg", (F.row_number().over(by_seg) - 1).cast("long"))
+            .withColumn("_C", F.sum("_c").over(by_seg.rowsBetween(Window.unboundedPreceding, 0))))
+    by_c = Window.partitionBy(*S.KEY).orderBy("_C").rangeBetween(0, h - 1)
+    segs = segs.withColumn("_reach", F.max("_seg").over(by_c) + 1)
+
+    d = (d.join(segs.select(*S.KEY, "_rseg", "_seg"), S.KEY + ["_rseg"], "left")
+         .withColumn("_seg", F.coalesce(F.col("_seg"), F.lit(0).cast("long"))).drop("_rseg"))
+    cols = [c for c in d.columns if c != "_hot"]
+    own = d.select(*cols, F.lit(True).alias("_own"))
+
+    last_first = Window.partitionBy(*S.KEY, "_seg").orderBy(F.col("ts_us").desc())
+    tails = (d.filter(F.col("_hot") & is_win).withColumn("_j", F.row_number().over(last_first))
+             .filter(F.col("_j") <= h)
+             .join(segs.select(*S.KEY, "_seg", F.col("_C").alias("_Cs"), "_reach"), S.KEY + ["_seg"]))
+    targets = segs.select(*S.KEY, F.col("_seg").alias("_tgt"), (F.col("_C") - F.col("_c")).alias("_Cbefore"))
+    halo = (tails.select("*", F.explode(F.sequence(F.col("_seg") + 1, F.col("_reach"))).alias("_tgt"))
+            .join(targets, S.KEY + ["_tgt"])
+            .filter((F.col("_j") - 1) + (F.col("_Cbefore") - F.col("_Cs")) < h)
+            .withColumn("_seg", F.col("_tgt")))
+    return own.unionByName(halo.select(*cols, F.lit(False).alias("_own")))

@@ -567,3 +567,10 @@ def p6_active_windows(spark, sf_dir):
     snap = _snapshot_b(spark, sf_dir)
     active = _glatest_b(spark, sf_dir).filter(F.col("active_partitions") > 0)
     return RP.active_only(snap, active).select(*S.KEY, "saved_at_us")
+
+
+@register("w_status_events_hot_split")
+def w_status_events_hot_split(spark, sf_dir):
+    """W1-W10 with hot-key splitting forced on (every key above 100 samples
+    is cut into time segments with halos); must equal the plain pass."""
+    return evaluate(M.samples_b(spark, sf_dir), B_LONG, messages=False, hot_key_rows=100).select(*STATUS_OUT)
