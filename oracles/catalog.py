@@ -353,3 +353,4 @@ SQL["p6_active_windows"] = D.with_(*_groups_b_ctes(), GLATEST_B, SNAP) + """
 SELECT cluster, group_id, topic, "partition", saved_at_us FROM snap
 WHERE (cluster, group_id) IN (SELECT cluster, group_id FROM glatest_b WHERE active_partitions > 0)"""
 SQL["w_status_events_hot_split"] = SQL["w_status_events"]
+SQL["e2_incidents_hot_split"] = SQL["e2_incidents_events_long"]

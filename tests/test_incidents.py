@@ -96,3 +96,27 @@ def test_fold_differential_across_small_batches(spark, seed):
         assert both == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("seed,hot", [(3, 9), (4, 25), (5, 4)])
+def test_hot_key_split_fold_is_exact(spark, seed, hot):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        rng = np.random.default_rng(seed)
+        sts = ["ACTIVE", "LAGGING", "STALLED", "STOPPED", "EMPTY", "UNKNOWN"]
+        rows, per = [], {}
+        for p in range(3):
+            t, prev_lag = 0, None
+            for i in range(120):
+                t += int(rng.choice([30, 60, 120, 400]))
+                lag = int(rng.choice([0, 0, 500, 1500]))
+                row = (p, t, str(rng.choice(sts, p=[.35, .1, .2, .15, .15, .05])), float(rng.choice([0, 1.5, 3.0])),
+                       lag, 5, prev_lag)
+                rows.append(row)
+                per.setdefault(p, []).append((t * 1_000_000, row[2], row[3], lag, 5, prev_lag))
+                prev_lag = lag
+        got = sorted((r.partition, r.ts_us, r.event_type) for r in detect(_ev(spark, rows), TH, hot_key_rows=hot).collect())
+        want = sorted((p, ts, typ) for p, ser in per.items() for ts, typ in fold_events(ser, TH))
+        assert got == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

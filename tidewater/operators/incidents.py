@@ -224,8 +224,15 @@ def _typed(folded: DataFrame) -> DataFrame:
         *S.KEY, "ts_us", "ev", types[F.col("ev")].alias("event_type"), sev[F.col("ev")].alias("severity"))
 
 
-def detect(evaluated: DataFrame, th: Thresholds) -> DataFrame:
-    """Gated event candidates (KEY, ts_us, event_type, severity)."""
+def detect(evaluated: DataFrame, th: Thresholds, hot_key_rows: int | None = None) -> DataFrame:
+    """Gated event candidates (KEY, ts_us, event_type, severity).
+
+    With `hot_key_rows`, keys above that many rows are folded in parallel
+    time segments and stitched exactly (see gate_split)."""
+    if hot_key_rows:
+        from .gate_split import fold_gate_split
+        narrow = _narrow(evaluated, th).select(*S.KEY, "ts_us", "st", "e4", "e5")
+        return _typed(fold_gate_split(narrow, int(round(th.gate_s * 1_000_000)), hot_key_rows))
     return _typed(fold_gate(evaluated, th))
 
 

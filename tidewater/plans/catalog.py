@@ -574,3 +574,11 @@ def w_status_events_hot_split(spark, sf_dir):
     """W1-W10 with hot-key splitting forced on (every key above 100 samples
     is cut into time segments with halos); must equal the plain pass."""
     return evaluate(M.samples_b(spark, sf_dir), B_LONG, messages=False, hot_key_rows=100).select(*STATUS_OUT)
+
+
+@register("e2_incidents_hot_split")
+def e2_incidents_hot_split(spark, sf_dir):
+    """E1-E5 with both the window pass and the gate fold split for hot keys
+    (forced at 100 rows per segment); must equal the sequential fold."""
+    ev = evaluate(M.samples_b(spark, sf_dir), B_LONG, messages=False, hot_key_rows=100)
+    return detect(ev, B_LONG, hot_key_rows=100).select(*DETECT_OUT)
