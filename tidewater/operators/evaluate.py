@@ -94,39 +94,55 @@ def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages
         part.append("_seg")
         passthrough = tuple(passthrough) + ("_own",)
     by_key = Window.partitionBy(*part).orderBy("_krank", "ts_us")
-    w = by_key.rowsBetween(-(n_max - 1), 0)
-    w_recent = by_key.rowsBetween(-(min(5, n_max) - 1), 0)
-    # W8 thirds without arrays or lambdas (which would disable codegen):
-    # a full window (n = N) has fixed frames for both thirds; during warm-up
-    # (n < N) the window starts at the key's first record, so its first
-    # third is a sum of nth_value(lag, i) and its last third a short frame.
+    running = by_key.rowsBetween(Window.unboundedPreceding, 0)
+    # Every window value is an O(1)-per-row function: fixed-offset lag(),
+    # row_number() and running first/last/nth_value.  Sliding-frame
+    # aggregates would be re-evaluated over the whole frame for every row.
+    # Windowed rows come first in each key, so row_number() is the number of
+    # windowed records so far and n = min(row_number, N); when n = N the
+    # window's first record is lag(x, N-1), otherwise it is the key's first.
     t_full = max(n_max // 3, 1)
     t_warm = max((n_max - 1) // 3, 1)
-    lasts = {t: F.sum(lag).over(by_key.rowsBetween(-(t - 1), 0)).alias(f"_last{t}")
-             for t in range(1, max(t_full, t_warm) + 1)}
-    nths = {i: F.nth_value(lag, i).over(by_key.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_nth{i}")
-            for i in range(1, t_warm + 1)}
-    df = df.select(
-        "*",
-        F.count(F.lit(1)).over(w).alias("_n"),
-        F.first(off).over(w).alias("_f_off"),
-        F.first(ts).over(w).alias("_f_ts"),
-        F.first(lag).over(w).alias("_f_lag"),
-        F.min(off).over(w_recent).alias("_r_min"),
-        F.max(off).over(w_recent).alias("_r_max"),
-        F.sum(lag).over(by_key.rowsBetween(-(n_max - 1), -(n_max - t_full))).alias("_first_full"),
-        *lasts.values(), *nths.values(),
-        F.lag(lag, 1).over(by_key).alias("prev_lag"),
-        F.when(off != F.lag(off, 1).over(by_key), ts).alias("_chg"),
-    )
-    df = df.withColumn("_run", F.max("_chg").over(w))
-
+    t_max = max(t_full, t_warm)
+    r_act = min(5, n_max)
+    lag_offsets = sorted(set(range(1, t_max)) | set(range(n_max - t_full, n_max)) - {0})
+    cols = [F.row_number().over(by_key).alias("_rn"),
+            F.first(off).over(running).alias("_k_off"), F.first(ts).over(running).alias("_k_ts"),
+            F.first(lag).over(running).alias("_k_lag"),
+            F.lag(off, 1).over(by_key).alias("_off1"),
+            F.lag(lag, 1).over(by_key).alias("prev_lag")]
+    if n_max > 1:
+        cols += [F.lag(off, n_max - 1).over(by_key).alias("_w_off"), F.lag(ts, n_max - 1).over(by_key).alias("_w_ts")]
+    cols += [F.lag(off, k).over(by_key).alias(f"_off{k}") for k in range(2, r_act)]
+    cols += [F.lag(lag, k).over(by_key).alias(f"_lag{k}") for k in lag_offsets]
+    cols += [F.nth_value(lag, i).over(running).alias(f"_nth{i}") for i in range(1, t_warm + 1)]
+    df = df.select("*", *cols)
+    # last offset change at or before this row (anywhere in the history);
+    # clipped to the window start below, so only in-window changes count
+    df = df.withColumn("_run", F.last(F.when(off != F.col("_off1"), ts), ignorenulls=True).over(running))
+
+    def lag_k(k: int) -> Column:
+        return lag if k == 0 else (F.col("prev_lag") if k == 1 else F.col(f"_lag{k}"))
+
+    n = F.least(F.col("_rn"), F.lit(n_max))
+    full = F.col("_rn") >= n_max
+    if n_max > 1:
+        f_off = F.when(full, F.col("_w_off")).otherwise(F.col("_k_off"))
+        f_ts = F.when(full, F.col("_w_ts")).otherwise(F.col("_k_ts"))
+        f_lag = F.when(full, lag_k(n_max - 1)).otherwise(F.col("_k_lag"))
+    else:
+        f_off, f_ts, f_lag = off, ts, lag
+    df = df.select("*", n.alias("_n"), f_off.alias("_f_off"), f_ts.alias("_f_ts"), f_lag.alias("_f_lag"))
     n = F.col("_n")
     dt = (ts - F.col("_f_ts")) / F.lit(1e6)
     rate = (F.when((n < 2) | (off == F.col("_f_off")) | (dt == 0), F.lit(0.0))
             .otherwise((off - F.col("_f_off")) / dt))
     lag_rate = F.when((n < 2) | (dt == 0), F.lit(0.0)).otherwise((lag - F.col("_f_lag")) / dt)
-    active = (n >= 2) & (F.col("_r_min") != F.col("_r_max"))
+    # >1 distinct offset among the last min(5, n) records <=> one of them
+    # differs from the current offset
+    moved = [F.coalesce(F.col("_off1") != off, F.lit(False))]
+    moved += [F.coalesce(F.col(f"_off{k}") != off, F.lit(False)) for k in range(2, r_act)]
+    active = (n >= 2) & reduce(lambda x, y: x | y, moved)
     idle = F.when(n < 2, F.lit(0.0)).otherwise(
         (ts - F.greatest(F.coalesce(F.col("_run"), F.col("_f_ts")), F.col("_f_ts"))) / F.lit(1e6))
 
@@ -136,12 +152,17 @@ def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages
         acc = sum((F.col(f"_nth{i}") for i in range(2, t + 1)), F.col("_nth1"))
         warm_first = (F.when(third == t, acc) if warm_first is None else warm_first.when(third == t, acc))
     last_sum = None
-    for t in range(1, max(t_full, t_warm) + 1):
-        last_sum = (F.when(third == t, F.col(f"_last{t}")) if last_sum is None
-                    else last_sum.when(third == t, F.col(f"_last{t}")))
-    first_sum = F.when(n == n_max, F.col("_first_full")).otherwise(warm_first)
-    a, b = first_sum / third, last_sum / third
-    rel = (b - a) / a
+    for t in range(1, t_max + 1):
+        acc = sum((lag_k(k) for k in range(1, t)), lag)
+        last_sum = F.when(third == t, acc) if last_sum is None else last_sum.when(third == t, acc)
+    first_full = sum((lag_k(k) for k in range(n_max - t_full, n_max)), F.lit(0).cast("long"))
+    first_sum = F.when(n == n_max, first_full).otherwise(warm_first)
+    # materialise the thirds once: inlining them into every branch of the
+    # trend/status/health CASEs bloats the generated code past codegen limits
+    df = df.select("*", (first_sum / third).alias("_ta"), (last_sum / third).alias("_tb"))
+    a, b = F.col("_ta"), F.col("_tb")
+    df = df.withColumn("_rel", F.when(a > 0, (b - a) / a))  # guarded: ANSI division
+    rel = F.col("_rel")
     trend = (F.when(n < 3, F.lit(S.UNKNOWN))
              .when((a == 0) & (b == 0), F.lit(S.STABLE))
              .when(a <= 0, F.when(b > 0, F.lit(S.INCREASING)).otherwise(F.lit(S.STABLE)))
