@@ -365,3 +365,22 @@ SQL["q6_group_pairs"] = D.with_(*_ALL) + "\nSELECT DISTINCT cluster, group_id FR
 SQL["q8_default_cluster_lookup"] = D.with_(*_groups_b_ctes(), GLATEST_B) + """
 SELECT 'default' AS cluster, group_id, 'found' AS outcome, total_lag FROM glatest_b
 UNION ALL SELECT 'default', 'missing-group', 'group_not_found', CAST(NULL AS BIGINT)"""
+
+# --- P3 with watermark gaps ---------------------------------------------------------
+def _gappy_b() -> str:
+    """bridge_b with wm_b/samples_b replaced by a gappy variant (samples_g)."""
+    return D.bridge_b() + """,
+wm_g AS (SELECT * FROM wm_b QUALIFY coalesce(high_watermark > lag(high_watermark, 1) OVER
+           (PARTITION BY cluster, topic, "partition" ORDER BY ts_us), true)),
+samples_g AS (
+  SELECT p.cluster, p.group_id, p.topic, p."partition", p.ts_us, p.committed_offset, w.high_watermark,
+         CASE WHEN w.high_watermark IS NOT NULL AND p.committed_offset IS NOT NULL
+              THEN greatest(w.high_watermark - p.committed_offset, 0) END AS lag
+  FROM pos_b p LEFT JOIN wm_g w
+    ON w.cluster = p.cluster AND w.topic = p.topic AND w."partition" = p."partition" AND w.ts_us = p.ts_us)"""
+
+
+SQL["p3_unreadable_partitions"] = D.with_(_gappy_b(), D.evaluate("samples_g", B_LONG, "ev_g"),
+                                          "groups_g AS (" + _groups("ev_g", None) + ")") + "\nSELECT * FROM groups_g"
+SQL["p3_status_with_gaps"] = D.with_(_gappy_b(), D.evaluate("samples_g", B_LONG, "ev_g")) + \
+    f"\nSELECT {STATUS_OUT} FROM ev_g WHERE kind <> 'unreadable'"

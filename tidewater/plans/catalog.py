@@ -624,3 +624,31 @@ def q8_default_cluster_lookup(spark, sf_dir):
     req = gl.select("cluster", "group_id").unionByName(
         spark.createDataFrame([("default", "missing-group")], "cluster string, group_id string"))
     return RP.group_lookup(gl, cfg, req).select("cluster", "group_id", "outcome", "total_lag")
+
+
+# ---------------------------------------------------------------------------
+# P3 with real gaps: an end-offset read "fails" whenever the partition got no
+# new message since the previous tick; those positions are skipped but still
+# counted in partition_count.
+# ---------------------------------------------------------------------------
+from pyspark.sql import Window as _W  # noqa: E402
+
+from ..sources.positions import join_watermarks  # noqa: E402
+
+
+def _gappy_samples(spark, sf_dir):
+    pos, wm = events_samples(spark, sf_dir)
+    w = _W.partitionBy("cluster", "topic", "partition").orderBy("ts")
+    moved = F.coalesce(F.col("high_watermark") > F.lag("high_watermark", 1).over(w), F.lit(True))
+    return join_watermarks(pos, wm.withColumn("_moved", moved).filter("_moved").drop("_moved"))
+
+
+@register("p3_unreadable_partitions")
+def p3_unreadable_partitions(spark, sf_dir):
+    ev = evaluate(_gappy_samples(spark, sf_dir), B_LONG, messages=False)
+    return _group_out(R.group_status(ev).withColumn("member_count", F.lit(0)))
+
+
+@register("p3_status_with_gaps")
+def p3_status_with_gaps(spark, sf_dir):
+    return partition_status(evaluate(_gappy_samples(spark, sf_dir), B_LONG, messages=False)).select(*STATUS_OUT)
