@@ -195,7 +195,7 @@ FROM req r LEFT JOIN known k ON k.cluster = r.cluster
 LEFT JOIN glatest_b g ON g.cluster = r.cluster AND g.group_id = r.group_id"""
 SQL["q7_readiness"] = D.with_(*_groups_b_ctes(), D.bridge_a(), GLATEST_B, CLUSTERS, """
 per AS (SELECT c.name AS cluster, (SELECT count(*) FROM glatest_b g WHERE g.cluster = c.name) AS g
-        FROM cfg c WHERE c.enabled)""") + """
+        FROM (SELECT DISTINCT name FROM cfg WHERE enabled) c)""") + """
 SELECT count(*) FILTER (WHERE g > 0) > 0 AS ready, count(*) AS clusters_total,
        count(*) FILTER (WHERE g > 0) AS clusters_ready,
        CASE WHEN count(*) = 0 THEN 'no_clusters_configured'

@@ -56,11 +56,17 @@ def group_pairs(latest_groups: DataFrame) -> DataFrame:
 
 
 def readiness(clusters: DataFrame, latest_groups: DataFrame) -> DataFrame:
-    """Q7: ready iff at least one cluster has at least one collected group."""
-    per = (clusters.filter(F.col("enabled")).select(F.col("name").alias("cluster"))
-           .join(latest_groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("g")), "cluster", "left"))
-    agg = per.agg(F.count(F.lit(1)).alias("clusters_total"),
-                  F.count_if(F.coalesce(F.col("g"), F.lit(0)) > 0).alias("clusters_ready"))
+    """Q7: ready iff at least one cluster has at least one collected group.
+
+    A union of configured clusters and per-cluster group counts followed by
+    one aggregate - no join, so no join condition can degenerate when the
+    cluster column is a constant."""
+    cfg = clusters.filter(F.col("enabled")).select(F.col("name").alias("cluster"), F.lit(1).alias("cfg"),
+                                                   F.lit(0).cast("long").alias("g"))
+    got = latest_groups.groupBy("cluster").agg(F.lit(0).alias("cfg"), F.count(F.lit(1)).alias("g"))
+    per = cfg.unionByName(got).groupBy("cluster").agg(F.max("cfg").alias("cfg"), F.sum("g").alias("g")) \
+        .filter(F.col("cfg") == 1)
+    agg = per.agg(F.count(F.lit(1)).alias("clusters_total"), F.count_if(F.col("g") > 0).alias("clusters_ready"))
     return agg.select(
         (F.col("clusters_ready") > 0).alias("ready"),
         F.col("clusters_total").cast("long"), F.col("clusters_ready").cast("long"),
