@@ -74,9 +74,7 @@ def load_report(assigned: DataFrame, members: DataFrame,
     s = settings.normalized()
     per = assigned.groupBy(F.col("owner").alias("member")).agg(F.count(F.lit(1)).alias("keys"))
     m = members.select("member").join(per, "member", "left").withColumn("keys", F.coalesce("keys", F.lit(0)))
-    from pyspark.sql import Window
-    tot = Window.partitionBy()  # one row per member: bounded by membership
-    avg = F.sum("keys").over(tot) / F.count(F.lit(1)).over(tot)
+    avg = m.select((F.sum("keys") / F.count(F.lit(1))).alias("avg")).scalar()  # one scalar subquery
     return m.select("member", F.col("keys").cast("long"), (avg * s.load).alias("limit"),
                     (F.col("keys") > avg * s.load).alias("over_limit"))
 

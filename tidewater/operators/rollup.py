@@ -111,14 +111,12 @@ def lag_by_group(latest: DataFrame) -> DataFrame:
 def lag_over_time(status: DataFrame) -> DataFrame:
     """Per group and tick, plus legend values last and max per group.
 
-    The per-tick series is a hash aggregate; last/max come from a window on
-    the group key over that much smaller series.
-    """
-    from pyspark.sql import Window
+    The per-tick series is a hash aggregate; the legend values are a second
+    hash aggregate joined back on the group key (no window buffering a
+    group's whole series in one task)."""
     per_tick = status.groupBy(*S.GROUP_KEY, "ts_us").agg(F.sum("current_lag").cast("long").alias("lag"))
-    w = Window.partitionBy(*S.GROUP_KEY)
-    return per_tick.select("*", F.max_by("lag", "ts_us").over(w).alias("last"),
-                           F.max("lag").over(w).alias("max"))
+    legend = per_tick.groupBy(*S.GROUP_KEY).agg(F.max_by("lag", "ts_us").alias("last"), F.max("lag").alias("max"))
+    return per_tick.join(legend, S.GROUP_KEY)
 
 
 def count_by_status_code(latest: DataFrame) -> DataFrame:

@@ -127,12 +127,20 @@ def top_groups_by_lag(latest_groups: DataFrame, k: int = 10) -> DataFrame:
             .orderBy(F.col("total_lag").desc(), "cluster", "group_id").limit(k))
 
 
-def event_summary(events: DataFrame, first_n: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Count per event type, and the first `first_n` events of each
-    (a per-type top-k: rank within type, keep rank <= n)."""
+def event_summary(events: DataFrame, first_n: int = 3, salts: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Count per event type, and the first `first_n` events of each.
+
+    The per-type top-k is two-phase so no event type (there are five, and
+    one may hold most events) is ranked in a single task: first the top
+    `first_n` within (type, salt), salt = hash of the key, then the final
+    ranking over at most salts x first_n candidates per type."""
     counts = events.groupBy("type").agg(F.count(F.lit(1)).alias("events"))
-    w = Window.partitionBy("type").orderBy("ts_us", "cluster", "group_id", "topic", "partition")
-    firsts = events.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= first_n)
+    order = ["ts_us", "cluster", "group_id", "topic", "partition"]
+    salted = events.withColumn("_salt", F.pmod(F.xxhash64(*S.KEY), F.lit(salts)))
+    w1 = Window.partitionBy("type", "_salt").orderBy(*order)
+    cand = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= first_n).drop("_r", "_salt")
+    w2 = Window.partitionBy("type").orderBy(*order)
+    firsts = cand.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= first_n)
     return counts, firsts
 
 

@@ -16,11 +16,19 @@ from ..operators.evaluate import KIND_WINDOW
 RECORD_FIELDS = ["ts_us", "committed_offset", "high_watermark", "lag"]
 
 
-def tail_rows(samples: DataFrame, n: int) -> DataFrame:
-    """The last `n` windowed samples per key (offset and end offset known)."""
-    w = Window.partitionBy(*S.KEY).orderBy(F.col("ts_us").desc())
+def tail_rows(samples: DataFrame, n: int, bucket_s: float = 86400.0) -> DataFrame:
+    """The last `n` windowed samples per key (offset and end offset known).
+
+    Two-phase so a key with a long history is never ranked in one task:
+    the last `n` per (key, time bucket) first, then the last `n` per key
+    among those candidates (at most n x buckets per key)."""
     win = samples.filter(F.col("committed_offset").isNotNull() & F.col("high_watermark").isNotNull())
-    return win.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    b = F.floor(F.col("ts_us") / F.lit(int(bucket_s * 1_000_000)))
+    w1 = Window.partitionBy(*S.KEY, "_b").orderBy(F.col("ts_us").desc())
+    cand = (win.withColumn("_b", b).withColumn("_rn", F.row_number().over(w1))
+            .filter(F.col("_rn") <= n).drop("_rn", "_b"))
+    w2 = Window.partitionBy(*S.KEY).orderBy(F.col("ts_us").desc())
+    return cand.withColumn("_rn", F.row_number().over(w2)).filter(F.col("_rn") <= n).drop("_rn")
 
 
 def save_windows(samples: DataFrame, window_size: int, saved_at_us: int | Column) -> DataFrame:
