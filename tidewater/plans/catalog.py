@@ -8,16 +8,33 @@ engine-independently.  Message text is checked by unit tests, not here.
 
 from __future__ import annotations
 
+import uuid as _uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as _W
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..config import A_WEEKLY, B_LONG
+from ..config import A_WEEKLY, B_LONG, B_SHORT, CLUSTER_SCHEMA, resolve_thresholds, thresholds_struct
+from ..functions import text as TX
 from ..functions.codes import health_code
+from ..functions.timefn import epoch_us as _epoch_us
+from ..operators import consume as CS
+from ..operators import metrics as MT
+from ..operators import placement as PL
+from ..operators import rollup as R
+from ..operators.evaluate import evaluate, latest_per_key, partition_status
+from ..operators.incidents import dedup, detect, event_records
 from ..operators.rollup import latest_group_status
+from ..session import checkpoint_path
+from ..sources import event_io as EIO
+from ..sources.bridges import events_samples, read_table
+from ..sources.positions import join_watermarks, list_groups
+from ..streaming.monitor import StreamingMonitor, run_available
+from ..streaming.snapshots import load_windows, save_windows
 from . import monitor as M
+from . import reports as RP
 
 STATUS_OUT = ["cluster", "group_id", "topic", "partition", "ts_us", "kind", "current_offset",
               "high_watermark", "current_lag", "n_records", "window_completeness", "consumption_rate",
@@ -89,8 +106,6 @@ def a1_group_status_orders(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Incident events
 # ---------------------------------------------------------------------------
-from ..config import B_SHORT  # noqa: E402
-from ..operators.incidents import dedup, detect, event_records  # noqa: E402
 
 DETECT_OUT = ["cluster", "group_id", "topic", "partition", "ts_us", "event_type", "severity"]
 EVENT_OUT = ["id", "source", "type", "severity", "ts_us", "cluster", "title", "fingerprint",
@@ -125,14 +140,6 @@ def e7_events_dedup(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Scans, latest rows, rollups, reports, metrics
 # ---------------------------------------------------------------------------
-from ..config import CLUSTER_SCHEMA, resolve_thresholds, thresholds_struct  # noqa: E402
-from ..operators import metrics as MT  # noqa: E402
-from ..operators import rollup as R  # noqa: E402
-from ..operators.evaluate import evaluate, latest_per_key, partition_status  # noqa: E402
-from ..functions import text as TX  # noqa: E402
-from ..sources.bridges import events_samples  # noqa: E402
-from ..sources.positions import list_groups  # noqa: E402
-from . import reports as RP  # noqa: E402
 
 
 def _latest_b(spark, sf_dir):
@@ -354,9 +361,6 @@ def x10_log_lines(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Placement and membership (K1-K5, L1-L2) over data-derived keys/members
 # ---------------------------------------------------------------------------
-from ..functions.timefn import epoch_us as _epoch_us  # noqa: E402
-from ..operators import placement as PL  # noqa: E402
-from ..sources.bridges import read_table  # noqa: E402
 
 HB_TTL_S, HB_OFFLINE_TTL_S, HB_TIMEOUT_S = 30 * 86400.0, 7 * 86400.0, 14 * 86400.0
 
@@ -437,8 +441,6 @@ def l1_active_members(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Event sink / retention / consumption
 # ---------------------------------------------------------------------------
-from ..operators import consume as CS  # noqa: E402
-from ..sources import event_io as EIO  # noqa: E402
 
 
 def _records_b_short(spark, sf_dir):
@@ -489,10 +491,7 @@ def c2_quarantine(spark, sf_dir):
 # Streaming (ST1-ST3, ST7): the same samples cut into slices and fed to the
 # streaming monitor must give the batch result.
 # ---------------------------------------------------------------------------
-import uuid as _uuid  # noqa: E402
 
-from ..session import checkpoint_path  # noqa: E402
-from ..streaming.monitor import StreamingMonitor, run_available  # noqa: E402
 
 STREAM_SLICES = 3
 
@@ -535,7 +534,6 @@ def st3_stream_events(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Window snapshots (S9, S10) and stale-key cleanup
 # ---------------------------------------------------------------------------
-from ..streaming.snapshots import load_windows, save_windows  # noqa: E402
 
 
 def _snapshot_b(spark, sf_dir):
@@ -631,9 +629,6 @@ def q8_default_cluster_lookup(spark, sf_dir):
 # new message since the previous tick; those positions are skipped but still
 # counted in partition_count.
 # ---------------------------------------------------------------------------
-from pyspark.sql import Window as _W  # noqa: E402
-
-from ..sources.positions import join_watermarks  # noqa: E402
 
 
 def _gappy_samples(spark, sf_dir):
