@@ -1,5 +1,7 @@
 """Filters and projections reach the parquet scan (P5, Q2, Q10)."""
 
+from pyspark.sql import functions as F
+
 
 from tidewater.plans import reports as RP
 
@@ -14,3 +16,23 @@ def test_group_filter_is_pushed_to_parquet(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(cluster), EqualTo(cluster,c1)]" in plan
     assert "ReadSchema: struct<cluster:string,group_id:string,total_lag:bigint>" in plan
     assert [tuple(r) for r in q.collect()] == [("g1", 10)]
+
+
+def test_status_table_prunes_to_latest_day(spark, tmp_path):
+    from tidewater.sources import status_io as SIO
+    day = 86_400 * 1_000_000
+    rows = [("c1", "g", "t", 0, d * day + 5, "ACTIVE") for d in (19000, 19001, 19002)] + \
+           [("c2", "g", "t", 0, 19002 * day + 7, "EMPTY")]
+    df = spark.createDataFrame(rows, "cluster string, group_id string, topic string, partition int, "
+                                     "ts_us long, status string")
+    path = str(tmp_path / "status")
+    SIO.write_status(df, path)
+    q = SIO.read_latest_day(spark, path, "c1")
+    assert [(r.cluster, r.day) for r in q.collect()] == [("c1", 19002)]
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    import re
+    assert re.search(r"PartitionFilters: \[[^\]]*\(cluster#\d+ = c1\)[^\]]*\(day#\d+ = Subquery", plan)
+    # re-writing one day replaces only that partition
+    SIO.write_status(df.filter("ts_us > 19002 * 86400000000").withColumn("status", F.lit("STOPPED")), path)
+    allrows = SIO.read_status(spark, path)
+    assert allrows.count() == 4 and allrows.filter("status = 'STOPPED'").count() == 2
