@@ -315,9 +315,11 @@ def j4_merge_series(spark, sf_dir):
 
 @register("s8_metrics_long")
 def s8_metrics_long(spark, sf_dir):
-    # one evaluated plan feeds both the partition gauges and the group rollup
-    ev = M.evaluated_b(spark, sf_dir, B_LONG, messages=False)
-    groups = latest_group_status(R.group_status(ev, M.members_b(spark, sf_dir)))
+    # one bridge build and one evaluated plan feed the partition gauges, the
+    # member counts and the group rollup
+    pos, wm = events_samples(spark, sf_dir)
+    ev = evaluate(join_watermarks(pos, wm), B_LONG, messages=False)
+    groups = latest_group_status(R.group_status(ev, M.members_from_positions(pos)))
     return MT.metrics_long(ev, groups)
 
 

@@ -33,16 +33,24 @@ def evaluated_a(spark: SparkSession, sf_dir: str, th: Thresholds = A_WEEKLY, mes
     return evaluate(samples_a(spark, sf_dir), th, messages=messages)
 
 
-def members_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Group member counts for Bridge B: one consumer per partition the group
-    has ever committed to (derived from the positions)."""
-    pos, _ = events_samples(spark, sf_dir)
+def members_from_positions(pos: DataFrame) -> DataFrame:
+    """Group member counts: one consumer per partition the group has ever
+    committed to (derived from the positions)."""
     return (pos.filter(F.col("committed_offset").isNotNull())
             .groupBy("cluster", "group_id").agg(F.count_distinct("partition").cast("int").alias("members")))
 
 
+def members_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pos, _ = events_samples(spark, sf_dir)
+    return members_from_positions(pos)
+
+
 def groups_b(spark: SparkSession, sf_dir: str, th: Thresholds = B_LONG) -> DataFrame:
-    return group_status(evaluated_b(spark, sf_dir, th, messages=False), members_b(spark, sf_dir))
+    """Group rollup of Bridge B; the evaluation and the member counts share
+    one build of the bridge."""
+    pos, wm = events_samples(spark, sf_dir)
+    ev = evaluate(join_watermarks(pos, wm), th, messages=False)
+    return group_status(ev, members_from_positions(pos))
 
 
 def status_b(spark: SparkSession, sf_dir: str, th: Thresholds = B_LONG) -> DataFrame:
