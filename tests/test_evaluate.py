@@ -118,7 +118,7 @@ def test_trend_first_third_zero_and_threshold(spark):
     assert r.lag_trend == "INCREASING"
 
 
-@pytest.mark.parametrize("n", [3, 5, 10, 20])
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 10, 20])
 def test_differential_against_model(spark, n):
     rng = np.random.default_rng(n)
     th = Thresholds(window_size=n, min_size=max(2, n // 2), stalled_rate=0.05, rapid_rate=0.3,
