@@ -16,10 +16,11 @@ Arrow batch have the same future and are merged (the lowest id stays).
 Events are tagged with their trajectory; merges and exit states are
 recorded.  The first segment of a key has one exact entry.
 
-Pass 2 (per key, on the small summary only).  Walk the segments in order
-with the true state, pick the matching trajectory, follow its merges, and
-emit (segment, trajectory, from_ts, to_ts) intervals; the events are the
-pass-1 events inside those intervals.
+Pass 2 (per key, on the summary only, streamed in segment order with the
+key's state carried; one segment's summary in memory at a time).  Walk the
+segments with the true state, pick the matching trajectory, follow its
+merges, and emit (segment, trajectory, from_ts, to_ts) intervals; the
+events are the pass-1 events inside those intervals.
 
 Cost: the number of candidate trajectories is 6 x (rows in the first gate
 window + 1) per segment; they typically merge within a few gate periods.
@@ -174,33 +175,71 @@ def _pass1(gate_us: int):
     return fn
 
 
+def _resolve_segment(g: pd.DataFrame, seg: int, prev, last, gate_us: int):
+    """Pick the trajectory of one segment for the true entry state and
+    follow its merges; returns (intervals, new prev, new last)."""
+    ent = g[g["rec"] == REC_ENTRY]
+    mer = {int(r.tid): (int(r.to_tid), int(r.ts_us)) for r in g[g["rec"] == REC_MERGE].itertuples()}
+    ext = {int(r.tid): (NONE if pd.isna(r.p) else int(r.p), None if pd.isna(r.last) else int(r.last))
+           for r in g[g["rec"] == REC_EXIT].itertuples()}
+    if seg == 0 or prev == NONE:
+        tid = int(ent["tid"].min())
+    else:
+        cand = ent[ent["p"] == prev]
+        if last is not None:
+            cand = cand[cand["ts_us"] >= last + gate_us]
+        if cand.empty:  # every row of the segment is gated: nothing happens
+            return [], prev, last
+        tid = int(cand.sort_values("ts_us")["tid"].iloc[0])
+    out, frm = [], -BIG
+    while tid in mer:
+        to, at = mer[tid]
+        out.append((seg, tid, frm, at))
+        frm, tid = at, to
+    out.append((seg, tid, frm, BIG))
+    nprev, nlast = ext[tid]
+    return out, nprev, nlast
+
+
 def _pass2(gate_us: int):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = tuple(pdf[S.KEY].iloc[0])
-        out = []
+    """Stitch segments per key, streaming over the summary sorted by
+    (KEY, seg): only one segment's summary is held at a time, and the
+    key's state (previous status, last event) is carried between them."""
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, seg, buf = None, None, []
         prev, last = NONE, None
-        for seg, g in pdf.sort_values(["seg"]).groupby("seg", sort=True):
-            ent = g[g["rec"] == REC_ENTRY]
-            mer = {int(r.tid): (int(r.to_tid), int(r.ts_us)) for r in g[g["rec"] == REC_MERGE].itertuples()}
-            ext = {int(r.tid): (NONE if pd.isna(r.p) else int(r.p), None if pd.isna(r.last) else int(r.last))
-                   for r in g[g["rec"] == REC_EXIT].itertuples()}
-            if seg == 0 or prev == NONE:
-                tid = int(ent["tid"].min())
-            else:
-                cand = ent[ent["p"] == prev]
-                if last is not None:
-                    cand = cand[cand["ts_us"] >= last + gate_us]
-                if cand.empty:  # every row of the segment is gated: nothing happens
-                    continue
-                tid = int(cand.sort_values("ts_us")["tid"].iloc[0])
-            frm = -BIG
-            while tid in mer:
-                to, at = mer[tid]
-                out.append((*key, int(seg), tid, frm, at))
-                frm, tid = at, to
-            out.append((*key, int(seg), tid, frm, BIG))
-            prev, last = ext[tid]
-        return pd.DataFrame(out, columns=INTERVALS.fieldNames())
+
+        def flush():
+            nonlocal prev, last
+            if not buf:
+                return []
+            g = pd.concat(buf, ignore_index=True)
+            ivs, prev, last = _resolve_segment(g, seg, prev, last, gate_us)
+            return [(*key, *iv) for iv in ivs]
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            out = []
+            ids = pdf[S.KEY + ["seg"]]
+            brk = (ids != ids.shift()).any(axis=1).to_numpy()
+            brk[0] = key is None or tuple(ids.iloc[0]) != (*key, seg)
+            bounds = sorted(set([0, *np.flatnonzero(brk).tolist(), len(pdf)]))
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                if brk[a]:
+                    out.extend(flush())
+                    buf = []
+                    row = ids.iloc[a]
+                    new_key = tuple(row[S.KEY])
+                    if new_key != key:
+                        prev, last = NONE, None
+                    key, seg = new_key, int(row["seg"])
+                buf.append(pdf.iloc[a:b])
+            if out:
+                yield pd.DataFrame(out, columns=INTERVALS.fieldNames())
+        tail = flush()
+        if tail:
+            yield pd.DataFrame(tail, columns=INTERVALS.fieldNames())
     return fn
 
 
@@ -221,7 +260,8 @@ def fold_gate_split(narrow: DataFrame, gate_us: int, hot_key_rows: int) -> DataF
     # pass 1 is read twice (events and summary); it is deterministic, so
     # recomputation is safe (callers may persist or write it)
     summary = p1.filter(F.col("rec") != REC_EVENT)
-    intervals = summary.groupBy(*S.KEY).applyInPandas(_pass2(gate_us), INTERVALS)
+    intervals = (summary.repartition(*S.KEY).sortWithinPartitions(*S.KEY, "seg", "rec", "tid")
+                 .mapInPandas(_pass2(gate_us), INTERVALS))
     ev = p1.filter(F.col("rec") == REC_EVENT).select(*S.KEY, "seg", "tid", "ts_us", "ev")
     return (ev.join(intervals, S.KEY + ["seg", "tid"])
             .filter((F.col("ts_us") >= F.col("from_ts")) & (F.col("ts_us") < F.col("to_ts")))
