@@ -168,3 +168,16 @@ def test_hot_key_split_equals_unsplit(spark, n, hot):
     a = sorted(tuple(r) for r in evaluate(df, th).select(*cols).collect())
     b = sorted(tuple(r) for r in evaluate(df, th, hot_key_rows=hot).select(*cols).collect())
     assert a == b
+
+
+def test_per_cluster_thresholds_with_hot_split(spark):
+    from tidewater.config import thresholds_frame
+    rows = [(g, p, t, (t * 7) // 3 if t % 5 else t, t * 3) for g in ("a", "b") for p in range(2) for t in range(30)]
+    df = _samples(spark, rows).withColumn(
+        "cluster", F.when(F.col("group_id") == "a", F.lit("x")).otherwise(F.lit("y")))
+    th = thresholds_frame(spark, {"x": Thresholds(window_size=4, min_size=2, stalled_rate=0.5),
+                                  "y": Thresholds(window_size=7, min_size=3, rapid_rate=0.1)})
+    cols = ["cluster", "partition", "ts_us", "n_records", "status", "lag_trend", "health", "consumption_rate"]
+    a = sorted(tuple(r) for r in evaluate(df, th).select(*cols).collect())
+    b = sorted(tuple(r) for r in evaluate(df, th, hot_key_rows=6).select(*cols).collect())
+    assert a == b and {r[3] for r in a} == {1, 2, 3, 4, 5, 6, 7}
