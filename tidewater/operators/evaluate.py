@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..config import THRESHOLD_SCHEMA, Thresholds, attach_thresholds
 from ..functions import text as X
+from .skew import hot_threshold
 
 KIND_WINDOW = "window"
 KIND_NO_COMMIT = "no_commit"
@@ -49,7 +50,7 @@ def _cfg_col() -> dict[str, Column]:
 
 def evaluate(samples: DataFrame, thresholds: Thresholds | DataFrame, *,
              messages: bool = True, passthrough: tuple[str, ...] = (),
-             hot_key_rows: int | None = None) -> DataFrame:
+             hot_key_rows: int | str | None = None) -> DataFrame:
     """samples (KEY, ts, ts_us, committed_offset, high_watermark, lag) ->
     evaluated rows (STATUS_COLUMNS), one per sample.
 
@@ -59,8 +60,9 @@ def evaluate(samples: DataFrame, thresholds: Thresholds | DataFrame, *,
     per distinct window size (a handful, bounded by configuration) and the
     results are unioned.
 
-    `hot_key_rows`: keys with more samples than this are cut into time
-    segments of about that many rows, each evaluated in its own task with
+    `hot_key_rows`: keys with more samples than this (an int, or "auto":
+    one shuffle partition's fair share, see operators/skew.py) are cut into
+    time segments of about that many rows, each evaluated in its own task with
     an exact halo of the previous N-1 windowed records (see
     `_with_segments`), so one very hot key does not serialise the pass.
     """
@@ -78,7 +80,7 @@ def evaluate(samples: DataFrame, thresholds: Thresholds | DataFrame, *,
 
 
 def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages: bool,
-                passthrough: tuple[str, ...] = (), hot_key_rows: int | None = None) -> DataFrame:
+                passthrough: tuple[str, ...] = (), hot_key_rows: int | str | None = None) -> DataFrame:
     off, hwm, lag, ts = (F.col(c) for c in ("committed_offset", "high_watermark", "lag", "ts_us"))
     kind = (F.when(hwm.isNull(), F.lit(KIND_UNREADABLE))
             .when(off.isNull(), F.lit(KIND_NO_COMMIT))
@@ -90,7 +92,7 @@ def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages
 
     part = list(S.KEY)
     if hot_key_rows:
-        df = _with_segments(df, n_max, hot_key_rows)
+        df = _with_segments(df, n_max, hot_threshold(df, hot_key_rows))
         part.append("_seg")
         passthrough = tuple(passthrough) + ("_own",)
     by_key = Window.partitionBy(*part).orderBy("_krank", "ts_us")
@@ -262,7 +264,7 @@ def latest_per_key(status: DataFrame) -> DataFrame:
             .select(*S.KEY, "_r.*"))
 
 
-def _with_segments(df: DataFrame, n_max: int, hot_rows: int) -> DataFrame:
+def _with_segments(df: DataFrame, n_max: int, hot_rows: Column) -> DataFrame:
     """Cut keys with more than `hot_rows` samples into time segments and add
     to every segment, as halo rows (`_own` = false), exactly the last
     H = max(N-1, 1) windowed records before it - the only rows any window
@@ -281,7 +283,7 @@ def _with_segments(df: DataFrame, n_max: int, hot_rows: int) -> DataFrame:
     stats = df.groupBy(*S.KEY).agg(F.count(F.lit(1)).alias("_cnt"), F.min("ts_us").alias("_lo"),
                                    F.max("ts_us").alias("_hi"))
     hot = stats.filter(F.col("_cnt") > hot_rows).select(
-        *S.KEY, F.ceil(F.col("_cnt") / F.lit(hot_rows)).alias("_nseg"), "_lo", "_hi")
+        *S.KEY, F.ceil(F.col("_cnt") / hot_rows).alias("_nseg"), "_lo", "_hi")
     d = df.join(hot, S.KEY, "left")
     frac = (F.col("ts_us") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1).cast("double")
     d = d.withColumn("_rseg", F.when(F.col("_nseg").isNull(), F.lit(0)).otherwise(

@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from .incidents import GateFold
+from .skew import hot_threshold
 
 REC_EVENT, REC_ENTRY, REC_MERGE, REC_EXIT = 0, 1, 2, 3
 STATUS_SET = [S.STATUS_CODES[x] for x in (S.ACTIVE, S.LAGGING, S.STALLED, S.STOPPED, S.EMPTY)] + [-1]
@@ -243,13 +244,14 @@ def _pass2(gate_us: int):
     return fn
 
 
-def fold_gate_split(narrow: DataFrame, gate_us: int, hot_key_rows: int) -> DataFrame:
+def fold_gate_split(narrow: DataFrame, gate_us: int, hot_key_rows: int | str) -> DataFrame:
     """narrow (KEY, ts_us, st, e4, e5) -> (KEY, ts_us, ev) events, exact,
     with keys above `hot_key_rows` rows folded in parallel time segments."""
     stats = narrow.groupBy(*S.KEY).agg(F.count(F.lit(1)).alias("_cnt"), F.min("ts_us").alias("_lo"),
                                        F.max("ts_us").alias("_hi"))
-    hot = stats.filter(F.col("_cnt") > hot_key_rows).select(
-        *S.KEY, F.ceil(F.col("_cnt") / F.lit(hot_key_rows)).alias("_nseg"), "_lo", "_hi")
+    thr = hot_threshold(narrow, hot_key_rows)
+    hot = stats.filter(F.col("_cnt") > thr).select(
+        *S.KEY, F.ceil(F.col("_cnt") / thr).alias("_nseg"), "_lo", "_hi")
     frac = (F.col("ts_us") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1).cast("double")
     d = (narrow.join(hot, S.KEY, "left")
          .withColumn("seg", F.when(F.col("_nseg").isNull(), F.lit(0))

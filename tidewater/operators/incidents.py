@@ -224,7 +224,7 @@ def _typed(folded: DataFrame) -> DataFrame:
         *S.KEY, "ts_us", "ev", types[F.col("ev")].alias("event_type"), sev[F.col("ev")].alias("severity"))
 
 
-def detect(evaluated: DataFrame, th: Thresholds, hot_key_rows: int | None = None) -> DataFrame:
+def detect(evaluated: DataFrame, th: Thresholds, hot_key_rows: int | str | None = None) -> DataFrame:
     """Gated event candidates (KEY, ts_us, event_type, severity).
 
     With `hot_key_rows`, keys above that many rows are folded in parallel
