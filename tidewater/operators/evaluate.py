@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..config import THRESHOLD_SCHEMA, Thresholds, attach_thresholds
 from ..functions import text as X
-from .skew import hot_threshold
+from .skew import find_hot_keys
 
 KIND_WINDOW = "window"
 KIND_NO_COMMIT = "no_commit"
@@ -91,8 +91,9 @@ def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages
         "_krank", F.when(F.col("kind") == KIND_WINDOW, 0).when(F.col("kind") == KIND_NO_COMMIT, 1).otherwise(2))
 
     part = list(S.KEY)
-    if hot_key_rows:
-        df = _with_segments(df, n_max, hot_threshold(df, hot_key_rows))
+    hot = find_hot_keys(df, hot_key_rows) if hot_key_rows else None
+    if hot is not None:
+        df = _with_segments(df, n_max, hot)
         part.append("_seg")
         passthrough = tuple(passthrough) + ("_own",)
     by_key = Window.partitionBy(*part).orderBy("_krank", "ts_us")
@@ -223,7 +224,7 @@ def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages
     if not messages:
         res = res.withColumn("message", F.lit(None).cast("string"))
     res = res.select(*STATUS_COLUMNS, *passthrough)
-    if hot_key_rows:
+    if hot is not None:
         res = res.filter(F.col("_own")).drop("_own")
     return res
 
@@ -264,9 +265,9 @@ def latest_per_key(status: DataFrame) -> DataFrame:
             .select(*S.KEY, "_r.*"))
 
 
-def _with_segments(df: DataFrame, n_max: int, hot_rows: Column) -> DataFrame:
-    """Cut keys with more than `hot_rows` samples into time segments and add
-    to every segment, as halo rows (`_own` = false), exactly the last
+def _with_segments(df: DataFrame, n_max: int, hot: DataFrame) -> DataFrame:
+    """Cut the hot keys (`hot`: KEY, _nseg, _lo, _hi) into time segments and
+    add to every segment, as halo rows (`_own` = false), exactly the last
     H = max(N-1, 1) windowed records before it - the only rows any window
     of the segment can reach.
 
@@ -276,14 +277,10 @@ def _with_segments(df: DataFrame, n_max: int, hot_rows: Column) -> DataFrame:
     D(t) = max{u : C(u) <= C(t) + H - 1} (a RANGE frame over C).  A tail row
     of t with reverse rank j is copied to target d in (t, D(t) + 1] iff
     (j - 1) + C(d - 1) - C(t) < H.  No inequality join, no cross join.
-    Keys under the threshold keep one segment (0) and get no halo rows.
+    Other keys keep one segment (0) and get no halo rows.
     """
     h = max(n_max - 1, 1)
     is_win = F.col("kind") == KIND_WINDOW
-    stats = df.groupBy(*S.KEY).agg(F.count(F.lit(1)).alias("_cnt"), F.min("ts_us").alias("_lo"),
-                                   F.max("ts_us").alias("_hi"))
-    hot = stats.filter(F.col("_cnt") > hot_rows).select(
-        *S.KEY, F.ceil(F.col("_cnt") / hot_rows).alias("_nseg"), "_lo", "_hi")
     d = df.join(hot, S.KEY, "left")
     frac = (F.col("ts_us") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1).cast("double")
     d = d.withColumn("_rseg", F.when(F.col("_nseg").isNull(), F.lit(0)).otherwise(

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from .incidents import GateFold
-from .skew import hot_threshold
+from .skew import find_hot_keys
 
 REC_EVENT, REC_ENTRY, REC_MERGE, REC_EXIT = 0, 1, 2, 3
 STATUS_SET = [S.STATUS_CODES[x] for x in (S.ACTIVE, S.LAGGING, S.STALLED, S.STOPPED, S.EMPTY)] + [-1]
@@ -245,17 +245,28 @@ def _pass2(gate_us: int):
 
 
 def fold_gate_split(narrow: DataFrame, gate_us: int, hot_key_rows: int | str) -> DataFrame:
-    """narrow (KEY, ts_us, st, e4, e5) -> (KEY, ts_us, ev) events, exact,
-    with keys above `hot_key_rows` rows folded in parallel time segments."""
-    stats = narrow.groupBy(*S.KEY).agg(F.count(F.lit(1)).alias("_cnt"), F.min("ts_us").alias("_lo"),
-                                       F.max("ts_us").alias("_hi"))
-    thr = hot_threshold(narrow, hot_key_rows)
-    hot = stats.filter(F.col("_cnt") > thr).select(
-        *S.KEY, F.ceil(F.col("_cnt") / thr).alias("_nseg"), "_lo", "_hi")
+    """narrow (KEY, ts_us, st, e4, e5) -> (KEY, ts_us, ev) events, exact.
+
+    Keys at or under the threshold take the plain sorted-stream fold; only
+    keys above it are folded in parallel time segments and stitched."""
+    from .incidents import _fold_partition, FOLD_OUT
+    hot = find_hot_keys(narrow, hot_key_rows)
+    plain_in = narrow
+    if hot is not None:
+        j = narrow.join(hot, S.KEY, "left")
+        plain_in = j.filter(F.col("_nseg").isNull())
+    cold = (plain_in
+            .select(*S.KEY, "ts_us", "st", "e4", "e5", F.lit(False).alias("is_seed"),
+                    F.lit(None).cast("int").alias("seed_prev"), F.lit(None).cast("long").alias("seed_last"))
+            .repartition(*S.KEY).sortWithinPartitions(*S.KEY, "ts_us")
+            .mapInPandas(_fold_partition(gate_us, False), FOLD_OUT)
+            .select(*S.KEY, "ts_us", "ev"))
+    if hot is None:
+        return cold
+
     frac = (F.col("ts_us") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1).cast("double")
-    d = (narrow.join(hot, S.KEY, "left")
-         .withColumn("seg", F.when(F.col("_nseg").isNull(), F.lit(0))
-                     .otherwise(F.least(F.floor(frac * F.col("_nseg")), F.col("_nseg") - 1)).cast("long"))
+    d = (j.filter(F.col("_nseg").isNotNull())
+         .withColumn("seg", F.least(F.floor(frac * F.col("_nseg")), F.col("_nseg") - 1).cast("long"))
          .select(*S.KEY, "seg", "ts_us", "st", "e4", "e5"))
     p1 = (d.repartition(*S.KEY, "seg").sortWithinPartitions(*S.KEY, "seg", "ts_us")
           .mapInPandas(_pass1(gate_us), PASS1_OUT))
@@ -265,6 +276,7 @@ def fold_gate_split(narrow: DataFrame, gate_us: int, hot_key_rows: int | str) ->
     intervals = (summary.repartition(*S.KEY).sortWithinPartitions(*S.KEY, "seg", "rec", "tid")
                  .mapInPandas(_pass2(gate_us), INTERVALS))
     ev = p1.filter(F.col("rec") == REC_EVENT).select(*S.KEY, "seg", "tid", "ts_us", "ev")
-    return (ev.join(intervals, S.KEY + ["seg", "tid"])
-            .filter((F.col("ts_us") >= F.col("from_ts")) & (F.col("ts_us") < F.col("to_ts")))
-            .select(*S.KEY, "ts_us", "ev"))
+    hot_events = (ev.join(intervals, S.KEY + ["seg", "tid"])
+                  .filter((F.col("ts_us") >= F.col("from_ts")) & (F.col("ts_us") < F.col("to_ts")))
+                  .select(*S.KEY, "ts_us", "ev"))
+    return cold.unionByName(hot_events)

@@ -3,9 +3,16 @@ gate fold.
 
 `hot_key_rows` may be an int (fixed threshold), None (no splitting) or
 "auto": a key is hot when it holds more rows than one shuffle partition's
-fair share - total rows / spark.sql.shuffle.partitions - and never below a
-floor, so small inputs are not split at all.  The threshold is a scalar
-subquery over the input; nothing is collected to the driver.
+fair share - total rows / spark.sql.shuffle.partitions - and never fewer
+than AUTO_FLOOR_ROWS, so small inputs are not split at all.
+
+`find_hot_keys` decides the plan the way AQE would: one aggregate job finds
+the hot keys.  Their number is bounded - in "auto" mode fewer than the
+shuffle partition count, since each holds more than a 1/P share of the
+rows - so the short list is brought back (at most MAX_COLLECTED keys) and
+broadcast; without any hot key the cheap unsplit plan is used.  With a
+fixed threshold and more hot keys than MAX_COLLECTED, the hot-key table
+stays distributed.
 """
 
 from __future__ import annotations
@@ -13,8 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas as S
+
 AUTO = "auto"
 AUTO_FLOOR_ROWS = 1_000_000
+MAX_COLLECTED = 10_000
 
 
 def hot_threshold(df: DataFrame, hot_key_rows: int | str | None) -> Column | None:
@@ -25,3 +35,21 @@ def hot_threshold(df: DataFrame, hot_key_rows: int | str | None) -> Column | Non
         share = df.select(F.ceil(F.count(F.lit(1)) / F.lit(parts)).cast("long")).scalar()
         return F.greatest(share, F.lit(AUTO_FLOOR_ROWS).cast("long"))
     return F.lit(int(hot_key_rows)).cast("long")
+
+
+def find_hot_keys(df: DataFrame, hot_key_rows: int | str | None) -> DataFrame | None:
+    """KEY + (_nseg, _lo, _hi) of the hot keys, or None when there is none
+    (or splitting is off)."""
+    thr = hot_threshold(df, hot_key_rows)
+    if thr is None:
+        return None
+    stats = df.groupBy(*S.KEY).agg(F.count(F.lit(1)).alias("_cnt"), F.min("ts_us").alias("_lo"),
+                                   F.max("ts_us").alias("_hi"))
+    hot = stats.filter(F.col("_cnt") > thr).select(
+        *S.KEY, F.ceil(F.col("_cnt") / thr).alias("_nseg"), "_lo", "_hi")
+    rows = hot.limit(MAX_COLLECTED + 1).collect()
+    if not rows:
+        return None
+    if len(rows) > MAX_COLLECTED:
+        return hot
+    return F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema))

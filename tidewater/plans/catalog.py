@@ -116,25 +116,25 @@ EVENT_OUT = ["id", "source", "type", "severity", "ts_us", "cluster", "title", "f
 @register("e2_incidents_events_long")
 def e2_incidents_events_long(spark, sf_dir):
     """E1-E5 with the suppression gate, Bridge B, long inactivity timeout."""
-    return detect(M.evaluated_b(spark, sf_dir, B_LONG, messages=False), B_LONG).select(*DETECT_OUT)
+    return detect(M.evaluated_b(spark, sf_dir, B_LONG, messages=False), B_LONG, M.SKEW).select(*DETECT_OUT)
 
 
 @register("e2_incidents_events_short")
 def e2_incidents_events_short(spark, sf_dir):
     """Same with the short timeout: reaches consumer_stopped from ACTIVE."""
-    return detect(M.evaluated_b(spark, sf_dir, B_SHORT, messages=False), B_SHORT).select(*DETECT_OUT)
+    return detect(M.evaluated_b(spark, sf_dir, B_SHORT, messages=False), B_SHORT, M.SKEW).select(*DETECT_OUT)
 
 
 @register("e2_incidents_orders")
 def e2_incidents_orders(spark, sf_dir):
-    return detect(M.evaluated_a(spark, sf_dir, A_WEEKLY, messages=False), A_WEEKLY).select(*DETECT_OUT)
+    return detect(M.evaluated_a(spark, sf_dir, A_WEEKLY, messages=False), A_WEEKLY, M.SKEW).select(*DETECT_OUT)
 
 
 @register("e7_events_dedup")
 def e7_events_dedup(spark, sf_dir):
     """E6 records + X5 fingerprint + E7 de-duplication (Bridge B, short timeout)."""
     ev = M.evaluated_b(spark, sf_dir, B_SHORT)
-    return dedup(event_records(ev, detect(ev, B_SHORT), B_SHORT)).select(*EVENT_OUT)
+    return dedup(event_records(ev, detect(ev, B_SHORT, M.SKEW), B_SHORT)).select(*EVENT_OUT)
 
 
 # ---------------------------------------------------------------------------
@@ -318,7 +318,7 @@ def s8_metrics_long(spark, sf_dir):
     # one bridge build and one evaluated plan feed the partition gauges, the
     # member counts and the group rollup
     pos, wm = events_samples(spark, sf_dir)
-    ev = evaluate(join_watermarks(pos, wm), B_LONG, messages=False)
+    ev = evaluate(join_watermarks(pos, wm), B_LONG, messages=False, hot_key_rows=M.SKEW)
     groups = latest_group_status(R.group_status(ev, M.members_from_positions(pos)))
     return MT.metrics_long(ev, groups)
 
@@ -334,27 +334,27 @@ def x8_key_text(spark, sf_dir):
 @register("a11_event_counts")
 def a11_event_counts(spark, sf_dir):
     ev = M.evaluated_b(spark, sf_dir, B_SHORT, messages=False)
-    d = detect(ev, B_SHORT).withColumnRenamed("event_type", "type")
+    d = detect(ev, B_SHORT, M.SKEW).withColumnRenamed("event_type", "type")
     return RP.event_summary(d)[0]
 
 
 @register("a11_first_events")
 def a11_first_events(spark, sf_dir):
     ev = M.evaluated_b(spark, sf_dir, B_SHORT, messages=False)
-    d = detect(ev, B_SHORT).withColumnRenamed("event_type", "type")
+    d = detect(ev, B_SHORT, M.SKEW).withColumnRenamed("event_type", "type")
     return RP.event_summary(d)[1].select("type", "rank", "cluster", "group_id", "topic", "partition", "ts_us")
 
 
 @register("j6_missing_event_types")
 def j6_missing_event_types(spark, sf_dir):
-    d = detect(M.evaluated_b(spark, sf_dir, B_LONG, messages=False), B_LONG).withColumnRenamed("event_type", "type")
+    d = detect(M.evaluated_b(spark, sf_dir, B_LONG, messages=False), B_LONG, M.SKEW).withColumnRenamed("event_type", "type")
     return RP.missing_event_types(d)
 
 
 @register("x10_log_lines")
 def x10_log_lines(spark, sf_dir):
     ev = M.evaluated_b(spark, sf_dir, B_SHORT, messages=False)
-    d = detect(ev, B_SHORT).join(ev.select(*S.KEY, "ts_us", "current_lag", "kind").filter("kind = 'window'"),
+    d = detect(ev, B_SHORT, M.SKEW).join(ev.select(*S.KEY, "ts_us", "current_lag", "kind").filter("kind = 'window'"),
                                   S.KEY + ["ts_us"])
     return d.select(*S.KEY, "ts_us", TX.log_line(F.col("event_type"), F.col("severity"),
                                                  F.col("current_lag")).alias("line"))
@@ -447,7 +447,7 @@ def l1_active_members(spark, sf_dir):
 
 def _records_b_short(spark, sf_dir):
     ev = M.evaluated_b(spark, sf_dir, B_SHORT)
-    return dedup(event_records(ev, detect(ev, B_SHORT), B_SHORT))
+    return dedup(event_records(ev, detect(ev, B_SHORT, M.SKEW), B_SHORT))
 
 
 def damaged_envelopes(spark, sf_dir):
