@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..config import THRESHOLD_SCHEMA, Thresholds, attach_thresholds
 from ..functions import text as X
-from .skew import find_hot_keys
+from .skew import resolve
 
 KIND_WINDOW = "window"
 KIND_NO_COMMIT = "no_commit"
@@ -91,7 +91,7 @@ def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages
         "_krank", F.when(F.col("kind") == KIND_WINDOW, 0).when(F.col("kind") == KIND_NO_COMMIT, 1).otherwise(2))
 
     part = list(S.KEY)
-    hot = find_hot_keys(df, hot_key_rows) if hot_key_rows else None
+    hot = resolve(df, hot_key_rows)
     if hot is not None:
         df = _with_segments(df, n_max, hot)
         part.append("_seg")

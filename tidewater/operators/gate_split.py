@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from .incidents import GateFold
-from .skew import find_hot_keys
+from .skew import resolve
 
 REC_EVENT, REC_ENTRY, REC_MERGE, REC_EXIT = 0, 1, 2, 3
 STATUS_SET = [S.STATUS_CODES[x] for x in (S.ACTIVE, S.LAGGING, S.STALLED, S.STOPPED, S.EMPTY)] + [-1]
@@ -250,7 +250,7 @@ def fold_gate_split(narrow: DataFrame, gate_us: int, hot_key_rows: int | str) ->
     Keys at or under the threshold take the plain sorted-stream fold; only
     keys above it are folded in parallel time segments and stitched."""
     from .incidents import _fold_partition, FOLD_OUT
-    hot = find_hot_keys(narrow, hot_key_rows)
+    hot = resolve(narrow, hot_key_rows)
     plain_in = narrow
     if hot is not None:
         j = narrow.join(hot, S.KEY, "left")

@@ -17,6 +17,8 @@ stays distributed.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,3 +55,22 @@ def find_hot_keys(df: DataFrame, hot_key_rows: int | str | None) -> DataFrame |
     if len(rows) > MAX_COLLECTED:
         return hot
     return F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema))
+
+
+@dataclass(frozen=True)
+class HotKeys:
+    """A hot-key decision taken once and shared by the window pass and the
+    gate fold (the keys hot among the samples are a superset of those hot
+    among the windowed rows).  `table` is None when no key is hot."""
+    table: DataFrame | None
+
+
+def plan_hot_keys(df: DataFrame, hot_key_rows: int | str | None) -> HotKeys:
+    return HotKeys(find_hot_keys(df, hot_key_rows))
+
+
+def resolve(df: DataFrame, hot_key_rows) -> DataFrame | None:
+    """hot_key_rows given as a number, "auto", None or a HotKeys decision."""
+    if isinstance(hot_key_rows, HotKeys):
+        return hot_key_rows.table
+    return find_hot_keys(df, hot_key_rows) if hot_key_rows else None

@@ -116,25 +116,28 @@ EVENT_OUT = ["id", "source", "type", "severity", "ts_us", "cluster", "title", "f
 @register("e2_incidents_events_long")
 def e2_incidents_events_long(spark, sf_dir):
     """E1-E5 with the suppression gate, Bridge B, long inactivity timeout."""
-    return detect(M.evaluated_b(spark, sf_dir, B_LONG, messages=False), B_LONG, M.SKEW).select(*DETECT_OUT)
+    ev, hot = M.evaluated_b_hot(spark, sf_dir, B_LONG, messages=False)
+    return detect(ev, B_LONG, hot).select(*DETECT_OUT)
 
 
 @register("e2_incidents_events_short")
 def e2_incidents_events_short(spark, sf_dir):
     """Same with the short timeout: reaches consumer_stopped from ACTIVE."""
-    return detect(M.evaluated_b(spark, sf_dir, B_SHORT, messages=False), B_SHORT, M.SKEW).select(*DETECT_OUT)
+    ev, hot = M.evaluated_b_hot(spark, sf_dir, B_SHORT, messages=False)
+    return detect(ev, B_SHORT, hot).select(*DETECT_OUT)
 
 
 @register("e2_incidents_orders")
 def e2_incidents_orders(spark, sf_dir):
-    return detect(M.evaluated_a(spark, sf_dir, A_WEEKLY, messages=False), A_WEEKLY, M.SKEW).select(*DETECT_OUT)
+    ev, hot = M.evaluated_a_hot(spark, sf_dir, A_WEEKLY, messages=False)
+    return detect(ev, A_WEEKLY, hot).select(*DETECT_OUT)
 
 
 @register("e7_events_dedup")
 def e7_events_dedup(spark, sf_dir):
     """E6 records + X5 fingerprint + E7 de-duplication (Bridge B, short timeout)."""
-    ev = M.evaluated_b(spark, sf_dir, B_SHORT)
-    return dedup(event_records(ev, detect(ev, B_SHORT, M.SKEW), B_SHORT)).select(*EVENT_OUT)
+    ev, hot = M.evaluated_b_hot(spark, sf_dir, B_SHORT)
+    return dedup(event_records(ev, detect(ev, B_SHORT, hot), B_SHORT)).select(*EVENT_OUT)
 
 
 # ---------------------------------------------------------------------------
@@ -333,28 +336,29 @@ def x8_key_text(spark, sf_dir):
 
 @register("a11_event_counts")
 def a11_event_counts(spark, sf_dir):
-    ev = M.evaluated_b(spark, sf_dir, B_SHORT, messages=False)
-    d = detect(ev, B_SHORT, M.SKEW).withColumnRenamed("event_type", "type")
+    ev, hot = M.evaluated_b_hot(spark, sf_dir, B_SHORT, messages=False)
+    d = detect(ev, B_SHORT, hot).withColumnRenamed("event_type", "type")
     return RP.event_summary(d)[0]
 
 
 @register("a11_first_events")
 def a11_first_events(spark, sf_dir):
-    ev = M.evaluated_b(spark, sf_dir, B_SHORT, messages=False)
-    d = detect(ev, B_SHORT, M.SKEW).withColumnRenamed("event_type", "type")
+    ev, hot = M.evaluated_b_hot(spark, sf_dir, B_SHORT, messages=False)
+    d = detect(ev, B_SHORT, hot).withColumnRenamed("event_type", "type")
     return RP.event_summary(d)[1].select("type", "rank", "cluster", "group_id", "topic", "partition", "ts_us")
 
 
 @register("j6_missing_event_types")
 def j6_missing_event_types(spark, sf_dir):
-    d = detect(M.evaluated_b(spark, sf_dir, B_LONG, messages=False), B_LONG, M.SKEW).withColumnRenamed("event_type", "type")
+    ev, hot = M.evaluated_b_hot(spark, sf_dir, B_LONG, messages=False)
+    d = detect(ev, B_LONG, hot).withColumnRenamed("event_type", "type")
     return RP.missing_event_types(d)
 
 
 @register("x10_log_lines")
 def x10_log_lines(spark, sf_dir):
-    ev = M.evaluated_b(spark, sf_dir, B_SHORT, messages=False)
-    d = detect(ev, B_SHORT, M.SKEW).join(ev.select(*S.KEY, "ts_us", "current_lag", "kind").filter("kind = 'window'"),
+    ev, hot = M.evaluated_b_hot(spark, sf_dir, B_SHORT, messages=False)
+    d = detect(ev, B_SHORT, hot).join(ev.select(*S.KEY, "ts_us", "current_lag", "kind").filter("kind = 'window'"),
                                   S.KEY + ["ts_us"])
     return d.select(*S.KEY, "ts_us", TX.log_line(F.col("event_type"), F.col("severity"),
                                                  F.col("current_lag")).alias("line"))
@@ -446,8 +450,8 @@ def l1_active_members(spark, sf_dir):
 
 
 def _records_b_short(spark, sf_dir):
-    ev = M.evaluated_b(spark, sf_dir, B_SHORT)
-    return dedup(event_records(ev, detect(ev, B_SHORT, M.SKEW), B_SHORT))
+    ev, hot = M.evaluated_b_hot(spark, sf_dir, B_SHORT)
+    return dedup(event_records(ev, detect(ev, B_SHORT, hot), B_SHORT))
 
 
 def damaged_envelopes(spark, sf_dir):

@@ -13,6 +13,7 @@ from ..config import A_WEEKLY, B_LONG, Thresholds
 from ..operators.evaluate import evaluate, partition_status
 from ..operators.rollup import group_status
 from ..sources.bridges import events_samples, orders_samples
+from ..operators.skew import HotKeys, plan_hot_keys
 from ..sources.positions import join_watermarks, samples_from
 
 # Skew policy of the end-to-end plans: split keys that hold more than one
@@ -30,12 +31,27 @@ def samples_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples_from(orders_samples(spark, sf_dir))
 
 
+def evaluated_b_hot(spark: SparkSession, sf_dir: str, th: Thresholds = B_LONG,
+                    messages: bool = True) -> tuple[DataFrame, HotKeys]:
+    """Evaluated Bridge B plus the hot-key decision, to hand to `detect`."""
+    s = samples_b(spark, sf_dir)
+    hot = plan_hot_keys(s, SKEW)
+    return evaluate(s, th, messages=messages, hot_key_rows=hot), hot
+
+
+def evaluated_a_hot(spark: SparkSession, sf_dir: str, th: Thresholds = A_WEEKLY,
+                    messages: bool = True) -> tuple[DataFrame, HotKeys]:
+    s = samples_a(spark, sf_dir)
+    hot = plan_hot_keys(s, SKEW)
+    return evaluate(s, th, messages=messages, hot_key_rows=hot), hot
+
+
 def evaluated_b(spark: SparkSession, sf_dir: str, th: Thresholds = B_LONG, messages: bool = True) -> DataFrame:
-    return evaluate(samples_b(spark, sf_dir), th, messages=messages, hot_key_rows=SKEW)
+    return evaluated_b_hot(spark, sf_dir, th, messages)[0]
 
 
 def evaluated_a(spark: SparkSession, sf_dir: str, th: Thresholds = A_WEEKLY, messages: bool = True) -> DataFrame:
-    return evaluate(samples_a(spark, sf_dir), th, messages=messages, hot_key_rows=SKEW)
+    return evaluated_a_hot(spark, sf_dir, th, messages)[0]
 
 
 def members_from_positions(pos: DataFrame) -> DataFrame:
