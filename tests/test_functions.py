@@ -40,3 +40,10 @@ def test_codes_and_filter(spark):
 def test_key_text_split_at_first_slash(spark):
     c, g = X.split_key_text(F.lit("prod/team/a"))
     assert tuple(spark.range(1).select(c, g).first()) == ("prod", "team/a")
+
+
+def test_truncate_accepts_integer_windows(spark):
+    # an integer window (10800 s) must not overflow INT arithmetic under ANSI
+    ts = 1_700_000_123 * 1_000_000
+    r = spark.range(1).select(truncate_from_year_one_s(F.lit(ts), 3 * 3600).alias("a")).first()
+    assert r.a == (1_700_000_123 + 62135596800) // 10800 * 10800 - 62135596800

@@ -52,3 +52,10 @@ def test_assignment_snapshot_skips_bad_json(spark):
                                  "member string, keys_json string, saved_at_us long")
     assert sorted(r.key for r in PL.read_assignments(snap, 200).collect()) == ["k1", "k2"]
     assert PL.read_assignments(snap, 100 + 601_000_000).count() == 0
+
+
+def test_integer_ttls_do_not_overflow(spark):
+    now = 10_000_000_000_000
+    hb = spark.createDataFrame([("a", now - 86_400_000_000, "active", 1)],
+                               "id string, ts_us long, status string, assigned_count int")
+    assert PL.current_members(hb, now, ttl_s=30 * 86400, offline_ttl_s=7 * 86400).count() == 1

@@ -53,7 +53,9 @@ def truncate_from_year_one_s(ts_us: Column, window_s) -> Column:
     """Unix seconds of `ts` truncated to a multiple of `window_s` counted
     from 0001-01-01 (not from 1970).  Equals epoch bucketing only when the
     window divides 62 135 596 800 s."""
-    w_us = (F.lit(window_s) * US).cast("long") if not isinstance(window_s, Column) \
-        else (window_s * US).cast("long")
+    # computed as a Python int (or a double column): an INT literal times
+    # 10^6 would overflow under ANSI arithmetic
+    w_us = (F.lit(int(round(float(window_s) * US))).cast("long") if not isinstance(window_s, Column)
+            else (window_s.cast("double") * US).cast("long"))
     shifted = ts_us + F.lit(YEAR_ONE_OFFSET_S * US)
     return F.floor((shifted - F.pmod(shifted, w_us)) / US).cast("long") - F.lit(YEAR_ONE_OFFSET_S)

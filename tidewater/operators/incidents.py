@@ -190,7 +190,7 @@ def _narrow(evaluated: DataFrame, th: Thresholds) -> DataFrame:
     w = evaluated.filter(F.col("kind") == KIND_WINDOW)
     return w.select(
         *S.KEY, "ts_us", status_code("status").alias("st"),
-        ((F.col("lag_change_rate") > F.lit(th.rapid_rate) * 2)
+        ((F.col("lag_change_rate") > F.lit(float(th.rapid_rate)) * 2)
          & (F.col("current_lag") > F.lit(th.lag_floor))).alias("e4"),
         ((F.col("current_lag") == 0) & (F.col("n_records") > 2)
          & F.coalesce(F.col("prev_lag") > F.lit(th.lag_floor), F.lit(False))).alias("e5"),

@@ -103,7 +103,7 @@ def current_members(heartbeats: DataFrame, now_us: Column | int, *, ttl_s: float
     newest = (heartbeats.groupBy("id")
               .agg(F.max(F.struct(*ordered)).alias("r"))
               .select("id", F.col("r.ts_us").alias("last_heartbeat_us"), *[F.col(f"r.{c}").alias(c) for c in cols]))
-    ttl = F.when(F.col("status") == "offline", F.lit(offline_ttl_s)).otherwise(F.lit(ttl_s))
+    ttl = F.when(F.col("status") == "offline", F.lit(float(offline_ttl_s))).otherwise(F.lit(float(ttl_s)))
     return newest.filter((now - F.col("last_heartbeat_us")) < ttl * 1_000_000)
 
 
