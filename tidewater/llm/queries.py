@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.bridges import read_table
-from . import line_dedup, minhash, toxicity
+from . import line_dedup, minhash, packing, toxicity
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("__kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens packed into sequences of at most 2048."""
+    return packing.packed(read_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned outside the held-out fold."""
     docs = read_table(spark, sf_dir, "documents")
@@ -34,4 +39,4 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op5_line_dedup, op7_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op5_line_dedup, op6_packing, op7_toxicity)}
