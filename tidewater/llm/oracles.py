@@ -6,6 +6,8 @@ share nothing with the operators.
 
 from __future__ import annotations
 
+from .quality import ALPHA, DELTA, RULES
+
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -48,4 +50,54 @@ FROM documents d JOIN reach ON reach.a = d.doc_id LEFT JOIN sizes ON sizes.doc_i
 GROUP BY d.doc_id, n
 """
 
-SQL = {"op2_minhash_dedup": OP2, "op5_line_dedup": OP5}
+_CUTS = ", ".join(f"('{r}', {i}, {c}::DOUBLE)" for r, (_, cuts) in RULES.items() for i, c in enumerate(cuts))
+_RATIOS = " UNION ALL ".join(
+    f"SELECT doc_id, lang, n_words, base_failed, '{r}' AS rule, {col}::DOUBLE / n_words AS ratio FROM counts WHERE n_words > 0"
+    for r, (col, _) in RULES.items())
+
+OP3 = f"""
+WITH w AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n FROM (
+    SELECT doc_id, i FROM windows WHERE (doc_id, x) IN (SELECT doc_id, x FROM windows GROUP BY ALL HAVING count(*) > 1)
+  ), (SELECT unnest(range(0, 5)) AS j) GROUP BY doc_id
+), dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
+  WHERE regexp_matches(line, {_WORD}) GROUP BY doc_id
+), base AS (
+  SELECT w.doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN dup ON dup.doc_id = w.doc_id LEFT JOIN covered ON covered.doc_id = w.doc_id
+), counts AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base
+), ratios AS ({_RATIOS}
+), cuts(rule, i, cut) AS (VALUES {_CUTS}
+), good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1
+), tested AS (
+  SELECT coalesce(lang, '') AS lang, rule, i, cut, count(*) AS n, count(*) FILTER (ratio > cut) AS k
+  FROM ratios JOIN cuts USING (rule) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL
+), terms AS (
+  SELECT lang, rule, i, cut, n, k, j FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM tested)
+), tails AS (
+  SELECT lang, rule, i, cut, CASE WHEN k >= n * {ALPHA / len(RULES)} THEN 1.0 ELSE
+    sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA / len(RULES)})
+            + (n - j) * ln({1 - ALPHA / len(RULES)}))) END AS p
+  FROM terms GROUP BY lang, rule, i, cut, n, k
+), safe AS (
+  SELECT lang, rule, cut, min(CASE WHEN p <= {DELTA} / ((SELECT count(DISTINCT lang) FROM tested) * {len(RULES)}) THEN 1
+                                   ELSE 0 END) OVER (PARTITION BY lang, rule ORDER BY i) AS ok FROM tails
+), chosen AS (SELECT lang, rule, min(cut) AS cut FROM safe WHERE ok = 1 GROUP BY ALL
+), rejected AS (
+  SELECT DISTINCT r.doc_id FROM ratios r JOIN chosen c ON c.lang = coalesce(r.lang, '') AND c.rule = r.rule AND ratio > cut
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM counts
+"""
+
+SQL = {"op2_minhash_dedup": OP2, "op3_quality_rules": OP3, "op5_line_dedup": OP5}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.bridges import read_table
-from . import line_dedup, minhash, packing, toxicity
+from . import line_dedup, minhash, packing, quality, toxicity
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the risk-controlled rules."""
+    out = quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                      "kept")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines repeated across documents, dropped but in the smallest doc_id."""
     out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -39,4 +46,4 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op5_line_dedup, op6_packing, op7_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_quality_rules, op5_line_dedup, op6_packing, op7_toxicity)}
