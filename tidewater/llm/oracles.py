@@ -6,6 +6,7 @@ share nothing with the operators.
 
 from __future__ import annotations
 
+from .chat import BUDGET, CHARS_PER_TOKEN, HISTORY_TOKENS, HISTORY_TURNS
 from .quality import ALPHA, DELTA, RULES
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -100,4 +101,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM counts
 """
 
-SQL = {"op2_minhash_dedup": OP2, "op3_quality_rules": OP3, "op5_line_dedup": OP5}
+_CODE = r"replace(replace(replace({}, '\', '\\'), '###', '\h'), '</turn>', '\e')"
+_ROLE = "replace(replace(" + _CODE.format("role") + r", ':', '\c'), '~', '\s')"
+
+OP10 = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, length({_ROLE}) + length({_CODE.format('text')}) + 15 AS size,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn FROM turns
+), costed AS (SELECT *, ceil(size / {float(CHARS_PER_TOKEN)})::BIGINT AS cost FROM sized
+), summed AS (
+  SELECT *, coalesce(sum(cost) OVER (PARTITION BY conv_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         rn = 1 AND role = 'system' AND cost <= {BUDGET // 2} AS sys FROM costed
+), celled AS (
+  SELECT *, floor(before / greatest(floor(({BUDGET - HISTORY_TOKENS} - max(CASE WHEN sys THEN cost ELSE 0 END)
+    OVER (PARTITION BY conv_id)) / 2.0), 1)) AS cell FROM summed
+), spans AS (
+  SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY cell) - 1 AS span FROM celled
+), ends AS (
+  SELECT *, max(span) OVER (PARTITION BY conv_id) AS last,
+         row_number() OVER (PARTITION BY conv_id, span ORDER BY rn DESC) AS from_end,
+         sum(cost) OVER (PARTITION BY conv_id, span ORDER BY rn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tail
+  FROM spans
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY rn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(size + CASE WHEN sys THEN last * (size + 1)
+                       WHEN span < last AND from_end <= {HISTORY_TURNS} AND tail <= {HISTORY_TOKENS} THEN size + 1
+                       ELSE 0 END)::BIGINT AS formatted_chars
+FROM ends GROUP BY conv_id
+"""
+
+SQL = {"op2_minhash_dedup": OP2, "op3_quality_rules": OP3, "op5_line_dedup": OP5, "op10_chat_format": OP10}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.bridges import read_table
-from . import line_dedup, minhash, packing, quality, toxicity
+from . import chat, line_dedup, minhash, packing, quality, toxicity
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,4 +46,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_quality_rules, op5_line_dedup, op6_packing, op7_toxicity)}
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that quotes the template, formatted into
+    budgeted windows and read back."""
+    turns = read_table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    quoting = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"))
+    return chat.digests(chat.read_back(chat.format_windows(turns.unionByName(quoting))))
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_quality_rules, op5_line_dedup, op6_packing, op7_toxicity, op10_chat_format)}
