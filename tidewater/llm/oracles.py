@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from .chat import BUDGET, CHARS_PER_TOKEN, HISTORY_TOKENS, HISTORY_TURNS
 from .quality import ALPHA, DELTA, RULES
+from .warc import CHUNK_BYTES, SEGMENT_BYTES
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -136,4 +137,21 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM ends GROUP BY conv_id
 """
 
-SQL = {"op2_minhash_dedup": OP2, "op3_quality_rules": OP3, "op5_line_dedup": OP5, "op10_chat_format": OP10}
+OP4 = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), d AS (
+  SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest,
+         max(page_id) OVER (PARTITION BY b) AS target FROM p
+), k AS (
+  SELECT *, payload_bytes >= 1000 AND target <> page_id AS again, payload_bytes // {CHUNK_BYTES} AS c,
+         payload_bytes % {CHUNK_BYTES} AS r FROM d
+), m AS (  -- the message: 87 bytes of head, each chunk with its size in hex and two line ends, the last chunk
+  SELECT *, 87 + payload_bytes + c * (4 + length(format('{{:x}}', {CHUNK_BYTES})))
+            + CASE WHEN r > 0 THEN 4 + length(format('{{:x}}', r)) ELSE 0 END + 5 AS size FROM k
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN target END AS refers_to,
+       CASE WHEN again THEN 1 ELSE ceil(size / {float(SEGMENT_BYTES)})::BIGINT END AS n_segments, true AS complete FROM m
+"""
+
+SQL = {"op2_minhash_dedup": OP2, "op3_quality_rules": OP3, "op4_warc_segments": OP4, "op5_line_dedup": OP5, "op10_chat_format": OP10}

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.bridges import read_table
-from . import chat, line_dedup, minhash, packing, quality, toxicity
+from . import chat, line_dedup, minhash, packing, quality, toxicity, warc
+from .common import scratch, stored
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "kept")
 
 
+def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records, and what reading them back gives."""
+    path = scratch(spark, "warc")
+    warc.write_archives(read_table(spark, sf_dir, "pages"), path)
+    read = stored(warc.read_archives(spark, path).select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
+        "record_type", "refers_to", "n_segments", "complete"), "records")
+    full = (read.where("record_type = 'response'").select(
+        F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full_bytes"),
+        F.col("payload_digest").alias("full_digest")).dropDuplicates(["refers_to"]))
+    return read.join(full, "refers_to", "left").select(
+        "page_id", F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"),
+        F.coalesce("payload_digest", "full_digest").alias("payload_digest"), "record_type", "refers_to",
+        "n_segments", "complete")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines repeated across documents, dropped but in the smallest doc_id."""
     out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -58,4 +75,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.format_windows(turns.unionByName(quoting))))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_quality_rules, op5_line_dedup, op6_packing, op7_toxicity, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_quality_rules, op4_warc_segments, op5_line_dedup, op6_packing, op7_toxicity, op10_chat_format)}
