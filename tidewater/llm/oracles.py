@@ -154,4 +154,27 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
        CASE WHEN again THEN 1 ELSE ceil(size / {float(SEGMENT_BYTES)})::BIGINT END AS n_segments, true AS complete FROM m
 """
 
-SQL = {"op2_minhash_dedup": OP2, "op3_quality_rules": OP3, "op4_warc_segments": OP4, "op5_line_dedup": OP5, "op10_chat_format": OP10}
+OP9 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, i, h[2 * i - 1:2 * i + 98] AS x
+  FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS i FROM d WHERE length(h) >= 100)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY x) AS m FROM w) WHERE m < doc_id
+), runs AS (  -- windows less than 50 apart or touching cover one run of bytes
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+    SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM again)
+), spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, run
+), gaps AS (  -- what is kept: before each span, and after the last
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS f, a AS t FROM spans
+  UNION ALL SELECT doc_id, max(b), 1000000000 FROM spans GROUP BY doc_id
+), kept AS (
+  SELECT g.doc_id, string_agg(substr(h, (2 * f - 1)::BIGINT, (2 * (t - f))::BIGINT), '' ORDER BY f) AS h
+  FROM gaps g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id
+), sums AS (SELECT doc_id, sum(b - a) AS r, count(*) AS s FROM spans GROUP BY doc_id)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(r, 0)::BIGINT AS n_removed, coalesce(s, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN sums ON sums.doc_id = d.doc_id
+"""
+
+SQL = {"op2_minhash_dedup": OP2, "op3_quality_rules": OP3, "op4_warc_segments": OP4, "op5_line_dedup": OP5, "op9_suffix_dedup": OP9, "op10_chat_format": OP10}
