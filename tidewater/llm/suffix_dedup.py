@@ -52,8 +52,9 @@ LENGTH = 50
 GRAM = 16
 _SPAN = LENGTH - GRAM + 1           # grams in a window
 _WIDE = LENGTH + _SPAN - 1          # bytes that the windows of one anchor can span
-_CHUNK = 1 << 20
-_MASK = np.uint64((1 << 21) - 1)
+_CHUNK = 1 << 16                    # windows at a time; small enough for the processor's cache
+_MASK = np.uint64((1 << 17) - 1)
+_SORTED = 1 << 14                   # contexts sorted at a time
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 SHARD_ANCHORS = 1_000_000
 _U64, _I64 = np.dtype("<u8"), np.dtype("<i8")
@@ -110,10 +111,12 @@ class Block:
 
 
 def prefix_hashes(ctx: np.ndarray) -> np.ndarray:
-    """P[:, i] is the polynomial hash of the first i bytes of each row."""
-    p = np.zeros((len(ctx), ctx.shape[1] + 1), np.uint64)
-    for i in range(ctx.shape[1]):
-        p[:, i + 1] = p[:, i] * _BASE + ctx[:, i] + np.uint64(1)
+    """P[i] holds the polynomial hashes of the first i bytes of every row."""
+    columns = np.ascontiguousarray(ctx.T).astype(np.uint64) + np.uint64(1)
+    p = np.zeros((len(columns) + 1, len(ctx)), np.uint64)
+    for i, c in enumerate(columns):
+        np.multiply(p[i], _BASE, out=p[i + 1])
+        p[i + 1] += c
     return p
 
 
@@ -121,10 +124,14 @@ _POWERS = np.array([pow(int(_BASE), i, 1 << 64) for i in range(_WIDE + 1)], np.u
 
 
 def context_ids(ctx: np.ndarray, count: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(ctx), np.uint64)
-    for i in range(ctx.shape[1]):
-        h = h * _BASE + ctx[:, i] + np.uint64(1)
-    return mix(h ^ mix(count.astype(np.uint64) + salt(1)) ^ mix(offset.astype(np.uint64) + salt(2)))
+    """64-bit hashes of contexts, taken in words of eight bytes."""
+    words = np.zeros((len(ctx), -(-_WIDE // 8) * 8), np.uint8)
+    words[:, :_WIDE] = ctx
+    h = mix((count.astype(np.uint64) << np.uint64(8) | offset.astype(np.uint64)) + salt(1))
+    for w in words.view(_U64).T:
+        h = (h ^ w) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+    return mix(h)
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
@@ -139,12 +146,13 @@ class Suffixes:
     def __init__(self, ctx: np.ndarray, row: np.ndarray, start: np.ndarray):
         self.ctx, self.row, self.start = ctx, row, start
         self.p = prefix_hashes(ctx).ravel()
-        self.at = row * (ctx.shape[1] + 1) + start
-        self.full = self.p[self.at + LENGTH] - self.p[self.at] * _POWERS[LENGTH]
+        self.step = len(ctx)
+        self.at = start * self.step + row
+        self.full = self.p[self.at + LENGTH * self.step] - self.p[self.at] * _POWERS[LENGTH]
 
     def _hash(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
         at = self.at[x]
-        return self.p[at + n] - self.p[at] * _POWERS[n]
+        return self.p[at + n * self.step] - self.p[at] * _POWERS[n]
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common extension, at most LENGTH, by binary search."""
@@ -226,7 +234,7 @@ def smallest_ids(key: np.ndarray, ctx: np.ndarray, count: np.ndarray, offset: np
     order = sx.sort(order, lo, hi)
     near = np.flatnonzero((lo[1:] == lo[:-1])) + 1                  # has a left neighbour in its class
     x, y = order[near - 1], order[near]
-    hit = sx.common(x, y) == LENGTH
+    hit = sx.full[x] == sx.full[y]                                  # a common extension of LENGTH
     hit[hit] = sx.same_bytes(x[hit], y[hit])
     joined = np.zeros(len(order), bool)
     joined[near[hit]] = True
@@ -332,6 +340,32 @@ def _distinct(ids, h, count, offset, least, most, ctx):
     return ids[first], h[first], count[first], offset[first], lo, hi, ctx[first]
 
 
+def _runs(key, ctx, first, count, offset, low):
+    """Runs of equal verdicts in each distinct context: (context, first and
+    last window, smallest document), by context.  Contexts are sorted slice
+    by slice, all those of an anchor together; an anchor with one context has
+    nothing to compare."""
+    by_key = np.argsort(key, kind="stable")
+    k = key[by_key]
+    edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    size = np.diff(np.r_[edge, len(k)])
+    alone = by_key[edge[size == 1]]
+    parts = [(alone, np.zeros(len(alone), np.int64), count[alone] - 1, low[alone])]
+    several = by_key[np.repeat(size > 1, size)]
+    ends = np.cumsum(size[size > 1])
+    a = 0
+    while a < len(several):
+        b = int(ends[min(np.searchsorted(ends, a + _SORTED), len(ends) - 1)])
+        own = several[a:b]
+        row, start, smallest = smallest_ids(key[own], ctx[first[own]], count[own], offset[own], low[own])
+        at = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (smallest[1:] != smallest[:-1])])
+        parts.append((own[row[at]], start[at], start[np.r_[at[1:], len(row)] - 1], smallest[at]))
+        a = b
+    got = [np.concatenate(c) for c in zip(*parts)]
+    order = np.argsort(got[0], kind="stable")
+    return [c[order] for c in got]
+
+
 def _judge(table: pa.Table) -> pa.Table:
     """Verdicts per block: for each context, runs of windows (first, last) and
     the smallest document, where that is below the block's largest."""
@@ -350,15 +384,10 @@ def _judge(table: pa.Table) -> pa.Table:
         first, index = np.arange(len(flat)), np.arange(len(flat))
     low = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(low, index, least)
-    row, start, smallest = smallest_ids(key[first], ctx[first], count[first], offset[first], low)
-    # runs of equal verdicts within each distinct context
-    cut = np.r_[True, (row[1:] != row[:-1]) | (smallest[1:] != smallest[:-1])]
-    at = np.flatnonzero(cut)
-    run_row, run_from, run_doc = row[at], start[at], smallest[at]
-    run_to = start[np.r_[at[1:], len(row)] - 1]
+    run_row, run_from, run_to, run_doc = _runs(key[first], ctx, first, count[first], offset[first], low)
     run_first = np.searchsorted(run_row, np.arange(len(first)))
     run_count = np.bincount(run_row, minlength=len(first))
-    out, base = {"block": [], "ids": [], "froms": [], "tos": [], "docs": []}, 0
+    out, base = {"block": [], "ids": [], "keys": [], "froms": [], "tos": [], "docs": []}, 0
     for block, own in zip(col["block"], ids):
         idx = index[base:base + len(own)]
         n = run_count[idx]
@@ -370,11 +399,12 @@ def _judge(table: pa.Table) -> pa.Table:
         if len(runs):
             out["block"].append(block)
             out["ids"].append(own[who].tobytes())
+            out["keys"].append(key[base - len(own):base][who].tobytes())
             out["froms"].append(run_from[runs].astype(np.uint8).tobytes())
             out["tos"].append(run_to[runs].astype(np.uint8).tobytes())
             out["docs"].append(run_doc[runs].tobytes())
     return pa.table(out, schema=pa.schema([("block", pa.int64()), *((n, pa.binary()) for n in (
-        "ids", "froms", "tos", "docs"))]))
+        "ids", "keys", "froms", "tos", "docs"))]))
 
 
 def _cut(as_text: bool):
@@ -388,13 +418,13 @@ def _cut(as_text: bool):
         if docs.num_rows and has.num_rows:
             ids, froms, tos, low = (np.concatenate([np.frombuffer(b, t) for b in has.column(n).to_pylist()])
                                     for n, t in (("ids", _U64), ("froms", np.uint8), ("tos", np.uint8), ("docs", _I64)))
+            known = np.unique(np.concatenate([np.frombuffer(b, _U64) for b in has.column("keys").to_pylist()]))
             order = np.argsort(ids, kind="stable")
             ids, froms, tos, low = ids[order], froms[order].astype(np.int64), tos[order].astype(np.int64), low[order]
             for h, start, count, offset, row in block.anchors():
-                mine = np.empty(len(h), np.uint64)
-                for i in range(0, len(h), 50_000):
-                    j = slice(i, i + 50_000)
-                    mine[j] = context_ids(block.contexts(start[j], count[j]), count[j], offset[j])
+                hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                h, start, count, offset, row = h[hit], start[hit], count[hit], offset[hit], row[hit]
+                mine = context_ids(block.contexts(start, count), count, offset)
                 a, b = np.searchsorted(ids, mine, "left"), np.searchsorted(ids, mine, "right")
                 n = b - a
                 who = np.repeat(np.arange(len(h)), n)
@@ -453,10 +483,10 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     contexts = by_block.cogroup(notes.groupBy("block")).applyInArrow(
         _send_contexts(shards), ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'binary'}" for f in _CONTEXTS))
     verdicts = contexts.groupBy("shard").applyInArrow(
-        _judge, "block long, ids binary, froms binary, tos binary, docs binary")
+        _judge, "block long, ids binary, keys binary, froms binary, tos binary, docs binary")
     none = F.lit(None).cast("binary")
-    notes = verdicts.select("block", "ids", "froms", "tos", "docs", F.lit(None).cast("long").alias("doc")).union(
-        copies.select("block", none, none, none, none, "doc"))
+    notes = verdicts.select("block", "ids", "keys", "froms", "tos", "docs", F.lit(None).cast("long").alias("doc")).union(
+        copies.select("block", *[none] * 5, "doc"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
                        + [f"`__kept` {'string' if as_text else 'binary'}", "`__n_bytes` bigint",
                           "`__n_removed` bigint", "`__n_spans` bigint"])
