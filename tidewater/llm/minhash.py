@@ -10,20 +10,22 @@
 2. Documents with equal sets form a class, and only the class's smallest
    doc_id goes on.  Signatures are cut into bands; documents that agree on a
    band meet in a bucket.
-3. Buckets link to a centre and not pair by pair: first every member to the
-   bucket's smallest id, then the members still apart from it to a second,
-   hash-chosen centre; only members still in different components of one
-   bucket are compared with each other, so no pair that the bands propose
-   can be lost.  Links are confirmed on the full sets:
-   100 * intersection >= percent * union.
+3. Buckets link to a centre and not pair by pair: every member is compared
+   with the bucket's smallest id, on the full sets:
+   100 * intersection >= percent * union.  Documents of buckets that still
+   hold several components are compared within their family (buckets that
+   share documents), block against block of bounded size, by products of
+   0/1 matrices; a task returns at most one link per component it joins, so
+   no pair that the bands propose is lost and no pairs are emitted.
 4. Verified links become components with union-find (`common.components`).
 
 With 28 bands of 4 slots a pair at similarity 0.8 shares no band with
 probability (1 - 0.8^4)^28 = 4e-7.  Shingles are held as 64-bit hashes.
 
-Cost beyond links: documents of one bucket that stay unlinked are compared
-pair by pair, so a large family of texts of middling similarity costs the
-square of its buckets' unlinked part.
+Cost beyond links: a family whose texts stay unlinked (similarity somewhat
+below the threshold) is multiplied out block by block, so its arithmetic
+grows with the square of the family; rows moved grow by one copy of a
+document's set for every FAMILY_BLOCK documents of its family.
 
 Defined results: null or empty text or no words give the empty set, linked
 with nothing; fewer words than the shingle width make one shingle; a null
@@ -41,11 +43,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, components, hash_words, in_slices, mix, ready, salt, shingle_set, stored, words_of
+from .common import (UnionFind, columns_of, components, hash_words, in_slices, mix, ready, salt, shingle_set, stored,
+                     words_of)
 
 BANDS, ROWS = 28, 4
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ELEMENTS = 200_000
+FAMILY_BLOCK = 768
+_COLUMNS = 4096
 
 
 def superminhash(x: np.ndarray, owner: np.ndarray, n_docs: int, m: int) -> np.ndarray:
@@ -151,6 +156,71 @@ def _labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
             .withColumn("c", F.coalesce("component_id", "id")).drop("component_id"))
 
 
+def _links_between(percent: int):
+    """Links that join different components among the documents of two blocks
+    of a family (or one block with itself), from exact intersection sizes."""
+    def run(table: pa.Table) -> pa.Table:
+        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        ids, comp, block = (table.column(n).to_numpy() for n in ("id", "c", "block"))
+        lists = table.column("shingles").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten().to_numpy()
+        row = np.repeat(np.arange(len(ids)), size)
+        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        out_a, out_b = [], []
+        if len(np.unique(comp)) > 1 and len(left) and len(right):
+            _, column, df = np.unique(flat, return_inverse=True, return_counts=True)
+            common = df[column] > 1
+            fit = np.bincount(row[common], minlength=len(ids)) * 100 >= percent * size   # else no partner can do
+            column = (np.cumsum(df > 1) - 1)[column]
+            use = common & fit[row]
+            row, column = row[use], column[use]
+            order = np.argsort(column, kind="stable")
+            row, column = row[order], column[order]
+            left, right = left[fit[left]], right[fit[right]]
+            place = np.full((2, len(ids)), -1)
+            place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+            inter = np.zeros((len(left), len(right)), np.float32)
+            edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + 1 + _COLUMNS, _COLUMNS))
+            for at, (x, y) in enumerate(zip(edges[:-1], edges[1:])):
+                sides = []
+                for side, n in ((0, len(left)), (1, len(right))):
+                    m = np.zeros((n, _COLUMNS), np.float32)
+                    to = place[side, row[x:y]]
+                    m[to[to >= 0], column[x:y][to >= 0] - at * _COLUMNS] = 1
+                    sides.append(m)
+                inter += sides[0] @ sides[1].T
+            inter = inter.astype(np.int64)   # whole numbers below 2^24, exact in single precision
+            total = size[left][:, None].astype(np.int64) + size[right][None, :]
+            near = (inter * (100 + percent) >= percent * total) & (comp[left][:, None] != comp[right][None, :])
+            uf = UnionFind()
+            for i, j in zip(*np.nonzero(near)):
+                x, y = int(comp[left[i]]), int(comp[right[j]])
+                if uf.find(x) != uf.find(y):
+                    uf.union(x, y)
+                    out_a.append(ids[left[i]])
+                    out_b.append(ids[right[j]])
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+    return run
+
+
+def _compare_families(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between documents of `apart` (bucket, id, centre, c) that no
+    centre has joined.  Buckets that share documents form a family; a family
+    is dealt to blocks of about FAMILY_BLOCK documents, and every pair of
+    blocks is one task, which returns links and no pairs."""
+    family = components(apart.select("id", "centre"), "id", "centre").select(
+        F.col("node").alias("id"), F.col("component_id").alias("family"))
+    ids = apart.select("id", "c").distinct().join(family, "id")
+    count = ids.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"))
+    ids = ids.join(count, "family").withColumn(
+        "block", F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")).cast("int"))
+    ids = ids.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return (ids.join(sets, "id").select("family", F.least("block", "other").alias("p"),
+                                        F.greatest("block", "other").alias("q"), "block", "id", "c", "shingles")
+            .groupBy("family", "p", "q").applyInArrow(_links_between(percent), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                     percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
@@ -179,30 +249,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = stored(_verify(first, sets, percent), "links")
     comp = components(links, "a", "b")
 
-    # members that are still apart from their bucket's centre: a second centre
+    # buckets that still hold several components: their documents, family by family
     lab = _labelled(members, comp)
     split = lab.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
-    apart = stored(lab.join(split.select("bucket"), "bucket", "left_semi"), "apart")
+    apart = stored(lab.join(split.select("bucket"), "bucket", "left_semi").select("bucket", "id", "centre", "c"), "apart")
     if not apart.isEmpty():
-        turned = F.min(F.col("id").bitwiseXOR(F.xxhash64("bucket"))).bitwiseXOR(F.xxhash64("bucket"))
-        second = (apart.groupBy("bucket").agg(turned.alias("a"))
-                  .join(apart.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na")),
-                        ["bucket", "a"])
-                  .join(apart.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb")),
-                        "bucket").where("ca != cb").where(fits)
-                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        links = stored(links.union(_verify(second, sets, percent)), "links")
+        rest = _compare_families(apart, sets, percent)
+        links = stored(links.union(rest), "links")
         comp = components(links, "a", "b")
-        # whatever is left in different components of one bucket, pair by pair
-        lab = _labelled(apart.drop("c"), comp)
-        split = lab.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
-        apart = stored(lab.join(split.select("bucket"), "bucket", "left_semi"), "apart")
-        if not apart.isEmpty():
-            left = apart.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
-            right = apart.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-            rest = left.join(right, "bucket").where("a < b and ca != cb").where(fits).select("a", "b").distinct()
-            links = stored(links.union(_verify(rest, sets, percent)), "links")
-            comp = components(links, "a", "b")
 
     by_class = (classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
                 .select("k1", "k2", F.coalesce("component_id", "rep").alias("component_id")))
