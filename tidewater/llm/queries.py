@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.bridges import read_table
-from . import chat, line_dedup, minhash, packing, quality, suffix_dedup, toxicity, warc
+from . import chat, embedding_dedup, line_dedup, minhash, packing, quality, suffix_dedup, toxicity, warc
 from .common import scratch, stored
 
 
@@ -63,6 +63,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with cosine similarity 0.95 or more, whatever their labels."""
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """50-byte passages that a smaller doc_id holds too, cut out."""
     out = suffix_dedup.cut_repeats(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -82,4 +87,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.format_windows(turns.unionByName(quoting))))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_quality_rules, op4_warc_segments, op5_line_dedup, op6_packing, op7_toxicity, op9_suffix_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_quality_rules, op4_warc_segments, op5_line_dedup, op6_packing, op7_toxicity, op8_embedding_dedup, op9_suffix_dedup, op10_chat_format)}
