@@ -10,10 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.bridges import read_table
-from . import chat, embedding_dedup, line_dedup, minhash, packing, quality, suffix_dedup, toxicity, warc
+from . import chat, embedding_dedup, line_dedup, minhash, packing, quality, sentencepiece_codec, suffix_dedup, toxicity, warc
 from .common import scratch, stored
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and a digest of the text they decode to."""
+    ids = sentencepiece_codec.encode(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return sentencepiece_codec.decode(ids).select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents: 2-word shingles, similarity 0.8 or more."""
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=2, percent=80)
@@ -87,4 +95,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.format_windows(turns.unionByName(quoting))))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_quality_rules, op4_warc_segments, op5_line_dedup, op6_packing, op7_toxicity, op8_embedding_dedup, op9_suffix_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_minhash_dedup, op3_quality_rules, op4_warc_segments, op5_line_dedup, op6_packing, op7_toxicity, op8_embedding_dedup, op9_suffix_dedup, op10_chat_format)}
