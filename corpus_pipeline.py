@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import line_dedup, minhash
+from tidewater.llm import line_dedup, minhash, packing, suffix_dedup, toxicity
 from tidewater.llm.common import stored
 from tidewater.sources.bridges import read_table
 
@@ -27,6 +27,12 @@ def _with_text(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return rows.withColumns(new).select(*docs.columns)
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from `labels`, doesn't reject."""
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("__score < 0.5").select(*docs.columns)
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a document with a smaller id holds."""
     return _with_text(line_dedup.dedup_lines(docs), docs, "__kept_text")
@@ -38,9 +44,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 50-byte passages that a smaller id holds too.
+    Characters cut in two go as a whole; a document cut to nothing stays, empty."""
+    return _with_text(suffix_dedup.cut_repeats(docs, as_text=True), docs, "__kept")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens with their place in sequences of 2048."""
+    return packing.packed(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
     ("line_dedup", drop_repeated_lines),
     ("minhash_dedup", drop_near_copies),
+    ("suffix_dedup", cut_repeated_passages),
+    ("packing", pack),
 ]
 
 ORACLE_SQL = None
