@@ -95,8 +95,11 @@ def shortest_pack_first(histogram: dict[int, int], length: int = LENGTH) -> list
         left = histogram[item]
         while left:
             room = max(packs, default=0)
-            if room < item:
-                packs.setdefault(length - item, []).append(((item,), left))
+            if room < item:                                        # new packs, filled with this length
+                each = length // item
+                for n, count in ((each, left // each), (left % each, 1)):
+                    if n and count:
+                        packs.setdefault(length - n * item, []).append(((item,) * n, count))
                 break
             pattern, count = packs[room].pop()
             used = min(count, left)
