@@ -110,7 +110,8 @@ class Model:
             self.chars[i, :len(piece)] = [ord(c) for c in piece]
         self.unknown = self.size                       # stands for a character outside the vocabulary
         known = self.scores[list(self.ids.values())]
-        self.unknown_score = float(known.min()) - 10.0
+        self.unknown_score = known.min().astype(np.float32) - np.float32(10)
+        self.singles = np.append(self.scores, self.unknown_score).astype(np.float32)   # paths add up in single precision, as in the library
         if self.kind == BPE:
             self._merge_trees()
         self.words: dict[str, bytes] = {}
@@ -251,8 +252,7 @@ class Model:
         last = np.zeros((size + 1, n), np.int64)
         rows = np.arange(n)
         if self.kind == UNIGRAM:
-            scores = np.append(self.scores, self.unknown_score)
-            best = np.zeros((size + 1, n))
+            scores, best = self.singles, np.zeros((size + 1, n), np.float32)
             for i in range(1, size + 1):
                 m = np.arange(min(i, widest), 0, -1)
                 cand = found[i, m]
@@ -304,7 +304,7 @@ class Model:
     def encode_long(self, word: str) -> bytes:
         """The same recurrence for one word of any length."""
         back, last = [0] * (len(word) + 1), [-1] * (len(word) + 1)
-        best, scores = [0.0] * (len(word) + 1), self.scores
+        best, scores = [np.float32(0)] * (len(word) + 1), self.singles
         for i in range(1, len(word) + 1):
             top = None
             for m in range(min(i, self.longest), 0, -1):
@@ -314,13 +314,13 @@ class Model:
                         continue
                     piece = self.unknown
                 if self.kind == UNIGRAM:
-                    s = best[i - m] + (scores[piece] if piece != self.unknown else self.unknown_score)
+                    s = best[i - m] + scores[piece]
                     if top is None or s > top:
                         top, back[i], last[i] = s, m, piece
                 elif self.merged[piece] and (m == i or self._apart(last[i - m], piece)):
                     back[i], last[i] = m, piece
                     break
-            best[i] = top if top is not None else 0.0
+            best[i] = best[0] if top is None else top
         ids, at = [], len(word)
         while at > 0:
             if last[at] == self.unknown:
