@@ -50,6 +50,7 @@ SHARD, OVERLAP, SAMPLE = 1000, 3, 20_000
 MAX_CENTROIDS = 4096
 DEGREE, CANDIDATES, ALPHA, BEAM = 24, 48, 1.2, 32
 AUDIT = 256
+_DENSE = 0.9
 _SLACK = 1e-4          # single precision searches that far below the threshold
 _PAIRS = 100_000
 
@@ -81,19 +82,32 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(out, pa.binary())], names=["id", "k1", "k2", "vec"])
 
 
-def _centroids(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
-    """Spherical k-means on the sample; plain sample points if k is large."""
+def _centroids(sample: np.ndarray, k: int, threshold: float, rounds: int = 6) -> np.ndarray:
+    """Spherical k-means on the sample; plain sample points if k is large.
+
+    A dense cluster, whose points lie within the range of each other, must
+    not be shared out among more centroids than a vector goes to: of dense
+    centroids closer than twice the range only one stays, and its cell is
+    dealt to blocks instead."""
     k = min(k, len(sample))
     c = sample[np.linspace(0, len(sample) - 1, k).astype(int)]
-    if k * 8 > len(sample):
-        return c
-    for _ in range(rounds):
-        own = np.concatenate([(sample[i:i + 2048] @ c.T).argmax(1) for i in range(0, len(sample), 2048)])
-        total = np.zeros_like(c)
-        np.add.at(total, own, sample)
-        norm = np.linalg.norm(total, axis=1)
-        c = np.where(norm[:, None] > 0, total / np.maximum(norm, 1e-12)[:, None], c)
-    return c
+    spread = np.ones(k)                                            # mean similarity of a centroid's points to it
+    if k * 8 <= len(sample):
+        for _ in range(rounds):
+            own = np.concatenate([(sample[i:i + 2048] @ c.T).argmax(1) for i in range(0, len(sample), 2048)])
+            total = np.zeros_like(c)
+            np.add.at(total, own, sample)
+            norm, count = np.linalg.norm(total, axis=1), np.bincount(own, minlength=k)
+            c = np.where(norm[:, None] > 0, total / np.maximum(norm, 1e-12)[:, None], c)
+            spread = np.where(count > 0, norm / np.maximum(count, 1), 0.0)
+    kept, twice = [], 2 * threshold ** 2 - 1
+    for i in np.argsort(-spread, kind="stable"):
+        if spread[i] == 0.0 and kept:
+            continue
+        dense = [j for j in kept if spread[j] >= _DENSE] if spread[i] >= _DENSE else []
+        if not dense or (c[dense] @ c[i]).max() < twice:
+            kept.append(i)
+    return c[kept]
 
 
 def _assign(held, width: int, overlap: int):
@@ -330,7 +344,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     sample = np.frombuffer(b"".join(picked)).reshape(-1, width).astype(np.float32)
     if not len(sample):
         sample = np.ones((1, width), np.float32)
-    held = spark.sparkContext.broadcast(_centroids(sample, k))
+    held = spark.sparkContext.broadcast(_centroids(sample, k, threshold))
     cells = reps.mapInArrow(_assign(held, width, overlap), "id long, mult long, vec binary, cell long")
     cells = stored(cells, "cells")
 
