@@ -221,10 +221,7 @@ def test_vectors(spark, shard):
     got = by_id(embedding_dedup.near_duplicates(df, shard=shard, audit=50), "vec_id")
     want = brute_vectors(data)
     assert {i: (r["n_links"], r["component_id"], r["kept"]) for i, r in got.items()} == want
-    audited = {i: r["audit_links"] for i, r in got.items() if r["audit_links"] is not None}
-    assert len(audited) > 10
-    same = [i for i in audited if i in want and len(dict(data)[i]) == 16]
-    assert all(audited[i] == want[i][0] for i in same)
+    assert {r["audit_recall"] for r in got.values()} == {1.0}
 
 
 def test_vectors_null_repeated_and_no_rows(spark):

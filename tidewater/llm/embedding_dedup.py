@@ -22,8 +22,8 @@
    from the vectors' shard lists.  Shards return link counts per vector and a
    spanning forest, never all pairs; forests become components.
 
-`audit` measures recall: a bounded sample of vectors is compared with all
-rows, block by block, and returns the true number of links.
+6. The audit measures recall: a bounded sample of about AUDIT vectors is
+   compared with all rows, batch by batch, for the true number of links.
 
 Defined results: unusable vectors link with nothing and are their own
 component; rows that share a vec_id are one node, whose links are to other
@@ -322,8 +322,8 @@ def _audit(held, threshold: float):
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding",
                     threshold: float = THRESHOLD, shard: int = SHARD, overlap: int = OVERLAP,
                     audit: int = AUDIT) -> DataFrame:
-    """One row per vector: id, n_links, component_id, kept, audit_links (the
-    true number of links of the audited sample, else null)."""
+    """One row per vector: id, n_links, component_id, kept, audit_recall (the
+    share of the audited sample's links that were found, in every row)."""
     spark = ready(vectors)
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = stored(src.mapInArrow(_usable, "id long, k1 long, k2 long, vec binary"), "vectors")
@@ -368,6 +368,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         F.coalesce("component_id", "id").alias("component_id"))
 
     out = rows.select("id", "k1", "k2").join(judged, ["k1", "k2"], "left")
+    recall = None
     if audit:
         n = usable.count()
         some = usable.where((F.length("vec") == 8 * width) & (
@@ -375,12 +376,14 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         ).select("id", "vec").dropDuplicates(["id"]).collect()        # about `audit` vectors
         ids = np.array([r["id"] for r in some], np.int64)
         queries = np.frombuffer(b"".join(r["vec"] for r in some)).reshape(-1, width)
-        true = usable.select("id", "vec").mapInArrow(
-            _audit(spark.sparkContext.broadcast((ids, queries)), threshold), "id long, n long")
-        out = out.join(F.broadcast(true.groupBy("id").agg(F.sum("n").alias("audit_links"))), "id", "left")
-    else:
-        out = out.withColumn("audit_links", F.lit(None).cast("long"))
+        held = spark.sparkContext.broadcast((ids, queries))
+        true = usable.select("id", "vec").mapInArrow(_audit(held, threshold), "id long, n long")
+        true = true.groupBy("id").agg(F.sum("n").alias("true"))
+        seen = (out.join(F.broadcast(true), "id").agg(
+            F.sum(F.least(F.coalesce("n_links", F.lit(0)), "true")).alias("found"), F.sum("true").alias("true")).head())
+        recall = seen["found"] / seen["true"] if seen["true"] else 1.0
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       component.alias("component_id"),
-                      (F.col("id").isNull() | (F.col("id") == component)).alias("kept"), "audit_links")
+                      (F.col("id").isNull() | (F.col("id") == component)).alias("kept"),
+                      F.lit(recall).cast("double").alias("audit_recall"))

