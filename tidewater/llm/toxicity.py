@@ -88,7 +88,8 @@ def _epoch(state):
                 bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / ALPHA * wb
                 bn += g * g
         at = np.flatnonzero(n).astype(np.int32)
-        yield pa.RecordBatch.from_pydict({"at": [at.tobytes()], "z": [z[at].tobytes()], "n": [n[at].tobytes()],
+        yield pa.RecordBatch.from_pydict({"at": [at.tobytes()], "z": [z[at].astype(np.float32).tobytes()],
+                                          "n": [n[at].astype(np.float32).tobytes()],
                                           "bz": [float(bz)], "bn": [float(bn)]})
     return run
 
@@ -121,10 +122,12 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", train
         got = (rows.withColumn("turn", F.xxhash64("id", F.lit(100 + epoch))).repartition(1)
                .sortWithinPartitions("turn", "id", F.xxhash64("at")).select("y", "at")
                .mapInArrow(_epoch(held), "at binary, z binary, n binary, bz double, bn double").head())
-        state = (np.frombuffer(got["at"], np.int32), np.frombuffer(got["z"]), np.frombuffer(got["n"]),
+        state = (np.frombuffer(got["at"], np.int32), np.frombuffer(got["z"], np.float32),
+                 np.frombuffer(got["n"], np.float32),
                  got["bz"], got["bn"])
+        held.destroy()
     at, z, n, bz, bn = state
-    w = weights(z, n)
+    w = weights(z.astype(np.float64), n.astype(np.float64))
     return at[w != 0], w[w != 0], _bias(bz, bn)
 
 
