@@ -55,6 +55,10 @@ SQL["w_status_events"] = D.with_(D.bridge_b(), D.evaluate("samples_b", B_LONG, "
 SQL["w_status_orders"] = D.with_(D.bridge_a(), D.evaluate("samples_a", A_WEEKLY, "ev_a")) + \
     f"\nSELECT {STATUS_OUT} FROM ev_a"
 SQL["a1_group_status_events"] = D.with_(*_groups_b_ctes()) + "\nSELECT * FROM groups_b"
+SQL["a3_health_partitions"] = D.with_(D.bridge_b(), D.evaluate("samples_b", B_LONG, "ev_b")) + """
+SELECT cluster, group_id, ts_us, topic, "partition", status, health, lag_trend, current_lag, current_offset,
+       high_watermark, consumption_rate, lag_change_rate
+FROM ev_b WHERE health IN ('CRITICAL', 'WARNING', 'GOOD')"""
 SQL["a1_group_status_orders"] = D.with_(*_groups_a_ctes()) + "\nSELECT * FROM groups_a"
 
 SQL["t1_worst_groups"] = D.with_(*_groups_b_ctes(), *_groups_a_ctes(), """
@@ -109,6 +113,14 @@ SQL["e7_events_dedup"] = D.with_(D.bridge_b(), D.evaluate("samples_b", B_SHORT,
                                  D.detect("ev", B_SHORT, "det"), _records_sql(B_SHORT)) + """
 SELECT * FROM recs QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY ts_us, cluster, id) = 1"""
 
+_WEEK = B_SHORT.with_(dedup_s=7 * 86400.0)
+SQL["e7_events_dedup_week"] = D.with_(D.bridge_b(), D.evaluate("samples_b", _WEEK, "ev"),
+                                      D.detect("ev", _WEEK, "det"), _records_sql(_WEEK)) + """
+SELECT * FROM recs QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY ts_us, cluster, id) = 1"""
+SQL["e7_orders_dedup"] = D.with_(D.bridge_a(), D.evaluate("samples_a", A_WEEKLY, "ev"),
+                                 D.detect("ev", A_WEEKLY, "det"), _records_sql(A_WEEKLY)) + """
+SELECT * FROM recs QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY ts_us, cluster, id) = 1"""
+
 # --- scans, latest rows, rollups, reports, metrics -------------------------
 B_EV = [D.bridge_b(), D.evaluate("samples_b", B_LONG, "ev_b")]
 LATEST_B = """
@@ -334,6 +346,14 @@ SQL["st2_stream_equals_batch"] = D.with_(D.bridge_b(), D.evaluate("samples_b", B
     f"\nSELECT {STATUS_OUT} FROM ev_b"
 SQL["st3_stream_events"] = _detect_sql(D.bridge_b(), "samples_b", B_SHORT)
 
+SQL["c2_stream_quarantine"] = SQL["c2_quarantine"]
+SQL["st4_stream_dedup"] = SQL["e7_events_dedup_week"]
+SQL["st5_state_after_late_batch"] = SQL["st2_stream_equals_batch"]
+SQL["st7_late_rows"] = D.with_(D.bridge_b()) + """
+SELECT cluster, group_id, topic, "partition", ts_us, committed_offset, high_watermark
+FROM samples_b, (SELECT min(ts_us) AS lo, max(ts_us) AS hi FROM samples_b)
+WHERE floor((ts_us - lo) * 3 / (hi - lo + 1)) = 0"""
+
 # --- window snapshots -------------------------------------------------------------
 SNAP = """
 win AS (SELECT * FROM samples_b WHERE committed_offset IS NOT NULL AND high_watermark IS NOT NULL

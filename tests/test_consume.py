@@ -17,7 +17,13 @@ def test_quarantine_reasons(spark):
     assert reasons == ["invalid payload", "invalid payload", "missing payload"]
 
 
-def test_failing_handler_does_not_stop_others(spark):
+def test_objects_without_a_type_are_accepted(spark):
+    rows = [("{}", "t", "s", "c", "g", "t", "3", 1), ('{"id":"7"}', "t", "s", "c", "g", "t", "3", 1)]
+    p = CS.parse(spark.createDataFrame(rows, ENV))
+    assert CS.accepted(p).count() == 2 and CS.quarantine(p).count() == 0
+
+
+def test_failing_handler_does_not_stop_others(spark, tmp_path):
     good = '{"id":"1","type":"lag_cleared","severity":"info","current_lag":0}'
     batch = spark.createDataFrame([(good, "t", "s", "c", "g", "t", "3", 1)], ENV)
     seen = []
@@ -28,5 +34,5 @@ def test_failing_handler_does_not_stop_others(spark):
     def ok(df, bid):
         seen.append(df.count())
 
-    errors = CS.fan_out([bad, ok])(batch, 0)
+    errors = CS.fan_out([bad, ok], str(tmp_path / "q"))(batch, 0)
     assert seen == [1] and list(errors) == [0]

@@ -18,7 +18,20 @@ def test_group_filter_is_pushed_to_parquet(spark, tmp_path):
     assert [tuple(r) for r in q.collect()] == [("g1", 10)]
 
 
-def test_status_table_prunes_to_latest_day(spark, tmp_path):
+def test_latest_table_keeps_silent_keys(spark, tmp_path):
+    from tidewater.sources import status_io as SIO
+    path, cols = str(tmp_path / "latest"), "cluster string, group_id string, ts_us long, status string"
+    runs = [[("c", "old", 5, "A"), ("c", "new", 6, "A")], [("c", "new", 900, "B"), ("c", "old", 4, "late")],
+            [("c", "new", 900, "C")]]
+    for i, r in enumerate(runs):
+        SIO.update_latest(spark.createDataFrame(r, cols), path, i, ["cluster", "group_id"])
+    got = {r.group_id: (r.ts_us, r.status) for r in SIO.read_latest(spark, path).collect()}
+    assert got == {"old": (5, "A"), "new": (900, "C")}
+    SIO.update_latest(spark.createDataFrame(runs[1], cols), path, 1, ["cluster", "group_id"])     # a replay
+    assert {r.status for r in spark.read.parquet(f"{path}/v=1").collect()} == {"A", "B"}
+
+
+def test_status_table_prunes_by_cluster_and_day(spark, tmp_path):
     from tidewater.sources import status_io as SIO
     day = 86_400 * 1_000_000
     rows = [("c1", "g", "t", 0, d * day + 5, "ACTIVE") for d in (19000, 19001, 19002)] + \
@@ -27,11 +40,11 @@ def test_status_table_prunes_to_latest_day(spark, tmp_path):
                                      "ts_us long, status string")
     path = str(tmp_path / "status")
     SIO.write_status(df, path)
-    q = SIO.read_latest_day(spark, path, "c1")
+    q = SIO.read_status(spark, path).filter("cluster = 'c1' and day = 19002")
     assert [(r.cluster, r.day) for r in q.collect()] == [("c1", 19002)]
     plan = q._jdf.queryExecution().executedPlan().toString()
     import re
-    assert re.search(r"PartitionFilters: \[[^\]]*\(cluster#\d+ = c1\)[^\]]*\(day#\d+ = Subquery", plan)
+    assert re.search(r"PartitionFilters: \[[^\]]*\(cluster#\d+ = c1\)[^\]]*\(day#\d+ = 19002", plan)
     # re-writing one day replaces only that partition
     SIO.write_status(df.filter("ts_us > 19002 * 86400000000").withColumn("status", F.lit("STOPPED")), path)
     allrows = SIO.read_status(spark, path)

@@ -62,6 +62,38 @@ def test_state_ttl_drops_idle_keys(spark, tmp_path):
     assert {r.partition for r in last.select("partition").distinct().collect()} == {0}
 
 
+def test_late_batch_keeps_state(spark, tmp_path):
+    """A batch of late rows only, with a TTL set, must leave tail and gate as they are."""
+    root = str(tmp_path)
+    mon = StreamingMonitor(spark, TH, f"{root}/out", state_ttl_s=600.0)
+    for i, part in enumerate((_rows(range(0, 8)) + _rows(range(0, 8), 1), _rows([2]), _rows(range(8, 14)))):
+        spark.createDataFrame(part, COLS).write.parquet(f"{root}/in/s={i}")
+        run_available(spark, mon, f"{root}/in/*/")
+    tails, gates = mon._versions("tail"), mon._versions("gate")
+    sizes = [spark.read.parquet(f"{root}/out/tail/v={v}").count() for v in tails]
+    assert sizes == [6, 6, 6]
+    assert [spark.read.parquet(f"{root}/out/gate/v={v}").count() for v in gates] == [2, 2, 2]
+    batch = evaluate(samples_from(spark.createDataFrame(_rows(range(0, 14)) + _rows(range(0, 8), 1), COLS)), TH)
+    cols = ["partition", "ts_us", "status", "n_records"]
+    assert sorted(map(tuple, mon.status().select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
+
+
+def test_one_event_per_fingerprint_over_batches(spark, tmp_path):
+    """Lag cleared twice in one bucket: one event, in one batch or in two."""
+    from tidewater.operators.incidents import incidents
+    th = TH.with_(gate_s=1.0, dedup_s=3600.0)
+    lags = [9, 9, 9, 0, 9, 9, 9, 0, 9, 0]
+    rows = [("c", "g", "t", 0, T0 + dt.timedelta(seconds=10 * i), 100 * i - lag, 100 * i) for i, lag in enumerate(lags, 1)]
+    batch = incidents(evaluate(samples_from(spark.createDataFrame(rows, COLS)), th), th)
+    root = str(tmp_path)
+    mon = StreamingMonitor(spark, th, f"{root}/out")
+    for i, part in enumerate((rows[:5], rows[5:])):
+        spark.createDataFrame(part, COLS).write.parquet(f"{root}/in/s={i}")
+        run_available(spark, mon, f"{root}/in/*/")
+    assert sorted(r.id for r in mon.events().select("id").collect()) == sorted(r.id for r in batch.select("id").collect())
+    assert mon.events().filter("type = 'lag_cleared'").count() == 1
+
+
 def test_event_consumption_stream(spark, tmp_path):
     from tidewater.operators import consume as CS
     from tidewater.sources import event_io as EIO
@@ -72,9 +104,11 @@ def test_event_consumption_stream(spark, tmp_path):
                                 "topic string, partition string, timestamp bigint")
     env.write.parquet(f"{tmp_path}/events/batch_id=0")
     seen = []
-    run = CS.fan_out([lambda df, bid: seen.append(CS.log_handler_lines(df).first().line)])
+    run = CS.fan_out([lambda df, bid: seen.append(CS.log_handler_lines(df).first().line)], f"{tmp_path}/rejects")
     q = (EIO.read_events_stream(spark, f"{tmp_path}/events").writeStream
          .foreachBatch(lambda df, bid: run(df, bid))
          .option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start())
     q.awaitTermination()
     assert seen == ["[EVENT] Type: lag_cleared, Severity: info, Lag: 0"]
+    rejects = spark.read.parquet(f"{tmp_path}/rejects").select("event", "reject_reason").collect()
+    assert [tuple(r) for r in rejects] == [("{bad", "invalid payload")]

@@ -122,8 +122,6 @@ def rejected_clusters(clusters: DataFrame) -> DataFrame:
 def attach_thresholds(df: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Samples inner-join thresholds on cluster.
 
-    The thresholds table is one row per configured cluster, so a broadcast
-    is bounded by configuration, not by data volume.
+    One row per configured cluster: the planner broadcasts it where it is small.
     """
-    return df.join(F.broadcast(thresholds.drop("brokers") if "brokers" in thresholds.columns
-                               else thresholds), "cluster", "inner")
+    return df.join(thresholds.drop("brokers"), "cluster", "inner")

@@ -32,8 +32,7 @@ def parse(envelopes: DataFrame) -> DataFrame:
     p = F.from_json(F.col("event"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     df = envelopes.withColumn("p", p)
     reason = (F.when(F.col("event").isNull() | (F.trim(F.col("event")) == ""), F.lit("missing payload"))
-              .when(F.col(f"p.{CORRUPT}").isNotNull(), F.lit("invalid payload"))
-              .when(F.col("p.type").isNull(), F.lit("invalid payload")))
+              .when(F.col(f"p.{CORRUPT}").isNotNull(), F.lit("invalid payload")))
     return df.withColumn("reject_reason", reason)
 
 
@@ -53,18 +52,20 @@ def log_handler_lines(events: DataFrame) -> DataFrame:
     return events.select(X.log_line(F.col("type"), F.col("severity"), F.col("current_lag")).alias("line"))
 
 
-def fan_out(handlers: list[Handler]) -> Callable[[DataFrame, int], dict]:
-    """A foreachBatch function calling every handler on the parsed,
-    accepted events of a batch.  The batch is persisted once for all
-    handlers; an exception in one handler is logged and the rest run.
-    Returns {handler index: error text} for failed handlers."""
+def fan_out(handlers: list[Handler], quarantine_path: str) -> Callable[[DataFrame, int], dict]:
+    """C2 + C3: a foreachBatch function that first writes the batch's rejects
+    under `quarantine_path` (one folder per batch id, overwritten by a
+    replay) and then calls every handler on the accepted events.  The parsed
+    batch is persisted once; an exception in one handler is logged and the
+    rest run.  Returns {handler index: error text} for failed handlers."""
     def run(batch: DataFrame, batch_id: int) -> dict:
-        good = accepted(parse(batch)).persist()
+        good = parse(batch).persist()
         errors = {}
         try:
+            quarantine(good).write.mode("overwrite").parquet(f"{quarantine_path}/batch_id={batch_id}")
             for i, h in enumerate(handlers):
                 try:
-                    h(good, batch_id)
+                    h(accepted(good), batch_id)
                 except Exception as ex:  # noqa: BLE001 - a handler must not stop the others
                     log.warning("handler %d failed on batch %d: %s", i, batch_id, ex)
                     errors[i] = str(ex)

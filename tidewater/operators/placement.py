@@ -54,18 +54,20 @@ def bucket_owners(members: DataFrame, settings: PlacementSettings = PlacementSet
 def assign(keys: DataFrame, members: DataFrame, settings: PlacementSettings = PlacementSettings()) -> DataFrame:
     """K2 applied to keys: (key, bucket, owner); each key exactly once.
 
-    The owner table has at most partition_count x 1 rows after the reduce
-    (997 by default), a size fixed by configuration, so it is broadcast."""
+    The owner table has one row per bucket; the planner measures it and
+    broadcasts it only below its threshold."""
     s = settings.normalized()
     k = keys.select("key", key_bucket(F.col("key"), s.partition_count).alias("bucket"))
-    return k.join(F.broadcast(bucket_owners(members, s)), "bucket", "inner").select("key", "bucket", "owner")
+    return k.join(bucket_owners(members, s), "bucket", "inner").select("key", "bucket", "owner")
 
 
 def assignment_lists(assigned: DataFrame, members: DataFrame) -> DataFrame:
     """K3: every member appears, members without keys with a NULL key; long
-    form (member, key) so no member's list is gathered into one row."""
-    return (members.select("member")
-            .join(assigned.select(F.col("owner").alias("member"), "key"), "member", "left"))
+    form (member, key) so no member's list is gathered into one row.  Keys are
+    not shuffled: only the distinct owners meet the members."""
+    owned = assigned.select(F.col("owner").alias("member"), "key")
+    idle = members.select("member").join(owned.select("member").distinct(), "member", "left_anti")
+    return owned.unionByName(idle.withColumn("key", F.lit(None).cast("string")))
 
 
 def load_report(assigned: DataFrame, members: DataFrame,
@@ -116,10 +118,11 @@ def active_members(members: DataFrame, now_us: Column | int, timeout_s: float =
 
 def read_assignments(snapshot: DataFrame, now_us: Column | int, timeout_s: float = 600.0) -> DataFrame:
     """L3: (member, keys_json, saved_at_us) -> (member, key).  Entries whose
-    JSON does not parse are skipped; a snapshot older than the timeout is
-    refused as a whole (no rows)."""
+    JSON does not parse are skipped; a snapshot whose newest entry is older
+    than the timeout is refused as a whole (no rows)."""
     now = F.lit(now_us) if isinstance(now_us, int) else now_us
     parsed = snapshot.select("member", "saved_at_us",
                              F.from_json("keys_json", "array<string>").alias("keys"))
-    fresh = parsed.filter((now - F.col("saved_at_us")) <= F.lit(timeout_s * 1_000_000))
+    saved = snapshot.select(F.max("saved_at_us")).scalar()
+    fresh = parsed.filter((now - saved) <= F.lit(timeout_s * 1_000_000))
     return fresh.filter(F.col("keys").isNotNull()).select("member", F.explode("keys").alias("key"))

@@ -2,9 +2,8 @@
 
 One `groupBy(cluster, group_id, ts)` computes every per-group figure of a
 collection tick in a single hash aggregate with map-side partial
-aggregation.  Partition lists are bounded by a group's partition count
-(a property of the topics, not of the data volume) and are sorted so the
-result is deterministic.
+aggregation: counters only, so its rows have a fixed size.  Partitions by
+health are a long table; lists are built on request for one group and tick.
 """
 
 from __future__ import annotations
@@ -17,31 +16,29 @@ from ..functions.codes import health_code, health_from_code, status_code
 from .evaluate import KIND_UNREADABLE
 
 PARTITION_ITEM = ["topic", "partition", "status", "health", "lag_trend", "current_lag",
-                  "current_offset", "high_watermark", "consumption_rate", "lag_change_rate", "message"]
+                  "current_offset", "high_watermark", "consumption_rate", "lag_change_rate"]
 
 
 def group_status(evaluated: DataFrame, members: DataFrame | None = None) -> DataFrame:
-    """A1-A5 (+J2): per (cluster, group_id, tick).
+    """A1, A2, A4, A5 (+J2): per (cluster, group_id, tick), all counters.
 
     partition_count counts every position row, including partitions whose
     end offset was unreadable (P3); total_lag adds current lags (no-commit
     rows add 0); active = ACTIVE or EMPTY; LAGGING and UNKNOWN count in none
     of the three counters; overall health = worst of the partitions, GOOD
-    for a group without any.
-    """
+    for a group without any.  The partitions by health are counts here and
+    rows in `health_partitions` (A3)."""
     st, hl = F.col("status"), F.col("health")
-    item = F.struct(*[F.col(c) for c in PARTITION_ITEM])
     readable = F.col("kind") != KIND_UNREADABLE
+    def count(cond, name):
+        return F.count_if(cond).cast("int").alias(name)
     g = (evaluated.groupBy(*S.GROUP_KEY, "ts", "ts_us")
          .agg(F.count(F.lit(1)).cast("int").alias("partition_count"),
               F.coalesce(F.sum("current_lag"), F.lit(0)).cast("long").alias("total_lag"),
-              F.count_if(st.isin(S.ACTIVE, S.EMPTY)).cast("int").alias("active_partitions"),
-              F.count_if(st == S.STOPPED).cast("int").alias("stopped_partitions"),
-              F.count_if(st == S.STALLED).cast("int").alias("stalled_partitions"),
-              F.count_if(st == S.LAGGING).cast("int").alias("lagging_partitions"),
-              F.sort_array(F.collect_list(F.when(hl == S.CRITICAL, item))).alias("critical_partitions"),
-              F.sort_array(F.collect_list(F.when(hl == S.WARNING, item))).alias("warning_partitions"),
-              F.sort_array(F.collect_list(F.when(hl == S.GOOD, item))).alias("healthy_partitions"),
+              count(st.isin(S.ACTIVE, S.EMPTY), "active_partitions"),
+              count(st == S.STOPPED, "stopped_partitions"), count(st == S.STALLED, "stalled_partitions"),
+              count(st == S.LAGGING, "lagging_partitions"), count(hl == S.CRITICAL, "critical_count"),
+              count(hl == S.WARNING, "warning_count"), count(hl == S.GOOD, "healthy_count"),
               F.max(F.when(readable, health_code(hl))).alias("_worst")))
     g = g.withColumn("overall_health",
                      F.coalesce(health_from_code(F.greatest(F.col("_worst"), F.lit(0))), F.lit(S.GOOD))
@@ -51,6 +48,24 @@ def group_status(evaluated: DataFrame, members: DataFrame | None = None) -> Data
     return g
 
 
+def health_partitions(evaluated: DataFrame) -> DataFrame:
+    """A3 in long form: one row per (cluster, group, tick, health, partition)
+    with the partition's figures.  No row grows with a group's partitions."""
+    return (evaluated.filter(F.col("health").isin(S.CRITICAL, S.WARNING, S.GOOD))
+            .select(*S.GROUP_KEY, "ts_us", *PARTITION_ITEM))
+
+
+def health_lists(evaluated: DataFrame, cluster: str, group_id: str, ts_us: int) -> DataFrame:
+    """A3 as the three sorted lists of one group at one tick, on request."""
+    one = health_partitions(evaluated.filter(
+        (F.col("cluster") == cluster) & (F.col("group_id") == group_id) & (F.col("ts_us") == ts_us)))
+    item = F.struct(*PARTITION_ITEM)
+    return one.groupBy(*S.GROUP_KEY, "ts_us").agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("health") == h, item))).alias(name)
+        for name, h in (("critical_partitions", S.CRITICAL), ("warning_partitions", S.WARNING),
+                        ("healthy_partitions", S.GOOD))])
+
+
 def with_members(groups: DataFrame, members: DataFrame) -> DataFrame:
     """Member count per group, absent -> 0.  The member table has one
     row per (cluster, group); Catalyst broadcasts it only under the size
@@ -61,11 +76,11 @@ def with_members(groups: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def latest_group_status(groups: DataFrame) -> DataFrame:
-    """Newest tick per (cluster, group) via max_by (no sort)."""
-    cols = [c for c in groups.columns if c not in S.GROUP_KEY]
-    return (groups.groupBy(*S.GROUP_KEY)
-            .agg(F.max_by(F.struct(*cols), F.col("ts_us")).alias("_r"))
-            .select(*S.GROUP_KEY, "_r.*"))
+    """Newest tick per (cluster, group).  The newest time per group is a
+    hash aggregate of one number; the group rows join it on (group, time),
+    which is unique after the rollup."""
+    newest = groups.groupBy(*S.GROUP_KEY).agg(F.max("ts_us").alias("ts_us"))
+    return groups.join(newest, [*S.GROUP_KEY, "ts_us"], "left_semi")
 
 
 def group_count_per_cluster(groups: DataFrame, exact: bool = True) -> DataFrame:

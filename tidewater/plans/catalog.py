@@ -56,10 +56,7 @@ def register(name: str):
 
 
 def _group_out(g: DataFrame) -> DataFrame:
-    return g.select(*[c for c in GROUP_OUT if c not in ("critical_count", "warning_count", "healthy_count")],
-                    F.size("critical_partitions").alias("critical_count"),
-                    F.size("warning_partitions").alias("warning_count"),
-                    F.size("healthy_partitions").alias("healthy_count")).select(*GROUP_OUT)
+    return g.select(*GROUP_OUT)
 
 
 def worst_groups(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
@@ -97,6 +94,12 @@ def a1_group_status_events(spark, sf_dir):
     return _group_out(M.groups_b(spark, sf_dir, B_LONG))
 
 
+@register("a3_health_partitions")
+def a3_health_partitions(spark, sf_dir):
+    """A3: the partitions of every group and tick by health, long form."""
+    return R.health_partitions(M.evaluated_b(spark, sf_dir, B_LONG, messages=False))
+
+
 @register("a1_group_status_orders")
 def a1_group_status_orders(spark, sf_dir):
     g = M.group_status(M.evaluated_a(spark, sf_dir, A_WEEKLY, messages=False))
@@ -157,8 +160,9 @@ def clusters_config(spark, sf_dir) -> DataFrame:
     """Cluster configuration over the clusters present in the data: 'orders'
     overrides the global thresholds with the weekly preset, a second
     'orders' entry is a rejected duplicate, and 'archive' is disabled."""
-    names = (M.samples_b(spark, sf_dir).select("cluster")
-             .unionByName(M.samples_a(spark, sf_dir).select("cluster")).distinct())
+    # a bridge has samples wherever its source table has a row
+    names = (read_table(spark, sf_dir, "events").select(F.lit("events").alias("cluster")).distinct()
+             .unionByName(read_table(spark, sf_dir, "lineitem").select(F.lit("orders").alias("cluster")).distinct()))
     ov = F.when(F.col("name") == "orders", thresholds_struct(A_WEEKLY))
     first = names.select(F.col("cluster").alias("name"), F.lit(True).alias("enabled"),
                          F.array(F.concat(F.col("cluster"), F.lit("-broker-1:9092")),
@@ -311,8 +315,8 @@ def p7_ready_groups(spark, sf_dir):
 def j4_merge_series(spark, sf_dir):
     g = M.groups_b(spark, sf_dir, B_LONG)
     lag = g.select("cluster", "group_id", "ts_us", "total_lag")
-    crit = g.filter(F.size("critical_partitions") > 0).select(
-        "cluster", "group_id", "ts_us", F.size("critical_partitions").alias("error_partitions"))
+    crit = g.filter(F.col("critical_count") > 0).select(
+        "cluster", "group_id", "ts_us", F.col("critical_count").alias("error_partitions"))
     return RP.merge_series(lag, crit)
 
 
@@ -458,7 +462,7 @@ def damaged_envelopes(spark, sf_dir):
     """Envelopes of the Bridge B events where, deterministically by
     fingerprint, some payloads are missing or cut in half (C2 inputs)."""
     rec = _records_b_short(spark, sf_dir)
-    env = EIO.envelope(rec.withColumn("fp0", F.substring("fingerprint", 1, 1)))
+    env = EIO.envelope(rec)
     fp0 = F.get_json_object("event", "$.fingerprint").substr(1, 1)
     return env.withColumn("event", F.when(fp0 == "1", F.lit(None))
                           .when(fp0 == "0", F.expr("substring(event, 1, length(event) div 2)"))
@@ -493,6 +497,20 @@ def c2_quarantine(spark, sf_dir):
     return q.select("group_id", "topic", "partition", "timestamp", "reject_reason")
 
 
+@register("c2_stream_quarantine")
+def c2_stream_quarantine(spark, sf_dir):
+    """C2/C3 in a stream: the rejects read back from the quarantine sink."""
+    root = checkpoint_path(spark, f"consume-{_uuid.uuid4().hex}")
+    damaged_envelopes(spark, sf_dir).write.parquet(f"{root}/events/batch_id=0")
+    run = CS.fan_out([lambda good, batch_id: good.write.mode("overwrite").parquet(f"{root}/ok/batch_id={batch_id}")],
+                     f"{root}/rejects")
+    q = (EIO.read_events_stream(spark, f"{root}/events").writeStream
+         .foreachBatch(lambda df, batch_id: run(df, batch_id))
+         .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/rejects").select("group_id", "topic", "partition", "timestamp", "reject_reason")
+
+
 # ---------------------------------------------------------------------------
 # Streaming (ST1-ST3, ST7): the same samples cut into slices and fed to the
 # streaming monitor must give the batch result.
@@ -502,21 +520,26 @@ def c2_quarantine(spark, sf_dir):
 STREAM_SLICES = 3
 
 
-def stream_bridge_b(spark, sf_dir, th=B_SHORT) -> StreamingMonitor:
+def stream_bridge_b(spark, sf_dir, th=B_SHORT, *, resend: bool = False,
+                    state_ttl_s: float | None = None) -> StreamingMonitor:
     """Write Bridge B samples as STREAM_SLICES time slices, running the
-    stream (availableNow) after each arrival; returns the monitor."""
+    stream (availableNow) after each arrival; returns the monitor.  With
+    `resend`, the first slice arrives again before the last one."""
     root = checkpoint_path(spark, f"stream-{_uuid.uuid4().hex}")
     samples = M.samples_b(spark, sf_dir).select(
         "cluster", "group_id", "topic", "partition", "ts", "ts_us", "committed_offset", "high_watermark")
     bounds = samples.agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
     lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    mon = StreamingMonitor(spark, th, f"{root}/out")
+    mon = StreamingMonitor(spark, th, f"{root}/out", state_ttl_s=state_ttl_s)
     span = (hi - lo + F.lit(1))
     part = F.floor((F.col("ts_us") - lo) * STREAM_SLICES / span)
     staged = samples.withColumn("_slice", part)
-    for i in range(STREAM_SLICES):
+    order = list(range(STREAM_SLICES))
+    if resend:
+        order.insert(-1, 0)
+    for n, i in enumerate(order):
         (staged.filter(F.col("_slice") == i).drop("_slice", "ts_us")
-         .write.mode("overwrite").parquet(f"{root}/in/slice={i}"))
+         .write.mode("overwrite").parquet(f"{root}/in/arrival={n}"))
         run_available(spark, mon, f"{root}/in/*/")
     return mon
 
@@ -537,6 +560,45 @@ def st3_stream_events(spark, sf_dir):
                      F.col("type").alias("event_type"), "severity")
 
 
+#: a week of de-duplication: buckets hold several events of one key
+DEDUP_WEEK = B_SHORT.with_(dedup_s=7 * 86400.0)
+STREAM_TTL_S = 3650 * 86400.0
+
+
+@register("e7_events_dedup_week")
+def e7_events_dedup_week(spark, sf_dir):
+    """E7 with a window longer than the gate, so that events are removed."""
+    ev, hot = M.evaluated_b_hot(spark, sf_dir, DEDUP_WEEK)
+    return dedup(event_records(ev, detect(ev, DEDUP_WEEK, hot), DEDUP_WEEK)).select(*EVENT_OUT)
+
+
+@register("e7_orders_dedup")
+def e7_orders_dedup(spark, sf_dir):
+    """E6 + E7 over Bridge A; its 21-day window does not divide the year-one offset."""
+    ev, hot = M.evaluated_a_hot(spark, sf_dir, A_WEEKLY)
+    return dedup(event_records(ev, detect(ev, A_WEEKLY, hot), A_WEEKLY)).select(*EVENT_OUT)
+
+
+@register("st4_stream_dedup")
+def st4_stream_dedup(spark, sf_dir):
+    """ST4: events of one dedup bucket in different batches - equal to the batch de-duplication."""
+    return stream_bridge_b(spark, sf_dir, DEDUP_WEEK).events().select(*EVENT_OUT)
+
+
+@register("st5_state_after_late_batch")
+def st5_state_after_late_batch(spark, sf_dir):
+    """ST5: with a TTL set and a batch of late rows in the middle, the status equals the batch evaluation."""
+    mon = stream_bridge_b(spark, sf_dir, resend=True, state_ttl_s=STREAM_TTL_S)
+    return mon.status().select(*STATUS_OUT)
+
+
+@register("st7_late_rows")
+def st7_late_rows(spark, sf_dir):
+    """ST7: the rows that arrived again, routed aside."""
+    late = stream_bridge_b(spark, sf_dir, resend=True, state_ttl_s=STREAM_TTL_S).late()
+    return late.select(*S.KEY, _epoch_us("ts").alias("ts_us"), "committed_offset", "high_watermark")
+
+
 # ---------------------------------------------------------------------------
 # Window snapshots (S9, S10) and stale-key cleanup
 # ---------------------------------------------------------------------------

@@ -82,8 +82,8 @@ def overview(latest_groups: DataFrame) -> DataFrame:
     directly one aggregate row per group."""
     return (latest_groups.select(
         *S.GROUP_KEY, F.col("overall_health").alias("status"), health_code("overall_health").alias("status_code"),
-        "total_lag", F.size("critical_partitions").alias("error_partitions"),
-        F.size("warning_partitions").alias("warning_partitions"))
+        "total_lag", F.col("critical_count").alias("error_partitions"),
+        F.col("warning_count").alias("warning_partitions"))
         .orderBy(F.col("total_lag").desc(), "cluster", "group_id"))
 
 

@@ -39,10 +39,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by `spark.checkpoint.dir`;
-    only when it is unset (local tests) create a private temp folder."""
+    """Return the shared checkpoint folder named by `spark.checkpoint.dir`.
+
+    Only a local master may leave it unset (tests); a private temp folder is
+    made then.  Elsewhere that is an error: other machines could not read it."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tidewater-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

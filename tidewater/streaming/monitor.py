@@ -9,7 +9,9 @@ Each micro-batch of new samples is evaluated by the same batch operators:
    `status/batch_id=<id>` and read back (cutting lineage);
 3. the gate fold continues from the previous gate state (ST3) and writes
    event candidates to `events/batch_id=<id>`;
-4. the new tail and gate state are written as version `v=<id>`.
+4. events whose fingerprint an earlier batch has written are dropped (ST4),
+   and the fingerprints of buckets that can still get events are kept;
+5. the new tail, gate and fingerprint state are written as version `v=<id>`.
 
 Every output of batch k is written with overwrite under a path named by k
 and only reads versions < k, so a replayed batch (after a failure) is
@@ -23,9 +25,10 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..config import Thresholds
-from ..operators.evaluate import KIND_WINDOW, evaluate
+from ..operators.evaluate import evaluate
 from ..operators.incidents import STATE_EV, _typed, dedup, event_records, fold_gate
 from ..sources.positions import samples_from
+from ..sources.status_io import versions
 from .snapshots import tail_rows
 
 SAMPLE_SCHEMA = ("cluster string, group_id string, topic string, partition int, ts timestamp_ntz, "
@@ -43,18 +46,7 @@ class StreamingMonitor:
 
     # -- versioned tables -------------------------------------------------
     def _versions(self, name: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = path.getFileSystem(conf)
-        if not fs.exists(path):
-            return []
-        out = []
-        for st in fs.listStatus(path):
-            n = st.getPath().getName()
-            if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(n[2:]))
-        return sorted(out)
+        return versions(self.spark, f"{self.root}/{name}")
 
     def _read_before(self, name: str, batch_id: int) -> DataFrame | None:
         vs = [v for v in self._versions(name) if v < batch_id]
@@ -88,7 +80,8 @@ class StreamingMonitor:
         tail_new = tail_rows(keep, max(th.window_size - 1, 1))
         live = None
         if self.state_ttl_s is not None:  # ST5: drop state of keys idle longer than the TTL
-            horizon = new.select(F.max("ts_us")).scalar() - F.lit(int(self.state_ttl_s * 1_000_000))
+            # a batch of late rows only has no newer sample: the newest tail row keeps the time
+            horizon = tail_new.select(F.max("ts_us")).scalar() - F.lit(int(self.state_ttl_s * 1_000_000))
             live = (tail_new.groupBy(*S.KEY).agg(F.max("ts_us").alias("_last"))
                     .filter(F.col("_last") >= horizon).select(*S.KEY))
             tail_new = tail_new.join(live, S.KEY, "left_semi")
@@ -97,7 +90,17 @@ class StreamingMonitor:
             fold_path = self._write(fold_gate(status, th, gate, emit_state=True), "fold", batch_id, "batch_id")
             folded = self.spark.read.parquet(fold_path)
             det = _typed(folded)
-            self._write(dedup(event_records(status, det, th)), "events", batch_id, "batch_id")
+            prints = self._read_before("prints", batch_id)
+            fresh = dedup(event_records(status, det, th))
+            if prints is not None:  # ST4: an event of an earlier batch holds its fingerprint
+                fresh = fresh.join(prints, "fingerprint", "left_anti")
+            path = self._write(fresh, "events", batch_id, "batch_id")
+            seen = self.spark.read.parquet(path).select("fingerprint", "dedup_bucket_s")
+            if prints is not None:
+                seen = seen.unionByName(prints)
+            if self.state_ttl_s is not None:  # buckets that closed before the horizon get no more events
+                seen = seen.filter(F.col("dedup_bucket_s") * 1_000_000 >= horizon - F.lit(int(th.dedup_s * 1_000_000)))
+            self._write(seen, "prints", batch_id)
             new_state = folded.filter(F.col("ev") == STATE_EV).select(*S.KEY, "prev_st", "last_us")
             if gate is not None:
                 new_state = new_state.unionByName(gate.join(new_state.select(*S.KEY), S.KEY, "left_anti"))
@@ -139,7 +142,3 @@ def dedup_stream(events: DataFrame, dedup_s: float) -> DataFrame:
     ts = F.timestamp_seconds(F.col("ts_us") / 1_000_000) if "ts_us" in events.columns else F.col("timestamp")
     return (events.withColumn("_evt", ts).withWatermark("_evt", f"{int(dedup_s)} seconds")
             .dropDuplicatesWithinWatermark(["fingerprint"]).drop("_evt"))
-
-
-def windowed_only(status: DataFrame) -> DataFrame:
-    return status.filter(F.col("kind") == KIND_WINDOW)
