@@ -374,6 +374,12 @@ SELECT cluster, group_id, topic, "partition", saved_at_us FROM snap
 WHERE (cluster, group_id) IN (SELECT cluster, group_id FROM glatest_b WHERE active_partitions > 0)"""
 SQL["w_status_events_hot_split"] = SQL["w_status_events"]
 SQL["e2_incidents_hot_split"] = SQL["e2_incidents_events_long"]
+SQL["w_status_auto_split"] = SQL["w_status_events"]
+SQL["e2_incidents_auto_split"] = SQL["e2_incidents_events_long"]
+SQL["e2_incidents_per_cluster"] = (
+    f"SELECT * FROM ({SQL['e2_incidents_events_short']}) UNION ALL SELECT * FROM ({SQL['e2_incidents_orders']})")
+SQL["e7_incidents_per_cluster"] = (
+    f"SELECT * FROM ({SQL['e7_events_dedup']}) UNION ALL SELECT * FROM ({SQL['e7_orders_dedup']})")
 
 # --- remaining reports ----------------------------------------------------------
 _ALL = [*_groups_b_ctes(), *_groups_a_ctes(), GLATEST_B, GLATEST_A,

@@ -255,9 +255,9 @@ def partition_status(evaluated: DataFrame) -> DataFrame:
 def latest_per_key(status: DataFrame) -> DataFrame:
     """Newest evaluated row per KEY (the status store keeps only that).
 
-    A hash aggregate with `max_by` instead of a sorting window: partial
-    aggregation runs map-side and an input hash-partitioned by KEY (the
-    evaluation's own exchange) is reused without a new shuffle.
+    `max_by` over a struct (a sort aggregate) instead of a window: partial
+    aggregation runs map-side, and an input hash-partitioned by KEY (the
+    evaluation's own exchange) needs no new shuffle.
     """
     cols = [c for c in status.columns if c not in S.KEY]
     return (status.groupBy(*S.KEY)

@@ -26,10 +26,11 @@ only 8 narrow columns cross into Python.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -186,25 +187,28 @@ def _fold_partition(gate_us: int, emit_state: bool):
     return fn
 
 
-def _narrow(evaluated: DataFrame, th: Thresholds) -> DataFrame:
+def _narrow(evaluated: DataFrame, rapid: Column, floor: Column) -> DataFrame:
     w = evaluated.filter(F.col("kind") == KIND_WINDOW)
     return w.select(
         *S.KEY, "ts_us", status_code("status").alias("st"),
-        ((F.col("lag_change_rate") > F.lit(float(th.rapid_rate)) * 2)
-         & (F.col("current_lag") > F.lit(th.lag_floor))).alias("e4"),
+        ((F.col("lag_change_rate") > rapid * 2) & (F.col("current_lag") > floor)).alias("e4"),
         ((F.col("current_lag") == 0) & (F.col("n_records") > 2)
-         & F.coalesce(F.col("prev_lag") > F.lit(th.lag_floor), F.lit(False))).alias("e5"),
+         & F.coalesce(F.col("prev_lag") > floor, F.lit(False))).alias("e5"),
         F.lit(False).alias("is_seed"), F.lit(None).cast("int").alias("seed_prev"),
         F.lit(None).cast("long").alias("seed_last"))
 
 
+def _narrow_of(evaluated: DataFrame, th: Thresholds) -> DataFrame:
+    return _narrow(evaluated, F.lit(float(th.rapid_rate)), F.lit(th.lag_floor))
+
+
 def fold_gate(evaluated: DataFrame, th: Thresholds, state: DataFrame | None = None,
               emit_state: bool = False) -> DataFrame:
     """Run the gate fold; `state` (KEY, prev_st, last_us) seeds keys that
     were folded before (a stream's previous micro-batches).  Output rows
     with ev > 0 are events; with `emit_state`, one row per key with ev = 0
     carries its final (prev_st, last_us)."""
-    narrow = _narrow(evaluated, th)
+    narrow = _narrow_of(evaluated, th)
     if state is not None:
         seeds = state.select(*S.KEY, F.lit(-(1 << 62)).cast("long").alias("ts_us"),
                              F.lit(-1).alias("st"), F.lit(False).alias("e4"), F.lit(False).alias("e5"),
@@ -224,14 +228,28 @@ def _typed(folded: DataFrame) -> DataFrame:
         *S.KEY, "ts_us", "ev", types[F.col("ev")].alias("event_type"), sev[F.col("ev")].alias("severity"))
 
 
-def detect(evaluated: DataFrame, th: Thresholds, hot_key_rows: int | str | None = None) -> DataFrame:
+def detect(evaluated: DataFrame, th: Thresholds | DataFrame, hot_key_rows: int | str | None = None) -> DataFrame:
     """Gated event candidates (KEY, ts_us, event_type, severity).
 
+    `th` is one set of thresholds or a table with one row per cluster (S4):
+    clusters then go through the fold by their gate length (a handful,
+    bounded by configuration), each with its own rate and lag limits.
+
     With `hot_key_rows`, keys above that many rows are folded in parallel
     time segments and stitched exactly (see gate_split)."""
+    if not isinstance(th, Thresholds):
+        from .gate_split import fold_gate_split
+        parts = []
+        for gate in sorted(r[0] for r in th.select("gate_s").distinct().collect()):
+            own = th.filter(F.col("gate_s") == gate).select("cluster", F.col("rapid_rate").alias("_rapid"),
+                                                            F.col("lag_floor").alias("_floor"))
+            narrow = _narrow(evaluated.join(own, "cluster"), F.col("_rapid"), F.col("_floor")).select(
+                *S.KEY, "ts_us", "st", "e4", "e5")
+            parts.append(_typed(fold_gate_split(narrow, int(round(gate * 1_000_000)), hot_key_rows)))
+        return reduce(DataFrame.unionByName, parts)
     if hot_key_rows:
         from .gate_split import fold_gate_split
-        narrow = _narrow(evaluated, th).select(*S.KEY, "ts_us", "st", "e4", "e5")
+        narrow = _narrow_of(evaluated, th).select(*S.KEY, "ts_us", "st", "e4", "e5")
         return _typed(fold_gate_split(narrow, int(round(th.gate_s * 1_000_000)), hot_key_rows))
     return _typed(fold_gate(evaluated, th))
 
@@ -245,7 +263,7 @@ def detect_with_state(evaluated: DataFrame, th: Thresholds, state: DataFrame | N
     return _typed(folded), new_state
 
 
-def event_records(evaluated: DataFrame, detected: DataFrame, th: Thresholds, *,
+def event_records(evaluated: DataFrame, detected: DataFrame, th: Thresholds | DataFrame, *,
                   source: str = S.DEFAULT_EVENT_SOURCE, deterministic_ids: bool = True,
                   fingerprint_with_cluster: bool = False) -> DataFrame:
     """E6 + X5-X7: full event rows.  The payload comes from the evaluated
@@ -256,12 +274,17 @@ def event_records(evaluated: DataFrame, detected: DataFrame, th: Thresholds, *,
         "lag_change_rate", "time_since_last_move_s", "window_completeness", "health", "status",
         "lag_trend", "is_active", "message")
     j = detected.join(payload, S.KEY + ["ts_us"], "inner")
+    if isinstance(th, Thresholds):
+        rapid_rate, dedup_s = F.lit(th.rapid_rate), th.dedup_s
+    else:
+        j = j.join(th.select("cluster", F.col("rapid_rate").alias("_rapid"), F.col("dedup_s").alias("_dedup")), "cluster")
+        rapid_rate, dedup_s = F.col("_rapid"), F.col("_dedup")
     et = F.col("event_type")
     desc = (F.when(et == S.RAPID_LAG_INCREASE,
-                   F.format_string(X.MSG_RAPID, F.col("lag_change_rate"), F.lit(th.rapid_rate)))
+                   F.format_string(X.MSG_RAPID, F.col("lag_change_rate"), rapid_rate))
             .when(et == S.LAG_CLEARED, F.lit(X.MSG_CLEARED))
             .otherwise(F.col("message")))
-    bucket = truncate_from_year_one_s(F.col("ts_us"), th.dedup_s)
+    bucket = truncate_from_year_one_s(F.col("ts_us"), dedup_s)
     fp_parts = [F.lit(source), et, F.col("group_id"), F.col("topic"), F.col("partition").cast("string"),
                 bucket.cast("string")]
     if fingerprint_with_cluster:
@@ -289,9 +312,9 @@ def event_records(evaluated: DataFrame, detected: DataFrame, th: Thresholds, *,
 
 def dedup(events: DataFrame) -> DataFrame:
     """First event per fingerprint wins (earliest time, then cluster,
-    then id).  A hash aggregate with min_by - partial aggregation map-side,
-    no sort; a fingerprint group is bounded by one key's events in one
-    dedup bucket."""
+    then id).  `min_by` over a struct plans as a sort aggregate with map-side
+    partial aggregation; a fingerprint group is bounded by one key's events
+    in one dedup bucket."""
     cols = [c for c in events.columns if c != "fingerprint"]
     order = F.struct("ts_us", "cluster", "id")
     return (events.groupBy("fingerprint")

@@ -29,13 +29,22 @@ AUTO_FLOOR_ROWS = 1_000_000
 MAX_COLLECTED = 10_000
 
 
+@dataclass(frozen=True)
+class Auto:
+    """Split keys above one shuffle partition's fair share of the rows, but
+    none with fewer than `floor_rows`.  "auto" is Auto() with the default."""
+    floor_rows: int = AUTO_FLOOR_ROWS
+
+
 def hot_threshold(df: DataFrame, hot_key_rows: int | str | None) -> Column | None:
     if hot_key_rows is None:
         return None
     if hot_key_rows == AUTO:
+        hot_key_rows = Auto()
+    if isinstance(hot_key_rows, Auto):
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
         share = df.select(F.ceil(F.count(F.lit(1)) / F.lit(parts)).cast("long")).scalar()
-        return F.greatest(share, F.lit(AUTO_FLOOR_ROWS).cast("long"))
+        return F.greatest(share, F.lit(hot_key_rows.floor_rows).cast("long"))
     return F.lit(int(hot_key_rows)).cast("long")
 
 

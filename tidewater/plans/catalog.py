@@ -1,7 +1,8 @@
 """Registered queries: one per operator row of the survey (§2).
 
 Every query reads the driver's tables (through the bridges) over their
-whole extent and returns a lazy DataFrame.  Output columns are plain
+whole extent.  Building one may run small jobs (checkpointed
+pre-aggregates, the hot-key decision).  Output columns are plain
 scalars with epoch-microsecond times (`ts_us`) so results compare
 engine-independently.  Message text is checked by unit tests, not here.
 """
@@ -27,6 +28,7 @@ from ..operators import rollup as R
 from ..operators.evaluate import evaluate, latest_per_key, partition_status
 from ..operators.incidents import dedup, detect, event_records
 from ..operators.rollup import latest_group_status
+from ..operators.skew import Auto, plan_hot_keys
 from ..session import checkpoint_path
 from ..sources import event_io as EIO
 from ..sources.bridges import events_samples, read_table
@@ -45,6 +47,9 @@ GROUP_OUT = ["cluster", "group_id", "ts_us", "partition_count", "total_lag", "ac
              "stopped_partitions", "stalled_partitions", "lagging_partitions", "critical_count",
              "warning_count", "healthy_count", "overall_health", "member_count"]
 
+#: the "auto" skew policy with a floor that small data passes too
+LOW_FLOOR = Auto(floor_rows=50)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -650,6 +655,40 @@ def e2_incidents_hot_split(spark, sf_dir):
     return detect(ev, B_LONG, hot_key_rows=100).select(*DETECT_OUT)
 
 
+@register("w_status_auto_split")
+def w_status_auto_split(spark, sf_dir):
+    """The "auto" policy with a floor low enough that it splits keys here."""
+    s = M.samples_b(spark, sf_dir)
+    return evaluate(s, B_LONG, messages=False, hot_key_rows=plan_hot_keys(s, LOW_FLOOR)).select(*STATUS_OUT)
+
+
+@register("e2_incidents_auto_split")
+def e2_incidents_auto_split(spark, sf_dir):
+    s = M.samples_b(spark, sf_dir)
+    hot = plan_hot_keys(s, LOW_FLOOR)
+    return detect(evaluate(s, B_LONG, messages=False, hot_key_rows=hot), B_LONG, hot).select(*DETECT_OUT)
+
+
+def _per_cluster(spark, sf_dir):
+    th = resolve_thresholds(clusters_config(spark, sf_dir), B_SHORT)
+    samples = M.samples_b(spark, sf_dir).unionByName(M.samples_a(spark, sf_dir))
+    return evaluate(samples, th, messages=True), th
+
+
+@register("e2_incidents_per_cluster")
+def e2_incidents_per_cluster(spark, sf_dir):
+    """E1-E5 of both bridges in one plan, each cluster with its own thresholds and gate."""
+    ev, th = _per_cluster(spark, sf_dir)
+    return detect(ev, th).select(*DETECT_OUT)
+
+
+@register("e7_incidents_per_cluster")
+def e7_incidents_per_cluster(spark, sf_dir):
+    """E6 + E7 with each cluster's own de-duplication window."""
+    ev, th = _per_cluster(spark, sf_dir)
+    return dedup(event_records(ev, detect(ev, th), th)).select(*EVENT_OUT)
+
+
 # ---------------------------------------------------------------------------
 # Remaining reports: Q2, Q3, Q5, Q6, Q8
 # ---------------------------------------------------------------------------

@@ -1,7 +1,8 @@
 """End-to-end batch plans over the bridges: samples -> status -> rollups.
 
 These are the building blocks of the registered queries; each returns a
-lazy DataFrame.  Nothing here collects data to the driver.
+DataFrame.  Building one writes the bridges' pre-aggregates and takes the
+hot-key decision, whose bounded list is all that reaches the driver.
 """
 
 from __future__ import annotations

@@ -76,7 +76,7 @@ def bridge_events(events: DataFrame, *, density: int = 20, partitions: int | Non
     # ord of a message = (messages of the partition in earlier ticks) + rank in its tick.
     # Everything below derives from `per_group` (partitions x ticks x groups,
     # far smaller than the events), so the events are scanned once for the
-    # ranking and once for P, and the ranking's exchange is reused.
+    # ranking and once for P.
     in_tick = Window.partitionBy("partition", "tick_us").orderBy("ts", "event_id")
     ranked = ev.withColumn("r", F.row_number().over(in_tick))
     per_group = _cut(ranked.groupBy("partition", "tick_us", "group_id").agg(F.max("r").alias("m")))
@@ -132,7 +132,7 @@ def bridge_orders(lineitem: DataFrame, orders: DataFrame, customer: DataFrame, *
     kc = ["group_id", "topic", "partition"]
     # One pre-aggregation of the joined lines to (key, order tick, ship tick)
     # counts - bounded by keys x ticks x shipping delay, not by line count.
-    # Every branch below reads this one aggregate (its exchange is reused),
+    # Every branch below reads this one aggregate (a checkpoint),
     # so the line-level join runs once.
     pairs = _cut(keyed.groupBy(*kc, "prod_tick", "cons_tick").agg(F.count(F.lit(1)).alias("n")))
     produced = pairs.groupBy(*kc, F.col("prod_tick").alias("tick_us")).agg(F.sum("n").alias("p"))
