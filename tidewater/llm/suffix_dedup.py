@@ -149,6 +149,9 @@ class Suffixes:
         self.step = len(ctx)
         self.at = start * self.step + row
         self.full = self.p[self.at + LENGTH * self.step] - self.p[self.at] * _POWERS[LENGTH]
+        flat = np.ascontiguousarray(ctx).ravel()
+        words = np.ndarray((max(0, len(flat) - 7),), ">u8", flat.tobytes(), strides=(1,))
+        self.head = words[row * ctx.shape[1] + start].astype(np.uint64)   # the first bytes settle most comparisons
 
     def _hash(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
         at = self.at[x]
@@ -169,19 +172,30 @@ class Suffixes:
 
     def less(self, x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         """Whether suffix x sorts before y (or equals it, where asked)."""
+        hx, hy = self.head[x], self.head[y]
+        out = hx < hy
+        tie = np.flatnonzero(hx == hy)
+        x, y = x[tie], y[tie]
         n = self.common(x, y)
-        out = or_equal.copy()
-        d = n < LENGTH
+        equal = n == LENGTH
+        out[tie[equal]] = or_equal[tie[equal]]
+        d = np.flatnonzero(~equal)
         flat, width = self.ctx.ravel(), self.ctx.shape[1]
         cx = flat[self.row[x[d]] * width + self.start[x[d]] + n[d]]
         cy = flat[self.row[y[d]] * width + self.start[y[d]] + n[d]]
-        out[d] = cx < cy
+        out[tie[d]] = cx < cy
         return out
 
     def sort(self, order: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Mergesort of `order` within classes: position i belongs to the
         class that occupies [lo[i], hi[i]).  All classes merge together."""
-        width = 1
+        first = np.flatnonzero((np.arange(len(order)) - lo) % 2 == 0)      # runs of one: a swap where needed
+        first = first[first + 1 < hi[first]]
+        if len(first):
+            swap = first[self.less(order[first + 1], order[first], np.zeros(len(first), bool))]
+            order = order.copy()
+            order[swap], order[swap + 1] = order[swap + 1], order[swap]
+        width = 2
         while True:
             active = np.flatnonzero(hi - lo > width)
             if not len(active):
@@ -231,7 +245,7 @@ def smallest_ids(key: np.ndarray, ctx: np.ndarray, count: np.ndarray, offset: np
     lo = np.repeat(edge, size)
     hi = lo + np.repeat(size, size)
     sx = Suffixes(ctx, row, start)
-    order = sx.sort(order, lo, hi)
+    order = sx.sort(order, lo, np.where(hi - lo > 2, hi, lo))       # two need no order to be compared
     near = np.flatnonzero((lo[1:] == lo[:-1])) + 1                  # has a left neighbour in its class
     x, y = order[near - 1], order[near]
     hit = sx.full[x] == sx.full[y]                                  # a common extension of LENGTH
@@ -471,7 +485,8 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     prints = stored(docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc"), block.alias("block"), F.octet_length(text_col).alias("size"),
         F.md5(F.col(text_col).cast("binary")).alias("digest")), "digests")
-    first = prints.groupBy("digest", "size").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo != hi")
+    first = stored(prints.groupBy("digest", "size").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+                   .where("lo != hi"), "repeated")
     copies = stored(prints.join(first, ["digest", "size"]).where("doc != lo").select("block", "doc").distinct(), "copies")
 
     by_block = rows.groupBy("__block")
