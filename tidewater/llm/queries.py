@@ -44,10 +44,10 @@ def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = (read.where("record_type = 'response'").select(
         F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full_bytes"),
         F.col("payload_digest").alias("full_digest")).dropDuplicates(["refers_to"]))
-    return read.join(full, "refers_to", "left").select(
-        "page_id", F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"),
-        F.coalesce("payload_digest", "full_digest").alias("payload_digest"), "record_type", "refers_to",
-        "n_segments", "complete")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "n_segments", "complete"]
+    again = read.where("refers_to is not null").drop("payload_bytes", "payload_digest").join(full, "refers_to", "left")
+    return read.where("refers_to is null").select(*columns).union(again.withColumnsRenamed(
+        {"full_bytes": "payload_bytes", "full_digest": "payload_digest"}).select(*columns))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
