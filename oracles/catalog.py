@@ -346,6 +346,17 @@ SQL["st2_stream_equals_batch"] = D.with_(D.bridge_b(), D.evaluate("samples_b", B
     f"\nSELECT {STATUS_OUT} FROM ev_b"
 SQL["st3_stream_events"] = _detect_sql(D.bridge_b(), "samples_b", B_SHORT)
 
+SQL["s1_scan_aligned"] = SQL["w_status_events"]
+SQL["e8_disabled_publisher"] = f"SELECT * FROM ({SQL['e7_events_dedup']}) WHERE false"
+SQL["l3_read_assignments"] = D.with_(PL_BASE) + """
+SELECT asg.owner AS member, asg.key FROM asg JOIN kb ON kb.key = asg.key WHERE kb.bucket % 10 <> 0"""
+SQL["l3_stale_assignments"] = D.with_(PL_BASE) + "\nSELECT owner AS member, key FROM asg WHERE false"
+SQL["a8_error_counts"] = D.with_(*_RECS) + """
+SELECT cluster, count(*) AS errors FROM rd WHERE substr(fingerprint, 1, 1) IN ('0', '1') GROUP BY cluster"""
+SQL["a10_last_duration"] = D.with_(*B_EV) + """
+SELECT cluster, arg_max(d, ts_us) AS duration_s FROM (
+  SELECT cluster, ts_us, max(time_since_last_move_s) AS d FROM ev_b WHERE kind <> 'unreadable' GROUP BY cluster, ts_us)
+GROUP BY cluster"""
 SQL["c2_stream_quarantine"] = SQL["c2_quarantine"]
 SQL["st4_stream_dedup"] = SQL["e7_events_dedup_week"]
 SQL["st5_state_after_late_batch"] = SQL["st2_stream_equals_batch"]

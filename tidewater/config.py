@@ -111,14 +111,6 @@ def resolve_thresholds(clusters: DataFrame, global_cfg: Thresholds) -> DataFrame
                         chosen.alias("t")).select("cluster", "brokers", "t.*")
 
 
-def rejected_clusters(clusters: DataFrame) -> DataFrame:
-    """The enabled duplicates that S4 refuses (the run goes on without them)."""
-    enabled = clusters.filter(F.col("enabled"))
-    firsts = enabled.groupBy("name").agg(F.min("ordinal").alias("ordinal"))
-    return (enabled.join(firsts, ["name", "ordinal"], "left_anti")
-            .select("name", "ordinal", F.lit("cluster already exists").alias("reason")))
-
-
 def attach_thresholds(df: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Samples inner-join thresholds on cluster.
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +56,3 @@ def code_filter(code: Column, pattern: str) -> Column:
     pattern is anchored like a label matcher."""
     return code.cast("string").rlike("^(?:" + pattern + ")$")
 
-
-def any_of(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, cols)

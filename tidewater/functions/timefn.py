@@ -35,10 +35,6 @@ def from_epoch_us(col: Column | str) -> Column:
     return F.timestamp_add("MICROSECOND", c, _epoch_ntz())
 
 
-def with_epoch(df: DataFrame, ts: str = "ts", out: str = "ts_us") -> DataFrame:
-    return df.withColumn(out, epoch_us(ts, df.schema[ts].dataType))
-
-
 def next_tick_us(ts_us: Column, step_us: int, origin_us: int = 0) -> Column:
     """First tick strictly after `ts_us` on the grid origin + k*step."""
     return ts_us - F.pmod(ts_us - F.lit(origin_us), F.lit(step_us)) + F.lit(step_us)

@@ -2,8 +2,7 @@
 table (metric, cluster, group_id, topic, partition, value).
 
 Label sets are fixed per metric, so labels are flat nullable columns rather
-than a map; `with_label_map` adds the MAP<STRING,STRING> form for sinks that
-want it.  Gauges are "last written value": partition gauges come from the
+than a map.  Gauges are "last written value": partition gauges come from the
 newest *windowed* evaluation of a key (no-commit rows write none), the
 end-offset gauge has no group label so groups overwrite each other (newest
 wins), and the last-activity gauge keeps its old value while the key is
@@ -12,7 +11,7 @@ inactive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -96,11 +95,3 @@ def metrics_long(evaluated: DataFrame, latest_groups: DataFrame) -> DataFrame:
     return (partition_gauges(evaluated).unionByName(log_end_gauges(evaluated))
             .unionByName(group_gauges(latest_groups)))
 
-
-def with_label_map(metrics: DataFrame) -> DataFrame:
-    """Labels as MAP<STRING,STRING> (absent labels omitted)."""
-    pairs: list[Column] = []
-    for c in ("cluster", "group_id", "topic", "partition"):
-        pairs += [F.lit(c), F.col(c).cast("string")]
-    m = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
-    return metrics.select("metric", m.alias("labels"), "value")

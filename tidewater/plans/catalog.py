@@ -26,13 +26,13 @@ from ..operators import metrics as MT
 from ..operators import placement as PL
 from ..operators import rollup as R
 from ..operators.evaluate import evaluate, latest_per_key, partition_status
-from ..operators.incidents import dedup, detect, event_records
+from ..operators.incidents import dedup, detect, event_records, incidents
 from ..operators.rollup import latest_group_status
 from ..operators.skew import Auto, plan_hot_keys
 from ..session import checkpoint_path
 from ..sources import event_io as EIO
 from ..sources.bridges import events_samples, read_table
-from ..sources.positions import join_watermarks, list_groups
+from ..sources.positions import align_to_tick, join_watermarks, list_groups, read_positions, read_watermarks
 from ..streaming.monitor import StreamingMonitor, run_available
 from ..streaming.snapshots import load_windows, save_windows
 from . import monitor as M
@@ -141,6 +141,12 @@ def e2_incidents_orders(spark, sf_dir):
     return detect(ev, A_WEEKLY, hot).select(*DETECT_OUT)
 
 
+@register("e8_disabled_publisher")
+def e8_disabled_publisher(spark, sf_dir):
+    """A disabled publisher makes no events."""
+    return incidents(M.evaluated_b(spark, sf_dir, B_SHORT), B_SHORT, enabled=False).select(*EVENT_OUT)
+
+
 @register("e7_events_dedup")
 def e7_events_dedup(spark, sf_dir):
     """E6 records + X5 fingerprint + E7 de-duplication (Bridge B, short timeout)."""
@@ -198,6 +204,26 @@ def s2_watermarks(spark, sf_dir):
     return wm.select("cluster", "topic", "partition", epoch_us("ts").alias("ts_us"), "high_watermark")
 
 
+@register("s1_scan_aligned")
+def s1_scan_aligned(spark, sf_dir):
+    """S1/S2/J1 from files: positions and end offsets written off the tick
+    grid, with an older reading in each tick and rows without a topic, read
+    back, aligned to ticks, joined and evaluated."""
+    root = checkpoint_path(spark, f"scan-{_uuid.uuid4().hex}")
+    pos, wm = events_samples(spark, sf_dir)
+    def spread(df, value):
+        late = df.withColumn("ts", F.expr("ts + make_interval(0, 0, 0, 0, 0, 11 + partition % 40)"))
+        early = df.withColumn("ts", F.expr("ts + make_interval(0, 0, 0, 0, 0, 3)")).withColumn(value, F.lit(0).cast("long"))
+        return late.unionByName(early)
+    spread(pos, "committed_offset").unionByName(
+        pos.filter("partition = 0").withColumn("topic", F.lit(None).cast("string"))).write.parquet(f"{root}/positions")
+    spread(wm, "high_watermark").withColumn("low_watermark", F.lit(0)).write.parquet(f"{root}/watermarks")
+    hour = 3600 * 1_000_000
+    p = align_to_tick(read_positions(spark, f"{root}/positions"), S.KEY, "committed_offset", hour)
+    w = align_to_tick(read_watermarks(spark, f"{root}/watermarks"), S.LOG_KEY, "high_watermark", hour)
+    return evaluate(join_watermarks(p, w), B_LONG, messages=False).select(*STATUS_OUT)
+
+
 @register("s3_group_roster")
 def s3_group_roster(spark, sf_dir):
     pos, _ = events_samples(spark, sf_dir)
@@ -241,6 +267,19 @@ def a9_idle_histogram(spark, sf_dir):
     return R.duration_histogram(ev, "time_since_last_move_s", [3600.0 * h for h in (1, 2, 3, 6, 12, 24)])
 
 
+@register("a8_error_counts")
+def a8_error_counts(spark, sf_dir):
+    """A8 over the rejected payloads of the event stream, by cluster."""
+    return R.error_count_per_cluster(CS.quarantine(CS.parse(damaged_envelopes(spark, sf_dir))))
+
+
+@register("a10_last_duration")
+def a10_last_duration(spark, sf_dir):
+    """A10 over the longest idle time per cluster and tick."""
+    ev = partition_status(M.evaluated_b(spark, sf_dir, B_LONG, messages=False))
+    return R.last_cycle_duration(ev.groupBy("cluster", "ts_us").agg(F.max("time_since_last_move_s").alias("duration_s")))
+
+
 @register("a12_lag_by_group")
 def a12_lag_by_group(spark, sf_dir):
     return R.lag_by_group(_latest_b(spark, sf_dir))
@@ -453,6 +492,25 @@ def l1_active_members(spark, sf_dir):
     return PL.active_members(cur, _now_us(log), HB_TIMEOUT_S).select("id", "last_heartbeat_us", "status")
 
 
+@register("l3_read_assignments")
+def l3_read_assignments(spark, sf_dir):
+    """L3: an assignment snapshot as JSON, one entry in ten damaged, read back."""
+    a = PL.assign(placement_keys(spark, sf_dir), placement_members(spark, sf_dir))
+    text = F.to_json(F.array("key"))
+    snap = a.select(F.col("owner").alias("member"), F.lit(1_000_000).cast("long").alias("saved_at_us"),
+                    F.when(F.col("bucket") % 10 == 0, F.substring(text, 1, 3)).otherwise(text).alias("keys_json"))
+    return PL.read_assignments(snap, 2_000_000)
+
+
+@register("l3_stale_assignments")
+def l3_stale_assignments(spark, sf_dir):
+    """L3: a snapshot older than the timeout is refused as a whole."""
+    a = PL.assign(placement_keys(spark, sf_dir), placement_members(spark, sf_dir))
+    snap = a.select(F.col("owner").alias("member"), F.lit(1_000_000).cast("long").alias("saved_at_us"),
+                    F.to_json(F.array("key")).alias("keys_json"))
+    return PL.read_assignments(snap, 700_000_000)
+
+
 # ---------------------------------------------------------------------------
 # Event sink / retention / consumption
 # ---------------------------------------------------------------------------

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schemas as S
 
 PAYLOAD_FIELDS = ["id", "source", "type", "severity", "timestamp", "cluster", "title", "description", "data",
                   "fingerprint", "consumer_group", "topic", "partition", "current_lag", "current_offset",
@@ -59,6 +58,3 @@ def read_events_stream(spark: SparkSession, path: str, batch_size: int = 10) ->
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", batch_size)
             .option("recursiveFileLookup", "true").parquet(path))
 
-
-def payload_schema():
-    return S.EVENT_PAYLOAD

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..operators.evaluate import KIND_WINDOW
 
 RECORD_FIELDS = ["ts_us", "committed_offset", "high_watermark", "lag"]
 
@@ -48,9 +47,3 @@ def load_windows(snapshot: DataFrame, as_of_us: int | Column, ttl_s: float = 864
     fresh = snapshot.filter((as_of - F.col("saved_at_us")) <= F.lit(int(ttl_s * 1_000_000)))
     return fresh.select(*S.KEY, F.inline("records"))
 
-
-def windows_from_status(evaluated: DataFrame) -> DataFrame:
-    """Samples of the windowed rows of an evaluated table (tail source)."""
-    return evaluated.filter(F.col("kind") == KIND_WINDOW).select(
-        *S.KEY, "ts", "ts_us", F.col("current_offset").alias("committed_offset"), "high_watermark",
-        F.col("current_lag").alias("lag"))
