@@ -6,9 +6,9 @@ walks a bounded sample of labelled rows (TRAIN_ROWS, chosen by a hash of the
 id, never by position) a few times; every coordinate has its own learning
 rate from its own gradient history, and an L1 term keeps most coordinates
 at zero.  The sample is featurised once and written; each epoch is one
-streamed pass whose state (at most 2^20 coordinates) travels as a broadcast
-and returns to the driver, so memory depends on neither the corpus nor the
-length of its texts.  Scoring broadcasts the non-zero weights (12 bytes
+streamed pass over it, which takes and leaves its state (at most 2^20
+coordinates) as a row in the shared folder, so memory depends on neither the
+corpus nor the length of its texts.  Scoring broadcasts the non-zero weights (12 bytes
 each, at most 12 MB) and reads every whole text once, without a shuffle.
 
 Only texts and their labels are used: language, source and id are no input
@@ -72,25 +72,39 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([np.unique(coordinates(t)).tobytes() for t in texts], pa.binary())], names=["id", "y", "at"])
 
 
-def _epoch(state):
-    """One pass of the online learner over its partition's rows in order."""
+_STATE = "turn long, id long, y int, at binary, z binary, n binary, bz double, bn double"
+
+
+def _epoch(last: bool):
+    """One pass of the online learner over its partition's rows in order.  The
+    row without a label holds the state so far and comes first; the pass
+    yields the new state, or after the last epoch the non-zero weights (in
+    z) and the bias."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at0, z0, n0, bz, bn = state.value
-        z, n = np.zeros(DIM), np.zeros(DIM)
-        z[at0], n[at0] = z0, n0
+        z, n, bz, bn = np.zeros(DIM), np.zeros(DIM), 0.0, 0.0
         for batch in batches:
-            for y, at in zip(*columns_of(batch, "y", "at")):
+            for y, at, z0, n0, bz0, bn0 in zip(*columns_of(batch, "y", "at", "z", "n", "bz", "bn")):
                 f = np.frombuffer(at, np.int32)
+                if y is None:
+                    z[f], n[f] = np.frombuffer(z0, np.float32), np.frombuffer(n0, np.float32)
+                    bz, bn = bz0, bn0
+                    continue
                 zi, ni, w, wb = z[f], n[f], weights(z[f], n[f]), _bias(bz, bn)
                 g = float(_sigmoid(w.sum() + wb) - y) * (POSITIVE_WEIGHT if y else 1.0)
                 z[f] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
                 n[f] = ni + g * g
                 bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / ALPHA * wb
                 bn += g * g
+        if last:
+            z, bz = weights(z, n), _bias(bz, bn)
+            n = z
         at = np.flatnonzero(n).astype(np.int32)
-        yield pa.RecordBatch.from_pydict({"at": [at.tobytes()], "z": [z[at].astype(np.float32).tobytes()],
-                                          "n": [n[at].astype(np.float32).tobytes()],
-                                          "bz": [float(bz)], "bn": [float(bn)]})
+        yield pa.RecordBatch.from_pydict({
+            "turn": [-(1 << 63)], "id": [None], "y": [None], "at": [at.tobytes()],
+            "z": [z[at].astype(np.float64 if last else np.float32).tobytes()],
+            "n": [n[at].astype(np.float32).tobytes()], "bz": [float(bz)], "bn": [float(bn)]}, schema=pa.schema(
+                [("turn", pa.int64()), ("id", pa.int64()), ("y", pa.int32()), ("at", pa.binary()), ("z", pa.binary()),
+                 ("n", pa.binary()), ("bz", pa.float64()), ("bn", pa.float64())]))
     return run
 
 
@@ -116,19 +130,15 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", train
     seen = rows.agg(F.max("y")).head()[0]
     if not seen:
         return np.empty(0, np.int32), np.empty(0), _NOTHING_LEARNED
-    state = (np.empty(0, np.int32), np.empty(0), np.empty(0), 0.0, 0.0)
+    none, state = F.lit(None).cast("binary"), None
     for epoch in range(epochs):
-        held = spark.sparkContext.broadcast(state)
-        got = (rows.withColumn("turn", F.xxhash64("id", F.lit(100 + epoch))).repartition(1)
-               .sortWithinPartitions("turn", "id", F.xxhash64("at")).select("y", "at")
-               .mapInArrow(_epoch(held), "at binary, z binary, n binary, bz double, bn double").head())
-        state = (np.frombuffer(got["at"], np.int32), np.frombuffer(got["z"], np.float32),
-                 np.frombuffer(got["n"], np.float32),
-                 got["bz"], got["bn"])
-        held.destroy()
-    at, z, n, bz, bn = state
-    w = weights(z.astype(np.float64), n.astype(np.float64))
-    return at[w != 0], w[w != 0], _bias(bz, bn)
+        turn = rows.select(F.xxhash64("id", F.lit(100 + epoch)).alias("turn"), "id", "y", "at", none.alias("z"),
+                           none.alias("n"), F.lit(0.0).alias("bz"), F.lit(0.0).alias("bn"))
+        last = epoch == epochs - 1
+        state = stored((turn if state is None else turn.unionByName(state)).repartition(1)
+                       .sortWithinPartitions("turn", "id", F.xxhash64("at")).mapInArrow(_epoch(last), _STATE), "learner")
+    got = state.head()
+    return np.frombuffer(got["at"], np.int32), np.frombuffer(got["z"]), got["bz"]
 
 
 def _score(model):
