@@ -23,6 +23,8 @@ from ..session import ensure_checkpoint_dir, ship_package
 
 #: bytes of text that one block (the unit of the grouped passes) holds on average
 BLOCK_BYTES = 8 << 20
+#: edges that one task joins at the end of `components`
+TASK_EDGES = 500_000
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -149,18 +151,23 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
 
-def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, component_id = smallest node reachable) of every node in an edge.
 
     Each task first reduces its own edges to a spanning forest with
-    union-find.  Alternating large-star and small-star rounds then merge the
-    forests across tasks: every round is two aggregates and two joins, and
-    only the row count and a checksum of the edges come to the driver."""
+    union-find.  If what remains fits one bounded task (`task_edges`), a last
+    union-find ends it.  Otherwise alternating large-star and small-star
+    rounds merge the forests across tasks: every round is two aggregates and
+    two joins, and only the row count and a checksum of the edges come to
+    the driver.  Both ways give the same components."""
     ready(edges)
     e = (edges.where(F.col(a) != F.col(b))
          .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-         .repartition("v").mapInArrow(_forest, "u long, v long"))
+         .mapInArrow(_forest, "u long, v long"))
     e, seen = stored(e, "forest"), None
+    if e.count() <= task_edges:
+        e = stored(e.repartition(1).mapInArrow(_forest, "u long, v long"), "stars")
+        max_rounds = 0
     for _ in range(max_rounds):
         sym = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -174,6 +181,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
             break
         seen = now
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return (e.select(F.col("u").alias("node"), F.col("v").alias("component_id"))
             .union(e.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct()))
