@@ -35,6 +35,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import in_slices, mix, ready
@@ -43,9 +44,10 @@ SPACE = "▁"
 LONG = 40
 _BATCH = 4096
 _TABLE = 1 << 20            # seams remembered by a worker
-_WORDS = 600_000            # words remembered by a worker
+_WORDS = 400_000            # words remembered by a worker
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 UNIGRAM, BPE = 1, 2
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
 _FAR = 1 << 40
 
 
@@ -84,9 +86,11 @@ class Model:
             bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE
             else p.piece.replace(SPACE, " ").encode() if p.type in (kinds.NORMAL, kinds.USER_DEFINED)
             else " ⁇ ".encode() if p.type == kinds.UNKNOWN else b"" for p in m.pieces]
+        self.outputs = pa.array([*self.output, b""], pa.binary())
         self.longest = max(map(len, self.ids))
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("a piece reaches across words")
+        self.word = self._word_pattern()
         if any(p.type == kinds.USER_DEFINED for p in m.pieces) and self.kind == BPE:
             raise ValueError("user-defined pieces are not supported in BPE models")
         # runs of spaces merge after everything else in BPE models, so they are encoded apart
@@ -119,6 +123,18 @@ class Model:
         self.seam_ok = np.zeros(_TABLE, bool)
         self.seams: dict[tuple[int, int], bool] = {}
 
+    def _word_pattern(self) -> re.Pattern:
+        """Cuts a text where no piece reaches across: before spaces, around line
+        ends if they are unknown, and between a letter and a mark (ASCII
+        punctuation) that no piece has after a letter."""
+        letter = re.compile(_LETTER)
+        after = {b for p in self.ids for a, b in zip(p, p[1:]) if letter.fullmatch(a)}
+        marks = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after)
+        line = "" if any("\n" in p for p in self.ids) else "\n"
+        parts = [f"{SPACE}*+{_LETTER}++(?=[{re.escape(marks)}])"] * bool(marks) + [
+            f"{SPACE}++[^{SPACE}{line}]*+", f"[^{SPACE}{line}]++"] + ["\n++"] * bool(line)
+        return re.compile("|".join(parts))
+
     # -- BPE ----------------------------------------------------------------------
 
     def _run(self, k: int) -> bytes:
@@ -340,16 +356,12 @@ class Model:
 
     # -- texts -----------------------------------------------------------------------
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts, little-endian 32 bit."""
-        split = []
-        for text in texts:
-            s = (text or "").replace(" ", SPACE)
-            split.append(_WORD.findall(SPACE + s if s and self.prefix else s))
+    def _learn(self, words: set[str]) -> None:
+        """Put the words' ids into the table of known words."""
         if len(self.words) > _WORDS:
             self.words.clear()
         known, fresh = self.words, {}
-        new = set().union(*split).difference(known)
+        new = words.difference(known)
         spaced = {w for w in new if w.startswith(SPACE + SPACE)} if self.runs else set()
         new -= spaced
         new.update({SPACE + w.lstrip(SPACE) for w in spaced if w.strip(SPACE)}.difference(known))
@@ -360,18 +372,66 @@ class Model:
                 part = group[a:a + _BATCH]
                 known.update(zip(part, self.encode_equal(part) if size <= LONG else map(self.encode_long, part)))
         known.update([(w, self._spaced(w, known.__getitem__)) for w in spaced])
-        return [b"".join([known[w] for w in words]) for words in split]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts, little-endian 32 bit."""
+        split = []
+        for text in texts:
+            s = (text or "").replace(" ", SPACE)
+            split.append(self.word.findall(SPACE + s if s and self.prefix else s))
+        self._learn(set().union(*split))
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+
+    def encode_array(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of a column of texts.  Texts with single spaces only are split
+        and their words told apart by Arrow, so Python sees each distinct
+        word of the column once; the others are cut by `encode`."""
+        texts = pc.fill_null(texts, "")
+        plain = pc.and_(pc.invert(pc.match_substring_regex(texts, f"^ | $|  |{SPACE}")), pc.not_equal(texts, ""))
+        if not self.prefix:
+            plain = pc.and_(plain, False)
+        odd = _lists(self.encode(texts.filter(pc.invert(plain)).to_pylist()))
+        split = pc.split_pattern(texts.filter(plain), " ")
+        coded = split.flatten().dictionary_encode()
+        words = [SPACE + w for w in coded.dictionary.to_pylist()]
+        cut = [self.word.findall(w) if _MARKED.search(w) else [w] for w in words]
+        self._learn(set().union(*cut))
+        known = self.words
+        distinct = _lists([known[c[0]] if len(c) == 1 else b"".join([known[x] for x in c]) for c in cut])
+        each = distinct.take(coded.indices)
+        ends = each.offsets.take(split.offsets)
+        even = pa.ListArray.from_arrays(pc.subtract(ends, ends[0]) if len(ends) else ends, each.flatten())
+        where = np.empty(len(texts), np.int64)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        where[is_plain] = np.arange(is_plain.sum())
+        where[~is_plain] = is_plain.sum() + np.arange((~is_plain).sum())
+        return pa.concat_arrays([even, odd]).take(pa.array(where))
 
     def decode(self, ids) -> str:
         """The text of ids; the space in front that encoding adds is left off."""
-        out, n = self.output, self.size
-        raw = b"".join([out[i] for i in ids if 0 <= i < n])
-        if self.prefix and raw.startswith(b" "):
-            raw = raw[1:]
-        return raw.decode("utf-8", "replace")
+        return self.decode_array(pa.array([list(ids)], pa.list_(pa.int32())))[0].as_py()
+
+    def decode_array(self, lists: pa.ListArray) -> pa.Array:
+        """Texts of a column of ids (null for null)."""
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        ids = np.where((ids >= 0) & (ids < self.size), ids, self.size)
+        at = pc.subtract(lists.offsets, lists.offsets[0])
+        raw = pc.binary_join(pa.ListArray.from_arrays(at, self.outputs.take(pa.array(ids))), b"")
+        try:
+            text = raw.cast(pa.string())
+        except pa.ArrowInvalid:                                    # ids that spell no UTF-8
+            text = pa.array([r.decode("utf-8", "replace") for r in raw.to_pylist()], pa.string())
+        if self.prefix:
+            text = pc.replace_substring_regex(text, "^ ", "", max_replacements=1)
+        return pc.if_else(lists.is_valid(), text, None)
+
+
+_MARKED = re.compile(r"[^\w▁]")
 
 
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+def _lists(raw: list[bytes]) -> pa.ListArray:
+    at = np.cumsum([0] + [len(r) // 4 for r in raw], dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
 
 
 def _hash_text(text: str) -> int:
@@ -404,10 +464,8 @@ def encode(docs: DataFrame, *, text_col: str = "text", ids_col: str = "ids", mod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
-        for batch in in_slices(batches, "__text"):
-            raw = m.encode(batch.column(batch.schema.get_field_index("__text")).to_pylist())
-            at = np.cumsum([0] + [len(r) // 4 for r in raw], dtype=np.int64)
-            ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+        for batch in in_slices(batches, "__text", 4 << 20):
+            ids = m.encode_array(batch.column(batch.schema.get_field_index("__text")))
             yield _with_column(batch, "__text", ids_col, ids)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{ids_col}` array<int>"])
     return docs.select(*rows.columns, docs[text_col].alias("__text")).mapInArrow(run, schema)
@@ -423,7 +481,8 @@ def decode(rows: DataFrame, *, ids_col: str = "ids", text_col: str = "decoded",
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids_col))
             for a in range(0, batch.num_rows, 500):
-                part = [None if v is None else m.decode(v) for v in lists.slice(a, 500).to_pylist()]
-                yield _with_column(batch.slice(a, 500), "", text_col, pa.array(part, pa.string()))
+                part = batch.slice(a, 500)
+                yield _with_column(part, "", text_col, m.decode_array(pa.concat_arrays(
+                    [part.column(part.schema.get_field_index(ids_col))])))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{text_col}` string"])
     return rows.mapInArrow(run, schema)
