@@ -85,7 +85,9 @@ def test_codec_frames(docs_of):
     want = library(sentencepiece_codec.default_model()).encode([t or "" for t in ODD_TEXTS])
     assert {d: r["tokens"] for d, r in got.items()} == dict(enumerate(want))
     assert {d: r["decoded"] for d, r in got.items()} == {i: (t or "").replace("▁", " ") for i, t in enumerate(ODD_TEXTS)}
-    assert sentencepiece_codec.encode(docs.where("false"), ids_col="tokens").count() == 0
+    both = by_id(sentencepiece_codec.encode(docs, ids_col="tokens", decoded_col="decoded", keep=["doc_id"]))
+    assert both == {d: {k: r[k] for k in ("doc_id", "tokens", "decoded")} for d, r in got.items()}
+    assert sentencepiece_codec.encode(docs.where("false"), ids_col="tokens", decoded_col="d").count() == 0
 
 
 # --- packing -----------------------------------------------------------------------

@@ -16,8 +16,8 @@ from .common import scratch, stored
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and a digest of the text they decode to."""
-    ids = sentencepiece_codec.encode(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return sentencepiece_codec.decode(ids).select(
+    ids = sentencepiece_codec.encode(read_table(spark, sf_dir, "documents"), keep=["doc_id"], decoded_col="decoded")
+    return ids.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -457,8 +457,9 @@ def _with_column(batch: pa.RecordBatch, drop: str, name: str, column: pa.Array)
 
 
 def encode(docs: DataFrame, *, text_col: str = "text", ids_col: str = "ids", model: str | None = None,
-           keep: list[str] | None = None) -> DataFrame:
-    """The columns named by `keep` (all by default) and the texts' ids."""
+           keep: list[str] | None = None, decoded_col: str | None = None) -> DataFrame:
+    """The columns named by `keep` (all by default) and the texts' ids; with
+    `decoded_col`, also what `decode` gives for them, in the same pass."""
     ready(docs)
     rows = docs.select(*(docs.columns if keep is None else keep))
 
@@ -466,8 +467,10 @@ def encode(docs: DataFrame, *, text_col: str = "text", ids_col: str = "ids", mod
         m = load(model)
         for batch in in_slices(batches, "__text", 4 << 20):
             ids = m.encode_array(batch.column(batch.schema.get_field_index("__text")))
-            yield _with_column(batch, "__text", ids_col, ids)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{ids_col}` array<int>"])
+            out = _with_column(batch, "__text", ids_col, ids)
+            yield _with_column(out, "", decoded_col, m.decode_array(ids)) if decoded_col else out
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{ids_col}` array<int>"]
+                       + [f"`{decoded_col}` string"] * bool(decoded_col))
     return docs.select(*rows.columns, docs[text_col].alias("__text")).mapInArrow(run, schema)
 
 
