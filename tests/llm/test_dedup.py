@@ -115,21 +115,28 @@ def test_passages_null_and_repeated_ids(docs_of):
     assert sorted((r["doc_id"] or 0, r["__kept"]) for r in got) == [(0, t), (4, t), (4, t), (9, "z")]
 
 
-def test_chunks_and_slices_do_not_change_the_result(docs_of, corpus, monkeypatch):
-    """The same anchors and sorts in far smaller pieces, in this process."""
+@pytest.mark.parametrize("hot", [0, 3, 2000])
+def test_chunks_slices_and_splits_do_not_change_the_result(corpus, monkeypatch, hot):
+    """The same anchors and sorts in far smaller pieces, in this process, and
+    with all, some or no anchors split into windows."""
     import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "_CHUNK", 64)
     monkeypatch.setattr(suffix_dedup, "_SORTED", 8)
     notes = pa.table({"block": pa.array([], pa.int64()), "doc": pa.array([], pa.int64())})
     tables = [pa.table({"__doc": [d for d, _ in part], "__text": [t for _, t in part], "__block": [b] * len(part)})
               for b, part in ((b, [p for p in corpus if p[0] % 3 == b and len(p[1] or "") < 4000]) for b in range(3))]
-    sent = pa.concat_tables([suffix_dedup._send_anchors(1)(t, notes) for t in tables])
-    shared = suffix_dedup._shared(sent)
+    sent = pa.concat_tables([suffix_dedup._send_anchors(5)(t, notes) for t in tables])
+    def by_shard(table, f):
+        return pa.concat_tables([f(table.filter(pa.compute.equal(table.column("shard"), i)))
+                                 for i in sorted(set(table.column("shard").to_pylist()))])
+    shared = by_shard(sent, suffix_dedup._shared)
     shared = shared.append_column("doc", pa.array([None] * len(shared), pa.int64()))
     def own(table, b):
         return table.filter(pa.compute.equal(table.column("block"), b))
-    ctx = pa.concat_tables([suffix_dedup._send_contexts(1)(t, own(shared, b)) for b, t in enumerate(tables)])
-    verdict = suffix_dedup._judge(ctx)
+    ctx = pa.concat_tables([suffix_dedup._send_contexts(5)(t, own(shared, b)) for b, t in enumerate(tables)])
+    verdict = by_shard(ctx, suffix_dedup._judge)
     verdict = verdict.append_column("doc", pa.array([None] * len(verdict), pa.int64()))
     got = {}
     for b, t in enumerate(tables):
@@ -158,9 +165,11 @@ def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(500, i) for i in range(501, 560)] + [(7, 7), (900, 300), (300, 900)]
     random.Random(3).shuffle(edges)
     df = spark.createDataFrame(edges, "a long, b long").repartition(6)
-    got = {r["node"]: r["component_id"] for r in components(df, "a", "b").collect()}
-    assert got == {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(500, 560), 500), 300: 300, 900: 300}
-    assert components(df.where("false"), "a", "b").count() == 0
+    want = {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(500, 560), 500), 300: 300, 900: 300}
+    for limit in (10, 1000):                                       # star rounds, and one bounded task
+        got = components(df, "a", "b", task_edges=limit).collect()
+        assert len(got) == len(want) and {r["node"]: r["component_id"] for r in got} == want
+        assert components(df.where("false"), "a", "b", task_edges=limit).count() == 0
 
 
 def test_digest_of_kept_text(spark, docs_of):

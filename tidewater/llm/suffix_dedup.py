@@ -14,7 +14,10 @@ shuffle, so only suffixes that can repeat are sorted:
 2. For a shared anchor, a block of documents sends the context that its
    windows span (at most 84 bytes), once per distinct context with the
    smallest and largest id in the block, so a passage in a third of all
-   documents makes one row per block.
+   documents makes one row per block.  An anchor with more than HOT places
+   in all (a frequent line with many different surroundings) is split: each
+   of its windows travels as a context of its own to a shard given by its
+   bytes, so that no shard gathers all its surroundings.
 3. A shard sorts the suffixes that start at its contexts' windows: mergesort
    in classes of equal anchor and offset, where two suffixes are compared
    through prefix polynomial hashes, the length of their common extension
@@ -57,6 +60,7 @@ _MASK = np.uint64((1 << 17) - 1)
 _SORTED = 1 << 14                   # contexts sorted at a time
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 SHARD_ANCHORS = 1_000_000
+HOT = 10_000                        # places of one anchor from which its windows go their own ways
 _U64, _I64 = np.dtype("<u8"), np.dtype("<i8")
 
 
@@ -273,7 +277,7 @@ def _binary(arrays) -> pa.Array:
 
 def _send_anchors(shards: int):
     def run(docs: pa.Table, notes: pa.Table) -> pa.Table:
-        out = {"shard": [], "block": [], "grams": [], "many": []}
+        out = {"shard": [], "block": [], "grams": [], "many": [], "places": []}
         if docs.num_rows:
             found = [(h, row) for h, _, _, _, row in _block(docs, notes).anchors()]
             if found:
@@ -281,7 +285,9 @@ def _send_anchors(shards: int):
                 order = np.argsort(h, kind="stable")                # rows stay in order within a hash
                 h, row = h[order], row[order]
                 edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                many = row[edge] != row[np.r_[edge[1:], len(h)] - 1]
+                ends = np.r_[edge[1:], len(h)]
+                many = row[edge] != row[ends - 1]
+                places = np.minimum(ends - edge, HOT + 1).astype(np.uint16)
                 h = h[edge]
                 shard = _shard(h, shards)
                 block = docs.column("__block")[0].as_py()
@@ -291,21 +297,45 @@ def _send_anchors(shards: int):
                     out["block"].append(block)
                     out["grams"].append(h[own].astype(np.uint32).tobytes())
                     out["many"].append(many[own].tobytes())
+                    out["places"].append(places[own].tobytes())
         return pa.table(out, schema=pa.schema([("shard", pa.int64()), ("block", pa.int64()),
-                                               ("grams", pa.binary()), ("many", pa.binary())]))
+                                               ("grams", pa.binary()), ("many", pa.binary()),
+                                               ("places", pa.binary())]))
     return run
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """The grams of each block that some other document holds too."""
+    """The grams of each block that some other document holds too, and which
+    of them have many places in all."""
     grams = [np.frombuffer(g, np.uint32) for g in table.column("grams").to_pylist()]
     many = [np.frombuffer(m, bool) for m in table.column("many").to_pylist()]
     values, index, counts = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    hot = counts > 1
-    hot[index[np.concatenate(many)]] = True
-    own = np.split(hot[index], np.cumsum([len(g) for g in grams])[:-1])
-    out = [g[keep] for g, keep in zip(grams, own)]
-    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "grams": _binary(out)})
+    twice = counts > 1
+    twice[index[np.concatenate(many)]] = True
+    places = np.concatenate([np.frombuffer(p, np.uint16) for p in table.column("places").to_pylist()])
+    hot = np.bincount(index, weights=places, minlength=len(values)) > HOT
+    ends = np.cumsum([len(g) for g in grams])[:-1]
+    own, hot = np.split(twice[index], ends), np.split(hot[index], ends)
+    return pa.table({"block": table.column("block"), "shard": table.column("shard"),
+                     "grams": _binary([g[keep] for g, keep in zip(grams, own)]),
+                     "hot": _binary([x[keep] for x, keep in zip(hot, own)])})
+
+
+def _known(notes: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(shared anchors as shard and low half, sorted; which of them are hot)."""
+    keys = np.concatenate([(np.uint64(s) << np.uint64(32)) | np.frombuffer(g, np.uint32).astype(np.uint64)
+                           for s, g in zip(notes.column("shard").to_pylist(), notes.column("grams").to_pylist())])
+    hot = np.concatenate([np.frombuffer(x, bool) for x in notes.column("hot").to_pylist()])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], hot[order]
+
+
+def _own_windows(pick: np.ndarray, start, count, offset):
+    """Single windows in place of the contexts `pick`: (context, start, count, offset)."""
+    at = np.flatnonzero(pick)
+    row = np.repeat(at, count[at])
+    step = np.arange(len(row)) - np.repeat(np.cumsum(count[at]) - count[at], count[at])
+    return row, start[row] + step, np.ones(len(row), np.int64), offset[row] - step
 
 
 _CONTEXTS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), *(
@@ -317,23 +347,27 @@ def _send_contexts(shards: int):
         rows = []
         has = notes.filter(pc.is_valid(notes.column("grams"))) if notes.num_rows else notes
         if docs.num_rows and has.num_rows:
-            known = np.unique(np.concatenate([
-                (np.uint64(s) << np.uint64(32)) | np.frombuffer(g, np.uint32).astype(np.uint64)
-                for s, g in zip(has.column("shard").to_pylist(), has.column("grams").to_pylist())]))
+            known, hot = _known(has)
             block, parts = _block(docs, notes), []
             for h, start, count, offset, row in block.anchors():
-                mine = (_shard(h, shards).astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
                 if not len(known):
                     break
+                mine = (_shard(h, shards).astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
                 at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
                 hit = known[at] == mine
-                h, start, count, offset, doc = h[hit], start[hit], count[hit], offset[hit], block.ids[row[hit]]
+                split = hit & hot[at]
+                each, *single = _own_windows(split, start, count, offset)
+                hit &= ~split
+                h, doc = np.r_[h[hit], h[each]], block.ids[np.r_[row[hit], row[each]]]
+                start, count, offset = (np.r_[x[hit], y] for x, y in zip((start, count, offset), single))
+                alone = np.r_[np.zeros(hit.sum(), bool), np.ones(len(each), bool)]
                 ctx = block.contexts(start, count)
-                parts.append((context_ids(ctx, count, offset), h, count, offset, doc, doc, ctx))
-                parts[-1] = _distinct(*parts[-1])
+                ids = context_ids(ctx, count, offset)
+                parts.append(_distinct(ids, h, np.where(alone, _shard(ids, shards), _shard(h, shards)), count, offset,
+                                       doc, doc, ctx))
             if parts:
-                ids, h, count, offset, least, most, ctx = _distinct(*(np.concatenate(c) for c in zip(*parts)))
-                shard, label = _shard(h, shards), docs.column("__block")[0].as_py()
+                ids, h, shard, count, offset, least, most, ctx = _distinct(*(np.concatenate(c) for c in zip(*parts)))
+                label = docs.column("__block")[0].as_py()
                 for s in np.unique(shard):
                     i = np.flatnonzero(shard == s)
                     n = (count[i] + LENGTH - 1)[:, None]
@@ -345,13 +379,13 @@ def _send_contexts(shards: int):
     return run
 
 
-def _distinct(ids, h, count, offset, least, most, ctx):
+def _distinct(ids, h, shard, count, offset, least, most, ctx):
     """One row per context, with the smallest and largest document."""
     _, first, index = np.unique(ids, return_index=True, return_inverse=True)
     lo, hi = least[first].copy(), most[first].copy()
     np.minimum.at(lo, index, least)
     np.maximum.at(hi, index, most)
-    return ids[first], h[first], count[first], offset[first], lo, hi, ctx[first]
+    return ids[first], h[first], shard[first], count[first], offset[first], lo, hi, ctx[first]
 
 
 def _runs(key, ctx, first, count, offset, low):
@@ -401,7 +435,7 @@ def _judge(table: pa.Table) -> pa.Table:
     run_row, run_from, run_to, run_doc = _runs(key[first], ctx, first, count[first], offset[first], low)
     run_first = np.searchsorted(run_row, np.arange(len(first)))
     run_count = np.bincount(run_row, minlength=len(first))
-    out, base = {"block": [], "ids": [], "keys": [], "froms": [], "tos": [], "docs": []}, 0
+    out, base = {"block": [], "ids": [], "keys": [], "single": [], "froms": [], "tos": [], "docs": []}, 0
     for block, own in zip(col["block"], ids):
         idx = index[base:base + len(own)]
         n = run_count[idx]
@@ -414,11 +448,12 @@ def _judge(table: pa.Table) -> pa.Table:
             out["block"].append(block)
             out["ids"].append(own[who].tobytes())
             out["keys"].append(key[base - len(own):base][who].tobytes())
+            out["single"].append((count[base - len(own):base][who] == 1).tobytes())
             out["froms"].append(run_from[runs].astype(np.uint8).tobytes())
             out["tos"].append(run_to[runs].astype(np.uint8).tobytes())
             out["docs"].append(run_doc[runs].tobytes())
     return pa.table(out, schema=pa.schema([("block", pa.int64()), *((n, pa.binary()) for n in (
-        "ids", "keys", "froms", "tos", "docs"))]))
+        "ids", "keys", "single", "froms", "tos", "docs"))]))
 
 
 def _cut(as_text: bool):
@@ -427,27 +462,36 @@ def _cut(as_text: bool):
         out = docs.drop_columns(names)
         block = _block(docs, notes)
         total = len(block.bytes)
-        change = np.zeros(total + 1, np.int64)
+        change = np.zeros(total + 1, np.int32)
         has = notes.filter(pc.is_valid(notes.column("ids"))) if notes.num_rows else notes
         if docs.num_rows and has.num_rows:
             ids, froms, tos, low = (np.concatenate([np.frombuffer(b, t) for b in has.column(n).to_pylist()])
                                     for n, t in (("ids", _U64), ("froms", np.uint8), ("tos", np.uint8), ("docs", _I64)))
-            known = np.unique(np.concatenate([np.frombuffer(b, _U64) for b in has.column("keys").to_pylist()]))
+            keys = np.concatenate([np.frombuffer(b, _U64) for b in has.column("keys").to_pylist()])
+            known = np.unique(keys)
+            split = np.unique(keys[np.concatenate([np.frombuffer(b, bool) for b in has.column("single").to_pylist()])])
             order = np.argsort(ids, kind="stable")
             ids, froms, tos, low = ids[order], froms[order].astype(np.int64), tos[order].astype(np.int64), low[order]
             for h, start, count, offset, row in block.anchors():
                 hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-                h, start, count, offset, row = h[hit], start[hit], count[hit], offset[hit], row[hit]
+                start, count, offset, row = start[hit], count[hit], offset[hit], row[hit]
+                # the anchor may have been split: look its windows up one by one as well
+                many = split[np.minimum(np.searchsorted(split, h[hit]), len(split) - 1)] == h[hit] if len(split) else \
+                    np.zeros(len(start), bool)
+                each, *single = _own_windows(many, start, count, offset)
+                start, count, offset = (np.r_[x, y] for x, y in zip((start, count, offset), single))
+                row = np.r_[row, row[each]]
                 mine = context_ids(block.contexts(start, count), count, offset)
                 a, b = np.searchsorted(ids, mine, "left"), np.searchsorted(ids, mine, "right")
                 n = b - a
-                who = np.repeat(np.arange(len(h)), n)
+                who = np.repeat(np.arange(len(mine)), n)
                 runs = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 use = low[runs] < block.ids[row[who]]
                 who, runs = who[use], runs[use]
                 np.add.at(change, start[who] + froms[runs], 1)
                 np.add.at(change, start[who] + tos[runs] + LENGTH, -1)
-        gone = np.cumsum(change)[:total] > 0
+        gone = np.cumsum(change, out=change)[:total] > 0
+        del change
         copies = set(notes.column("doc").drop_null().to_pylist()) if notes.num_rows else set()
         doc_ids = docs.column("__doc").to_pylist()
         kept, removed, spans = [], [], []
@@ -491,17 +535,17 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     by_block = rows.groupBy("__block")
     anchors = by_block.cogroup(copies.groupBy("block")).applyInArrow(
-        _send_anchors(shards), "shard long, block long, grams binary, many binary")
-    shared = anchors.groupBy("shard").applyInArrow(_shared, "block long, shard long, grams binary")
-    notes = shared.select("block", "shard", "grams", F.lit(None).cast("long").alias("doc")).union(
-        copies.select("block", F.lit(None).cast("long"), F.lit(None).cast("binary"), "doc"))
+        _send_anchors(shards), "shard long, block long, grams binary, many binary, places binary")
+    shared = anchors.groupBy("shard").applyInArrow(_shared, "block long, shard long, grams binary, hot binary")
+    none = F.lit(None).cast("binary")
+    notes = shared.select("block", "shard", "grams", "hot", F.lit(None).cast("long").alias("doc")).union(
+        copies.select("block", F.lit(None).cast("long"), none, none, "doc"))
     contexts = by_block.cogroup(notes.groupBy("block")).applyInArrow(
         _send_contexts(shards), ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'binary'}" for f in _CONTEXTS))
     verdicts = contexts.groupBy("shard").applyInArrow(
-        _judge, "block long, ids binary, keys binary, froms binary, tos binary, docs binary")
-    none = F.lit(None).cast("binary")
-    notes = verdicts.select("block", "ids", "keys", "froms", "tos", "docs", F.lit(None).cast("long").alias("doc")).union(
-        copies.select("block", *[none] * 5, "doc"))
+        _judge, "block long, ids binary, keys binary, single binary, froms binary, tos binary, docs binary")
+    notes = verdicts.select("block", "ids", "keys", "single", "froms", "tos", "docs", F.lit(None).cast("long").alias("doc")).union(
+        copies.select("block", *[none] * 6, "doc"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
                        + [f"`__kept` {'string' if as_text else 'binary'}", "`__n_bytes` bigint",
                           "`__n_removed` bigint", "`__n_spans` bigint"])
