@@ -49,10 +49,11 @@ THRESHOLD = 0.95
 SHARD, OVERLAP, SAMPLE = 1000, 3, 20_000
 MAX_CENTROIDS = 4096
 DEGREE, CANDIDATES, ALPHA, BEAM = 24, 48, 1.2, 32
+WIDTH = 96             # edges of a node in a search: its own, and edges into it as far as they fit
 AUDIT = 256
 _DENSE = 0.9
 _SLACK = 1e-4          # single precision searches that far below the threshold
-_PAIRS = 100_000
+_PAIRS = 50_000
 
 
 def _split(total: int, target: int) -> int:
@@ -177,6 +178,21 @@ def build_graph(x: np.ndarray, seed: int) -> np.ndarray:
     return prune(x, np.concatenate([near, far], 1))
 
 
+def both_ways(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """Padded lists (-1) of a graph whose edges serve both ways: a node's own
+    edges first, then edges into it, WIDTH in all."""
+    back = np.r_[np.zeros(len(src), np.int64), np.ones(len(src), np.int64)]
+    src, dst = np.r_[src, dst], np.r_[dst, src]
+    order = np.lexsort((dst, back, src))
+    src, dst = src[order], dst[order]
+    degree = np.bincount(src, minlength=n)
+    place = np.arange(len(src)) - np.repeat(np.cumsum(degree) - degree, degree)
+    use = place < WIDTH
+    lists = np.full((n, max(1, min(WIDTH, int(degree.max()) if n else 1))), -1, np.int64)
+    lists[src[use], place[use]] = dst[use]
+    return lists
+
+
 def medoids(x: np.ndarray, n: int = 8) -> np.ndarray:
     """The vector nearest the mean, and those nearest the means of n - 1 slices."""
     parts = [x, *np.array_split(x, min(n - 1, len(x)))]
@@ -218,22 +234,20 @@ def range_search(x: np.ndarray, lists: np.ndarray, entries: np.ndarray, least: f
     np.fill_diagonal(inside, False)
     q, node = np.nonzero(inside)
     while len(q):                                                   # expand inside the range
-        nq, nn = [], []
+        near = np.zeros((n, n), bool)
         for a in range(0, len(q), _PAIRS):
             more = lists[node[a:a + _PAIRS]]
-            who = np.broadcast_to(q[a:a + _PAIRS, None], more.shape)
             ok = more >= 0
-            who, more = who[ok], more[ok]
-            ok = ~seen[who, more]
-            key = np.unique(who[ok].astype(np.int64) * n + more[ok])
-            who, more = key // n, key % n
-            seen[who, more] = True
-            ok = np.einsum("nd,nd->n", x[who], x[more]) >= least
-            who, more = who[ok], more[ok]
-            inside[who, more] = who != more
-            nq.append(who[who != more])
-            nn.append(more[who != more])
-        q, node = np.concatenate(nq), np.concatenate(nn)
+            near[np.broadcast_to(q[a:a + _PAIRS, None], more.shape)[ok], more[ok]] = True
+        near &= ~seen
+        seen |= near
+        q, node = np.nonzero(near)
+        ok = np.zeros(len(q), bool)
+        for a in range(0, len(q), _PAIRS):
+            c = slice(a, a + _PAIRS)
+            ok[c] = np.einsum("nd,nd->n", x[q[c]], x[node[c]]) >= least
+        q, node = q[ok], node[ok]
+        inside[q, node] = True
     return inside | inside.T
 
 
@@ -266,13 +280,7 @@ def _links(threshold: float):
         dst = flat.flatten().to_numpy()
         at = np.minimum(np.searchsorted(ids, dst), n - 1)
         own = ids[at] == dst                                       # neighbours from other shards are not here
-        src = np.repeat(np.arange(n), size)[own]
-        src, dst = np.r_[src, at[own]], np.r_[at[own], src]        # edges serve both ways
-        key = np.unique(src * n + dst)
-        src, dst = key // n, key % n
-        degree = np.bincount(src, minlength=n)
-        lists = np.full((n, max(1, int(degree.max()) if n else 1)), -1, np.int64)
-        lists[src, np.arange(len(src)) - np.repeat(np.cumsum(degree) - degree, degree)] = dst
+        lists = both_ways(np.repeat(np.arange(n), size)[own], at[own], n)
         inside = range_search(x, lists, medoids(x), threshold - _SLACK)
         a, b = np.nonzero(np.triu(inside, 1))
         ok = np.concatenate([np.einsum("nd,nd->n", exact[a[i:i + _PAIRS]], exact[b[i:i + _PAIRS]]) >= threshold
