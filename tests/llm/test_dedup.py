@@ -145,6 +145,41 @@ def test_chunks_slices_and_splits_do_not_change_the_result(corpus, monkeypatch,
     assert got == cut_passages([p for p in corpus if len(p[1] or "") < 4000])
 
 
+def test_passages_do_not_depend_on_the_order_of_rows(corpus, monkeypatch):
+    """Each pass receives a block's rows in an order of its own."""
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+    monkeypatch.setattr(suffix_dedup, "_CHUNK", 64)
+    docs = [p for p in corpus if len(p[1] or "") < 4000]
+    rng = random.Random(9)
+
+    def dealt():
+        out = []
+        for b in range(3):
+            part = [p for p in docs if p[0] % 3 == b]
+            rng.shuffle(part)
+            out.append(pa.table({"__doc": [d for d, _ in part], "__text": [t for _, t in part], "__block": [b] * len(part)}))
+        return out
+
+    def by(table, key, f):
+        return pa.concat_tables([f(table.filter(pa.compute.equal(table.column(key), i)))
+                                 for i in sorted(set(table.column(key).to_pylist()))])
+
+    def own(table, b):
+        table = table.filter(pa.compute.equal(table.column("block"), b))
+        return table.append_column("doc", pa.array([None] * len(table), pa.int64()))
+    none = pa.table({"block": pa.array([], pa.int64()), "doc": pa.array([], pa.int64())})
+    sent = pa.concat_tables([suffix_dedup._send_anchors(5)(t, none) for t in dealt()])
+    shared = by(sent, "shard", suffix_dedup._shared)
+    ctx = pa.concat_tables([suffix_dedup._send_contexts(5)(t, own(shared, b)) for b, t in enumerate(dealt())])
+    verdict = by(ctx, "shard", suffix_dedup._judge)
+    got = {}
+    for b, t in enumerate(dealt()):
+        out = suffix_dedup._cut(False)(t.append_column("doc_id", t.column("__doc")), own(verdict, b))
+        got.update({r["doc_id"]: (r["__n_bytes"], r["__n_removed"], r["__n_spans"], r["__kept"]) for r in out.to_pylist()})
+    assert got == cut_passages(docs)
+
+
 def test_equal_hashes_of_other_bytes_are_told_apart(monkeypatch):
     """With all prefix hashes equal, the byte check must undo every match."""
     monkeypatch.setattr(suffix_dedup, "prefix_hashes", lambda c: np.zeros((c.shape[1] + 1, len(c)), np.uint64))

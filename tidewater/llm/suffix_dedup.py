@@ -81,12 +81,26 @@ class Block:
                 ends[a:a + n - LENGTH + 1] = True
         self.window = ends
 
+    def chunks(self):
+        """(first, end) byte of each chunk: whole texts, or a part of a long
+        one, cut at offsets counted from its own first byte.  No run of
+        windows is cut where a text's neighbours decide, so every pass sees
+        the same contexts in whatever order it receives the rows."""
+        a = 0
+        for start, end in zip(self.starts[:-1].tolist(), self.starts[1:].tolist()):
+            if end - a > _CHUNK and start > a:
+                yield a, start
+                a = start
+            while end - a > _CHUNK:
+                yield a, a + _CHUNK
+                a += _CHUNK
+        if a < self.starts[-1]:
+            yield a, int(self.starts[-1])
+
     def anchors(self):
         """Per chunk: (gram hash, first window, number of windows, offset of
         the anchor in the first window, row of the document)."""
-        total = int(self.starts[-1])
-        for a in range(0, max(0, total - LENGTH + 1), _CHUNK):
-            b = min(a + _CHUNK, total - LENGTH + 1)
+        for a, b in self.chunks():
             at = np.flatnonzero(self.window[a:b])
             if not len(at):
                 continue
