@@ -138,6 +138,52 @@ def test_shortest_pack_first_by_hand():
     assert packing.layout([((6, 4), 2), ((6,), 1)]) == [(6, 0, 2, 0, 0), (4, 0, 2, 0, 6), (6, 2, 3, 2, 0)]
 
 
+def skewed_lengths():
+    """A third of the pieces at one length just above half a pack, the rest spread evenly."""
+    return {**{n: 5 for n in range(1, 2049)}, 1100: 5000}
+
+
+def test_gaps_are_filled_by_counted_cuts():
+    histogram = skewed_lengths()
+    patterns, opened = packing.fill_gaps(packing.shortest_pack_first(histogram))
+    tokens = sum(n * c for n, c in histogram.items())
+    assert sum(c for _, c in patterns) <= tokens / 2048 * 1.02 + 1
+    assert all(0 < sum(map(packing._size, p)) <= 2048 for p, _ in patterns)
+    rows_ = [(*r, 0, r[0]) for r in packing.layout(patterns, opened)] + packing.layout_parts(patterns)
+    assert len(rows_) < 20 * 2048
+    covered, places = {}, {}
+    for n, a, b, sequence, offset, skip, size in rows_:
+        for i in range(b - a):
+            covered.setdefault((n, a + i), []).append((skip, size))
+            places.setdefault(sequence + i, []).append((offset, size))
+    assert {n: sum(k[0] == n for k in covered) for n in (1, 700, 1100, 2048)} == {n: histogram[n] for n in (1, 700, 1100, 2048)}
+    assert len(covered) == sum(histogram.values())
+    for groups, whole in ((covered, True), (places, False)):
+        for key, got in groups.items():
+            got.sort()
+            assert [a for a, _ in got] == np.cumsum([0] + [n for _, n in got])[:-1].tolist()
+            assert not whole or sum(n for _, n in got) == key[0]
+
+
+@pytest.mark.parametrize("with_ids", [True, False])
+def test_packing_cuts_pieces_where_whole_ones_leave_gaps(docs_of, with_ids):
+    """A third of the documents just above half a pack: their ids stay whole, with little padding."""
+    rng = random.Random(2)
+    texts = [" a" * 139] * 60 + [" b" * rng.randint(150, 250) for _ in range(120)] + [None, ""]
+    got = rows(packing.packed(docs_of(list(enumerate(texts))), length=256, with_ids=with_ids))
+    want = {i: np.array(tokenizer_ids(t), "<u4") for i, t in enumerate(texts)}
+    docs = {}
+    for r in got:
+        assert r["ids_crc32"] == zlib.crc32(want[r["doc_id"]][r["start"]:r["start"] + r["length"]].tobytes())
+        assert ("ids" in r) == with_ids and (not with_ids or zlib.crc32(bytes(r["ids"])) == r["ids_crc32"])
+        docs.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+    assert {d: sum(n for _, n in p) for d, p in docs.items()} == {d: len(v) for d, v in want.items()}
+    for p in docs.values():
+        p.sort()
+        assert [a for a, _ in p] == np.cumsum([0] + [n for _, n in p])[:-1].tolist()
+    assert len({r["sequence_id"] for r in got}) <= sum(map(len, want.values())) / 256 * 1.03 + 1
+
+
 # --- toxicity ------------------------------------------------------------------------
 
 def toy(spark, n=600):
