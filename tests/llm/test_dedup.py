@@ -145,6 +145,22 @@ def test_chunks_slices_and_splits_do_not_change_the_result(corpus, monkeypatch,
     assert got == cut_passages([p for p in corpus if len(p[1] or "") < 4000])
 
 
+def test_cut_characters_go_as_a_whole_and_make_no_new_ones(docs_of):
+    """The removed run begins inside one character and ends inside another; the rest of the two would make a third."""
+    run = "é".encode()[1:] + b"0123456789" * 5 + "ä".encode()[:1]      # in the middle of é...ä
+    first, later = "\u00e9" + "0123456789" * 5 + "\u00c4", "x\u0169" + "0123456789" * 5 + "\u00e8y"
+    assert run[:1] == later.encode()[2:3] and run[-1:] == later.encode()[-3:-2]
+    got = by_id(suffix_dedup.cut_repeats(docs_of([(1, first), (2, later)]), as_text=True))
+    gone = [a <= i < b for a, b in [(2, 54)] for i in range(len(later.encode()))]
+    want, at = "", 0
+    for c in later:
+        n = len(c.encode())
+        want += c * (not any(gone[at:at + n]))
+        at += n
+    assert want == "xy" and got[2]["__n_removed"] == 52
+    assert (got[1]["__kept"], got[2]["__kept"]) == (first, want)
+
+
 def test_passages_do_not_depend_on_the_order_of_rows(corpus, monkeypatch):
     """Each pass receives a block's rows in an order of its own."""
     import pyarrow as pa

@@ -515,7 +515,11 @@ def _cut(as_text: bool):
                 g = np.ones(n, bool)
             removed.append(int(g.sum()))
             spans.append(int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n else 0)
-            kept.append(block.bytes[a:a + n][~g].tobytes())
+            own = block.bytes[a:a + n]
+            if as_text and n and g.any():                          # a character goes if any of its bytes does
+                lead = np.flatnonzero((own & 0xC0) != 0x80)
+                g = np.repeat(np.logical_or.reduceat(g, lead), np.diff(np.r_[lead, n]))
+            kept.append(own[~g].tobytes())
         if as_text:
             kept = [k.decode("utf-8", "ignore") for k in kept]
         for name, col in (("__kept", pa.array(kept, pa.string() if as_text else pa.binary())),
