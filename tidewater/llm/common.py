@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
@@ -185,3 +185,35 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60, task_edge
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return (e.select(F.col("u").alias("node"), F.col("v").alias("component_id"))
             .union(e.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct()))
+
+
+# --- joins and running totals that hold with hot keys ------------------------------
+
+def lookup(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """Left join of `rows` with `table`, which has one row per key `on`, when
+    a key may hold any share of the rows.  Keys with more than one shuffle
+    partition's share of the rows (fewer than there are partitions) meet their
+    row of `table` by broadcast; the others by Spark's own choice of join."""
+    parts = shuffle_partitions(rows.sparkSession)
+    total = rows.agg(F.count("*").alias("n")).scalar()
+    hot = rows.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") * parts > total).select(*on)
+    hot = F.broadcast(stored(table.join(F.broadcast(stored(hot, "hot-keys")), on, "left_semi"), "hot-rows"))
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(table, on, "left"))
+
+
+def running(df: DataFrame, order: list, rank: str, sums: dict[str, str]) -> DataFrame:
+    """`df` in the total order `order` with its rank (from 0) and, per entry
+    name -> column of `sums`, the sum over all rows before.  Rows are dealt to
+    ranges; one row per range gives what lies before it."""
+    parts = stored(df.repartitionByRange(shuffle_partitions(df.sparkSession), *order)
+                   .withColumn("__part", F.spark_partition_id()), "ranges")
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.groupBy("__part").agg(F.count("*").alias("__n"), *[
+        F.sum(c).alias(f"__{name}") for name, c in sums.items()])
+    before = before.select("__part", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c)
+                                       for c in ["__n", *(f"__{name}" for name in sums)]])
+    here = Window.partitionBy("__part").orderBy(*order)
+    earlier = here.rowsBetween(Window.unboundedPreceding, -1)
+    return parts.join(F.broadcast(before), "__part").select(
+        *df.columns, (F.col("__n") + F.row_number().over(here) - 1).alias(rank),
+        *[(F.col(f"__{name}") + F.coalesce(F.sum(c).over(earlier), F.lit(0))).alias(name) for name, c in sums.items()])

@@ -193,4 +193,37 @@ SELECT vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(b) AS component
 FROM embeddings JOIN reach ON reach.a = vec_id LEFT JOIN n ON n.a = vec_id GROUP BY vec_id
 """
 
-SQL = {"op2_minhash_dedup": OP2, "op3_quality_rules": OP3, "op4_warc_segments": OP4, "op5_line_dedup": OP5, "op8_embedding_dedup": OP8, "op9_suffix_dedup": OP9, "op10_chat_format": OP10}
+OP13 = f"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORD}))::BIGINT AS size,
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-' || coalesce(text, ''))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS words, list_extract([5, 2, 1], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT) AS w
+  FROM d GROUP BY source
+), before AS (  -- sources in order of size / weight: words and weights of those before
+  SELECT *, sum(words) OVER () AS total, coalesce(sum(words) OVER o, 0) AS capped_words, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS open_weights
+  FROM s WINDOW o AS (ORDER BY words * (10 // w), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), flagged AS (SELECT *, 3 * words * open_weights < w * (total - 3 * capped_words) AS capped FROM before
+), level AS (SELECT max(total) - coalesce(sum(3 * words) FILTER (capped), 0) AS r, sum(w) FILTER (NOT capped) AS open FROM flagged
+), t AS (
+  SELECT source, words, CASE WHEN capped THEN (3 * words)::DOUBLE ELSE (w * r)::DOUBLE / open::DOUBLE END AS target FROM flagged, level
+), p AS (
+  SELECT d.*, words, target, CASE WHEN words > 0 THEN floor(target / words::DOUBLE) ELSE 0 END AS certain
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), q AS (SELECT *, target - certain * words AS rest, (target - certain * words) / words::DOUBLE AS pi FROM p
+), ranked AS (SELECT *, CASE WHEN rest > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS rank FROM q
+), summed AS (
+  SELECT *, sum(size) OVER o AS upto, row_number() OVER o AS place FROM ranked
+  WINDOW o AS (PARTITION BY source ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), picked AS (SELECT *, rest > 0 AND upto <= rest AS picked FROM summed
+), gaps AS (SELECT *, rest - coalesce(max(upto) FILTER (picked) OVER (PARTITION BY source), 0) AS gap FROM picked
+), closing AS (
+  SELECT *, NOT picked AND size > 0 AND rest > 0 AND abs(size - gap) < gap AND row_number() OVER (
+    PARTITION BY source ORDER BY NOT picked AND size > 0 DESC, abs(size - gap), size, rank, place) = 1 AS closing FROM gaps
+)
+SELECT doc_id, size, words AS source_size, target,
+       (size * (certain::BIGINT + picked::BIGINT + closing::BIGINT))::BIGINT AS taken FROM closing
+"""
+
+SQL = {"op2_minhash_dedup": OP2, "op3_quality_rules": OP3, "op4_warc_segments": OP4, "op5_line_dedup": OP5, "op8_embedding_dedup": OP8, "op9_suffix_dedup": OP9, "op10_chat_format": OP10, "op13_source_mix": OP13}
