@@ -193,6 +193,38 @@ SELECT vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(b) AS component
 FROM embeddings JOIN reach ON reach.a = vec_id LEFT JOIN n ON n.a = vec_id GROUP BY vec_id
 """
 
+OP12 = f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents
+), failed AS (
+  SELECT doc_id, part, len(w) < 100 AS fa, 100 * len(list_distinct(w)) < 80 * len(w) AS fb,
+         100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS fc,
+         regexp_matches(text, '[#$%&*|]') AS fd, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS fe FROM texts
+), marked AS (
+  SELECT part, fa::INT + 2 * fb::INT + 4 * fc::INT + 8 * fd::INT + 16 * fe::INT AS mask,
+         doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good,
+         doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic FROM failed
+), f(l, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.b | b.b | c.b | d.b | e.b = 31
+), steps AS (
+  SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+  FROM orders, (SELECT unnest(range(1, 6))::INT AS step)
+), counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t FROM marked GROUP BY ALL
+), sums AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (mask & (own | before) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(g) FILTER (mask & own <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(t) FILTER (mask & own <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY ALL
+)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM sums
+"""
+
 OP13 = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORD}))::BIGINT AS size,
@@ -226,4 +258,4 @@ SELECT doc_id, size, words AS source_size, target,
        (size * (certain::BIGINT + picked::BIGINT + closing::BIGINT))::BIGINT AS taken FROM closing
 """
 
-SQL = {"op2_minhash_dedup": OP2, "op3_quality_rules": OP3, "op4_warc_segments": OP4, "op5_line_dedup": OP5, "op8_embedding_dedup": OP8, "op9_suffix_dedup": OP9, "op10_chat_format": OP10, "op13_source_mix": OP13}
+SQL = {"op2_minhash_dedup": OP2, "op3_quality_rules": OP3, "op4_warc_segments": OP4, "op5_line_dedup": OP5, "op8_embedding_dedup": OP8, "op9_suffix_dedup": OP9, "op10_chat_format": OP10, "op12_filter_audit": OP12, "op13_source_mix": OP13}
