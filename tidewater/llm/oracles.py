@@ -193,6 +193,42 @@ SELECT vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(b) AS component
 FROM embeddings JOIN reach ON reach.a = vec_id LEFT JOIN n ON n.a = vec_id GROUP BY vec_id
 """
 
+OP11 = """
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS txt,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (SELECT DISTINCT c FROM t
+), convs AS (  -- crc32 bit by bit: a code of a byte is added, each -1 shifts once
+  SELECT c, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''),
+           lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295) % 9 AS h
+  FROM ids
+), turns AS (
+  SELECT convs.c, 0 AS own, place, role, txt FROM convs JOIN t ON t.c = convs.c - convs.c % 5 WHERE place <= h
+  UNION ALL SELECT convs.c, 1, place, role, txt FROM convs JOIN t ON t.c = convs.c WHERE place > h
+), numbered AS (
+  SELECT c, octet_length(encode(txt)) AS bytes, row_number() OVER o AS d,
+         string_agg(md5(octet_length(encode(role))::VARCHAR || ':' || role || txt), '') OVER o AS path
+  FROM turns WINDOW o AS (PARTITION BY c ORDER BY own, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), on_path AS (
+  SELECT c, 0 AS d, '' AS path, 0 AS bytes, coalesce((SELECT max(d) FROM numbered n WHERE n.c = ids.c), 0) AS len FROM ids
+  UNION ALL SELECT c, d, path, bytes, max(d) OVER (PARTITION BY c) FROM numbered
+), nodes AS (
+  SELECT path, d, min(c) AS c, count(*) AS n, any_value(bytes) AS bytes,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len = d), '')) AS ends FROM on_path GROUP BY path, d
+), kids AS (SELECT substr(path, 1, length(path) - 32) AS path, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1
+), full_nodes AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN kids ON kids.path = nodes.path
+), sums AS (
+  SELECT u.path, count(*) FILTER (v.k = 0) AS leaves, sum((v.n - 1) * v.bytes) AS saved
+  FROM full_nodes u JOIN full_nodes v ON starts_with(v.path, u.path) GROUP BY u.path
+)
+SELECT x.c AS conv_id, x.d::BIGINT AS depth, p.c AS parent_conv_id, x.n::BIGINT AS n_convs, x.k::BIGINT AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, x.ends AS ends_sha256
+FROM full_nodes x JOIN sums ON sums.path = x.path
+LEFT JOIN nodes p ON x.d > 0 AND p.path = substr(x.path, 1, length(x.path) - 32)
+"""
+
 OP12 = f"""
 WITH texts AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents
@@ -258,4 +294,4 @@ SELECT doc_id, size, words AS source_size, target,
        (size * (certain::BIGINT + picked::BIGINT + closing::BIGINT))::BIGINT AS taken FROM closing
 """
 
-SQL = {"op2_minhash_dedup": OP2, "op3_quality_rules": OP3, "op4_warc_segments": OP4, "op5_line_dedup": OP5, "op8_embedding_dedup": OP8, "op9_suffix_dedup": OP9, "op10_chat_format": OP10, "op12_filter_audit": OP12, "op13_source_mix": OP13}
+SQL = {"op2_minhash_dedup": OP2, "op3_quality_rules": OP3, "op4_warc_segments": OP4, "op5_line_dedup": OP5, "op8_embedding_dedup": OP8, "op9_suffix_dedup": OP9, "op10_chat_format": OP10, "op11_conversation_trie": OP11, "op12_filter_audit": OP12, "op13_source_mix": OP13}

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.bridges import read_table
-from . import chat, embedding_dedup, filter_audit, line_dedup, minhash, mixing, packing, quality, sentencepiece_codec, suffix_dedup, toxicity, warc
+from . import (chat, conversation_trie, embedding_dedup, filter_audit, line_dedup, minhash, mixing, packing, quality, sentencepiece_codec,
+               suffix_dedup, toxicity, warc)
 from .common import scratch, stored
 
 
@@ -95,6 +96,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.format_windows(turns.unionByName(quoting))))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations, node by node."""
+    return conversation_trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove, in every order and part."""
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -105,4 +111,4 @@ def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_minhash_dedup, op3_quality_rules, op4_warc_segments, op5_line_dedup, op6_packing, op7_toxicity, op8_embedding_dedup, op9_suffix_dedup, op10_chat_format, op12_filter_audit, op13_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_minhash_dedup, op3_quality_rules, op4_warc_segments, op5_line_dedup, op6_packing, op7_toxicity, op8_embedding_dedup, op9_suffix_dedup, op10_chat_format, op11_conversation_trie, op12_filter_audit, op13_source_mix)}
