@@ -7,6 +7,7 @@ a lost executor costs a re-read and never a wrong or missing row.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import uuid
@@ -25,6 +26,9 @@ from ..session import ensure_checkpoint_dir, ship_package
 BLOCK_BYTES = 8 << 20
 #: edges that one task joins at the end of `components`
 TASK_EDGES = 500_000
+#: bytes of an Arrow batch between the JVM and its Python workers
+BATCH_BYTES = 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -41,12 +45,25 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def ready(df: DataFrame) -> SparkSession:
-    """The frame's session, with this package importable in its workers."""
+    """The frame's session, with this package importable in its workers, and
+    with Arrow batches bounded in bytes unless the session sets a bound: a
+    batch of 10 000 long texts would take many times a task's working memory."""
     spark = df.sparkSession
     ship_package(spark)
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     return spark
 
 
+def release() -> None:
+    """Hand memory that the allocators of a reused worker hold back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):      # another C library
+        pass
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -75,6 +92,7 @@ def in_slices(batches: Iterable[pa.RecordBatch], column: str = "text",
         starts = np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], batch.num_rows]):
             yield batch.slice(a, b - a)
+    release()
 
 
 # --- words and hashes -------------------------------------------------------

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, in_slices, ready, shuffle_partitions, stored
+from .common import block_count, in_slices, ready, release, shuffle_partitions, stored
 
 MIN_CHARS = 10
 SHARD_KEYS = 500_000
@@ -185,6 +185,7 @@ def build_index(lines: DataFrame, shards: int) -> DataFrame:
 
 def _drop_lines(min_chars: int):
     def run(docs: pa.Table, verdicts: pa.Table) -> pa.Table:
+        release()
         holder = dict(zip(zip(verdicts.column("hi").to_pylist(), verdicts.column("lo").to_pylist()),
                           verdicts.column("holder").to_pylist()))
         signed = lambda h: tuple(x - (1 << 64) if x >> 63 else x for x in h)

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (UnionFind, columns_of, components, hash_words, in_slices, mix, ready, salt, shingle_set, stored,
+from .common import (UnionFind, columns_of, components, hash_words, in_slices, mix, ready, release, salt, shingle_set, stored,
                      words_of)
 
 BANDS, ROWS = 28, 4
@@ -160,6 +160,7 @@ def _links_between(percent: int):
     """Links that join different components among the documents of two blocks
     of a family (or one block with itself), from exact intersection sizes."""
     def run(table: pa.Table) -> pa.Table:
+        release()
         p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
         ids, comp, block = (table.column(n).to_numpy() for n in ("id", "c", "block"))
         lists = table.column("shingles").combine_chunks()

@@ -49,7 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, mix, ready, salt, shuffle_partitions, stored
+from .common import block_count, mix, ready, release, salt, shuffle_partitions, stored
 
 LENGTH = 50
 GRAM = 16
@@ -291,6 +291,7 @@ def _binary(arrays) -> pa.Array:
 
 def _send_anchors(shards: int):
     def run(docs: pa.Table, notes: pa.Table) -> pa.Table:
+        release()
         out = {"shard": [], "block": [], "grams": [], "many": [], "places": []}
         if docs.num_rows:
             found = [(h, row) for h, _, _, _, row in _block(docs, notes).anchors()]
@@ -358,6 +359,7 @@ _CONTEXTS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), *(
 
 def _send_contexts(shards: int):
     def run(docs: pa.Table, notes: pa.Table) -> pa.Table:
+        release()
         rows = []
         has = notes.filter(pc.is_valid(notes.column("grams"))) if notes.num_rows else notes
         if docs.num_rows and has.num_rows:
@@ -472,6 +474,7 @@ def _judge(table: pa.Table) -> pa.Table:
 
 def _cut(as_text: bool):
     def run(docs: pa.Table, notes: pa.Table) -> pa.Table:
+        release()
         names = ["__doc", "__text", "__block"]
         out = docs.drop_columns(names)
         block = _block(docs, notes)
