@@ -205,3 +205,43 @@ def detect(src: str, th: Thresholds, out: str) -> str:
          CASE z.t WHEN 'consumer_stopped' THEN 'critical' WHEN 'consumer_stalled' THEN 'warning'
                   WHEN 'rapid_lag_increase' THEN 'warning' ELSE 'info' END AS severity
   FROM (SELECT cluster, group_id, topic, "partition", unnest(st.ev) AS z FROM {out}_f))"""
+
+
+def attempts(src: str, th: Thresholds, out: str) -> str:
+    """CTE `out`: every attempt to publish and its outcome.  The fold's state
+    also holds, per event type, the last bucket that was remembered (b1..b5);
+    publishing fails at offsets divisible by 3, the lookup at those by 4."""
+    from tidewater.schemas import YEAR_ONE_OFFSET_S
+    gate_us, fl, w = int(round(th.gate_s * 1_000_000)), th.lag_floor, int(th.dedup_s)
+    trans = ("CASE WHEN acc.p IS NULL OR acc.p = x.s THEN 0 WHEN x.s = 'STOPPED' AND acc.p IN ('ACTIVE', 'LAGGING') THEN 1 "
+             "WHEN x.s = 'STALLED' AND acc.p = 'ACTIVE' THEN 2 "
+             "WHEN x.s IN ('ACTIVE', 'EMPTY') AND acc.p IN ('STOPPED', 'STALLED') THEN 3 ELSE 0 END")
+    fires = {1: f"({trans}) = 1", 2: f"({trans}) = 2", 3: f"({trans}) = 3", 4: "x.e4", 5: "x.e5"}
+    outcome = {c: f"CASE WHEN NOT x.lf AND acc.b{c} IS NOT DISTINCT FROM x.k THEN 'deduplicated' WHEN x.pf THEN 'failed' ELSE 'published' END"
+               for c in fires}
+    known = ", ".join(f"'b{c}': CASE WHEN {fires[c]} AND NOT x.lf THEN x.k ELSE acc.b{c} END" for c in fires)
+    gated = " OR ".join(f"({fires[c]} AND ({outcome[c]}) <> 'failed')" for c in (1, 2, 3, 4))
+    made = ", ".join(f"{{'ts': x.ts, 'c': CASE WHEN {fires[c]} THEN {c} END, 'o': {outcome[c]}}}" for c in fires)
+    return f"""
+{out}_c AS (
+  SELECT cluster, group_id, topic, "partition", ts_us, status, current_offset % 3 = 0 AS pf, current_offset % 4 = 0 AS lf,
+         (ts_us // 1000000 + {YEAR_ONE_OFFSET_S}) // {w} AS k,
+         (lag_change_rate > {th.rapid_rate!r} * 2 AND current_lag > {fl}) AS e4,
+         (current_lag = 0 AND n_records > 2 AND coalesce(prev_lag > {fl}, false)) AS e5
+  FROM {src} WHERE kind = 'window'),
+{out}_f AS (
+  SELECT cluster, group_id, topic, "partition",
+    list_reduce(
+      list({{'ts': ts_us, 's': status, 'e4': e4, 'e5': e5, 'pf': pf, 'lf': lf, 'k': k}} ORDER BY ts_us),
+      lambda acc, x: CASE
+        WHEN acc.e IS NOT NULL AND x.ts - acc.e < {gate_us} THEN acc
+        ELSE {{'p': x.s, 'e': CASE WHEN {gated} THEN x.ts ELSE acc.e END, {known},
+              'ev': list_concat(acc.ev, list_filter([{made}], lambda z: z.c IS NOT NULL))}} END,
+      {{'p': NULL::VARCHAR, 'e': NULL::BIGINT, {", ".join(f"'b{c}': NULL::BIGINT" for c in fires)},
+        'ev': []::STRUCT(ts BIGINT, c INTEGER, o VARCHAR)[]}}) AS st
+  FROM {out}_c GROUP BY cluster, group_id, topic, "partition"),
+{out} AS (
+  SELECT cluster, group_id, topic, "partition", z.ts AS ts_us, z.c AS ev, z.o AS outcome,
+         ['consumer_stopped', 'consumer_stalled', 'consumer_recovered', 'rapid_lag_increase', 'lag_cleared'][z.c] AS event_type,
+         ['critical', 'warning', 'info', 'warning', 'info'][z.c] AS severity
+  FROM (SELECT cluster, group_id, topic, "partition", unnest(st.ev) AS z FROM {out}_f))"""

@@ -49,7 +49,7 @@ def _cfg_col() -> dict[str, Column]:
 
 
 def evaluate(samples: DataFrame, thresholds: Thresholds | DataFrame, *,
-             messages: bool = True, passthrough: tuple[str, ...] = (),
+             messages: bool = True, passthrough: tuple[str, ...] = (), within: tuple[str, ...] = (),
              hot_key_rows: int | str | None = None) -> DataFrame:
     """samples (KEY, ts, ts_us, committed_offset, high_watermark, lag) ->
     evaluated rows (STATUS_COLUMNS), one per sample.
@@ -65,22 +65,25 @@ def evaluate(samples: DataFrame, thresholds: Thresholds | DataFrame, *,
     time segments of about that many rows, each evaluated in its own task with
     an exact halo of the previous N-1 windowed records (see
     `_with_segments`), so one very hot key does not serialise the pass.
+    `within` names further columns (without hot keys) that a window must not
+    cross, such as the start of a key's stretch between two gaps.
     """
     if isinstance(thresholds, Thresholds):
         return _evaluate_n(samples, thresholds.window_size, _cfg_lit(thresholds), messages, passthrough,
-                           hot_key_rows)
+                           hot_key_rows, within)
     # Configuration table: one row per cluster, so collecting its distinct
     # window sizes is bounded by configuration, not by data.
     sizes = sorted(r[0] for r in thresholds.select("window_size").distinct().collect())
     joined = attach_thresholds(samples, thresholds)
     parts = [_evaluate_n(joined.filter(F.col("window_size") == n), n, _cfg_col(), messages, passthrough,
-                         hot_key_rows)
+                         hot_key_rows, within)
              for n in sizes]
     return reduce(DataFrame.unionByName, parts)
 
 
 def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages: bool,
-                passthrough: tuple[str, ...] = (), hot_key_rows: int | str | None = None) -> DataFrame:
+                passthrough: tuple[str, ...] = (), hot_key_rows: int | str | None = None,
+                within: tuple[str, ...] = ()) -> DataFrame:
     off, hwm, lag, ts = (F.col(c) for c in ("committed_offset", "high_watermark", "lag", "ts_us"))
     kind = (F.when(hwm.isNull(), F.lit(KIND_UNREADABLE))
             .when(off.isNull(), F.lit(KIND_NO_COMMIT))
@@ -90,7 +93,7 @@ def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages
     df = samples.withColumn("kind", kind).withColumn(
         "_krank", F.when(F.col("kind") == KIND_WINDOW, 0).when(F.col("kind") == KIND_NO_COMMIT, 1).otherwise(2))
 
-    part = list(S.KEY)
+    part = [*S.KEY, *within]
     hot = resolve(df, hot_key_rows)
     if hot is not None:
         df = _with_segments(df, n_max, hot)

@@ -187,7 +187,7 @@ def _fold_partition(gate_us: int, emit_state: bool):
     return fn
 
 
-def _narrow(evaluated: DataFrame, rapid: Column, floor: Column) -> DataFrame:
+def _narrow(evaluated: DataFrame, rapid: Column, floor: Column, *more: Column) -> DataFrame:
     w = evaluated.filter(F.col("kind") == KIND_WINDOW)
     return w.select(
         *S.KEY, "ts_us", status_code("status").alias("st"),
@@ -195,11 +195,11 @@ def _narrow(evaluated: DataFrame, rapid: Column, floor: Column) -> DataFrame:
         ((F.col("current_lag") == 0) & (F.col("n_records") > 2)
          & F.coalesce(F.col("prev_lag") > floor, F.lit(False))).alias("e5"),
         F.lit(False).alias("is_seed"), F.lit(None).cast("int").alias("seed_prev"),
-        F.lit(None).cast("long").alias("seed_last"))
+        F.lit(None).cast("long").alias("seed_last"), *more)
 
 
-def _narrow_of(evaluated: DataFrame, th: Thresholds) -> DataFrame:
-    return _narrow(evaluated, F.lit(float(th.rapid_rate)), F.lit(th.lag_floor))
+def _narrow_of(evaluated: DataFrame, th: Thresholds, *more: Column) -> DataFrame:
+    return _narrow(evaluated, F.lit(float(th.rapid_rate)), F.lit(th.lag_floor), *more)
 
 
 def fold_gate(evaluated: DataFrame, th: Thresholds, state: DataFrame | None = None,
@@ -221,11 +221,11 @@ def fold_gate(evaluated: DataFrame, th: Thresholds, state: DataFrame | None = No
             .mapInPandas(_fold_partition(gate_us, emit_state), FOLD_OUT))
 
 
-def _typed(folded: DataFrame) -> DataFrame:
+def _typed(folded: DataFrame, *more: str) -> DataFrame:
     types = F.create_map(*[x for code, (t, _) in EVENT_OF_CODE.items() for x in (F.lit(code), F.lit(t))])
     sev = F.create_map(*[x for code, (_, s) in EVENT_OF_CODE.items() for x in (F.lit(code), F.lit(s))])
     return folded.filter(F.col("ev") > 0).select(
-        *S.KEY, "ts_us", "ev", types[F.col("ev")].alias("event_type"), sev[F.col("ev")].alias("severity"))
+        *S.KEY, "ts_us", "ev", types[F.col("ev")].alias("event_type"), sev[F.col("ev")].alias("severity"), *more)
 
 
 def detect(evaluated: DataFrame, th: Thresholds | DataFrame, hot_key_rows: int | str | None = None) -> DataFrame:

@@ -27,13 +27,17 @@ from ..operators import placement as PL
 from ..operators import rollup as R
 from ..operators.evaluate import evaluate, latest_per_key, partition_status
 from ..operators.incidents import dedup, detect, event_records, incidents
+from ..operators.publishing import publish_attempts
 from ..operators.rollup import latest_group_status
 from ..operators.skew import Auto, plan_hot_keys
 from ..session import checkpoint_path
 from ..sources import event_io as EIO
 from ..sources.bridges import events_samples, read_table
+from ..sources.event_log import ConsumerGroup, EventLog
 from ..sources.positions import align_to_tick, join_watermarks, list_groups, read_positions, read_watermarks
-from ..streaming.monitor import StreamingMonitor, run_available
+from ..streaming import joins as JN
+from ..streaming.keyed import KeyedMonitor, fresh_enough
+from ..streaming.monitor import SAMPLE_SCHEMA, StreamingMonitor, run_available
 from ..streaming.snapshots import load_windows, save_windows
 from . import monitor as M
 from . import reports as RP
@@ -662,6 +666,152 @@ def st7_late_rows(spark, sf_dir):
     return late.select(*S.KEY, _epoch_us("ts").alias("ts_us"), "committed_offset", "high_watermark")
 
 
+# ---------------------------------------------------------------------------
+# Keyed streaming state: windows and gate per key, time to live, restart
+# ---------------------------------------------------------------------------
+
+KEYED_TTL_S = 6 * 3600.0
+
+
+def _arrivals(samples):
+    """STREAM_SLICES equal time slices of the samples, as functions that write one."""
+    lo, hi = samples.agg(F.min("ts_us").alias("lo")).scalar(), samples.agg(F.max("ts_us").alias("hi")).scalar()
+    staged = samples.select(*S.KEY, "ts", "committed_offset", "high_watermark",
+                            F.floor((F.col("ts_us") - lo) * STREAM_SLICES / (hi - lo + F.lit(1))).alias("_slice"))
+    return [lambda path, i=i: staged.filter(F.col("_slice") == i).drop("_slice").write.parquet(f"{path}/arrival={i}")
+            for i in range(STREAM_SLICES)]
+
+
+def _arrive(mon: KeyedMonitor, writers, folder: str) -> None:
+    for write in writers:
+        write(folder)
+        mon.run_windows(mon.spark.readStream.schema(SAMPLE_SCHEMA).parquet(f"{folder}/*/"))
+        mon.run_gate()
+
+
+def keyed_stream(spark, sf_dir, samples, ttl_s: float | None = None) -> KeyedMonitor:
+    """The keyed monitor after all slices of the samples, one by one."""
+    root = checkpoint_path(spark, f"keyed-{_uuid.uuid4().hex}")
+    mon = KeyedMonitor(spark, B_SHORT, f"{root}/out", ttl_s=ttl_s)
+    _arrive(mon, _arrivals(samples), f"{root}/in")
+    return mon
+
+
+def moved_samples_b(spark, sf_dir):
+    """Bridge B samples at ticks where the key's committed offset moved: keys fall silent."""
+    s = M.samples_b(spark, sf_dir)
+    before = F.lag("committed_offset", 1).over(_W.partitionBy(*S.KEY).orderBy("ts_us"))
+    return s.withColumn("_moved", ~F.col("committed_offset").eqNullSafe(before)).filter("_moved").drop("_moved").checkpoint()
+
+
+def _event_rows(events):
+    return events.select("cluster", F.col("consumer_group").alias("group_id"), "topic", "partition", "ts_us",
+                         F.col("type").alias("event_type"), "severity")
+
+
+@register("st2_keyed_windows")
+def st2_keyed_windows(spark, sf_dir):
+    """ST2: status rows with each key's window as keyed state - equal to the batch evaluation."""
+    return keyed_stream(spark, sf_dir, M.samples_b(spark, sf_dir).checkpoint()).status().select(*STATUS_OUT)
+
+
+@register("st3_keyed_gate")
+def st3_keyed_gate(spark, sf_dir):
+    """ST3: events with previous status and last event as keyed state - equal to the batch detection."""
+    return _event_rows(keyed_stream(spark, sf_dir, M.samples_b(spark, sf_dir).checkpoint()).events())
+
+
+@register("st5_keyed_ttl_status")
+def st5_keyed_ttl_status(spark, sf_dir):
+    """ST5: keys that report only when they move, forgotten after six silent hours."""
+    return keyed_stream(spark, sf_dir, moved_samples_b(spark, sf_dir), KEYED_TTL_S).status().select(*STATUS_OUT)
+
+
+@register("st5_keyed_ttl_events")
+def st5_keyed_ttl_events(spark, sf_dir):
+    """ST5: the gate's state ends with the same silence."""
+    return _event_rows(keyed_stream(spark, sf_dir, moved_samples_b(spark, sf_dir), KEYED_TTL_S).events())
+
+
+@register("s10_restart")
+def s10_restart(spark, sf_dir):
+    """A monitor stopped before the last slice, and another one started
+    from its saved windows and gates (none older than the time to live): the
+    events of both equal those of an uninterrupted run."""
+    root = checkpoint_path(spark, f"restart-{_uuid.uuid4().hex}")
+    samples = M.samples_b(spark, sf_dir).checkpoint()
+    writers = _arrivals(samples)
+    first = KeyedMonitor(spark, B_SHORT, f"{root}/first")
+    _arrive(first, writers[:-1], f"{root}/in")
+    windows = first.saved_windows()
+    as_of = windows.agg(F.max("seen_us").alias("t")).scalar()
+    windows = fresh_enough(windows, as_of, 86400.0).checkpoint()
+    gates = fresh_enough(first.saved_gates(), as_of, 86400.0).checkpoint()
+    second = KeyedMonitor(spark, B_SHORT, f"{root}/second", windows=windows, gates=gates)
+    _arrive(second, writers[-1:], f"{root}/in2")
+    return _event_rows(first.events().unionByName(second.events()))
+
+
+# ---------------------------------------------------------------------------
+# Live inputs joined, failing publishers, consumer groups
+# ---------------------------------------------------------------------------
+
+@register("j1_stream_joined_status")
+def j1_stream_joined_status(spark, sf_dir):
+    """J1 as a stream-stream join: positions and end offsets arrive in files of
+    their own, some end offsets never; a last row of a time after all others
+    lets the watermark pass."""
+    root = checkpoint_path(spark, f"joined-{_uuid.uuid4().hex}")
+    pos, wm = events_samples(spark, sf_dir)
+    wm = _read_ends(wm)
+    hi = pos.select(F.max("ts")).scalar()
+    for i in range(2):
+        later = hi + F.expr(f"INTERVAL {i + 30} DAYS")
+        closing = spark.range(1).select(F.lit("").alias("cluster"), F.lit("").alias("group_id"), F.lit("").alias("topic"),
+                                        F.lit(0).alias("partition"), later.alias("ts"), F.lit(0).cast("long").alias("committed_offset"))
+        p, w = (pos, wm) if i == 0 else (pos.limit(0), wm.limit(0))
+        if i == 0:
+            p.write.parquet(f"{root}/positions/n=0")
+            w.write.parquet(f"{root}/watermarks/n=0")
+            JN.run_join(spark, f"{root}/positions/*/", f"{root}/watermarks/*/", f"{root}/out", 86_400)
+        closing.write.parquet(f"{root}/positions/n={i + 1}")
+        closing.drop("group_id").withColumnRenamed("committed_offset", "high_watermark").write.parquet(f"{root}/watermarks/n={i + 1}")
+        JN.run_join(spark, f"{root}/positions/*/", f"{root}/watermarks/*/", f"{root}/out", 86_400)
+    samples = spark.read.parquet(f"{root}/out/samples").filter("cluster <> ''")
+    return partition_status(evaluate(samples, B_LONG, messages=False)).select(*STATUS_OUT)
+
+
+@register("e8_publish_outcomes")
+def e8_publish_outcomes(spark, sf_dir):
+    """Every attempt to publish with its outcome, when publishing fails at
+    offsets divisible by 3 and the de-duplication lookup at those by 4."""
+    th = DEDUP_WEEK
+    ev = M.evaluated_b(spark, sf_dir, th, messages=False)
+    return publish_attempts(ev, th, publish_failed=F.col("current_offset") % 3 == 0, lookup_failed=F.col("current_offset") % 4 == 0)
+
+
+@register("s7_consumer_groups")
+def s7_consumer_groups(spark, sf_dir):
+    """Two groups over one event log in batches; one stops in the middle
+    of its second batch and is started again.  Each event once per group."""
+    root = checkpoint_path(spark, f"groups-{_uuid.uuid4().hex}")
+    log = EventLog(spark, root)
+    rec = _records_b_short(spark, sf_dir).select("id", "ts_us", "type", "group_id", "topic", "partition").checkpoint()
+    middle = rec.agg(((F.min("ts_us") + F.max("ts_us")) / 2).alias("m")).scalar()
+    log.append(rec.filter(F.col("ts_us") < middle), 0)
+
+    def handler(name):
+        return lambda events, batch: events.withColumn("consumer", F.lit(name)).write.mode("overwrite").parquet(
+            f"{root}/handled/consumer={name}/batch={batch}")
+    size = -(-log.newest() // 4)
+    ConsumerGroup(log, "audit", size).drain(handler("audit"))
+    ConsumerGroup(log, "alerts", size).drain(handler("alerts"), stop_after=2)
+    log.append(rec.filter(F.col("ts_us") >= middle), 1)
+    for name in ("audit", "alerts"):
+        ConsumerGroup(log, name, size).drain(handler(name))
+    return spark.read.parquet(f"{root}/handled").select("consumer", "seq", "id", "ts_us", "type", "group_id", "topic", "partition")
+
+
 # ---------------------------------------------------------------------------
 # Window snapshots (S9, S10) and stale-key cleanup
 # ---------------------------------------------------------------------------
@@ -796,11 +946,16 @@ def q8_default_cluster_lookup(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 
-def _gappy_samples(spark, sf_dir):
-    pos, wm = events_samples(spark, sf_dir)
+def _read_ends(wm):
+    """End offsets without those whose partition got no new message."""
     w = _W.partitionBy("cluster", "topic", "partition").orderBy("ts")
     moved = F.coalesce(F.col("high_watermark") > F.lag("high_watermark", 1).over(w), F.lit(True))
-    return join_watermarks(pos, wm.withColumn("_moved", moved).filter("_moved").drop("_moved"))
+    return wm.withColumn("_moved", moved).filter("_moved").drop("_moved")
+
+
+def _gappy_samples(spark, sf_dir):
+    pos, wm = events_samples(spark, sf_dir)
+    return join_watermarks(pos, _read_ends(wm))
 
 
 @register("p3_unreadable_partitions")
