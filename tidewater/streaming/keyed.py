@@ -58,6 +58,13 @@ def _sorted(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pdf.sort_values(by, kind="stable", ignore_index=True)
 
 
+def _output(key: tuple, part: pd.DataFrame, whole: list[str]) -> pd.DataFrame:
+    """`part` (not empty) behind the key's columns, with nullable whole numbers."""
+    for i, name in enumerate(S.KEY):
+        part.insert(i, name, [key[i]] * len(part))
+    return part.astype(dict.fromkeys(whole, "Int64"))
+
+
 def sessions(ts: np.ndarray, seen: int, start: int, ttl_us: int | None) -> np.ndarray:
     """For sorted times of a key, the first time of the stretch each row
     belongs to; a gap above the time to live begins a new one."""
@@ -125,11 +132,8 @@ class WindowTail(_Timed):
             self._set_timer(seen, int(ts[-1]))
             self.at.update((int(ts[-1]), int(at[-1])))
             out.append(new)
-        for part in out:
-            part = part[[*_RECORD, "session_us", "role"]]
-            for i, name in enumerate(S.KEY):
-                part.insert(i, name, [key[i]] * len(part))
-            yield part.astype({c: "Int64" for c in [*_RECORD, "session_us"]})
+        for part in filter(len, out):
+            yield _output(key, part[[*_RECORD, "session_us", "role"]], [*_RECORD, "session_us"])
 
     def _forget(self, seen: int) -> None:
         if self.ttl_us is not None and seen != _LONG_AGO:
@@ -205,12 +209,9 @@ class Gate(_Timed):
             self._set_timer(before, seen)
             self.state.update((int(fold.prev), _LONG_AGO if fold.last is None else int(fold.last), seen))
             out.append(new.iloc[-1:].assign(ev=STATE_EV, prev_st=int(fold.prev), last_us=fold.last))
-        for part in out:
-            part = part[["ev", "prev_st", "last_us", *[c.split()[0] for c in GATE_ROWS.split(", ")]]]
-            for i, name in enumerate(S.KEY):
-                part.insert(i, name, [key[i]] * len(part))
-            yield part.astype({c: "Int64" for c in ("ev", "prev_st", "last_us", "current_offset", "high_watermark",
-                                                    "current_lag", "n_records", "prev_lag")})
+        for part in filter(len, out):
+            yield _output(key, part[["ev", "prev_st", "last_us", *[c.split()[0] for c in GATE_ROWS.split(", ")]]],
+                          ["ev", "prev_st", "last_us", "current_offset", "high_watermark", "current_lag", "n_records", "prev_lag"])
 
     def _forget(self, seen: int) -> None:
         if self.ttl_us is not None and seen != _LONG_AGO:
