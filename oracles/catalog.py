@@ -368,19 +368,6 @@ WHERE floor((ts_us - lo) * 3 / (hi - lo + 1)) = 0"""
 # --- keyed streaming state -----------------------------------------------------
 SQL["st2_keyed_windows"] = SQL["st2_stream_equals_batch"]
 SQL["st3_keyed_gate"] = SQL["s10_restart"] = SQL["e2_incidents_events_short"]
-#: keys that report only when they move; a silence of more than six hours makes another key of them
-MOVED = f"""
-moved AS (SELECT * FROM samples_b QUALIFY committed_offset IS DISTINCT FROM
-          lag(committed_offset) OVER (PARTITION BY {D.KEYC} ORDER BY ts_us)),
-gaps AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY {D.KEYC} ORDER BY ts_us) > {6 * D.HOUR_US} THEN 1 ELSE 0 END AS g
-         FROM moved),
-stretches AS (SELECT * EXCLUDE (topic, g), topic || '#' || CAST(sum(g) OVER (PARTITION BY {D.KEYC} ORDER BY ts_us) AS VARCHAR) AS topic
-              FROM gaps)"""
-SQL["st5_keyed_ttl_status"] = D.with_(D.bridge_b(), MOVED, D.evaluate("stretches", B_SHORT, "ev_s")) + \
-    f"\nSELECT * REPLACE (split_part(topic, '#', 1) AS topic) FROM (SELECT {STATUS_OUT} FROM ev_s)"
-SQL["st5_keyed_ttl_events"] = D.with_(D.bridge_b(), MOVED, D.evaluate("stretches", B_SHORT, "ev_s"), D.detect("ev_s", B_SHORT, "det")) + """
-SELECT cluster, group_id, split_part(topic, '#', 1) AS topic, "partition", ts_us, event_type, severity FROM det"""
-
 SQL["s7_consumer_groups"] = D.with_(*_RECS) + """
 SELECT consumer, row_number() OVER (PARTITION BY consumer ORDER BY ts_us, id) AS seq, id, ts_us, type,
        consumer_group AS group_id, topic, "partition"
@@ -446,3 +433,16 @@ SQL["p3_unreadable_partitions"] = D.with_(_gappy_b(), D.evaluate("samples_g", B_
 SQL["p3_status_with_gaps"] = D.with_(_gappy_b(), D.evaluate("samples_g", B_LONG, "ev_g")) + \
     f"\nSELECT {STATUS_OUT} FROM ev_g WHERE kind <> 'unreadable'"
 SQL["j1_stream_joined_status"] = SQL["p3_status_with_gaps"]
+
+# --- keyed streaming state with a time to live ---------------------------------
+#: keys that report only when readable; a silence of more than two hours makes another key of them
+STRETCHES = f"""
+readable AS (SELECT * FROM samples_g WHERE high_watermark IS NOT NULL),
+gaps AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY {D.KEYC} ORDER BY ts_us) > {2 * D.HOUR_US} THEN 1 ELSE 0 END AS g
+         FROM readable),
+stretches AS (SELECT * EXCLUDE (topic, g), topic || '#' || CAST(sum(g) OVER (PARTITION BY {D.KEYC} ORDER BY ts_us) AS VARCHAR) AS topic
+              FROM gaps)"""
+SQL["st5_keyed_ttl_status"] = D.with_(_gappy_b(), STRETCHES, D.evaluate("stretches", B_SHORT, "ev_s")) + \
+    f"\nSELECT * REPLACE (split_part(topic, '#', 1) AS topic) FROM (SELECT {STATUS_OUT} FROM ev_s)"
+SQL["st5_keyed_ttl_events"] = D.with_(_gappy_b(), STRETCHES, D.evaluate("stretches", B_SHORT, "ev_s"), D.detect("ev_s", B_SHORT, "det")) + """
+SELECT cluster, group_id, split_part(topic, '#', 1) AS topic, "partition", ts_us, event_type, severity FROM det"""

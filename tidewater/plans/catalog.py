@@ -670,7 +670,7 @@ def st7_late_rows(spark, sf_dir):
 # Keyed streaming state: windows and gate per key, time to live, restart
 # ---------------------------------------------------------------------------
 
-KEYED_TTL_S = 6 * 3600.0
+KEYED_TTL_S = 2 * 3600.0
 
 
 def _arrivals(samples):
@@ -697,11 +697,9 @@ def keyed_stream(spark, sf_dir, samples, ttl_s: float | None = None) -> KeyedMon
     return mon
 
 
-def moved_samples_b(spark, sf_dir):
-    """Bridge B samples at ticks where the key's committed offset moved: keys fall silent."""
-    s = M.samples_b(spark, sf_dir)
-    before = F.lag("committed_offset", 1).over(_W.partitionBy(*S.KEY).orderBy("ts_us"))
-    return s.withColumn("_moved", ~F.col("committed_offset").eqNullSafe(before)).filter("_moved").drop("_moved").checkpoint()
+def readable_samples_b(spark, sf_dir):
+    """Bridge B samples whose end offset could be read: keys fall silent in between."""
+    return _gappy_samples(spark, sf_dir).filter(F.col("high_watermark").isNotNull()).checkpoint()
 
 
 def _event_rows(events):
@@ -723,14 +721,14 @@ def st3_keyed_gate(spark, sf_dir):
 
 @register("st5_keyed_ttl_status")
 def st5_keyed_ttl_status(spark, sf_dir):
-    """ST5: keys that report only when they move, forgotten after six silent hours."""
-    return keyed_stream(spark, sf_dir, moved_samples_b(spark, sf_dir), KEYED_TTL_S).status().select(*STATUS_OUT)
+    """ST5: keys that report only when their end offset can be read, forgotten after two silent hours."""
+    return keyed_stream(spark, sf_dir, readable_samples_b(spark, sf_dir), KEYED_TTL_S).status().select(*STATUS_OUT)
 
 
 @register("st5_keyed_ttl_events")
 def st5_keyed_ttl_events(spark, sf_dir):
     """ST5: the gate's state ends with the same silence."""
-    return _event_rows(keyed_stream(spark, sf_dir, moved_samples_b(spark, sf_dir), KEYED_TTL_S).events())
+    return _event_rows(keyed_stream(spark, sf_dir, readable_samples_b(spark, sf_dir), KEYED_TTL_S).events())
 
 
 @register("s10_restart")
