@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import ODD_TEXTS, by_id, cut_passages, kept_lines, near_copies, rows, sha
 
@@ -49,11 +50,11 @@ def test_lines_null_id_keeps_all_and_equal_ids_are_one_document(docs_of):
 def test_perfect_hash_places_every_key_once_and_rejects_others():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64))
-    levels = line_dedup._unpack(line_dedup._pack(line_dedup.build_mph(keys)))
-    assert sorted(line_dedup.probe_mph(levels, keys)) == list(range(len(keys)))
-    assert len(line_dedup.build_mph(keys[:0])) == 0
+    levels = line_dedup._unpack(line_dedup._pack(line_dedup.build_mph(keys, keys)))
+    assert sorted(line_dedup.probe_mph(levels, keys, keys)) == list(range(len(keys)))
+    assert len(line_dedup.build_mph(keys[:0], keys[:0])) == 0
     with pytest.raises(ValueError):
-        line_dedup.build_mph(np.array([7, 7], np.uint64))
+        line_dedup.build_mph(np.array([7, 7], np.uint64), np.array([1, 1], np.uint64))
 
 
 @pytest.mark.parametrize("width", [2, 5])
@@ -124,7 +125,7 @@ def test_chunks_slices_and_splits_do_not_change_the_result(corpus, monkeypatch,
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "_CHUNK", 64)
     monkeypatch.setattr(suffix_dedup, "_SORTED", 8)
-    notes = pa.table({"block": pa.array([], pa.int64()), "doc": pa.array([], pa.int64())})
+    notes = pa.table({"block": pa.array([], pa.int64()), "doc": pa.array([], pa.int64()), "half": pa.array([], pa.int64())})
     tables = [pa.table({"__doc": [d for d, _ in part], "__text": [t for _, t in part], "__block": [b] * len(part)})
               for b, part in ((b, [p for p in corpus if p[0] % 3 == b and len(p[1] or "") < 4000]) for b in range(3))]
     sent = pa.concat_tables([suffix_dedup._send_anchors(5)(t, notes) for t in tables])
@@ -132,12 +133,12 @@ def test_chunks_slices_and_splits_do_not_change_the_result(corpus, monkeypatch,
         return pa.concat_tables([f(table.filter(pa.compute.equal(table.column("shard"), i)))
                                  for i in sorted(set(table.column("shard").to_pylist()))])
     shared = by_shard(sent, suffix_dedup._shared)
-    shared = shared.append_column("doc", pa.array([None] * len(shared), pa.int64()))
+    shared = shared.append_column("doc", pa.array([None] * len(shared), pa.int64())).append_column("half", pa.array([None] * len(shared), pa.int64()))
     def own(table, b):
         return table.filter(pa.compute.equal(table.column("block"), b))
     ctx = pa.concat_tables([suffix_dedup._send_contexts(5)(t, own(shared, b)) for b, t in enumerate(tables)])
     verdict = by_shard(ctx, suffix_dedup._judge)
-    verdict = verdict.append_column("doc", pa.array([None] * len(verdict), pa.int64()))
+    verdict = verdict.append_column("doc", pa.array([None] * len(verdict), pa.int64())).append_column("half", pa.array([None] * len(verdict), pa.int64()))
     got = {}
     for b, t in enumerate(tables):
         out = suffix_dedup._cut(False)(t.append_column("doc_id", t.column("__doc")), own(verdict, b))
@@ -183,8 +184,8 @@ def test_passages_do_not_depend_on_the_order_of_rows(corpus, monkeypatch):
 
     def own(table, b):
         table = table.filter(pa.compute.equal(table.column("block"), b))
-        return table.append_column("doc", pa.array([None] * len(table), pa.int64()))
-    none = pa.table({"block": pa.array([], pa.int64()), "doc": pa.array([], pa.int64())})
+        return table.append_column("doc", pa.array([None] * len(table), pa.int64())).append_column("half", pa.array([None] * len(table), pa.int64()))
+    none = pa.table({"block": pa.array([], pa.int64()), "doc": pa.array([], pa.int64()), "half": pa.array([], pa.int64())})
     sent = pa.concat_tables([suffix_dedup._send_anchors(5)(t, none) for t in dealt()])
     shared = by(sent, "shard", suffix_dedup._shared)
     ctx = pa.concat_tables([suffix_dedup._send_contexts(5)(t, own(shared, b)) for b, t in enumerate(dealt())])
@@ -227,3 +228,30 @@ def test_digest_of_kept_text(spark, docs_of):
     from tidewater.llm.common import stored
     df = stored(line_dedup.dedup_lines(docs_of([(1, "é\nline")])), "t")
     assert df.selectExpr("sha2(cast(__kept_text as binary), 256) AS h").head()["h"] == sha("é\nline")
+
+
+def test_keys_with_one_equal_half(spark, docs_of, monkeypatch):
+    """Line keys whose first 64 bits all agree are told apart by the others."""
+    same = np.full(3000, 7, np.uint64)
+    other = np.arange(3000).astype(np.uint64)
+    for hi, lo in ((same, other), (other, same)):
+        assert sorted(line_dedup.probe_mph(line_dedup.build_mph(hi, lo), hi, lo)) == list(range(3000))
+    table = pa.table({"shard": [0] * 3000, "hi": same.view(np.int64), "lo": other.view(np.int64), "n_blocks": [1] * 3000,
+                      "min_doc": np.arange(3000), "max_doc": np.arange(3000) + 1})
+    index = line_dedup._build_shard(table)
+    probes = pa.table({"block": [5] * 3001, "hi": np.full(3001, 7), "lo": np.arange(3001), "max_doc": np.arange(3001) + 1})
+    got = line_dedup._probe_shard(index, probes)
+    assert sorted(zip(got.column("lo").to_pylist(), got.column("holder").to_pylist())) == [(i, i) for i in range(3000)]
+
+
+def test_unlike_rows_of_one_id(spark, docs_of):
+    """Rows that share an id: one node for links, documents of their own for bytes."""
+    a = " ".join(f"alpha{i}" for i in range(16))
+    b = " ".join(f"beta{i}" for i in range(16))
+    got = rows(minhash.near_duplicates(docs_of([(4, a), (4, b), (9, b + " tail"), (11, "other words here")]), width=2))
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(4, 4, True), (9, 4, False), (11, 11, True)}
+    got = rows(minhash.near_duplicates(docs_of([(2, a), (4, a), (4, b), (9, b + " tail")]), width=2))
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(2, 2), (4, 2), (9, 2)} and len(got) == 4
+    got = rows(suffix_dedup.cut_repeats(docs_of([(2, a), (4, a), (4, b), (5, "x" + b)]), keep=["doc_id"]))
+    assert sorted((r["doc_id"], r["__n_bytes"], r["__n_removed"]) for r in got) == sorted(
+        [(2, len(a), 0), (4, len(a), len(a)), (4, len(b), 0), (5, len(b) + 1, len(b))])

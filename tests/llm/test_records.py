@@ -127,13 +127,30 @@ def test_segments_of_other_writers(spark, tmp_path, damage):
     elif damage == "twice":
         records += records[1:3]
     for i in range(2):                                              # two files, each record a gzip member of its own
-        (tmp_path / f"{i}.warc.gz").write_bytes(b"".join(r + b"\r\n\r\n" for r in records[i::2]) and
-                                                gzip.compress(b"".join(r + b"\r\n\r\n" for r in records[i::2])))
+        (tmp_path / f"{i}.warc.gz").write_bytes(b"".join(gzip.compress(r + b"\r\n\r\n") for r in records[i::2]))
     (r,) = rows(warc.read_archives(spark, str(tmp_path)))
     whole = damage not in ("missing", "total")
     assert (r["page_id"], r["complete"], r["payload"] and bytes(r["payload"])) == (5, whole, payload if whole else None)
 
 
+def test_other_records_and_damaged_archives(spark, tmp_path):
+    records = [warc.page_records(i, 0, "http://x", "d", b"page %d" % i, None, "d", 1000)[0] for i in range(4)]
+    others = [b"WARC/1.1\r\nWARC-Type: %s\r\nContent-Length: 5\r\n\r\nhello" % t for t in (b"warcinfo", b"request", b"metadata")]
+    ended = [r + b"\r\n\r\n" for r in (others[0], records[0], others[1], records[1], others[2])]
+    (tmp_path / "plain.warc").write_bytes(b"".join(ended))
+    cut = gzip.compress(records[2] + b"\r\n\r\n") + gzip.compress(records[3] + b"\r\n\r\n")[:-60]
+    (tmp_path / "cut.warc.gz").write_bytes(cut)
+    bad = records[3].replace(b"Content-Length: ", b"Content-Length: x")
+    short = records[3][:-4]
+    (tmp_path / "bad.warc").write_bytes(b"no record\r\n" + bad + b"\r\n\r\n" + records[2] + b"\r\n\r\n" + short)
+    (tmp_path / "empty.warc.gz").write_bytes(b"")
+    (tmp_path / "junk.warc.gz").write_bytes(b"\x1f\x8bjunk")
+    got = sorted((r["page_id"], r["complete"], bytes(r["payload"] or b"")) for r in rows(warc.read_archives(spark, str(tmp_path))))
+    assert got[:2] == [(0, True, b"page 0"), (1, True, b"page 1")]
+    assert [g for g in got if g[0] == 2] == [(2, True, b"page 2")] * 2
+    assert all(not complete and not payload for page, complete, payload in got if page == 3) and len(got) in (5, 6)
+
+
 def test_chunked_framing():
     for n in (0, 1, 7, 8, 9, 100):
         assert warc.dechunked(warc.chunked(b"z" * n, 8)) == b"z" * n

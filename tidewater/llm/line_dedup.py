@@ -56,34 +56,38 @@ def _key_hash(key: bytes) -> tuple[int, int]:
 
 # --- minimal perfect hash over arrays ---------------------------------------
 
-def _slot(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-    x = keys ^ np.uint64((level * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+def _slot(hi: np.ndarray, lo: np.ndarray, level: int, size: int) -> np.ndarray:
+    """A bit from both halves of a key: keys with one equal half part ways."""
+    x = hi ^ np.uint64((level * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x ^= lo
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return ((x >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
 
 
-def build_mph(keys: np.ndarray) -> list[np.ndarray]:
+def build_mph(hi: np.ndarray, lo: np.ndarray) -> list[np.ndarray]:
     """Bit arrays, one per level; a key lives at the first level where it
-    alone falls on its bit.  `keys` are distinct uint64."""
-    levels, left = [], keys
+    alone falls on its bit.  The pairs (hi, lo) of uint64 are distinct."""
+    levels = []
     for level in range(_LEVELS):
-        if not len(left):
+        if not len(hi):
             return levels
-        size = max(8, int(len(left) * _GAMMA))
-        at = _slot(left, level, size)
-        hits = np.bincount(at.astype(np.int64), minlength=size)
+        size = max(8, int(len(hi) * _GAMMA))
+        at = _slot(hi, lo, level, size).astype(np.int64)
+        hits = np.bincount(at, minlength=size)
         levels.append(hits == 1)
-        left = left[hits[at.astype(np.int64)] != 1]
+        left = hits[at] != 1
+        hi, lo = hi[left], lo[left]
     raise ValueError("the keys of a perfect hash must be distinct")
 
 
-def probe_mph(levels: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
+def probe_mph(levels: list[np.ndarray], hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     """Index of each key (0..n-1 for members, anything or -1 for others)."""
-    out = np.full(len(keys), -1, np.int64)
-    todo, base = np.arange(len(keys)), 0
+    out = np.full(len(hi), -1, np.int64)
+    todo, base = np.arange(len(hi)), 0
     for level, bits in enumerate(levels):
-        at = _slot(keys[todo], level, len(bits)).astype(np.int64)
+        at = _slot(hi[todo], lo[todo], level, len(bits)).astype(np.int64)
         rank = np.cumsum(bits) - 1 + base
         hit = bits[at]
         out[todo[hit]] = rank[at[hit]]
@@ -141,9 +145,9 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
 
 
 def _build_shard(table: pa.Table) -> pa.Table:
-    hi = _column(table, "hi").view(np.uint64)
-    levels = build_mph(hi)
-    at = probe_mph(levels, hi)
+    hi, lo = _column(table, "hi").view(np.uint64), _column(table, "lo").view(np.uint64)
+    levels = build_mph(hi, lo)
+    at = probe_mph(levels, hi, lo)
     def placed(name, dtype):
         out = np.empty(len(at), dtype)
         out[at] = _column(table, name)
@@ -163,7 +167,7 @@ def _probe_shard(index: pa.Table, probes: pa.Table) -> pa.Table:
     row = {n: index.column(n)[0].as_py() for n in ("mph", "fingerprints", "holders")}
     fp, holder = np.frombuffer(row["fingerprints"], "<i8"), np.frombuffer(row["holders"], "<i8")
     hi, lo = _column(probes, "hi"), _column(probes, "lo")
-    at = probe_mph(_unpack(row["mph"]), hi.view(np.uint64))
+    at = probe_mph(_unpack(row["mph"]), hi.view(np.uint64), lo.view(np.uint64))
     hit = (at >= 0) & (fp[at] == lo)
     hit &= _column(probes, "max_doc") != holder[at]   # a block with only the holder loses nothing
     return pa.table({"block": _column(probes, "block")[hit], "hi": hi[hit], "lo": lo[hit],
@@ -173,9 +177,8 @@ def _probe_shard(index: pa.Table, probes: pa.Table) -> pa.Table:
 def build_index(lines: DataFrame, shards: int) -> DataFrame:
     """One row per shard of repeated keys: (shard, mph, fingerprints, counts,
     holders).  The count is the number of document blocks that hold the key.
-
-    Two keys whose first 64 bits agree but not their fingerprints would
-    break a shard's perfect hash; such a shard raises an error."""
+    Both halves of a key choose its place, so keys that agree in the first
+    64 bits only are keys of their own."""
     repeated = (lines.groupBy("shard", "hi", "lo")
                 .agg(F.min("min_doc").alias("min_doc"), F.max("max_doc").alias("max_doc"),
                      F.count("*").alias("n_blocks")).where("min_doc != max_doc"))

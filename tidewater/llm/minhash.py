@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (UnionFind, columns_of, components, hash_words, in_slices, mix, ready, release, salt, shingle_set, stored,
+from .common import (UnionFind, columns_of, components, hash_words, in_slices, lookup, mix, ready, release, salt, shingle_set, stored,
                      words_of)
 
 BANDS, ROWS = 28, 4
@@ -135,19 +135,29 @@ def _sets(width: int):
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()),
                 pa.array(np.array([v >> 64 for v in h], np.uint64).view(np.int64)),
+                pa.array(np.array([v & 0xFFFFFFFFFFFFFFFF for v in h], np.uint64).view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))],
-                names=["id", "k1", "shingles"])
+                names=["id", "k1", "k2", "shingles"])
     return run
 
 
+_CLASS = ["id", "k1", "k2"]          # a document's id and its set; rows that share an id may hold several
+
+
+def _named(df: DataFrame, side: str, *more: str) -> DataFrame:
+    """The class columns (and `more`) with `side` behind their names."""
+    return df.select(*[F.col(c).alias(f"{c}_{side}") for c in (*_CLASS, *more)])
+
+
 def _verify(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the candidate (a, b), those whose full sets are similar enough."""
-    inter = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return (edges.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-            .join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-            .withColumn("inter", inter)
-            .where(F.col("inter") * 100 >= percent * (F.size("sa").cast("long") + F.size("sb") - F.col("inter")))
-            .select("a", "b"))
+    """Of the candidate classes (.._a, .._b), the ids of those whose full sets
+    are similar enough.  A centre of very many candidates is sent to them."""
+    inter = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
+    both = lookup(stored(edges, "candidates"), _named(sets, "a", "shingles"), [f"{c}_a" for c in _CLASS]).join(
+        _named(sets, "b", "shingles"), [f"{c}_b" for c in _CLASS])
+    return (both.withColumn("inter", inter)
+            .where(F.col("inter") * 100 >= percent * (F.size("shingles_a").cast("long") + F.size("shingles_b") - F.col("inter")))
+            .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
 
 
 def _labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -212,12 +222,12 @@ def _compare_families(apart: DataFrame, sets: DataFrame, percent: int) -> DataFr
     blocks is one task, which returns links and no pairs."""
     family = components(apart.select("id", "centre"), "id", "centre").select(
         F.col("node").alias("id"), F.col("component_id").alias("family"))
-    ids = apart.select("id", "c").distinct().join(family, "id")
+    ids = apart.select(*_CLASS, "c").distinct().join(family, "id")
     count = ids.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"))
     ids = ids.join(count, "family").withColumn(
-        "block", F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")).cast("int"))
+        "block", F.pmod(F.xxhash64(*_CLASS, F.lit(11)), F.col("blocks")).cast("int"))
     ids = ids.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return (ids.join(sets, "id").select("family", F.least("block", "other").alias("p"),
+    return (ids.join(sets, _CLASS).select("family", F.least("block", "other").alias("p"),
                                         F.greatest("block", "other").alias("q"), "block", "id", "c", "shingles")
             .groupBy("family", "p", "q").applyInArrow(_links_between(percent), "a long, b long"))
 
@@ -231,29 +241,34 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                                 "id long, n long, k1 long, k2 long, bands array<long>"), "signatures")
     linked = sig.where("id is not null and n > 0")
     classes = stored(linked.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
-    reps = (linked.join(classes.select("k1", "k2", F.col("rep").alias("id")), ["id", "k1", "k2"])
-            .select("id", "n", F.explode(F.array_distinct("bands")).alias("bucket")))
-    centre = reps.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("top")).where("centre != top")
-    members = stored(reps.join(centre.select("bucket", "centre"), "bucket")
-                     .select("bucket", "id", "n", "centre").distinct(), "buckets")
-
-    nodes = members.select("id").distinct()
-    sets = stored(src.join(nodes, "id", "left_semi").mapInArrow(_sets(width), "id long, k1 long, shingles array<long>")
-                  .join(classes.select(F.col("rep").alias("id"), "k1"), ["id", "k1"]).drop("k1")
-                  .dropDuplicates(["id"]), "sets")
-
-    fits = F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")
-    size = nodes.join(sets.select("id", F.size("shingles").cast("long").alias("n")), "id")
-    first = (members.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b"),
-                                                  F.col("n").alias("nb")).distinct()
-             .join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").where(fits).select("a", "b"))
-    links = stored(_verify(first, sets, percent), "links")
+    reps = stored(linked.join(classes.select("k1", "k2", F.col("rep").alias("id")), _CLASS)
+                  .select(*_CLASS, "n", F.explode(F.array_distinct("bands")).alias("bucket")).distinct(), "bands")
+    centre = reps.groupBy("bucket").agg(F.min(F.struct(*_CLASS)).alias("m"), F.max(F.struct(*_CLASS)).alias("top")).where("m != top")
+    members = stored(lookup(reps, stored(centre.select("bucket", "m"), "centres"), ["bucket"]).where("m is not null").select(
+        "bucket", *_CLASS, "n", F.col("m.id").alias("centre"), F.col("m.k1").alias("c1"), F.col("m.k2").alias("c2")), "buckets")
+
+    nodes = members.select(*_CLASS).distinct()
+    sets = stored(src.join(nodes.select("id").distinct(), "id", "left_semi")
+                  .mapInArrow(_sets(width), "id long, k1 long, k2 long, shingles array<long>")
+                  .join(nodes, _CLASS, "left_semi").dropDuplicates(_CLASS), "sets")
+
+    fits = F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b")
+    size = _named(sets.select(*_CLASS, F.size("shingles").cast("long").alias("n")), "a", "n")
+    first = members.where("id != centre").select(
+        F.col("centre").alias("id_a"), F.col("c1").alias("k1_a"), F.col("c2").alias("k2_a"),
+        F.col("id").alias("id_b"), F.col("k1").alias("k1_b"), F.col("k2").alias("k2_b"), F.col("n").alias("n_b")).distinct()
+    first = lookup(stored(first, "first"), size, ["id_a", "k1_a", "k2_a"]).where(fits).drop("n_a", "n_b")
+    # rows that share an id are one node: the classes that hold them are linked
+    held = linked.select(*_CLASS).distinct().join(classes, ["k1", "k2"])
+    shared = held.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).where("a != top").select("id", "a")
+    shared = held.join(shared, "id").where("rep != a").select("a", F.col("rep").alias("b"))
+    links = stored(_verify(first, sets, percent).union(shared), "links")
     comp = components(links, "a", "b")
 
     # buckets that still hold several components: their documents, family by family
     lab = _labelled(members, comp)
     split = lab.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
-    apart = stored(lab.join(split.select("bucket"), "bucket", "left_semi").select("bucket", "id", "centre", "c"), "apart")
+    apart = stored(lab.join(split.select("bucket"), "bucket", "left_semi").select("bucket", *_CLASS, "centre", "c"), "apart")
     if not apart.isEmpty():
         rest = _compare_families(apart, sets, percent)
         links = stored(links.union(rest), "links")
@@ -261,7 +276,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     by_class = (classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
                 .select("k1", "k2", F.coalesce("component_id", "rep").alias("component_id")))
-    # rows that share an id are one node: the component is the smallest of its rows' components
     got = sig.join(by_class, ["k1", "k2"], "left").select(
         "id", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     return got.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),

@@ -41,6 +41,7 @@ through.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -69,15 +70,17 @@ _U64, _I64 = np.dtype("<u8"), np.dtype("<i8")
 class Block:
     """The texts of a block laid end to end."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None], skip: set[int]):
+    def __init__(self, ids: list[int | None], texts: list[str | None], copies: set[tuple[int, int]]):
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        noted = {doc for doc, _ in copies}
+        self.copy = [i in noted and (i, int(hashlib.md5(r).hexdigest()[:15], 16)) in copies for i, r in zip(ids, raw)]
         self.sizes = np.array([len(r) for r in raw], np.int64)
         self.starts = np.r_[0, np.cumsum(self.sizes)].astype(np.int64)
         self.bytes = np.frombuffer(b"".join(raw) + bytes(_WIDE), np.uint8)
         self.ids = np.array([0 if i is None else i for i in ids], _I64)
         ends = np.zeros(len(self.bytes), bool)
         for i, (a, n) in enumerate(zip(self.starts, self.sizes)):
-            if ids[i] is not None and ids[i] not in skip and n >= LENGTH:
+            if ids[i] is not None and not self.copy[i] and n >= LENGTH:
                 ends[a:a + n - LENGTH + 1] = True
         self.window = ends
 
@@ -281,8 +284,13 @@ def smallest_ids(key: np.ndarray, ctx: np.ndarray, count: np.ndarray, offset: np
 # --- the passes --------------------------------------------------------------------
 
 def _block(docs: pa.Table, notes: pa.Table) -> Block:
-    skip = set(notes.column("doc").drop_null().to_pylist()) if notes.num_rows else set()
-    return Block(docs.column("__doc").to_pylist(), docs.column("__text").to_pylist(), skip)
+    """The block's texts; of those in `notes` (id and digest of texts that an
+    earlier document holds too) no windows are taken."""
+    copies = set()
+    if notes.num_rows:
+        own = notes.filter(pc.is_valid(notes.column("doc")))
+        copies = set(zip(own.column("doc").to_pylist(), own.column("half").to_pylist()))
+    return Block(docs.column("__doc").to_pylist(), docs.column("__text").to_pylist(), copies)
 
 
 def _binary(arrays) -> pa.Array:
@@ -509,12 +517,10 @@ def _cut(as_text: bool):
                 np.add.at(change, start[who] + tos[runs] + LENGTH, -1)
         gone = np.cumsum(change, out=change)[:total] > 0
         del change
-        copies = set(notes.column("doc").drop_null().to_pylist()) if notes.num_rows else set()
-        doc_ids = docs.column("__doc").to_pylist()
         kept, removed, spans = [], [], []
         for i, (a, n) in enumerate(zip(block.starts, block.sizes)):
             g = gone[a:a + n]
-            if doc_ids[i] is not None and doc_ids[i] in copies and n >= LENGTH:
+            if block.copy[i] and n >= LENGTH:
                 g = np.ones(n, bool)
             removed.append(int(g.sum()))
             spans.append(int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n else 0)
@@ -552,21 +558,22 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         F.md5(F.col(text_col).cast("binary")).alias("digest")), "digests")
     first = stored(prints.groupBy("digest", "size").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
                    .where("lo != hi"), "repeated")
-    copies = stored(prints.join(first, ["digest", "size"]).where("doc != lo").select("block", "doc").distinct(), "copies")
+    copies = stored(prints.join(first, ["digest", "size"]).where("doc != lo").select(
+        "block", "doc", F.conv(F.substring("digest", 1, 15), 16, 10).cast("long").alias("half")).distinct(), "copies")
 
     by_block = rows.groupBy("__block")
     anchors = by_block.cogroup(copies.groupBy("block")).applyInArrow(
         _send_anchors(shards), "shard long, block long, grams binary, many binary, places binary")
     shared = anchors.groupBy("shard").applyInArrow(_shared, "block long, shard long, grams binary, hot binary")
-    none = F.lit(None).cast("binary")
-    notes = shared.select("block", "shard", "grams", "hot", F.lit(None).cast("long").alias("doc")).union(
-        copies.select("block", F.lit(None).cast("long"), none, none, "doc"))
+    none, nobody = F.lit(None).cast("binary"), [F.lit(None).cast("long").alias(c) for c in ("doc", "half")]
+    notes = shared.select("block", "shard", "grams", "hot", *nobody).union(
+        copies.select("block", F.lit(None).cast("long"), none, none, "doc", "half"))
     contexts = by_block.cogroup(notes.groupBy("block")).applyInArrow(
         _send_contexts(shards), ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'binary'}" for f in _CONTEXTS))
     verdicts = contexts.groupBy("shard").applyInArrow(
         _judge, "block long, ids binary, keys binary, single binary, froms binary, tos binary, docs binary")
-    notes = verdicts.select("block", "ids", "keys", "single", "froms", "tos", "docs", F.lit(None).cast("long").alias("doc")).union(
-        copies.select("block", *[none] * 6, "doc"))
+    notes = verdicts.select("block", "ids", "keys", "single", "froms", "tos", "docs", *nobody).union(
+        copies.select("block", *[none] * 6, "doc", "half"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
                        + [f"`__kept` {'string' if as_text else 'binary'}", "`__n_bytes` bigint",
                           "`__n_removed` bigint", "`__n_spans` bigint"])

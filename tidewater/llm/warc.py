@@ -18,14 +18,18 @@ identifier, ordered by segment number, checked for gaps and against the
 stated total length, joined, and decoded from their chunked framing.
 
 Payloads are grouped by their SHA-256 and length, with map-side
-aggregation; only groups of two or more join back.
+aggregation; only groups of two or more join back, and those that hold more
+than a shuffle partition's share of the pages do so by broadcast, so that
+their payloads don't meet in one task.
 
 Defined results: a null html is an empty payload; a null url has no target
 URI; a null page_id is always a response; rows that share a page_id are
 records of their own, and where that page_id is the largest of equal
-payloads all its rows are responses; a message that is cut, garbled or
-misses a segment comes back with `complete` false and a null payload; an
-empty table gives an empty result.
+payloads all its rows are responses; archives may be plain, one gzip stream or a member
+per record; a message that is cut, garbled or misses a segment comes back
+with `complete` false and a null payload, bytes that are no record are
+skipped, and records of other kinds (warcinfo, request, metadata) are left
+out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, in_slices, ready, stored
+from .common import columns_of, in_slices, ready, release, shuffle_partitions, stored
 
 REVISIT_MIN = 1000
 SEGMENT_BYTES = 16 << 10
@@ -124,20 +128,44 @@ def page_records(page_id: int | None, row: int, url: str | None, digest: str, pa
     return out
 
 
-def records_in(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields with lower-case names, block) of each record of an archive."""
-    at = 0
-    while at < len(data):
+_MARK = b"WARC/"
+
+
+def inflated(content: bytes) -> bytes:
+    """An archive's bytes: as they are, or all gzip members one after the
+    other, as far as they can be read."""
+    if not content.startswith(b"\x1f\x8b"):
+        return content
+    out = []
+    while content:
+        member = zlib.decompressobj(47)
+        try:
+            out.append(member.decompress(content))
+            out.append(member.flush())
+        except zlib.error:
+            break
+        content = member.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
+def records_in(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """(fields with lower-case names, block, whether it is whole) of each
+    record.  What is no record is skipped up to the next one."""
+    at = data.find(_MARK)
+    while at >= 0:
         end = data.find(_END, at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
         fields = {}
-        for line in data[at:end].decode("utf-8").split("\r\n")[1:]:
+        for line in data[at:max(end, at)].decode("utf-8", "replace").split("\r\n")[1:]:
             k, _, v = line.partition(":")
             fields[k.strip().lower()] = v.strip()
-        start, size = end + 4, int(fields["content-length"])
-        yield fields, data[start:start + size]
-        at = start + size + 4
+        size = fields.get("content-length", "")
+        if end < 0 or not size.isdecimal() or "warc-type" not in fields:
+            nearest = data.find(b"\r\n" + _MARK, at + 1)
+            at = nearest + 2 if nearest >= 0 else -1
+            continue
+        start, size = end + 4, int(size)
+        yield fields, data[start:start + size], start + size <= len(data)
+        at = data.find(_MARK, start + size)
 
 
 # --- writing ------------------------------------------------------------------------
@@ -159,12 +187,18 @@ def write_archives(pages: DataFrame, path: str, *, date: str = "2026-01-01T00:00
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), "url",
                        F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     src = src.withColumn("strong", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
-    same = (src.where((F.col("size") >= revisit_min) & F.col("page_id").isNotNull()).groupBy("strong", "size")
-            .agg(F.max("page_id").alias("target"), F.min("page_id").alias("least")).where("target != least")
-            .select("strong", "size", "target"))
-    rows = src.join(stored(same, "equal-payloads"), ["strong", "size"], "left").select(
+    same = stored(src.where((F.col("size") >= revisit_min) & F.col("page_id").isNotNull()).groupBy("strong", "size")
+                  .agg(F.max("page_id").alias("target"), F.min("page_id").alias("least"), F.count("*").alias("n"))
+                  .where("target != least"), "equal-payloads")
+    hot = F.col("n") * shuffle_partitions(pages.sparkSession) > same.agg(F.sum("n")).scalar()   # fewer than there are partitions
+    few = F.broadcast(same.where(hot).select("strong", "size", F.col("target").alias("hot_target")))
+    rows = (src.join(few, ["strong", "size"], "left")
+            .withColumn("rest", F.when(F.col("hot_target").isNull(), F.col("strong")).otherwise(
+                F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+            .join(same.where(~hot).select(F.col("strong").alias("rest"), "size", "target"), ["rest", "size"], "left")
+            .withColumn("target", F.coalesce("hot_target", "target")).select(
         "page_id", F.monotonically_increasing_id().alias("row"), "url", F.sha1("payload").alias("digest"), "payload",
-        F.when(F.col("target") != F.col("page_id"), F.col("target")).alias("refers_to"))
+        F.when(F.col("target") != F.col("page_id"), F.col("target")).alias("refers_to")))
     (rows.mapInArrow(_write(date, segment_bytes), "record binary").select(F.col("record").cast("string"))
      .write.option("lineSep", _END.decode()).option("compression", "gzip")
      .option("maxRecordsPerFile", records_per_file).text(path))
@@ -177,35 +211,36 @@ _SCHEMA = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("re
                      ("origin", pa.string()), ("number", pa.int64()), ("total", pa.int64()), ("payload", pa.binary())])
 
 
-def _parse(segments: bool):
-    """Records in one piece, decoded; or segments with their part of the block."""
-    def integer(v: str | None) -> int | None:
-        return None if v is None else int(v)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for (content,) in zip(*columns_of(batch, "content")):
-                rows, held = [], 0
-                for f, block in records_in(zlib.decompress(content, 47)):
-                    number = integer(f.get("warc-segment-number"))
-                    if (number is not None) != segments:
-                        continue
-                    kind = f["warc-type"]
-                    if segments:
-                        origin, payload = f.get("warc-segment-origin-id", f["warc-record-id"]), block
-                    else:
-                        origin, payload = f["warc-record-id"], payload_of(block) if kind == "response" else None
-                    rows.append((integer(f.get("warc-page-id")), kind, integer(f.get("warc-refers-to-page-id")),
-                                 origin, number, integer(f.get("warc-segment-total-length")), payload))
-                    held += len(block)
-                    if held > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SCHEMA)],
-                                                         schema=_SCHEMA)
-                        rows, held = [], 0
-                if rows:
+def _integer(v: str | None) -> int | None:
+    return int(v) if v and v.lstrip("-").isdecimal() else None
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records in one piece (no segment number), decoded, and segments with
+    their part of the block; other kinds of records are left out."""
+    for batch in batches:
+        for (content,) in zip(*columns_of(batch, "content")):
+            rows, held = [], 0
+            for f, block, whole in records_in(inflated(content)):
+                kind, number = f["warc-type"], _integer(f.get("warc-segment-number"))
+                if kind not in ("response", "revisit", "continuation"):
+                    continue
+                name = f.get("warc-record-id")
+                if number is None:
+                    origin, payload = name, payload_of(block) if kind == "response" and whole else None
+                else:
+                    origin, payload = f.get("warc-segment-origin-id", name), block
+                rows.append((_integer(f.get("warc-page-id")), kind, _integer(f.get("warc-refers-to-page-id")),
+                             origin, number, _integer(f.get("warc-segment-total-length")), payload))
+                held += len(block)
+                if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SCHEMA)],
                                                      schema=_SCHEMA)
-    return run
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SCHEMA)],
+                                                 schema=_SCHEMA)
+        release()
 
 
 def _reassemble(parts: pa.Table) -> pa.Table:
@@ -227,9 +262,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     payload (null in a revisit), complete."""
     files = spark.read.format("binaryFile").load(path).select("content")
     ready(files)
-    single = files.mapInArrow(_parse(False), _PIECES).select(
+    pieces = stored(files.mapInArrow(_parse, _PIECES), "pieces")           # every archive is read once
+    single = pieces.where("number is null").select(
         "page_id", "record_type", "refers_to", F.lit(1).cast("long").alias("n_segments"), "payload")
-    joined = (files.mapInArrow(_parse(True), _PIECES).groupBy("origin")
+    joined = (pieces.where("number is not null").groupBy("origin")
               .applyInArrow(_reassemble, "page_id long, record_type string, refers_to long, n_segments long, payload binary"))
     return single.unionByName(joined).withColumn(
         "complete", F.col("payload").isNotNull() | (F.col("record_type") == "revisit"))
