@@ -372,6 +372,18 @@ SQL["s7_consumer_groups"] = D.with_(*_RECS) + """
 SELECT consumer, row_number() OVER (PARTITION BY consumer ORDER BY ts_us, id) AS seq, id, ts_us, type,
        consumer_group AS group_id, topic, "partition"
 FROM rd, (SELECT unnest(['audit', 'alerts']) AS consumer)"""
+SQL["s6_retained_versions"] = SQL["s6_retain_latest"].replace("LIMIT 100", "LIMIT 1000")
+SQL["a8_cumulative_errors"] = SQL["a8_error_counts"]
+_default = ["0.005", "0.01", "0.025", "0.05", "0.1", "0.25", "0.5", "1.0", "2.5", "5.0", "10.0", "+Inf"]
+SQL["a9_cumulative_histogram"] = D.with_(*B_EV, """
+idle AS (SELECT cluster, group_id, time_since_last_move_s / 3600 AS d FROM ev_b WHERE kind <> 'unreadable'),
+les AS (SELECT unnest([""" + ", ".join(f"'{b}'" for b in _default) + """]) AS le)""") + """
+SELECT cluster, group_id, count(*) AS "count", sum(d) AS "sum", le,
+       count(*) FILTER (WHERE le = '+Inf' OR d <= TRY_CAST(le AS DOUBLE)) AS n
+FROM idle, les GROUP BY cluster, group_id, le"""
+SQL["a7_groups_by_sketch"] = D.with_(D.bridge_b(), D.bridge_a()) + """
+SELECT cluster, count(DISTINCT group_id) AS groups FROM (SELECT cluster, group_id FROM samples_b UNION ALL
+  SELECT cluster, group_id FROM samples_a) GROUP BY cluster"""
 SQL["e8_publish_outcomes"] = D.with_(D.bridge_b(), D.evaluate("samples_b", B_SHORT, "ev_b"),
                                      D.attempts("ev_b", B_SHORT.with_(dedup_s=7 * 86400.0), "att")) + """
 SELECT cluster, group_id, topic, "partition", ts_us, ev, event_type, severity, outcome FROM att"""

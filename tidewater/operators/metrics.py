@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.codes import health_code, status_code, trend_code
+from ..functions.timefn import from_epoch_us
 from .evaluate import KIND_WINDOW
+from .rollup import group_status
 
 METRIC_COLUMNS = ["metric", "cluster", "group_id", "topic", "partition", "value"]
 
@@ -50,19 +52,31 @@ def _stack(df: DataFrame, gauges: list[tuple[str, str]], labels: list[str]) -> D
     return df.select(*lab, F.inline(pairs)).select(*METRIC_COLUMNS)
 
 
-def partition_gauges(evaluated: DataFrame) -> DataFrame:
-    """M1-M8 and M10 per KEY, as last written."""
-    win = evaluated.filter(F.col("kind") == KIND_WINDOW)
-    latest = (win.groupBy(*S.KEY).agg(
-        F.max_by(F.struct("current_lag", "current_offset", "status", "lag_trend", "health",
-                          "consumption_rate", "lag_change_rate", "time_since_last_move_s"),
-                 F.col("ts_us")).alias("r"),
+WINDOW_VALUES = ["current_lag", "current_offset", "high_watermark", "status", "lag_trend", "health",
+                 "consumption_rate", "lag_change_rate", "time_since_last_move_s"]
+ROLLUP_VALUES = ["kind", "status", "health", "current_lag"]
+
+
+def key_state(evaluated: DataFrame) -> DataFrame:
+    """One row per KEY, all that the gauges need: the newest windowed row (`w`,
+    at `w_us`), the newest row of any kind (`r`, at `ts_us`), and the last time
+    the key was active.  One aggregate over the evaluated rows with partial
+    aggregation; the result has as many rows as there are keys."""
+    win = F.col("kind") == KIND_WINDOW
+    at = F.when(win, F.col("ts_us"))
+    return evaluated.groupBy(*S.KEY).agg(
+        F.max_by(F.struct(*WINDOW_VALUES), at).alias("w"), F.max(at).alias("w_us"),
+        F.max_by(F.struct(*ROLLUP_VALUES), F.col("ts_us")).alias("r"), F.max("ts_us").alias("ts_us"),
         # Written only while active, so the last active evaluation persists.
-        F.max(F.when(F.col("is_active"), F.col("ts_us"))).alias("last_active_us"))
-        .select(*S.KEY, "r.*", "last_active_us")
-        .withColumn("status_code", status_code("status"))
-        .withColumn("trend_code", trend_code("lag_trend"))
-        .withColumn("health_code", health_code("health")))
+        F.max(F.when(win & F.col("is_active"), F.col("ts_us"))).alias("last_active_us"))
+
+
+def partition_gauges(state: DataFrame) -> DataFrame:
+    """M1-M8 and M10 per KEY, as last written."""
+    latest = (state.filter(F.col("w_us").isNotNull()).select(*S.KEY, "w.*", "last_active_us")
+              .withColumn("status_code", status_code("status"))
+              .withColumn("trend_code", trend_code("lag_trend"))
+              .withColumn("health_code", health_code("health")))
     g = _stack(latest, PARTITION_GAUGES, S.KEY)
     act = latest.filter(F.col("last_active_us").isNotNull()).select(
         F.lit("consumer_last_activity_timestamp").alias("metric"), *S.KEY,
@@ -70,15 +84,21 @@ def partition_gauges(evaluated: DataFrame) -> DataFrame:
     return g.unionByName(act)
 
 
-def log_end_gauges(evaluated: DataFrame) -> DataFrame:
+def log_end_gauges(state: DataFrame) -> DataFrame:
     """M9: end offset per (cluster, topic, partition), newest write wins
     (ties between groups at the same tick: larger value)."""
-    win = evaluated.filter(F.col("kind") == KIND_WINDOW)
-    latest = win.groupBy(*S.LOG_KEY).agg(
-        F.max_by("high_watermark", F.struct("ts_us", "high_watermark")).alias("v"))
+    latest = state.filter(F.col("w_us").isNotNull()).groupBy(*S.LOG_KEY).agg(
+        F.max(F.struct("w_us", "w.high_watermark")).alias("v"))
     return latest.select(F.lit("consumer_log_end_offset").alias("metric"), "cluster",
                          F.lit(None).cast("string").alias("group_id"), "topic", "partition",
-                         F.col("v").cast("double").alias("value"))
+                         F.col("v.high_watermark").cast("double").alias("value"))
+
+
+def newest_groups(state: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """The group rollup (A1, A2, A4, A5) of each group's newest tick."""
+    newest = state.groupBy(*S.GROUP_KEY).agg(F.max("ts_us").alias("ts_us"))
+    rows = state.select(*S.KEY, "ts_us", from_epoch_us("ts_us").alias("ts"), "r.*")
+    return group_status(rows.join(newest, [*S.GROUP_KEY, "ts_us"], "left_semi"), members)
 
 
 def group_gauges(latest_groups: DataFrame) -> DataFrame:
@@ -90,8 +110,9 @@ def group_gauges(latest_groups: DataFrame) -> DataFrame:
     return _stack(g, gauges, ["cluster", "group_id"])
 
 
-def metrics_long(evaluated: DataFrame, latest_groups: DataFrame) -> DataFrame:
-    """Every gauge as one long table."""
-    return (partition_gauges(evaluated).unionByName(log_end_gauges(evaluated))
-            .unionByName(group_gauges(latest_groups)))
-
+def metrics_long(evaluated: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Every gauge as one long table.  The rows per key are checkpointed
+    once, so the rows are evaluated once whatever number of gauges read them."""
+    state = key_state(evaluated).checkpoint()
+    return (partition_gauges(state).unionByName(log_end_gauges(state))
+            .unionByName(group_gauges(newest_groups(state, members))))

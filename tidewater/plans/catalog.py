@@ -34,6 +34,8 @@ from ..session import checkpoint_path
 from ..sources import event_io as EIO
 from ..sources.bridges import events_samples, read_table
 from ..sources.event_log import ConsumerGroup, EventLog
+from ..sources.series import CumulativeSeries
+from ..sources.status_io import read_latest
 from ..sources.positions import align_to_tick, join_watermarks, list_groups, read_positions, read_watermarks
 from ..streaming import joins as JN
 from ..streaming.keyed import KeyedMonitor, fresh_enough
@@ -154,8 +156,7 @@ def e8_disabled_publisher(spark, sf_dir):
 @register("e7_events_dedup")
 def e7_events_dedup(spark, sf_dir):
     """E6 records + X5 fingerprint + E7 de-duplication (Bridge B, short timeout)."""
-    ev, hot = M.evaluated_b_hot(spark, sf_dir, B_SHORT)
-    return dedup(event_records(ev, detect(ev, B_SHORT, hot), B_SHORT)).select(*EVENT_OUT)
+    return _records_b_short(spark, sf_dir).select(*EVENT_OUT)
 
 
 # ---------------------------------------------------------------------------
@@ -271,6 +272,50 @@ def a9_idle_histogram(spark, sf_dir):
     return R.duration_histogram(ev, "time_since_last_move_s", [3600.0 * h for h in (1, 2, 3, 6, 12, 24)])
 
 
+@register("a9_cumulative_histogram")
+def a9_cumulative_histogram(spark, sf_dir):
+    """A9 kept across runs: idle hours in the default buckets, added week by
+    week; one run is replayed before and one after a compaction."""
+    ev = M.written(partition_status(M.evaluated_b(spark, sf_dir, B_LONG, messages=False)).select(
+        *S.GROUP_KEY, "ts_us", (F.col("time_since_last_move_s") / 3600).alias("duration_s")), "durations")
+    series = CumulativeSeries(spark, checkpoint_path(spark, f"durations-{_uuid.uuid4().hex}"), S.GROUP_KEY,
+                              [*(f"le_{i}" for i in range(len(R.DEFAULT_BUCKETS))), "count", "sum"])
+    for run in _in_runs(series, ev, R.duration_counters):
+        if run == 1:
+            series.compact()
+    return R.histogram_rows(series.total())
+
+
+def _in_runs(series, rows, counters, runs: int = 4):
+    """Add the rows in `runs` equal spans of time, every run twice; yields each run's number."""
+    lo, hi = rows.agg(F.min("ts_us"), F.max("ts_us")).head()
+    for run in range(runs if lo is not None else 0):
+        part = counters(rows.filter(F.expr(f"(ts_us - {lo}L) * {runs} div {hi - lo + 1}L") == run))
+        series.add(part, run)
+        yield run
+        series.add(part, run)
+
+
+@register("a8_cumulative_errors")
+def a8_cumulative_errors(spark, sf_dir):
+    """A8 kept across runs: rejected payloads per cluster, every run replayed."""
+    bad = M.written(CS.quarantine(CS.parse(damaged_envelopes(spark, sf_dir))).select(
+        "cluster", (F.col("timestamp") * 1_000_000).alias("ts_us")), "rejects")
+    series = CumulativeSeries(spark, checkpoint_path(spark, f"errors-{_uuid.uuid4().hex}"), ["cluster"], ["errors"])
+    for run in _in_runs(series, bad, R.error_count_per_cluster):
+        if run == 2:
+            series.compact()
+    return series.total()
+
+
+@register("a7_groups_by_sketch")
+def a7_groups_by_sketch(spark, sf_dir):
+    """A7 from stored day sketches of both bridges, united over all days."""
+    seen = M.samples_b(spark, sf_dir).unionByName(M.samples_a(spark, sf_dir))
+    sketches = M.written(R.group_sketches(seen), "sketches")
+    return R.groups_in_days(sketches)
+
+
 @register("a8_error_counts")
 def a8_error_counts(spark, sf_dir):
     """A8 over the rejected payloads of the event stream, by cluster."""
@@ -370,12 +415,11 @@ def j4_merge_series(spark, sf_dir):
 
 @register("s8_metrics_long")
 def s8_metrics_long(spark, sf_dir):
-    # one bridge build and one evaluated plan feed the partition gauges, the
+    # one bridge build and one evaluation feed the partition gauges, the
     # member counts and the group rollup
     pos, wm = events_samples(spark, sf_dir)
     ev = evaluate(join_watermarks(pos, wm), B_LONG, messages=False, hot_key_rows=M.SKEW)
-    groups = latest_group_status(R.group_status(ev, M.members_from_positions(pos)))
-    return MT.metrics_long(ev, groups)
+    return MT.metrics_long(ev, M.members_from_positions(pos))
 
 
 @register("x8_key_text")
@@ -521,7 +565,9 @@ def l3_stale_assignments(spark, sf_dir):
 
 
 def _records_b_short(spark, sf_dir):
+    # the gate and the payload join read the evaluated rows as written once
     ev, hot = M.evaluated_b_hot(spark, sf_dir, B_SHORT)
+    ev = M.written(ev, "status")
     return dedup(event_records(ev, detect(ev, B_SHORT, hot), B_SHORT))
 
 
@@ -547,10 +593,21 @@ def s5_event_envelope(spark, sf_dir):
 
 @register("s6_retain_latest")
 def s6_retain_latest(spark, sf_dir):
-    rec = _records_b_short(spark, sf_dir)
+    rec = M.written(_records_b_short(spark, sf_dir), "events")
     return EIO.retain_latest(rec, 100, "ts_us", "id").select("id", "ts_us", "type", "group_id", "partition")
 
 
+@register("s6_retained_versions")
+def s6_retained_versions(spark, sf_dir):
+    """S6 over three runs of arriving events, the second replayed: the newest
+    1000, ranked without a top-k."""
+    rec = M.written(_records_b_short(spark, sf_dir).select("id", "ts_us", "type", "group_id", "partition"), "events")
+    path = checkpoint_path(spark, f"retained-{_uuid.uuid4().hex}")
+    for run in (0, 1, 1, 2):
+        EIO.update_retained(rec.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == run), path, run, 1000, "ts_us", "id")
+    return read_latest(spark, path)
+
+
 @register("c1_parse_accepted")
 def c1_parse_accepted(spark, sf_dir):
     ok = CS.accepted(CS.parse(damaged_envelopes(spark, sf_dir)))

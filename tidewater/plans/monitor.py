@@ -7,12 +7,15 @@ hot-key decision, whose bounded list is all that reaches the driver.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import A_WEEKLY, B_LONG, Thresholds
 from ..operators.evaluate import evaluate
 from ..operators.rollup import group_status
+from ..session import checkpoint_path
 from ..sources.bridges import events_samples, orders_samples
 from ..operators.skew import HotKeys, plan_hot_keys
 from ..sources.positions import join_watermarks, samples_from
@@ -23,6 +26,14 @@ from ..sources.positions import join_watermarks, samples_from
 SKEW = "auto"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once to the shared checkpoint folder and read back, so
+    that each of its readers scans only the columns it needs."""
+    path = checkpoint_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def samples_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos, wm = events_samples(spark, sf_dir)
     return join_watermarks(pos, wm)

@@ -10,9 +10,10 @@ handler that overwrites its output per batch handles every event once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import numbered
 from .status_io import versions
 
 
@@ -21,20 +22,9 @@ class EventLog:
         self.spark, self.root = spark, root.rstrip("/")
 
     def append(self, events: DataFrame, run: int, order: tuple[str, ...] = ("ts_us", "id")) -> None:
-        """Append `events` as run number `run`; a replayed run replaces its own rows.
-
-        Rows are dealt to ranges of `order`; the ranges' counts, one row each,
-        say where each begins, so no task sees more than its range."""
-        ranges = f"{self.root}/_ranges/v={run}"
-        (events.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-         .write.mode("overwrite").parquet(ranges))
-        rows = self.spark.read.parquet(ranges)
-        before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-        start = rows.groupBy("_range").agg(F.count("*").alias("_n")).select(
-            "_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + F.lit(self.newest(run))).alias("_start"))
-        numbered = rows.join(F.broadcast(start), "_range").withColumn(
-            "seq", F.col("_start") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-        numbered.drop("_range", "_start").write.mode("overwrite").parquet(f"{self.root}/log/v={run}")
+        """Append `events` as run number `run`; a replayed run replaces its own rows."""
+        numbered(events, [F.col(c) for c in order], f"{self.root}/_ranges/v={run}", "seq", self.newest(run)).write.mode(
+            "overwrite").parquet(f"{self.root}/log/v={run}")
 
     def newest(self, before_run: int | None = None) -> int:
         """The largest sequence number (of the runs before `before_run`)."""
