@@ -282,6 +282,42 @@ def test_vectors_null_repeated_and_no_rows(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_unlike_vectors_of_one_id(spark):
+    """Each vector has its own links; an id's vectors are in one component."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    near = lambda v: [x + 0.01 for x in v]
+    data = [(9, near(a)), (4, a), (4, b), (4, b), (8, near(b)), (2, near(c)), (7, c), (7, near(a)), (1, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4)
+    got = rows(embedding_dedup.near_duplicates(df))
+    pairs = {(i, tuple(v)) for i, v in data}
+    unit = {p: np.array(p[1]) / np.linalg.norm(p[1]) for p in pairs}
+    links = {p: [q for q in pairs if q != p and unit[p] @ unit[q] >= 0.95] for p in pairs}
+    label = group([i for i, _ in data], [(p[0], q[0]) for p in pairs for q in links[p]])
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == sorted(
+        (i, len(links[(i, tuple(v))]), label[i], label[i] == i) for i, v in data)
+    assert {r["audit_recall"] for r in got} == {1.0} and label[2] == label[4] == 2
+
+
+def test_low_recall_forces_the_wider_way(spark, monkeypatch):
+    """A search that loses links is repeated over all blocks; one that still does stops the call."""
+    tried, real = [], embedding_dedup._search
+
+    def losing(reps, width, k, overlap, *more):
+        tried.append((k, overlap))
+        out = real(reps, width, k, overlap, *more)
+        return out if k == 1 and overlap == 1 and allow else out.where("false")
+    monkeypatch.setattr(embedding_dedup, "_search", losing)
+    data = vector_rows()
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    allow = True
+    got = by_id(embedding_dedup.near_duplicates(df, shard=50), "vec_id")
+    assert {i: (r["n_links"], r["component_id"], r["kept"]) for i, r in got.items()} == brute_vectors(data)
+    assert [o for _, o in tried] == [3, 6, 1] and tried[-1] == (1, 1)
+    allow = False
+    with pytest.raises(RuntimeError, match="recall"):
+        embedding_dedup.near_duplicates(df, shard=50)
+
+
 def test_pruned_lists_keep_a_way_out():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(100, 8)), np.ones((60, 8)) + 0.001 * rng.normal(size=(60, 8))]).astype(np.float32)

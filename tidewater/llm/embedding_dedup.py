@@ -3,8 +3,8 @@
 1. Usable vectors (not null, not zero, only finite components) are scaled to
    unit length in double precision; equal ones become one representative
    with a count.
-2. Centroids from a bounded sample (SAMPLE vectors, chosen by a hash of the
-   id) split the representatives into overlapping shards of about SHARD
+2. Centroids from a bounded sample (about SAMPLE vectors or ten per centroid,
+   at most 10 * MAX_CENTROIDS, chosen by a hash) split the representatives into overlapping shards of about SHARD
    vectors: each goes to its OVERLAP nearest centroids.  A shard above twice
    that size (one dense cluster) is dealt to blocks, and every pair of blocks
    is a shard of its own, so no task holds an unbounded group and no pair of
@@ -23,11 +23,14 @@
    spanning forest, never all pairs; forests become components.
 
 6. The audit measures recall: a bounded sample of about AUDIT vectors is
-   compared with all rows, batch by batch, for the true number of links.
+   compared with all vectors, batch by batch, for the true number of links.
+   Below LEAST_RECALL the search is repeated with twice the overlap, then over
+   all pairs of blocks of the whole table; if that falls short too, the call
+   fails.
 
 Defined results: unusable vectors link with nothing and are their own
-component; rows that share a vec_id are one node, whose links are to other
-ids; a null vec_id has a null component and is kept; vectors of another
+component; equal rows count once; unlike vectors of one vec_id are vectors of
+their own, each with its own links, in one component; a null vec_id has a null component and is kept; vectors of another
 length than the most frequent one link within their own length only; an
 empty table gives an empty result; other columns are not read.
 """
@@ -43,11 +46,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnionFind, components, ready, stored
+from .common import UnionFind, components, lookup, ready, running, stored
 
 THRESHOLD = 0.95
-SHARD, OVERLAP, SAMPLE = 1000, 3, 20_000
-MAX_CENTROIDS = 4096
+SHARD, OVERLAP = 1000, 3
+SAMPLE, MAX_CENTROIDS = 20_000, 4096      # the sample: SAMPLE vectors, or ten per centroid if that is more
+LEAST_RECALL = 0.9
 DEGREE, CANDIDATES, ALPHA, BEAM = 24, 48, 1.2, 32
 WIDTH = 96             # edges of a node in a search: its own, and edges into it as far as they fit
 AUDIT = 256
@@ -84,7 +88,7 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _centroids(sample: np.ndarray, k: int, threshold: float, rounds: int = 6) -> np.ndarray:
-    """Spherical k-means on the sample; plain sample points if k is large.
+    """Spherical k-means on the sample, which holds about ten vectors per centroid or more.
 
     A dense cluster, whose points lie within the range of each other, must
     not be shared out among more centroids than a vector goes to: of dense
@@ -93,14 +97,13 @@ def _centroids(sample: np.ndarray, k: int, threshold: float, rounds: int = 6) ->
     k = min(k, len(sample))
     c = sample[np.linspace(0, len(sample) - 1, k).astype(int)]
     spread = np.ones(k)                                            # mean similarity of a centroid's points to it
-    if k * 8 <= len(sample):
-        for _ in range(rounds):
-            own = np.concatenate([(sample[i:i + 2048] @ c.T).argmax(1) for i in range(0, len(sample), 2048)])
-            total = np.zeros_like(c)
-            np.add.at(total, own, sample)
-            norm, count = np.linalg.norm(total, axis=1), np.bincount(own, minlength=k)
-            c = np.where(norm[:, None] > 0, total / np.maximum(norm, 1e-12)[:, None], c)
-            spread = np.where(count > 0, norm / np.maximum(count, 1), 0.0)
+    for _ in range(rounds):
+        own = np.concatenate([(sample[i:i + 2048] @ c.T).argmax(1) for i in range(0, len(sample), 2048)])
+        total = np.zeros_like(c)
+        np.add.at(total, own, sample)
+        norm, count = np.linalg.norm(total, axis=1), np.bincount(own, minlength=k)
+        c = np.where(norm[:, None] > 0, total / np.maximum(norm, 1e-12)[:, None], c)
+        spread = np.where(count > 0, norm / np.maximum(count, 1), 0.0)
     kept, twice = [], 2 * threshold ** 2 - 1
     for i in np.argsort(-spread, kind="stable"):
         if spread[i] == 0.0 and kept:
@@ -316,40 +319,32 @@ def _audit(held, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = held.value
         for batch in batches:
-            own, vec = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            own, mult = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            vec = batch.column(2).to_pylist()
             rows = [i for i, v in enumerate(vec) if len(v) == queries.shape[1] * 8]
             if not rows:
                 continue
             x = np.frombuffer(b"".join(vec[i] for i in rows)).reshape(len(rows), -1)
             hit = (queries @ x.T >= threshold) & (ids[:, None] != own[rows][None, :])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hit.sum(1).astype(np.int64))],
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hit @ mult[rows])],
                                              names=["id", "n"])
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding",
-                    threshold: float = THRESHOLD, shard: int = SHARD, overlap: int = OVERLAP,
-                    audit: int = AUDIT) -> DataFrame:
-    """One row per vector: id, n_links, component_id, kept, audit_recall (the
-    share of the audited sample's links that were found, in every row)."""
-    spark = ready(vectors)
-    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = stored(src.mapInArrow(_usable, "id long, k1 long, k2 long, vec binary"), "vectors")
-    usable = rows.where("vec is not null")
-    classes = stored(usable.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count_distinct("id").alias("mult")),
-                     "classes")
-    reps = stored(usable.join(classes, ["k1", "k2", "id"]).select("id", "mult", "vec").dropDuplicates(["id"]), "reps")
+def _sample(reps: DataFrame, width: int, size: int, total: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of about `size` vectors of the main length, chosen by a hash of their number."""
+    share = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 62)) < int(min(1.0, size / max(1, total)) * (1 << 62))
+    got = reps.where((F.length("vec") == 8 * width) & share).select("id", "vec").orderBy("id").collect()
+    return (np.array([r["id"] for r in got], np.int64),
+            np.frombuffer(b"".join(r["vec"] for r in got)).reshape(-1, width))
 
-    # bounded sample: at most SAMPLE vectors in expectation, or one per centroid
-    total = reps.count()
-    lengths = reps.groupBy(F.length("vec").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
-    width = lengths[0]["w"] // 8 if lengths else 1
-    k = min(_split(total * overlap, shard), MAX_CENTROIDS)
-    share = min(1.0, SAMPLE / max(1, total))
-    picked = [r["vec"] for r in reps.where((F.length("vec") == 8 * width) & (
-        F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).orderBy("id")
-        .select("vec").collect()]
-    sample = np.frombuffer(b"".join(picked)).reshape(-1, width).astype(np.float32)
+
+def _search(reps: DataFrame, width: int, k: int, overlap: int, shard: int, threshold: float, total: int) -> DataFrame:
+    """Link counts (a, null, n) and forest edges (a, b) of the graph search
+    over `k` cells, each vector in its `overlap` nearest.  One cell is the
+    way that leaves no pair out: every pair of its blocks is a shard."""
+    spark = reps.sparkSession
+    sample = _sample(reps, width, max(SAMPLE, 10 * k), total, 5)[1].astype(np.float32)
     if not len(sample):
         sample = np.ones((1, width), np.float32)
     held = spark.sparkContext.broadcast(_centroids(sample, k, threshold))
@@ -367,29 +362,63 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     graph = (members.groupBy("shard").applyInArrow(_build, "id long, next array<long>")
              .groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next")))
     where = members.groupBy("id").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
-    found = stored(members.join(graph, "id").join(where, "id").groupBy("shard").applyInArrow(
+    return stored(members.join(graph, "id").join(where, "id").groupBy("shard").applyInArrow(
         _links(threshold), "a long, b long, n long"), "found")
-    counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    comp = components(found.where("b is not null"), "a", "b").withColumnRenamed("node", "id")
+
+
+def _recall(reps: DataFrame, counts: DataFrame, asked: tuple[np.ndarray, np.ndarray], threshold: float) -> float:
+    """The share of the audited vectors' links that were counted; the true
+    links come from comparing them with every vector."""
+    held = reps.sparkSession.sparkContext.broadcast(asked)
+    true = reps.mapInArrow(_audit(held, threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("true"))
+    seen = true.join(counts, "id", "left").agg(
+        F.sum(F.least(F.coalesce("n", F.lit(0)), "true")).alias("found"), F.sum("true").alias("true")).head()
+    return seen["found"] / seen["true"] if seen["true"] else 1.0
+
+
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding",
+                    threshold: float = THRESHOLD, shard: int = SHARD, overlap: int = OVERLAP,
+                    audit: int = AUDIT) -> DataFrame:
+    """One row per vector: id, n_links, component_id, kept, audit_recall (the
+    share of the audited sample's links that were found, in every row)."""
+    spark = ready(vectors)
+    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = stored(src.mapInArrow(_usable, "id long, k1 long, k2 long, vec binary"), "vectors")
+    usable = rows.where("vec is not null")
+    # a class holds equal vectors; classes are numbered in the order of their smallest id
+    classes = usable.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count_distinct("id").alias("mult"))
+    classes = stored(running(classes, [F.col(c) for c in ("first", "k1", "k2")], "id", {}), "classes")
+    reps = stored(usable.withColumnRenamed("id", "first").join(classes, ["k1", "k2", "first"])
+                  .select("id", "mult", "vec").dropDuplicates(["id"]), "reps")
+
+    total = reps.count()
+    lengths = reps.groupBy(F.length("vec").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
+    width = lengths[0]["w"] // 8 if lengths else 1
+    asked = _sample(reps, width, audit, total, 9) if audit else None
+    cells = min(_split(total * overlap, shard), MAX_CENTROIDS)
+    for k, near in ((cells, overlap), (cells, 2 * overlap), (1, 1)):
+        found = _search(reps, width, k, near, shard, threshold, total)
+        counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+        recall = _recall(reps, counts, asked, threshold) if audit else None
+        if recall is None or recall >= LEAST_RECALL:
+            break
+    else:
+        raise RuntimeError(f"audited recall {recall:.3f} is below {LEAST_RECALL}, with every vector compared with all blocks")
+
+    # classes that share an id are joined, whether or not their vectors link
+    several = usable.groupBy("id").agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("k1", "k2") for f in (F.min, F.max)]).where(
+        "k1_min <> k1_max or k2_min <> k2_max").select("id")
+    shared = stored(usable.join(several, "id").select(F.col("id").alias("of"), "k1", "k2").distinct()
+                    .join(classes.select("id", "k1", "k2"), ["k1", "k2"]).select("of", F.col("id").alias("b")), "shared")
+    shared = shared.join(shared.groupBy("of").agg(F.min("b").alias("a")), "of").select("a", "b")
+    comp = components(found.where("b is not null").select("a", "b").union(shared), "a", "b").withColumnRenamed("node", "id")
     judged = classes.join(counts, "id", "left").join(comp, "id", "left").select(
         "k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"))
+        F.coalesce("component_id", "id").alias("root"))
+    roots = classes.select(F.col("id").alias("root"), F.col("first").alias("component_id"))
+    judged = lookup(stored(judged, "judged"), roots, ["root"]).drop("root")
 
     out = rows.select("id", "k1", "k2").join(judged, ["k1", "k2"], "left")
-    recall = None
-    if audit:
-        n = usable.count()
-        some = usable.where((F.length("vec") == 8 * width) & (
-            F.pmod(F.xxhash64("id", F.lit(9)), F.lit(10_000_000)) < max(1, min(1.0, audit / max(1, n)) * 10_000_000))
-        ).select("id", "vec").dropDuplicates(["id"]).collect()        # about `audit` vectors
-        ids = np.array([r["id"] for r in some], np.int64)
-        queries = np.frombuffer(b"".join(r["vec"] for r in some)).reshape(-1, width)
-        held = spark.sparkContext.broadcast((ids, queries))
-        true = usable.select("id", "vec").mapInArrow(_audit(held, threshold), "id long, n long")
-        true = true.groupBy("id").agg(F.sum("n").alias("true"))
-        seen = (out.join(F.broadcast(true), "id").agg(
-            F.sum(F.least(F.coalesce("n_links", F.lit(0)), "true")).alias("found"), F.sum("true").alias("true")).head())
-        recall = seen["found"] / seen["true"] if seen["true"] else 1.0
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       component.alias("component_id"),
