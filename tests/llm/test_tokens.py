@@ -1,11 +1,15 @@
 """Tokenising, packing, toxicity and vectors against libraries and direct versions."""
 
+import math
 import random
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from brute import ODD_TEXTS, by_id, group, rows
+from pyspark.sql import functions as F
 
 from tidewater.llm import embedding_dedup, packing, sentencepiece_codec, toxicity
 
@@ -231,6 +235,70 @@ def test_scores_of_odd_rows(spark, docs_of):
     assert toxicity.score(frame.where("false"), nothing).count() == 0
 
 
+def scalar_features(text):
+    """Hashed words, pairs and skip-grams, one at a time in whole numbers."""
+    full = (1 << 64) - 1
+
+    def spread(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
+    def salted(x, i):
+        return (x + (i + 1) * 0x9E3779B97F4A7C15) & full
+    h = [xxhash.xxh3_64_intdigest(w) for w in (text or "").encode().lower().split()]
+    out = {spread(x) for x in h}
+    for gap, s in ((1, 5), (2, 9)):
+        out |= {spread(salted(a, s) ^ spread(b)) for a, b in zip(h, h[gap:])}
+    return {x % toxicity.DIM for x in out}
+
+
+def scalar_ftrl(rows_by_epoch):
+    """Weights by coordinate and the bias (None), from one update after the other."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        least = 0.0 if i is None else toxicity.L1
+        if abs(z[i]) <= least:
+            return 0.0
+        return -(z[i] - math.copysign(least, z[i])) * toxicity.ALPHA / (toxicity.BETA + math.sqrt(n[i]))
+    for e, rows_ in enumerate(rows_by_epoch):
+        for y, features in rows_:
+            at = [None, *sorted(features)]
+            w = [weight(i) for i in at]
+            g = (1 / (1 + math.exp(-sum(w))) - y) * (toxicity.POSITIVE_WEIGHT if y else 1)
+            for i, wi in zip(at, w):
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * wi
+                n[i] += g * g
+        if e < len(rows_by_epoch) - 1:                              # the state is kept in single precision
+            for d in (z, n):
+                d.update({i: float(np.float32(v)) for i, v in d.items() if i is not None})
+    return {i: weight(i) for i in list(z)}
+
+
+def test_learner_and_scores_against_scalar_updates(spark):
+    rng = random.Random(4)
+    marked = [(i, 1, int(rng.random() < 0.3)) for i in range(900)]
+    docs = [(i, " ".join(rng.choices([f"w{k}" for k in range(14)], [1 + y * (k % 5) for k in range(14)], k=rng.randint(0, 9))))
+            for i, _, y in marked]
+    labels = spark.createDataFrame(marked, "doc_id long, quality int, toxic int")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    at, w, bias = model = toxicity.train(frame, labels)
+    text = dict(docs)
+    used = {i: y for i, _, y in marked if zlib.crc32(str(i).encode()) % 5 and i in text}
+    ids = spark.createDataFrame([(i,) for i in used], "id long").select(
+        "id", *[F.xxhash64("id", F.lit(100 + e)).alias(f"t{e}") for e in range(toxicity.EPOCHS)]).collect()
+    want = scalar_ftrl([[(used[r["id"]], scalar_features(text[r["id"]])) for r in sorted(ids, key=lambda r: (r[f"t{e}"], r["id"]))]
+                        for e in range(toxicity.EPOCHS)])
+    got = dict(zip(at.tolist(), w.tolist()))
+    assert len(got) > 5 and abs(want.pop(None) - bias) < 1e-6
+    assert set(got) == {i for i, v in want.items() if v}
+    assert max(abs(got[i] - want[i]) for i in got) < 1e-5
+    for r in toxicity.score(frame, model, keep=["doc_id"]).collect():
+        total = bias + sum(got.get(i, 0.0) for i in scalar_features(text[r["doc_id"]]))
+        assert abs(r["__score"] - 1 / (1 + math.exp(-total))) < 1e-9
+
+
 # --- vectors ---------------------------------------------------------------------------
 
 def vector_rows(seed=7):
