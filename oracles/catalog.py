@@ -346,6 +346,24 @@ SQL["st2_stream_equals_batch"] = D.with_(D.bridge_b(), D.evaluate("samples_b", B
     f"\nSELECT {STATUS_OUT} FROM ev_b"
 SQL["st3_stream_events"] = _detect_sql(D.bridge_b(), "samples_b", B_SHORT)
 
+SQL["st3_stream_hot_split"] = SQL["st3_stream_events"]
+
+# --- rows of one key and time: four ticks fall together, in order of arrival -------
+
+
+def _same_times(th) -> list[str]:
+    rows = f"same_times AS (SELECT * REPLACE (ts_us - ts_us % {4 * D.HOUR_US} AS ts_us), ts_us AS seq FROM samples_b)"
+    tie = f"row_number() OVER (PARTITION BY {D.KEYC}, kind, ts_us ORDER BY seq)"
+    return [D.bridge_b(), rows, D.evaluate("same_times", th, "ev", "ts_us, seq", f", CAST({tie} - 1 AS INTEGER) AS tie")]
+
+
+SQL["w1_same_times"] = SQL["w1_same_times_hot_split"] = D.with_(*_same_times(B_LONG)) + f"\nSELECT {STATUS_OUT}, tie FROM ev"
+SQL["e2_same_times"] = D.with_(*_same_times(B_LONG), D.detect("ev", B_LONG, "det", "tie")) + f"""
+SELECT {DETECT_OUT}, tie, current_offset
+FROM det JOIN (SELECT cluster, group_id, topic, "partition", ts_us, tie, current_offset FROM ev WHERE kind = 'window')
+USING (cluster, group_id, topic, "partition", ts_us, tie)"""
+SQL["st7_same_times_stream"] = D.with_(*_same_times(B_SHORT), D.detect("ev", B_SHORT, "det", "tie")) + f"\nSELECT {DETECT_OUT} FROM det"
+
 SQL["s1_scan_aligned"] = SQL["w_status_events"]
 SQL["e8_disabled_publisher"] = f"SELECT * FROM ({SQL['e7_events_dedup']}) WHERE false"
 SQL["l3_read_assignments"] = D.with_(PL_BASE) + """

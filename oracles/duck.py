@@ -83,11 +83,12 @@ samples_a AS (
   FROM a_dense)"""
 
 
-def evaluate(src: str, th: Thresholds, out: str) -> str:
-    """CTE `out`: evaluated rows of samples CTE `src`."""
+def evaluate(src: str, th: Thresholds, out: str, order: str = "ts_us", more: str = "") -> str:
+    """CTE `out`: evaluated rows of samples CTE `src` (W1-W10, P2, P3), with
+    columns `more` of it."""
     n = th.window_size
     r = min(5, n)
-    pk = f"PARTITION BY {KEYC}, kind ORDER BY ts_us"
+    pk = f"PARTITION BY {KEYC}, kind ORDER BY {order}"
     return f"""
 {out}_k AS (
   SELECT *, CASE WHEN high_watermark IS NULL THEN 'unreadable'
@@ -158,7 +159,7 @@ def evaluate(src: str, th: Thresholds, out: str) -> str:
     CASE WHEN ok THEN trend WHEN insuf THEN 'UNKNOWN' WHEN nc THEN '' END AS lag_trend,
     CASE WHEN ok THEN st WHEN kind = 'window' OR nc THEN 'UNKNOWN' END AS status,
     CASE WHEN ok THEN hl WHEN kind = 'window' OR nc THEN 'WARNING' END AS health,
-    CAST(CASE WHEN kind = 'window' THEN prev_lag END AS BIGINT) AS prev_lag
+    CAST(CASE WHEN kind = 'window' THEN prev_lag END AS BIGINT) AS prev_lag{more}
   FROM {out}_w5)"""
 
 
@@ -171,37 +172,37 @@ STATUS_OUT = ("cluster, group_id, topic, \"partition\", ts_us, kind, current_off
               "time_since_last_move_s, lag_trend, status, health, prev_lag")
 
 
-def detect(src: str, th: Thresholds, out: str) -> str:
+def detect(src: str, th: Thresholds, out: str, tie: str = "0") -> str:
     """CTE `out`: gated event candidates (E1-E5) of evaluated CTE `src`, as a
-    list_reduce fold per key over its rows in time order."""
+    list_reduce fold per key over its rows in time order, then by `tie`."""
     gate_us = int(round(th.gate_s * 1_000_000))
     fl = th.lag_floor
     trans = ("CASE WHEN acc.p IS NULL OR acc.p = x.s THEN NULL "
              "WHEN x.s = 'STOPPED' AND acc.p IN ('ACTIVE', 'LAGGING') THEN 'consumer_stopped' "
              "WHEN x.s = 'STALLED' AND acc.p = 'ACTIVE' THEN 'consumer_stalled' "
              "WHEN x.s IN ('ACTIVE', 'EMPTY') AND acc.p IN ('STOPPED', 'STALLED') THEN 'consumer_recovered' END")
-    fired = (f"list_filter([{{'ts': x.ts, 't': {trans}}}, "
-             "{'ts': x.ts, 't': CASE WHEN x.e4 THEN 'rapid_lag_increase' END}, "
-             "{'ts': x.ts, 't': CASE WHEN x.e5 THEN 'lag_cleared' END}], lambda z: z.t IS NOT NULL)")
+    fired = (f"list_filter([{{'ts': x.ts, 'i': x.i, 't': {trans}}}, "
+             "{'ts': x.ts, 'i': x.i, 't': CASE WHEN x.e4 THEN 'rapid_lag_increase' END}, "
+             "{'ts': x.ts, 'i': x.i, 't': CASE WHEN x.e5 THEN 'lag_cleared' END}], lambda z: z.t IS NOT NULL)")
     return f"""
 {out}_c AS (
-  SELECT cluster, group_id, topic, "partition", ts_us, status,
+  SELECT cluster, group_id, topic, "partition", ts_us, CAST({tie} AS INTEGER) AS tie, status,
          (lag_change_rate > {th.rapid_rate!r} * 2 AND current_lag > {fl}) AS e4,
          (current_lag = 0 AND n_records > 2 AND coalesce(prev_lag > {fl}, false)) AS e5
   FROM {src} WHERE kind = 'window'),
 {out}_f AS (
   SELECT cluster, group_id, topic, "partition",
     list_reduce(
-      list({{'ts': ts_us, 's': status, 'e4': e4, 'e5': e5}} ORDER BY ts_us),
+      list({{'ts': ts_us, 'i': tie, 's': status, 'e4': e4, 'e5': e5}} ORDER BY ts_us, tie),
       lambda acc, x: CASE
         WHEN acc.e IS NOT NULL AND x.ts - acc.e < {gate_us} THEN acc
         ELSE {{'p': x.s,
               'e': CASE WHEN ({trans}) IS NOT NULL OR x.e4 THEN x.ts ELSE acc.e END,
               'ev': list_concat(acc.ev, {fired})}} END,
-      {{'p': NULL::VARCHAR, 'e': NULL::BIGINT, 'ev': []::STRUCT(ts BIGINT, t VARCHAR)[]}}) AS st
+      {{'p': NULL::VARCHAR, 'e': NULL::BIGINT, 'ev': []::STRUCT(ts BIGINT, i INTEGER, t VARCHAR)[]}}) AS st
   FROM {out}_c GROUP BY cluster, group_id, topic, "partition"),
 {out} AS (
-  SELECT cluster, group_id, topic, "partition", z.ts AS ts_us, z.t AS event_type,
+  SELECT cluster, group_id, topic, "partition", z.ts AS ts_us, z.i AS tie, z.t AS event_type,
          CASE z.t WHEN 'consumer_stopped' THEN 'critical' WHEN 'consumer_stalled' THEN 'warning'
                   WHEN 'rapid_lag_increase' THEN 'warning' ELSE 'info' END AS severity
   FROM (SELECT cluster, group_id, topic, "partition", unnest(st.ev) AS z FROM {out}_f))"""

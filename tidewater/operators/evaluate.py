@@ -4,7 +4,7 @@ For each sample, the window is the key's last N windowed records up to and
 including it (a ROWS frame, not a time frame).  Everything is one pass of
 built-in window functions over one partitioning and one ordering:
 
-    partitionBy(KEY).orderBy(kind_rank, ts_us)
+    partitionBy(KEY).orderBy(kind_rank, ts_us, <ties>)
 
 so Spark plans a single Exchange + Sort for all frames (N rows, last
 min(5, N) rows, previous row).  `kind_rank` puts windowed rows first in
@@ -15,6 +15,13 @@ The lag trend (W8) compares the first and last thirds of a window whose
 size changes during warm-up; it uses fixed row frames plus `nth_value` for
 the warm-up rows, so no per-row arrays are built and every projection
 stays inside whole-stage codegen (a higher-order lambda would not).
+
+Rows of a key with equal times are ordered by `seq`, if the samples have
+such a column (any sortable type: a sequence number, or the place in the
+source files, see `sources.positions.with_arrival`), then by their values.
+What is still tied is alike, so the result is defined either way.  `tie`
+numbers the rows of one key, kind and time from 0 and carries that order to
+everything that reads evaluated rows.
 """
 
 from __future__ import annotations
@@ -34,7 +41,7 @@ KIND_NO_COMMIT = "no_commit"
 KIND_UNREADABLE = "unreadable"
 
 STATUS_COLUMNS = [
-    *S.KEY, "ts", "ts_us", "kind", "current_offset", "high_watermark", "current_lag",
+    *S.KEY, "ts", "ts_us", "tie", "kind", "current_offset", "high_watermark", "current_lag",
     "n_records", "window_completeness", "consumption_rate", "lag_change_rate", "is_active",
     "time_since_last_move_s", "lag_trend", "status", "health", "prev_lag", "message",
 ]
@@ -55,10 +62,10 @@ def evaluate(samples: DataFrame, thresholds: Thresholds | DataFrame, *,
     evaluated rows (STATUS_COLUMNS), one per sample.
 
     `thresholds` is one Thresholds for every cluster, or a per-cluster table
-    (cluster + threshold columns, e.g. from `resolve_thresholds`).  Window
-    frames need a literal size, so a per-cluster table is evaluated once
-    per distinct window size (a handful, bounded by configuration) and the
-    results are unioned.
+    (cluster + threshold columns, e.g. from `resolve_thresholds`).  Frames
+    need literal sizes: of a per-cluster table all distinct window sizes (a
+    handful, bounded by configuration) get their fixed-offset values in the
+    same pass, and each row picks those of its own size.
 
     `hot_key_rows`: keys with more samples than this (an int, or "auto":
     one shuffle partition's fair share, see operators/skew.py) are cut into
@@ -69,21 +76,33 @@ def evaluate(samples: DataFrame, thresholds: Thresholds | DataFrame, *,
     cross, such as the start of a key's stretch between two gaps.
     """
     if isinstance(thresholds, Thresholds):
-        return _evaluate_n(samples, thresholds.window_size, _cfg_lit(thresholds), messages, passthrough,
+        return _evaluate_n(samples, [thresholds.window_size], _cfg_lit(thresholds), messages, passthrough,
                            hot_key_rows, within)
     # Configuration table: one row per cluster, so collecting its distinct
     # window sizes is bounded by configuration, not by data.
+    thresholds = thresholds.filter(F.col("window_size") >= 1)
     sizes = sorted(r[0] for r in thresholds.select("window_size").distinct().collect())
-    joined = attach_thresholds(samples, thresholds)
-    parts = [_evaluate_n(joined.filter(F.col("window_size") == n), n, _cfg_col(), messages, passthrough,
-                         hot_key_rows, within)
-             for n in sizes]
-    return reduce(DataFrame.unionByName, parts)
+    return _evaluate_n(attach_thresholds(samples, thresholds), sizes or [1], _cfg_col(), messages, passthrough,
+                       hot_key_rows, within)
+
+
+def tie_order(df: DataFrame) -> list[str]:
+    """The columns that order a key's samples of one time."""
+    return [*(["seq"] if "seq" in df.columns else []), "committed_offset", "high_watermark"]
 
 
-def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages: bool,
+def _evaluate_n(samples: DataFrame, sizes: list[int], cfg: dict[str, Column], messages: bool,
                 passthrough: tuple[str, ...] = (), hot_key_rows: int | str | None = None,
                 within: tuple[str, ...] = ()) -> DataFrame:
+    n_max, size = sizes[-1], cfg["window_size"]
+
+    def by_size(value) -> Column:
+        """value(k) for the row's own window size k."""
+        out = value(sizes[0])
+        for k in sizes[1:]:
+            out = F.when(size == k, value(k)).otherwise(out)
+        return out
+
     off, hwm, lag, ts = (F.col(c) for c in ("committed_offset", "high_watermark", "lag", "ts_us"))
     kind = (F.when(hwm.isNull(), F.lit(KIND_UNREADABLE))
             .when(off.isNull(), F.lit(KIND_NO_COMMIT))
@@ -99,7 +118,7 @@ def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages
         df = _with_segments(df, n_max, hot)
         part.append("_seg")
         passthrough = tuple(passthrough) + ("_own",)
-    by_key = Window.partitionBy(*part).orderBy("_krank", "ts_us")
+    by_key = Window.partitionBy(*part).orderBy("_krank", "ts_us", *tie_order(df))
     running = by_key.rowsBetween(Window.unboundedPreceding, 0)
     # Every window value is an O(1)-per-row function: fixed-offset lag(),
     # row_number() and running first/last/nth_value.  Sliding-frame
@@ -107,37 +126,39 @@ def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages
     # Windowed rows come first in each key, so row_number() is the number of
     # windowed records so far and n = min(row_number, N); when n = N the
     # window's first record is lag(x, N-1), otherwise it is the key's first.
-    t_full = max(n_max // 3, 1)
+    # With several sizes these hold for each row's own N.
+    t_full = {k: max(k // 3, 1) for k in sizes}
     t_warm = max((n_max - 1) // 3, 1)
-    t_max = max(t_full, t_warm)
+    t_max = max(t_full[n_max], t_warm)
     r_act = min(5, n_max)
-    lag_offsets = sorted(set(range(1, t_max)) | set(range(n_max - t_full, n_max)) - {0})
+    lag_offsets = sorted(set(range(2, t_max)) | {i for k in sizes for i in range(k - t_full[k], k) if i > 1})
     cols = [F.row_number().over(by_key).alias("_rn"),
             F.first(off).over(running).alias("_k_off"), F.first(ts).over(running).alias("_k_ts"),
             F.first(lag).over(running).alias("_k_lag"),
-            F.lag(off, 1).over(by_key).alias("_off1"),
+            F.lag(off, 1).over(by_key).alias("_off1"), F.lag(ts, 1).over(by_key).alias("_ts1"),
+            F.lag("_krank", 1).over(by_key).alias("_krank1"),
             F.lag(lag, 1).over(by_key).alias("prev_lag")]
-    if n_max > 1:
-        cols += [F.lag(off, n_max - 1).over(by_key).alias("_w_off"), F.lag(ts, n_max - 1).over(by_key).alias("_w_ts")]
+    for k in sizes:
+        if k > 1:
+            cols += [F.lag(off, k - 1).over(by_key).alias(f"_w_off{k}"), F.lag(ts, k - 1).over(by_key).alias(f"_w_ts{k}")]
     cols += [F.lag(off, k).over(by_key).alias(f"_off{k}") for k in range(2, r_act)]
     cols += [F.lag(lag, k).over(by_key).alias(f"_lag{k}") for k in lag_offsets]
     cols += [F.nth_value(lag, i).over(running).alias(f"_nth{i}") for i in range(1, t_warm + 1)]
     df = df.select("*", *cols)
     # last offset change at or before this row (anywhere in the history);
     # clipped to the window start below, so only in-window changes count
-    df = df.withColumn("_run", F.last(F.when(off != F.col("_off1"), ts), ignorenulls=True).over(running))
+    same = F.coalesce((ts == F.col("_ts1")) & (F.col("_krank") == F.col("_krank1")), F.lit(False))
+    df = df.select("*", F.last(F.when(off != F.col("_off1"), ts), ignorenulls=True).over(running).alias("_run"),
+                   (F.col("_rn") - F.last(F.when(~same, F.col("_rn")), ignorenulls=True).over(running)).cast("int").alias("tie"))
 
     def lag_k(k: int) -> Column:
         return lag if k == 0 else (F.col("prev_lag") if k == 1 else F.col(f"_lag{k}"))
 
-    n = F.least(F.col("_rn"), F.lit(n_max))
-    full = F.col("_rn") >= n_max
-    if n_max > 1:
-        f_off = F.when(full, F.col("_w_off")).otherwise(F.col("_k_off"))
-        f_ts = F.when(full, F.col("_w_ts")).otherwise(F.col("_k_ts"))
-        f_lag = F.when(full, lag_k(n_max - 1)).otherwise(F.col("_k_lag"))
-    else:
-        f_off, f_ts, f_lag = off, ts, lag
+    n = F.least(F.col("_rn"), size)
+    full = F.col("_rn") >= size
+    f_off = F.when(full, by_size(lambda k: off if k == 1 else F.col(f"_w_off{k}"))).otherwise(F.col("_k_off"))
+    f_ts = F.when(full, by_size(lambda k: ts if k == 1 else F.col(f"_w_ts{k}"))).otherwise(F.col("_k_ts"))
+    f_lag = F.when(full, by_size(lambda k: lag_k(k - 1))).otherwise(F.col("_k_lag"))
     df = df.select("*", n.alias("_n"), f_off.alias("_f_off"), f_ts.alias("_f_ts"), f_lag.alias("_f_lag"))
     n = F.col("_n")
     dt = (ts - F.col("_f_ts")) / F.lit(1e6)
@@ -146,8 +167,7 @@ def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages
     lag_rate = F.when((n < 2) | (dt == 0), F.lit(0.0)).otherwise((lag - F.col("_f_lag")) / dt)
     # >1 distinct offset among the last min(5, n) records <=> one of them
     # differs from the current offset
-    moved = [F.coalesce(F.col("_off1") != off, F.lit(False))]
-    moved += [F.coalesce(F.col(f"_off{k}") != off, F.lit(False)) for k in range(2, r_act)]
+    moved = [F.coalesce(F.col(f"_off{k}") != off, F.lit(False)) & (size > k) for k in range(1, max(r_act, 2))]
     active = (n >= 2) & reduce(lambda x, y: x | y, moved)
     idle = F.when(n < 2, F.lit(0.0)).otherwise(
         (ts - F.greatest(F.coalesce(F.col("_run"), F.col("_f_ts")), F.col("_f_ts"))) / F.lit(1e6))
@@ -161,8 +181,8 @@ def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages
     for t in range(1, t_max + 1):
         acc = sum((lag_k(k) for k in range(1, t)), lag)
         last_sum = F.when(third == t, acc) if last_sum is None else last_sum.when(third == t, acc)
-    first_full = sum((lag_k(k) for k in range(n_max - t_full, n_max)), F.lit(0).cast("long"))
-    first_sum = F.when(n == n_max, first_full).otherwise(warm_first)
+    first_full = by_size(lambda k: sum((lag_k(i) for i in range(k - t_full[k], k)), F.lit(0).cast("long")))
+    first_sum = F.when(n == size, first_full).otherwise(warm_first)
     # materialise the thirds once: inlining them into every branch of the
     # trend/status/health CASEs bloats the generated code past codegen limits
     df = df.select("*", (first_sum / third).alias("_ta"), (last_sum / third).alias("_tb"))
@@ -205,7 +225,7 @@ def _evaluate_n(samples: DataFrame, n_max: int, cfg: dict[str, Column], messages
     insufficient = is_win & (n < cfg["min_size"])
 
     out = [
-        *S.KEY, "ts", "ts_us", "kind",
+        *S.KEY, "ts", "ts_us", "tie", "kind",
         F.when(is_win, off).otherwise(F.when(is_nc, F.lit(0))).cast("long").alias("current_offset"),
         hwm.alias("high_watermark"),
         F.when(is_win, lag).otherwise(F.when(is_nc, F.lit(0))).cast("long").alias("current_lag"),
@@ -263,8 +283,9 @@ def latest_per_key(status: DataFrame) -> DataFrame:
     evaluation's own exchange) needs no new shuffle.
     """
     cols = [c for c in status.columns if c not in S.KEY]
+    order = F.struct(*[c for c in ("ts_us", "kind", "tie") if c in cols])  # of one time, windowed rows come last
     return (status.groupBy(*S.KEY)
-            .agg(F.max_by(F.struct(*cols), F.col("ts_us")).alias("_r"))
+            .agg(F.max_by(F.struct(*cols), order).alias("_r"))
             .select(*S.KEY, "_r.*"))
 
 
@@ -303,7 +324,7 @@ def _with_segments(df: DataFrame, n_max: int, hot: DataFrame) -> DataFrame:
     cols = [c for c in d.columns if c != "_hot"]
     own = d.select(*cols, F.lit(True).alias("_own"))
 
-    last_first = Window.partitionBy(*S.KEY, "_seg").orderBy(F.col("ts_us").desc())
+    last_first = Window.partitionBy(*S.KEY, "_seg").orderBy(*[F.col(c).desc() for c in ("ts_us", *tie_order(df))])
     tails = (d.filter(F.col("_hot") & is_win).withColumn("_j", F.row_number().over(last_first))
              .filter(F.col("_j") <= h)
              .join(segs.select(*S.KEY, "_seg", F.col("_C").alias("_Cs"), "_reach"), S.KEY + ["_seg"]))

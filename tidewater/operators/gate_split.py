@@ -14,13 +14,16 @@ runs one trajectory per candidate (p, r0); the entry of (p, r0) is the
 state (p, ts[r0] - gate).  Trajectories whose states agree at the end of an
 Arrow batch have the same future and are merged (the lowest id stays).
 Events are tagged with their trajectory; merges and exit states are
-recorded.  The first segment of a key has one exact entry.
+recorded.  The first segment of a key has one exact entry, no state; if
+keys bring state from an earlier run it has the others as well.
 
 Pass 2 (per key, on the summary only, streamed in segment order with the
 key's state carried; one segment's summary in memory at a time).  Walk the
 segments with the true state, pick the matching trajectory, follow its
-merges, and emit (segment, trajectory, from_ts, to_ts) intervals; the
-events are the pass-1 events inside those intervals.
+merges, and emit (segment, trajectory, from, to) intervals of row numbers
+within the segment; the events are the pass-1 events inside those intervals.
+The walk starts from the key's carried state, if there is one, and its end is
+the state to carry on.
 
 Cost: the number of candidate trajectories is 6 x (rows in the first gate
 window + 1) per segment; they typically merge within a few gate periods.
@@ -40,7 +43,8 @@ from .. import schemas as S
 from .incidents import GateFold
 from .skew import resolve
 
-REC_EVENT, REC_ENTRY, REC_MERGE, REC_EXIT = 0, 1, 2, 3
+REC_SEED, REC_EVENT, REC_ENTRY, REC_MERGE, REC_EXIT = -1, 0, 1, 2, 3
+FINAL = -1  # as trajectory of an interval: the key's state after its last segment
 STATUS_SET = [S.STATUS_CODES[x] for x in (S.ACTIVE, S.LAGGING, S.STALLED, S.STOPPED, S.EMPTY)] + [-1]
 NONE = GateFold.NONE
 BIG = (1 << 62)
@@ -51,11 +55,14 @@ PASS1_OUT = T.StructType([
     T.StructField("seg", T.LongType()),
     T.StructField("rec", T.IntegerType()),
     T.StructField("tid", T.IntegerType()),
+    T.StructField("pos", T.LongType()),
     T.StructField("ts_us", T.LongType()),
+    T.StructField("tie", T.IntegerType()),
     T.StructField("ev", T.IntegerType()),
     T.StructField("p", T.IntegerType()),
     T.StructField("last", T.LongType()),
     T.StructField("to_tid", T.IntegerType()),
+    T.StructField("gate_us", T.LongType()),
 ])
 
 INTERVALS = T.StructType([
@@ -63,23 +70,26 @@ INTERVALS = T.StructType([
     T.StructField("partition", T.IntegerType()),
     T.StructField("seg", T.LongType()),
     T.StructField("tid", T.IntegerType()),
-    T.StructField("from_ts", T.LongType()),
-    T.StructField("to_ts", T.LongType()),
+    T.StructField("from_pos", T.LongType()),
+    T.StructField("to_pos", T.LongType()),
+    T.StructField("p", T.IntegerType()),
+    T.StructField("last", T.LongType()),
 ])
 
 
 class _Segment:
     """Trajectories of one (key, segment) while its rows stream by."""
 
-    def __init__(self, key, seg, first_ts, gate_us):
-        self.key, self.seg, self.first_ts, self.gate = key, seg, first_ts, gate_us
+    def __init__(self, key, seg, first_ts, gate_us, carried):
+        self.key, self.seg, self.first_ts, self.gate, self.carried = key, seg, first_ts, gate_us, carried
+        self.pos = 0  # rows of the segment before this run
         self.alive: dict[int, GateFold] = {}
         self.next_tid = 0
         self.beyond_spawned = False
         self.out: list[tuple] = []
 
-    def _rec(self, rec, tid, ts=None, ev=None, p=None, last=None, to_tid=None):
-        self.out.append((*self.key, self.seg, rec, tid, ts, ev, p, last, to_tid))
+    def _rec(self, rec, tid, pos=None, ts=None, tie=None, ev=None, p=None, last=None, to_tid=None):
+        self.out.append((*self.key, self.seg, rec, tid, pos, ts, tie, ev, p, last, to_tid, self.gate))
 
     def _spawn(self, ts0, exact: bool):
         entries = [(NONE, None)] if exact else [(p, ts0 - self.gate) for p in STATUS_SET]
@@ -90,18 +100,17 @@ class _Segment:
             self._rec(REC_ENTRY, self.next_tid, ts=ts0, p=None if p == NONE else p)
             self.next_tid += 1
 
-    def run(self, ts, st, e4, e5):
+    def run(self, ts, tie, st, e4, e5):
         """Fold a run of this segment's rows (one batch slice)."""
         n = len(ts)
         starts = {}  # tid -> first row index of this run it should process
         for tid in self.alive:
             starts[tid] = 0
         # spawn candidate entries at rows of the first gate window (+1 beyond)
-        if self.seg == 0:
-            if not self.alive and self.next_tid == 0:
-                self._spawn(int(ts[0]), exact=True)
-                starts[0] = 0
-        else:
+        if self.seg == 0 and self.next_tid == 0:
+            self._spawn(int(ts[0]), exact=True)
+            starts[0] = 0
+        if self.seg > 0 or self.carried:
             limit = self.first_ts + self.gate
             for i in range(n):
                 if ts[i] < limit or not self.beyond_spawned:
@@ -119,16 +128,17 @@ class _Segment:
                 continue
             rows, codes = f.run_key(ts[a:], st[a:], e4[a:], e5[a:])
             for r, c in zip(rows, codes):
-                self._rec(REC_EVENT, tid, ts=int(ts[a + r]), ev=int(c))
+                self._rec(REC_EVENT, tid, pos=self.pos + a + r, ts=int(ts[a + r]), tie=int(tie[a + r]), ev=int(c))
         # merge trajectories whose states agree: identical from here on
         end = int(ts[-1])
+        self.pos += n
         by_state: dict[tuple, int] = {}
         for tid in sorted(self.alive):
             f = self.alive[tid]
             last = f.last if (f.last is not None and f.last + self.gate > end) else None
             k = (f.prev, last)
             if k in by_state:
-                self._rec(REC_MERGE, tid, ts=end + 1, to_tid=by_state[k])
+                self._rec(REC_MERGE, tid, pos=self.pos, to_tid=by_state[k])
                 self.alive[tid] = None
             else:
                 by_state[k] = tid
@@ -145,7 +155,7 @@ class _Segment:
         return self.drain()
 
 
-def _pass1(gate_us: int):
+def _pass1(carried: bool):
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur = None
         cols = S.KEY + ["seg"]
@@ -154,7 +164,7 @@ def _pass1(gate_us: int):
                 continue
             ids = pdf[cols]
             brk = (ids != ids.shift()).any(axis=1).to_numpy()
-            ts = pdf["ts_us"].to_numpy(np.int64)
+            ts, tie, gate = (pdf[c].to_numpy(np.int64) for c in ("ts_us", "tie", "gate_us"))
             st = pdf["st"].to_numpy(np.int64)
             e4 = pdf["e4"].to_numpy(bool)
             e5 = pdf["e5"].to_numpy(bool)
@@ -166,8 +176,8 @@ def _pass1(gate_us: int):
                     if cur is not None:
                         out.extend(cur.finish())
                     row = ids.iloc[a]
-                    cur = _Segment(tuple(row[S.KEY]), int(row["seg"]), int(ts[a]), gate_us)
-                cur.run(ts[a:b], st[a:b], e4[a:b], e5[a:b])
+                    cur = _Segment(tuple(row[S.KEY]), int(row["seg"]), int(ts[a]), int(gate[a]), carried)
+                cur.run(ts[a:b], tie[a:b], st[a:b], e4[a:b], e5[a:b])
                 out.extend(cur.drain())
             if out:
                 yield pd.DataFrame(out, columns=PASS1_OUT.fieldNames())
@@ -176,14 +186,24 @@ def _pass1(gate_us: int):
     return fn
 
 
-def _resolve_segment(g: pd.DataFrame, seg: int, prev, last, gate_us: int):
+def _prev(p):
+    return NONE if pd.isna(p) else int(p)
+
+
+def _last(t):
+    return None if pd.isna(t) else int(t)
+
+
+def _resolve_segment(g: pd.DataFrame, seg: int, prev, last):
     """Pick the trajectory of one segment for the true entry state and
     follow its merges; returns (intervals, new prev, new last)."""
-    ent = g[g["rec"] == REC_ENTRY]
-    mer = {int(r.tid): (int(r.to_tid), int(r.ts_us)) for r in g[g["rec"] == REC_MERGE].itertuples()}
-    ext = {int(r.tid): (NONE if pd.isna(r.p) else int(r.p), None if pd.isna(r.last) else int(r.last))
+    if seg == FINAL:  # the seed comes before the first segment
+        return [], _prev(g["p"].iloc[0]), _last(g["last"].iloc[0])
+    ent, gate_us = g[g["rec"] == REC_ENTRY], int(g["gate_us"].iloc[0])
+    mer = {int(r.tid): (int(r.to_tid), int(r.pos)) for r in g[g["rec"] == REC_MERGE].itertuples()}
+    ext = {int(r.tid): (_prev(r.p), _last(r.last))
            for r in g[g["rec"] == REC_EXIT].itertuples()}
-    if seg == 0 or prev == NONE:
+    if prev == NONE:
         tid = int(ent["tid"].min())
     else:
         cand = ent[ent["p"] == prev]
@@ -191,18 +211,18 @@ def _resolve_segment(g: pd.DataFrame, seg: int, prev, last, gate_us: int):
             cand = cand[cand["ts_us"] >= last + gate_us]
         if cand.empty:  # every row of the segment is gated: nothing happens
             return [], prev, last
-        tid = int(cand.sort_values("ts_us")["tid"].iloc[0])
+        tid = int(cand["tid"].min())  # numbered in the order of rows
     out, frm = [], -BIG
     while tid in mer:
         to, at = mer[tid]
-        out.append((seg, tid, frm, at))
+        out.append((seg, tid, frm, at, None, None))
         frm, tid = at, to
-    out.append((seg, tid, frm, BIG))
+    out.append((seg, tid, frm, BIG, None, None))
     nprev, nlast = ext[tid]
     return out, nprev, nlast
 
 
-def _pass2(gate_us: int):
+def _pass2():
     """Stitch segments per key, streaming over the summary sorted by
     (KEY, seg): only one segment's summary is held at a time, and the
     key's state (previous status, last event) is carried between them."""
@@ -215,9 +235,12 @@ def _pass2(gate_us: int):
             if not buf:
                 return []
             g = pd.concat(buf, ignore_index=True)
-            ivs, prev, last = _resolve_segment(g, seg, prev, last, gate_us)
+            ivs, prev, last = _resolve_segment(g, seg, prev, last)
             return [(*key, *iv) for iv in ivs]
 
+        def final():
+            return [] if key is None else [(*key, FINAL, FINAL, 0, 0, None if prev == NONE else prev, last)]
+
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -233,50 +256,57 @@ def _pass2(gate_us: int):
                     row = ids.iloc[a]
                     new_key = tuple(row[S.KEY])
                     if new_key != key:
+                        out.extend(final())
                         prev, last = NONE, None
                     key, seg = new_key, int(row["seg"])
                 buf.append(pdf.iloc[a:b])
             if out:
                 yield pd.DataFrame(out, columns=INTERVALS.fieldNames())
-        tail = flush()
+        tail = flush() + final()
         if tail:
             yield pd.DataFrame(tail, columns=INTERVALS.fieldNames())
     return fn
 
 
-def fold_gate_split(narrow: DataFrame, gate_us: int, hot_key_rows: int | str) -> DataFrame:
-    """narrow (KEY, ts_us, st, e4, e5) -> (KEY, ts_us, ev) events, exact.
+def fold_gate_split(narrow: DataFrame, hot_key_rows: int | str, state: DataFrame | None = None,
+                    emit_state: bool = False) -> DataFrame:
+    """narrow (KEY, ts_us, tie, st, e4, e5, gate_us) -> FOLD_OUT, exact.
 
     Keys at or under the threshold take the plain sorted-stream fold; only
-    keys above it are folded in parallel time segments and stitched."""
-    from .incidents import _fold_partition, FOLD_OUT
+    keys above it are folded in parallel time segments and stitched.  `state`
+    and `emit_state` as in `fold_gate`."""
+    from .incidents import FOLD_OUT, STATE_EV, fold_sorted
     hot = resolve(narrow, hot_key_rows)
-    plain_in = narrow
-    if hot is not None:
-        j = narrow.join(hot, S.KEY, "left")
-        plain_in = j.filter(F.col("_nseg").isNull())
-    cold = (plain_in
-            .select(*S.KEY, "ts_us", "st", "e4", "e5", F.lit(False).alias("is_seed"),
-                    F.lit(None).cast("int").alias("seed_prev"), F.lit(None).cast("long").alias("seed_last"))
-            .repartition(*S.KEY).sortWithinPartitions(*S.KEY, "ts_us")
-            .mapInPandas(_fold_partition(gate_us, False), FOLD_OUT)
-            .select(*S.KEY, "ts_us", "ev"))
     if hot is None:
-        return cold
+        return fold_sorted(narrow, state, emit_state)
+    j = narrow.join(hot, S.KEY, "left")
+    hot_keys = hot.select(*S.KEY)
+    cold = fold_sorted(j.filter(F.col("_nseg").isNull()),
+                       None if state is None else state.join(hot_keys, S.KEY, "left_anti"), emit_state)
 
     frac = (F.col("ts_us") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1).cast("double")
     d = (j.filter(F.col("_nseg").isNotNull())
          .withColumn("seg", F.least(F.floor(frac * F.col("_nseg")), F.col("_nseg") - 1).cast("long"))
-         .select(*S.KEY, "seg", "ts_us", "st", "e4", "e5"))
-    p1 = (d.repartition(*S.KEY, "seg").sortWithinPartitions(*S.KEY, "seg", "ts_us")
-          .mapInPandas(_pass1(gate_us), PASS1_OUT))
+         .select(*S.KEY, "seg", "ts_us", "tie", "st", "e4", "e5", "gate_us"))
+    p1 = (d.repartition(*S.KEY, "seg").sortWithinPartitions(*S.KEY, "seg", "ts_us", "tie")
+          .mapInPandas(_pass1(state is not None), PASS1_OUT))
     # pass 1 is read twice (events and summary); it is deterministic, so
     # recomputation is safe (callers may persist or write it)
     summary = p1.filter(F.col("rec") != REC_EVENT)
-    intervals = (summary.repartition(*S.KEY).sortWithinPartitions(*S.KEY, "seg", "rec", "tid")
-                 .mapInPandas(_pass2(gate_us), INTERVALS))
-    ev = p1.filter(F.col("rec") == REC_EVENT).select(*S.KEY, "seg", "tid", "ts_us", "ev")
-    hot_events = (ev.join(intervals, S.KEY + ["seg", "tid"])
-                  .filter((F.col("ts_us") >= F.col("from_ts")) & (F.col("ts_us") < F.col("to_ts")))
-                  .select(*S.KEY, "ts_us", "ev"))
-    return cold.unionByName(hot_events)
+    if state is not None:
+        seeds = state.join(hot_keys, S.KEY, "left_semi").select(
+            *S.KEY, F.lit(FINAL).cast("long").alias("seg"), F.lit(REC_SEED).alias("rec"),
+            F.col("prev_st").cast("int").alias("p"), F.col("last_us").cast("long").alias("last"))
+        summary = summary.unionByName(seeds, allowMissingColumns=True)
+    walked = (summary.repartition(*S.KEY).sortWithinPartitions(*S.KEY, "seg", "rec", "tid")
+              .mapInPandas(_pass2(), INTERVALS))
+    ev = p1.filter(F.col("rec") == REC_EVENT).select(*S.KEY, "seg", "tid", "pos", "ts_us", "tie", "ev")
+    none = F.lit(None)
+    hot_out = (ev.join(walked.filter(F.col("tid") != FINAL).drop("p", "last"), S.KEY + ["seg", "tid"])
+               .filter((F.col("pos") >= F.col("from_pos")) & (F.col("pos") < F.col("to_pos")))
+               .select(*S.KEY, "ts_us", "tie", "ev", none.cast("int").alias("prev_st"), none.cast("long").alias("last_us")))
+    if emit_state:
+        hot_out = hot_out.unionByName(walked.filter(F.col("tid") == FINAL).select(
+            *S.KEY, F.col("last").alias("ts_us"), F.lit(0).alias("tie"), F.lit(STATE_EV).alias("ev"),
+            F.col("p").alias("prev_st"), F.col("last").alias("last_us")))
+    return cold.select(*FOLD_OUT.fieldNames()).unionByName(hot_out)

@@ -9,7 +9,7 @@ its status as the previous one.  E3 and E4 set the gate; E5 does not.
 The gate is a sequential fold whose state is (previous status, last event
 time).  It runs as one sorted stream per key:
 
-    narrow projection -> repartition(KEY) -> sortWithinPartitions(KEY, ts)
+    narrow projection -> repartition(KEY) -> sortWithinPartitions(KEY, ts, tie)
     -> mapInPandas(fold)
 
 Memory is bounded by an Arrow batch: state is carried across batches, so a
@@ -20,13 +20,13 @@ previous status is simply the previous row's status, so the next candidate
 row is found with a vectorised search and gated stretches are skipped with
 `searchsorted`.  Conditions E4/E5 and the status codes are computed in the
 JVM before the Python step; the event payload is joined back afterwards so
-only 8 narrow columns cross into Python.
+only narrow columns cross into Python.  The gate length is one of them, so
+clusters with different settings share one pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -57,6 +57,7 @@ FOLD_OUT = T.StructType([
     *[T.StructField(c, T.StringType()) for c in ("cluster", "group_id", "topic")],
     T.StructField("partition", T.IntegerType()),
     T.StructField("ts_us", T.LongType()),
+    T.StructField("tie", T.IntegerType()),
     T.StructField("ev", T.IntegerType()),
     T.StructField("prev_st", T.IntegerType()),
     T.StructField("last_us", T.LongType()),
@@ -75,7 +76,7 @@ def transition_code(prev: np.ndarray, cur: np.ndarray) -> np.ndarray:
 
 class GateFold:
     """Carries (previous status, last gate-setting event time) per key across
-    Arrow batches of a partition sorted by (KEY, ts_us)."""
+    Arrow batches of a partition sorted by (KEY, ts_us, tie)."""
 
     NONE = -100  # "no previous status"
 
@@ -133,13 +134,13 @@ class GateFold:
         return rows, codes
 
 
-def _fold_partition(gate_us: int, emit_state: bool):
+def _fold_partition(emit_state: bool):
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold = GateFold(gate_us)
+        fold = GateFold(0)  # each key's rows carry its gate length
         pending = None  # final state of the current key, flushed when the key ends
 
         def state_row(key, prev, last):
-            return {**dict(zip(S.KEY, key)), "ts_us": last, "ev": STATE_EV,
+            return {**dict(zip(S.KEY, key)), "ts_us": last, "tie": 0, "ev": STATE_EV,
                     "prev_st": None if prev == GateFold.NONE else int(prev), "last_us": last}
 
         for pdf in batches:
@@ -153,6 +154,7 @@ def _fold_partition(gate_us: int, emit_state: bool):
             st = pdf["st"].to_numpy(np.int64)
             e4 = pdf["e4"].to_numpy(bool)
             e5 = pdf["e5"].to_numpy(bool)
+            gate = pdf["gate_us"].to_numpy(np.int64)
             seed = pdf["is_seed"].to_numpy(bool)
             out_rows, out_codes, states = [], [], []
             for a, b in zip(bounds[:-1], bounds[1:]):
@@ -167,13 +169,14 @@ def _fold_partition(gate_us: int, emit_state: bool):
                         fold.last = None if pd.isna(sl) else int(sl)
                         a += 1
                 if a < b:
+                    fold.gate_us = int(gate[a])
                     r, c = fold.run_key(ts[a:b], st[a:b], e4[a:b], e5[a:b])
                     out_rows.extend(x + a for x in r)
                     out_codes.extend(c)
                 pending = (fold.key, fold.prev, fold.last)
             parts = []
             if out_rows:
-                res = pdf.iloc[out_rows][S.KEY + ["ts_us"]].copy()
+                res = pdf.iloc[out_rows][S.KEY + ["ts_us", "tie"]].copy()
                 res["ev"] = np.asarray(out_codes, dtype=np.int32)
                 res["prev_st"] = None
                 res["last_us"] = None
@@ -187,78 +190,85 @@ def _fold_partition(gate_us: int, emit_state: bool):
     return fn
 
 
-def _narrow(evaluated: DataFrame, rapid: Column, floor: Column, *more: Column) -> DataFrame:
-    w = evaluated.filter(F.col("kind") == KIND_WINDOW)
+def with_tie(rows: DataFrame) -> DataFrame:
+    """Rows written without `tie` hold one row per key, kind and time."""
+    return rows if "tie" in rows.columns else rows.withColumn("tie", F.lit(0))
+
+
+def _narrow(evaluated: DataFrame, rapid: Column, floor: Column, gate_us: Column, *more: Column) -> DataFrame:
+    w = with_tie(evaluated).filter(F.col("kind") == KIND_WINDOW)
     return w.select(
-        *S.KEY, "ts_us", status_code("status").alias("st"),
+        *S.KEY, "ts_us", "tie", status_code("status").alias("st"),
         ((F.col("lag_change_rate") > rapid * 2) & (F.col("current_lag") > floor)).alias("e4"),
         ((F.col("current_lag") == 0) & (F.col("n_records") > 2)
          & F.coalesce(F.col("prev_lag") > floor, F.lit(False))).alias("e5"),
-        F.lit(False).alias("is_seed"), F.lit(None).cast("int").alias("seed_prev"),
-        F.lit(None).cast("long").alias("seed_last"), *more)
+        gate_us.alias("gate_us"), *more)
 
 
-def _narrow_of(evaluated: DataFrame, th: Thresholds, *more: Column) -> DataFrame:
-    return _narrow(evaluated, F.lit(float(th.rapid_rate)), F.lit(th.lag_floor), *more)
+def _narrow_of(evaluated: DataFrame, th: Thresholds | DataFrame, *more: Column) -> DataFrame:
+    if isinstance(th, Thresholds):
+        return _narrow(evaluated, F.lit(float(th.rapid_rate)), F.lit(th.lag_floor),
+                       F.lit(int(round(th.gate_s * 1_000_000))).cast("long"), *more)
+    own = th.select("cluster", F.col("rapid_rate").alias("_rapid"), F.col("lag_floor").alias("_floor"),
+                    F.round(F.col("gate_s") * 1_000_000).cast("long").alias("_gate"))
+    return _narrow(evaluated.join(own, "cluster"), F.col("_rapid"), F.col("_floor"), F.col("_gate"), *more)
 
 
-def fold_gate(evaluated: DataFrame, th: Thresholds, state: DataFrame | None = None,
-              emit_state: bool = False) -> DataFrame:
+def fold_sorted(narrow: DataFrame, state: DataFrame | None = None, emit_state: bool = False) -> DataFrame:
+    """The fold as one sorted stream per key (see the module's text)."""
+    rows = narrow.select(*S.KEY, "ts_us", "tie", "st", "e4", "e5", "gate_us", F.lit(False).alias("is_seed"),
+                         F.lit(None).cast("int").alias("seed_prev"), F.lit(None).cast("long").alias("seed_last"))
+    if state is not None:
+        rows = rows.unionByName(state.select(
+            *S.KEY, F.lit(-(1 << 62)).cast("long").alias("ts_us"), F.lit(0).alias("tie"),
+            F.lit(-1).alias("st"), F.lit(False).alias("e4"), F.lit(False).alias("e5"),
+            F.lit(0).cast("long").alias("gate_us"), F.lit(True).alias("is_seed"),
+            F.col("prev_st").cast("int").alias("seed_prev"), F.col("last_us").cast("long").alias("seed_last")))
+    return (rows.repartition(*S.KEY)
+            .sortWithinPartitions(*S.KEY, "ts_us", "tie")
+            .mapInPandas(_fold_partition(emit_state), FOLD_OUT))
+
+
+def fold_gate(evaluated: DataFrame, th: Thresholds | DataFrame, state: DataFrame | None = None,
+              emit_state: bool = False, hot_key_rows: int | str | None = None) -> DataFrame:
     """Run the gate fold; `state` (KEY, prev_st, last_us) seeds keys that
     were folded before (a stream's previous micro-batches).  Output rows
     with ev > 0 are events; with `emit_state`, one row per key with ev = 0
-    carries its final (prev_st, last_us)."""
+    carries its final (prev_st, last_us).  With `hot_key_rows`, keys above
+    that many rows are folded in parallel time segments and stitched exactly,
+    from and to the same kind of state (see gate_split); once a gate has run
+    out, `last_us` may name another time for which that holds too."""
     narrow = _narrow_of(evaluated, th)
-    if state is not None:
-        seeds = state.select(*S.KEY, F.lit(-(1 << 62)).cast("long").alias("ts_us"),
-                             F.lit(-1).alias("st"), F.lit(False).alias("e4"), F.lit(False).alias("e5"),
-                             F.lit(True).alias("is_seed"), F.col("prev_st").cast("int").alias("seed_prev"),
-                             F.col("last_us").cast("long").alias("seed_last"))
-        narrow = narrow.unionByName(seeds)
-    gate_us = int(round(th.gate_s * 1_000_000))
-    return (narrow.repartition(*S.KEY)
-            .sortWithinPartitions(*S.KEY, "ts_us")
-            .mapInPandas(_fold_partition(gate_us, emit_state), FOLD_OUT))
+    if not hot_key_rows:
+        return fold_sorted(narrow, state, emit_state)
+    from .gate_split import fold_gate_split
+    return fold_gate_split(narrow, hot_key_rows, state, emit_state)
 
 
 def _typed(folded: DataFrame, *more: str) -> DataFrame:
     types = F.create_map(*[x for code, (t, _) in EVENT_OF_CODE.items() for x in (F.lit(code), F.lit(t))])
     sev = F.create_map(*[x for code, (_, s) in EVENT_OF_CODE.items() for x in (F.lit(code), F.lit(s))])
     return folded.filter(F.col("ev") > 0).select(
-        *S.KEY, "ts_us", "ev", types[F.col("ev")].alias("event_type"), sev[F.col("ev")].alias("severity"), *more)
+        *S.KEY, "ts_us", "tie", "ev", types[F.col("ev")].alias("event_type"), sev[F.col("ev")].alias("severity"), *more)
 
 
 def detect(evaluated: DataFrame, th: Thresholds | DataFrame, hot_key_rows: int | str | None = None) -> DataFrame:
-    """Gated event candidates (KEY, ts_us, event_type, severity).
+    """Gated event candidates (KEY, ts_us, tie, event_type, severity).
 
     `th` is one set of thresholds or a table with one row per cluster (S4):
-    clusters then go through the fold by their gate length (a handful,
-    bounded by configuration), each with its own rate and lag limits.
+    each cluster's rate and lag limits and gate length then come by a join,
+    and all clusters go through one fold.
 
     With `hot_key_rows`, keys above that many rows are folded in parallel
     time segments and stitched exactly (see gate_split)."""
-    if not isinstance(th, Thresholds):
-        from .gate_split import fold_gate_split
-        parts = []
-        for gate in sorted(r[0] for r in th.select("gate_s").distinct().collect()):
-            own = th.filter(F.col("gate_s") == gate).select("cluster", F.col("rapid_rate").alias("_rapid"),
-                                                            F.col("lag_floor").alias("_floor"))
-            narrow = _narrow(evaluated.join(own, "cluster"), F.col("_rapid"), F.col("_floor")).select(
-                *S.KEY, "ts_us", "st", "e4", "e5")
-            parts.append(_typed(fold_gate_split(narrow, int(round(gate * 1_000_000)), hot_key_rows)))
-        return reduce(DataFrame.unionByName, parts)
-    if hot_key_rows:
-        from .gate_split import fold_gate_split
-        narrow = _narrow_of(evaluated, th).select(*S.KEY, "ts_us", "st", "e4", "e5")
-        return _typed(fold_gate_split(narrow, int(round(th.gate_s * 1_000_000)), hot_key_rows))
-    return _typed(fold_gate(evaluated, th))
-
-
-def detect_with_state(evaluated: DataFrame, th: Thresholds, state: DataFrame | None
-                      ) -> tuple[DataFrame, DataFrame]:
+    return _typed(fold_gate(evaluated, th, hot_key_rows=hot_key_rows))
+
+
+def detect_with_state(evaluated: DataFrame, th: Thresholds, state: DataFrame | None,
+                      hot_key_rows: int | str | None = None) -> tuple[DataFrame, DataFrame]:
     """Streaming form: (events, new state).  The fold output should be
     persisted/written once by the caller since both results derive from it."""
-    folded = fold_gate(evaluated, th, state, emit_state=True)
+    folded = fold_gate(evaluated, th, state, emit_state=True, hot_key_rows=hot_key_rows)
     new_state = folded.filter(F.col("ev") == STATE_EV).select(*S.KEY, "prev_st", "last_us")
     return _typed(folded), new_state
 
@@ -267,13 +277,13 @@ def event_records(evaluated: DataFrame, detected: DataFrame, th: Thresholds | Da
                   source: str = S.DEFAULT_EVENT_SOURCE, deterministic_ids: bool = True,
                   fingerprint_with_cluster: bool = False) -> DataFrame:
     """E6 + X5-X7: full event rows.  The payload comes from the evaluated
-    row of the same (KEY, ts_us); the join lets AQE broadcast the (small)
+    row of the same (KEY, ts_us, tie); the join lets AQE broadcast the (small)
     detected side when its runtime size allows and sort-merge otherwise."""
-    payload = evaluated.filter(F.col("kind") == KIND_WINDOW).select(
-        *S.KEY, "ts_us", "current_lag", "current_offset", "high_watermark", "consumption_rate",
+    payload = with_tie(evaluated).filter(F.col("kind") == KIND_WINDOW).select(
+        *S.KEY, "ts_us", "tie", "current_lag", "current_offset", "high_watermark", "consumption_rate",
         "lag_change_rate", "time_since_last_move_s", "window_completeness", "health", "status",
         "lag_trend", "is_active", "message")
-    j = detected.join(payload, S.KEY + ["ts_us"], "inner")
+    j = with_tie(detected).join(payload, S.KEY + ["ts_us", "tie"], "inner")
     if isinstance(th, Thresholds):
         rapid_rate, dedup_s = F.lit(th.rapid_rate), th.dedup_s
     else:

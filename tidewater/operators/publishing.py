@@ -31,7 +31,7 @@ from ..functions.timefn import truncate_from_year_one_s
 from .incidents import _narrow_of, _typed, EV_CLEARED, EV_RAPID, GateFold, transition_code
 
 PUBLISHED, DEDUPLICATED, FAILED = "published", "deduplicated", "failed"
-_OUT = "cluster string, group_id string, topic string, partition int, ts_us long, ev int, outcome string"
+_OUT = "cluster string, group_id string, topic string, partition int, ts_us long, tie int, ev int, outcome string"
 
 
 class AttemptFold:
@@ -99,17 +99,17 @@ def _fold(gate_us: int):
                     codes.append(code)
                     outcomes.append(outcome)
             if rows:
-                yield pdf.iloc[rows][[*S.KEY, "ts_us"]].assign(ev=np.asarray(codes, np.int32), outcome=outcomes)
+                yield pdf.iloc[rows][[*S.KEY, "ts_us", "tie"]].assign(ev=np.asarray(codes, np.int32), outcome=outcomes)
     return run
 
 
 def publish_attempts(evaluated: DataFrame, th: Thresholds, *, publish_failed: Column, lookup_failed: Column) -> DataFrame:
-    """KEY, ts_us, event_type, severity, outcome of every attempt.  The two
+    """KEY, ts_us, tie, event_type, severity, outcome of every attempt.  The two
     conditions say, per evaluated row, which operations failed then."""
     narrow = _narrow_of(evaluated.withColumn("_p", F.coalesce(publish_failed, F.lit(False)))
                         .withColumn("_l", F.coalesce(lookup_failed, F.lit(False))), th,
                         F.col("_p").alias("publish_failed"), F.col("_l").alias("lookup_failed"))
     narrow = narrow.withColumn("bucket", truncate_from_year_one_s(F.col("ts_us"), th.dedup_s).cast("long"))
-    folded = (narrow.select(*S.KEY, "ts_us", "st", "e4", "e5", "bucket", "publish_failed", "lookup_failed").repartition(*S.KEY)
-              .sortWithinPartitions(*S.KEY, "ts_us").mapInPandas(_fold(int(round(th.gate_s * 1_000_000))), _OUT))
+    folded = (narrow.select(*S.KEY, "ts_us", "tie", "st", "e4", "e5", "bucket", "publish_failed", "lookup_failed").repartition(*S.KEY)
+              .sortWithinPartitions(*S.KEY, "ts_us", "tie").mapInPandas(_fold(int(round(th.gate_s * 1_000_000))), _OUT))
     return _typed(folded, "outcome")

@@ -645,7 +645,7 @@ STREAM_SLICES = 3
 
 
 def stream_bridge_b(spark, sf_dir, th=B_SHORT, *, resend: bool = False,
-                    state_ttl_s: float | None = None) -> StreamingMonitor:
+                    state_ttl_s: float | None = None, hot_key_rows: int | None = None) -> StreamingMonitor:
     """Write Bridge B samples as STREAM_SLICES time slices, running the
     stream (availableNow) after each arrival; returns the monitor.  With
     `resend`, the first slice arrives again before the last one."""
@@ -654,7 +654,7 @@ def stream_bridge_b(spark, sf_dir, th=B_SHORT, *, resend: bool = False,
         "cluster", "group_id", "topic", "partition", "ts", "ts_us", "committed_offset", "high_watermark")
     bounds = samples.agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
     lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    mon = StreamingMonitor(spark, th, f"{root}/out", state_ttl_s=state_ttl_s)
+    mon = StreamingMonitor(spark, th, f"{root}/out", state_ttl_s=state_ttl_s, hot_key_rows=hot_key_rows)
     span = (hi - lo + F.lit(1))
     part = F.floor((F.col("ts_us") - lo) * STREAM_SLICES / span)
     staged = samples.withColumn("_slice", part)
@@ -684,6 +684,67 @@ def st3_stream_events(spark, sf_dir):
                      F.col("type").alias("event_type"), "severity")
 
 
+@register("st3_stream_hot_split")
+def st3_stream_hot_split(spark, sf_dir):
+    """ST3 with keys above 60 rows of a micro-batch cut into time segments,
+    whose fold goes on from the carried gate state - equal to the batch."""
+    ev = stream_bridge_b(spark, sf_dir, hot_key_rows=60).events()
+    return ev.withColumnRenamed("type", "event_type").select(*DETECT_OUT)
+
+
+# ---------------------------------------------------------------------------
+# Rows of one key and time (W1, ST7): four ticks fall together, and `seq`, or
+# the place in the files, keeps the order in which they arrived.
+# ---------------------------------------------------------------------------
+SAME_US = 4 * 3_600_000_000
+
+
+def _same_times(spark, sf_dir):
+    s = M.samples_b(spark, sf_dir).withColumn("seq", F.col("ts_us"))
+    s = s.withColumn("ts_us", F.col("seq") - F.col("seq") % SAME_US)
+    return s.withColumn("ts", F.timestamp_micros("ts_us").cast("timestamp_ntz"))
+
+
+@register("w1_same_times")
+def w1_same_times(spark, sf_dir):
+    """Windows over rows of equal times, in their order of arrival."""
+    return evaluate(_same_times(spark, sf_dir), B_LONG, messages=False).select(*STATUS_OUT, "tie")
+
+
+@register("w1_same_times_hot_split")
+def w1_same_times_hot_split(spark, sf_dir):
+    """The same with every key above 100 samples cut into time segments."""
+    return evaluate(_same_times(spark, sf_dir), B_LONG, messages=False, hot_key_rows=100).select(*STATUS_OUT, "tie")
+
+
+@register("e2_same_times")
+def e2_same_times(spark, sf_dir):
+    """E1-E5 over rows of equal times, cut into segments; each event names
+    its row by `tie` and so gets that row's offset."""
+    ev = evaluate(_same_times(spark, sf_dir), B_LONG, messages=False, hot_key_rows=100)
+    row = ev.filter(F.col("kind") == "window").select(*S.KEY, "ts_us", "tie", "current_offset")
+    return detect(ev, B_LONG, hot_key_rows=100).join(row, [*S.KEY, "ts_us", "tie"]).select(*DETECT_OUT, "tie", "current_offset")
+
+
+@register("st7_same_times_stream")
+def st7_same_times_stream(spark, sf_dir):
+    """Two micro-batches of files that hold rows of equal times; their order
+    is that of the files.  Equal to the SQL over the order of arrival."""
+    root = checkpoint_path(spark, f"stream-{_uuid.uuid4().hex}")
+    rows = _same_times(spark, sf_dir)
+    lo, hi = rows.select(F.min("ts_us")).scalar(), rows.select(F.max("ts_us")).scalar()
+    rows = rows.withColumn("_half", (F.col("ts_us") > (lo + hi) / 2).cast("int")).withColumn(
+        "_place", (F.col("seq") % SAME_US / 3_600_000_000).cast("int"))
+    mon = StreamingMonitor(spark, B_SHORT, f"{root}/out")
+    for half in range(2):
+        for place in range(4):
+            (rows.filter((F.col("_half") == half) & (F.col("_place") == place))
+             .select(*S.KEY, "ts", "committed_offset", "high_watermark")
+             .write.mode("overwrite").parquet(f"{root}/in/arrival={half * 4 + place}"))
+        run_available(spark, mon, f"{root}/in/*/", arrival=True)
+    return mon.events().withColumnRenamed("type", "event_type").select(*DETECT_OUT)
+
+
 #: a week of de-duplication: buckets hold several events of one key
 DEDUP_WEEK = B_SHORT.with_(dedup_s=7 * 86400.0)
 STREAM_TTL_S = 3650 * 86400.0

@@ -22,10 +22,23 @@ def read_positions(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     return positions_from(df)
 
 
+def with_arrival(df: DataFrame) -> DataFrame:
+    """Adds `seq`, the place of each row in its source files (time of the
+    file, path, row), to a Parquet scan or stream: the order of arrival of
+    rows with equal key and time.  Later files hold later arrivals."""
+    m = "_metadata."
+    return df.withColumn("seq", F.struct(F.unix_micros(m + "file_modification_time").alias("file_us"),
+                                         F.col(m + "file_path").alias("file"), F.col(m + "row_index").alias("row")))
+
+
+def _seq(df: DataFrame) -> list[str]:
+    return ["seq"] if "seq" in df.columns else []
+
+
 def positions_from(df: DataFrame) -> DataFrame:
     return df.filter(F.col("topic").isNotNull()).select(
         "cluster", "group_id", "topic", F.col("partition").cast("int"), "ts",
-        F.col("committed_offset").cast("long"))
+        F.col("committed_offset").cast("long"), *_seq(df))
 
 
 def read_watermarks(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -73,10 +86,10 @@ def join_watermarks(positions: DataFrame, watermarks: DataFrame) -> DataFrame:
     KEY, ts, ts_us, committed_offset, high_watermark, lag (NULL when either
     side is missing; P2/P3 decide what happens to those rows).
     """
-    j = positions.join(watermarks, LOG_KEY + ["ts"], "left")
+    j = positions.join(watermarks.drop("seq"), LOG_KEY + ["ts"], "left")
     return (j.withColumn("ts_us", epoch_us("ts", j.schema["ts"].dataType))
             .withColumn("lag", lag_of("high_watermark", "committed_offset"))
-            .select(*KEY, "ts", "ts_us", "committed_offset", "high_watermark", "lag"))
+            .select(*KEY, "ts", "ts_us", "committed_offset", "high_watermark", "lag", *_seq(positions)))
 
 
 def samples_from(df: DataFrame) -> DataFrame:
@@ -84,5 +97,5 @@ def samples_from(df: DataFrame) -> DataFrame:
     return (df.withColumn("ts_us", epoch_us("ts", df.schema["ts"].dataType))
             .withColumn("lag", lag_of("high_watermark", "committed_offset"))
             .select(*KEY, "ts", "ts_us", F.col("committed_offset").cast("long"),
-                    F.col("high_watermark").cast("long"), F.col("lag").cast("long")))
+                    F.col("high_watermark").cast("long"), F.col("lag").cast("long"), *_seq(df)))
 

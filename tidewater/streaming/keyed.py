@@ -106,7 +106,7 @@ class WindowTail(_Timed):
         self.at = handle.getValueState("at", "seen_us long, session_us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, ["ts_us"])
+        pdf = _sorted(rows, ["ts_us", "committed_offset", "high_watermark"])
         seen, start = self.at.get() if self.at.exists() else (_LONG_AGO, _LONG_AGO)
         late = pdf["ts_us"].to_numpy(np.int64) <= seen
         gone, new = pdf[late], pdf[~late]
@@ -157,7 +157,7 @@ class WindowTail(_Timed):
 
 
 _PAYLOAD = [c for c in STATUS_COLUMNS if c not in S.KEY]
-GATE_ROWS = ("ts_us long, ts timestamp_ntz, kind string, current_offset long, high_watermark long, current_lag long, n_records int, "
+GATE_ROWS = ("ts_us long, tie int, ts timestamp_ntz, kind string, current_offset long, high_watermark long, current_lag long, n_records int, "
              "window_completeness double, consumption_rate double, lag_change_rate double, is_active boolean, "
              "time_since_last_move_s double, lag_trend string, status string, health string, prev_lag long, message string")
 GATE_OUT = f"{_KEY_TYPES}, ev int, prev_st int, last_us long, {GATE_ROWS}"
@@ -175,7 +175,7 @@ class Gate(_Timed):
         self.state = handle.getValueState("gate", "prev_st int, last_us long, seen_us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, ["ts_us"])
+        pdf = _sorted(rows, ["ts_us", "tie"])
         fold = GateFold(self.gate_us)
         seen = _LONG_AGO
         if self.state.exists():
@@ -211,7 +211,7 @@ class Gate(_Timed):
             out.append(new.iloc[-1:].assign(ev=STATE_EV, prev_st=int(fold.prev), last_us=fold.last))
         for part in filter(len, out):
             yield _output(key, part[["ev", "prev_st", "last_us", *[c.split()[0] for c in GATE_ROWS.split(", ")]]],
-                          ["ev", "prev_st", "last_us", "current_offset", "high_watermark", "current_lag", "n_records", "prev_lag"])
+                          ["ev", "prev_st", "last_us", "tie", "current_offset", "high_watermark", "current_lag", "n_records", "prev_lag"])
 
     def _forget(self, seen: int) -> None:
         if self.ttl_us is not None and seen != _LONG_AGO:
@@ -303,7 +303,7 @@ class KeyedMonitor:
         rows.write.mode("overwrite").parquet(path)
         rows = self.spark.read.parquet(path)
         fired = rows.filter(F.col("ev") > 0)
-        payload = fired.select(*STATUS_COLUMNS).dropDuplicates([*S.KEY, "ts_us"])
+        payload = fired.select(*STATUS_COLUMNS).dropDuplicates([*S.KEY, "ts_us", "tie"])
         event_records(payload, _typed(fired), self.th).write.mode("overwrite").parquet(f"{self.root}/events/batch_id={batch_id}")
 
     # -- results and saved state ----------------------------------------------

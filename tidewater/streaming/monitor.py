@@ -27,7 +27,7 @@ from .. import schemas as S
 from ..config import Thresholds
 from ..operators.evaluate import evaluate
 from ..operators.incidents import STATE_EV, _typed, dedup, event_records, fold_gate
-from ..sources.positions import samples_from
+from ..sources.positions import samples_from, with_arrival
 from ..sources.status_io import versions
 from .snapshots import tail_rows
 
@@ -37,12 +37,16 @@ SAMPLE_SCHEMA = ("cluster string, group_id string, topic string, partition int,
 
 class StreamingMonitor:
     def __init__(self, spark: SparkSession, th: Thresholds, root: str, *, publish: bool = True,
-                 state_ttl_s: float | None = None):
+                 state_ttl_s: float | None = None, hot_key_rows: int | str | None = None):
         """`state_ttl_s` (ST5): keys whose newest sample is older than this,
         relative to the newest sample of the batch, drop out of the tail and
-        gate state, so state stays bounded by the live keys."""
+        gate state, so state stays bounded by the live keys.  `hot_key_rows`:
+        keys with more rows in a batch are cut into time segments, in the window
+        pass and in the gate fold, which goes on from the carried state.  Rows of
+        one time are ordered by `seq` where the samples have it; rows of a time
+        that an earlier batch has seen are late."""
         self.spark, self.th, self.root, self.publish = spark, th, root.rstrip("/"), publish
-        self.state_ttl_s = state_ttl_s
+        self.state_ttl_s, self.hot_key_rows = state_ttl_s, hot_key_rows
 
     # -- versioned tables -------------------------------------------------
     def _versions(self, name: str) -> list[int]:
@@ -69,14 +73,15 @@ class StreamingMonitor:
             late = j.filter(F.col("ts_us") <= F.col("_last")).drop("_last", "_new")
             self._write(late, "late", batch_id, "batch_id")
             new = j.filter(F.col("_last").isNull() | (F.col("ts_us") > F.col("_last"))).drop("_last")
-            combined = new.unionByName(tail.withColumn("_new", F.lit(False)))
+            combined = new.unionByName(tail.withColumn("_new", F.lit(False)), allowMissingColumns=True)
         else:
             combined = new
-        ev = evaluate(combined, th, passthrough=("_new",))
+        ev = evaluate(combined, th, passthrough=("_new",), hot_key_rows=self.hot_key_rows)
         status_path = self._write(ev.filter(F.col("_new")).drop("_new"), "status", batch_id, "batch_id")
         status = self.spark.read.parquet(status_path)
 
-        keep = combined.drop("_new").select(*S.KEY, "ts", "ts_us", "committed_offset", "high_watermark", "lag")
+        keep = combined.drop("_new").select(*S.KEY, "ts", "ts_us", "committed_offset", "high_watermark", "lag",
+                                               *(["seq"] if "seq" in combined.columns else []))
         tail_new = tail_rows(keep, max(th.window_size - 1, 1))
         live = None
         if self.state_ttl_s is not None:  # ST5: drop state of keys idle longer than the TTL
@@ -87,7 +92,8 @@ class StreamingMonitor:
             tail_new = tail_new.join(live, S.KEY, "left_semi")
 
         if self.publish:
-            fold_path = self._write(fold_gate(status, th, gate, emit_state=True), "fold", batch_id, "batch_id")
+            fold = fold_gate(status, th, gate, emit_state=True, hot_key_rows=self.hot_key_rows)
+            fold_path = self._write(fold, "fold", batch_id, "batch_id")
             folded = self.spark.read.parquet(fold_path)
             det = _typed(folded)
             prints = self._read_before("prints", batch_id)
@@ -122,14 +128,16 @@ class StreamingMonitor:
 
 
 def run_available(spark: SparkSession, monitor: StreamingMonitor, source_glob: str,
-                  checkpoint: str | None = None, max_files: int | None = None) -> None:
+                  checkpoint: str | None = None, max_files: int | None = None, arrival: bool = False) -> None:
     """ST1: process every file that has arrived, then stop (trigger
     availableNow); run again later to pick up new files.  A long-running
-    deployment uses trigger(processingTime=check_interval) instead."""
+    deployment uses trigger(processingTime=check_interval) instead.  With
+    `arrival`, rows of one key and time are ordered by their place in the files."""
     reader = spark.readStream.schema(SAMPLE_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    q = (reader.parquet(source_glob).writeStream
+    rows = reader.parquet(source_glob)
+    q = ((with_arrival(rows) if arrival else rows).writeStream
          .foreachBatch(monitor.process_batch)
          .option("checkpointLocation", checkpoint or f"{monitor.root}/_checkpoint")
          .trigger(availableNow=True).start())

@@ -1,7 +1,8 @@
 """Window snapshots (S9, S10): the last N records of every key.
 
 A snapshot row is (KEY, records ARRAY<STRUCT<ts_us, committed_offset,
-high_watermark, lag>>, saved_at_us).  The array is bounded by the window
+high_watermark, lag>>, saved_at_us), with the order of arrival `seq` after
+ts_us where the samples have one.  The array is bounded by the window
 size N, so building it is a bounded per-key aggregate.
 """
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..operators.evaluate import tie_order
 
 RECORD_FIELDS = ["ts_us", "committed_offset", "high_watermark", "lag"]
 
@@ -23,10 +25,11 @@ def tail_rows(samples: DataFrame, n: int, bucket_s: float = 86400.0) -> DataFram
     among those candidates (at most n x buckets per key)."""
     win = samples.filter(F.col("committed_offset").isNotNull() & F.col("high_watermark").isNotNull())
     b = F.floor(F.col("ts_us") / F.lit(int(bucket_s * 1_000_000)))
-    w1 = Window.partitionBy(*S.KEY, "_b").orderBy(F.col("ts_us").desc())
+    newest = [F.col(c).desc() for c in ("ts_us", *tie_order(samples))]
+    w1 = Window.partitionBy(*S.KEY, "_b").orderBy(*newest)
     cand = (win.withColumn("_b", b).withColumn("_rn", F.row_number().over(w1))
             .filter(F.col("_rn") <= n).drop("_rn", "_b"))
-    w2 = Window.partitionBy(*S.KEY).orderBy(F.col("ts_us").desc())
+    w2 = Window.partitionBy(*S.KEY).orderBy(*newest)
     return cand.withColumn("_rn", F.row_number().over(w2)).filter(F.col("_rn") <= n).drop("_rn")
 
 
@@ -34,7 +37,8 @@ def save_windows(samples: DataFrame, window_size: int, saved_at_us: int | Column
     """Per key its latest `window_size` records, oldest first; keys
     without records produce no row."""
     t = tail_rows(samples, window_size)
-    rec = F.struct(*[F.col(c) for c in RECORD_FIELDS])
+    fields = [*RECORD_FIELDS[:1], *(["seq"] if "seq" in samples.columns else []), *RECORD_FIELDS[1:]]
+    rec = F.struct(*fields)
     saved = F.lit(saved_at_us) if isinstance(saved_at_us, int) else saved_at_us
     return (t.groupBy(*S.KEY).agg(F.sort_array(F.collect_list(rec)).alias("records"))
             .withColumn("saved_at_us", saved.cast("long")))
