@@ -181,3 +181,58 @@ def test_per_cluster_thresholds_with_hot_split(spark):
     a = sorted(tuple(r) for r in evaluate(df, th).select(*cols).collect())
     b = sorted(tuple(r) for r in evaluate(df, th, hot_key_rows=6).select(*cols).collect())
     assert a == b and {r[3] for r in a} == {1, 2, 3, 4, 5, 6, 7}
+
+
+def test_all_clusters_in_one_window_pass(spark):
+    """The plan for three window sizes has the windows of one, and the results
+    are those of each cluster by itself."""
+    from tidewater.config import thresholds_frame
+    own = {"x": Thresholds(window_size=1, min_size=1), "y": Thresholds(window_size=3, min_size=2, rapid_rate=0.1),
+           "z": Thresholds(window_size=9, min_size=3, stalled_rate=0.5)}
+    rng = np.random.default_rng(5)
+    rows = [("g", p, t, int(rng.integers(0, 3)) + t // 2, t * 3) for p in range(3) for t in range(25)]
+    one = _samples(spark, rows).drop("cluster")
+    df = one.withColumn("cluster", F.explode(F.array(*[F.lit(c) for c in own]))).select("cluster", *one.columns)
+    ev = evaluate(df, thresholds_frame(spark, own))
+    cols = [c for c in ev.columns if c != "cluster"]
+    for c, th in own.items():
+        alone = evaluate(df.filter(F.col("cluster") == c), th).select(*cols).collect()
+        assert sorted(map(str, ev.filter(F.col("cluster") == c).select(*cols).collect())) == sorted(map(str, alone))
+
+    def count(frame, word):
+        return frame._jdf.queryExecution().optimizedPlan().toString().count(word)
+    single = evaluate(df, own["z"])
+    assert count(ev, "row_number()") == count(single, "row_number()") == 1
+
+
+def test_rows_of_one_time_keep_their_order(spark):
+    """`seq` decides among equal times, whatever the order of rows and however
+    they are split; without it the values do."""
+    rng = np.random.default_rng(8)
+    rows = [("g", p, t // 3 * 10, int(rng.integers(0, 50)), 60) for p in range(2) for t in range(60)]
+    s = _samples(spark, rows)
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(s.collect())], s.schema.add("seq", "long"))
+    th = Thresholds(window_size=7, min_size=2, stalled_rate=0.05, rapid_rate=0.3, inactivity_s=25.0, lag_floor=8)
+    cols = ["partition", "ts_us", "tie", "current_offset", "n_records", "status", "lag_trend", "consumption_rate", "prev_lag"]
+
+    def got(d, **kw):
+        return sorted(tuple(r) for r in evaluate(d, th, **kw).select(*cols).collect())
+    base = got(df)
+    offsets = {}
+    for r in rows:
+        offsets.setdefault((r[1], r[2]), []).append(r[3])
+    assert [r[3] for r in base] == [o for k in sorted(offsets) for o in offsets[k]] and {r[2] for r in base} == {0, 1, 2}
+    assert got(df.orderBy(F.rand(1))) == base == got(df, hot_key_rows=9) == got(df.repartition(5), hot_key_rows=20)
+    bare = got(df.drop("seq"))
+    assert bare != base and bare == got(df.drop("seq").orderBy(F.desc("seq"))) == got(df.drop("seq"), hot_key_rows=9)
+
+
+def test_arrival_from_files(spark, tmp_path):
+    from tidewater.sources.positions import with_arrival
+    rows = [("g", 0, 5, off, 60) for off in (9, 3, 7, 1)]
+    for i in (0, 2):
+        raw = _samples(spark, rows[i:i + 2])
+        raw.coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+    df = with_arrival(spark.read.parquet(str(tmp_path / "in*")))
+    ev = evaluate(df, Thresholds(window_size=3, min_size=1)).orderBy("tie").collect()
+    assert [(r.tie, r.current_offset, r.n_records) for r in ev] == [(0, 9, 1), (1, 3, 2), (2, 7, 3), (3, 1, 3)]

@@ -120,3 +120,42 @@ def test_hot_key_split_fold_is_exact(spark, seed, hot):
         assert got == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("seed,hot", [(6, 9), (7, 30), (8, 4)])
+def test_split_fold_carries_state_between_batches(spark, seed, hot):
+    """Three batches, each folded in segments from the state of the one before,
+    with several rows at the same time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        rng = np.random.default_rng(seed)
+        sts = ["ACTIVE", "LAGGING", "STALLED", "STOPPED", "EMPTY", "UNKNOWN"]
+        rows, per = [], {}
+        for p in range(3):
+            t, prev_lag, tie = 0, None, 0
+            for i in range(120 if p else 20):
+                step = int(rng.choice([0, 30, 60, 120, 400]))
+                t, tie = t + step, 0 if step else tie + 1
+                lag = int(rng.choice([0, 0, 500, 1500]))
+                row = (p, t, str(rng.choice(sts, p=[.35, .1, .2, .15, .15, .05])), float(rng.choice([0, 1.5, 3.0])),
+                       lag, 5, prev_lag)
+                rows.append((*row, tie if i else 0))
+                per.setdefault(p, []).append((t * 1_000_000, row[2], row[3], lag, 5, prev_lag))
+                prev_lag = lag
+        df = _ev(spark, [r[:7] for r in rows])
+        ties = spark.createDataFrame([(i, r[7]) for i, r in enumerate(rows)], "_i int, tie int")
+        df = spark.createDataFrame([(*tuple(a), b[1]) for a, b in zip(df.collect(), ties.collect())],
+                                   df.schema.add("tie", "integer"))
+        state, got = None, []
+        for lo, hi in ((0, 5000), (5000, 9000), (9000, 10**6)):
+            part = df.filter((F.col("ts_us") >= lo * 1_000_000) & (F.col("ts_us") < hi * 1_000_000))
+            events, new = detect_with_state(part, TH, state, hot_key_rows=hot)
+            got += events.collect()
+            touched = new.select("cluster", "group_id", "topic", "partition", "prev_st", "last_us").collect()
+            keep = {tuple(r)[:4]: tuple(r) for r in (state.collect() if state is not None else [])}
+            keep.update({tuple(r)[:4]: tuple(r) for r in touched})
+            state = spark.createDataFrame(list(keep.values()), new.schema)
+        want = sorted((p, ts, typ) for p, ser in per.items() for ts, typ in fold_events(ser, TH))
+        assert sorted((r.partition, r.ts_us, r.event_type) for r in got) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
