@@ -196,10 +196,25 @@ def test_windows_read_back(spark):
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), sha(loss))
     made = rows(windows)
     assert any(w["window"] > 3 for w in made) and any(chat.OPEN + chat.REPEATED in w["formatted"] for w in made)
-    stride = (600 - 100) // 2
-    for w in made:                                                  # over budget only by a turn longer than the stride
-        longest = max(len(t) for t in w["formatted"].split(chat.CLOSE)) / chat.CHARS_PER_TOKEN
-        assert w["over_budget"] == (w["tokens"] > 600) and (not w["over_budget"] or longest > stride / 2)
+    def costs(w):
+        return [-(-(len(t.replace(chat.OPEN + chat.REPEATED, chat.OPEN)) + len(chat.CLOSE)) // chat.CHARS_PER_TOKEN)
+                for t in w["formatted"].split(chat.CLOSE)[:-1]]
+    for w in made:                          # over budget only by a turn that fits no window with the system turn
+        assert w["tokens"] == sum(costs(w)) and w["over_budget"] == (w["tokens"] > 600)
+        if w["over_budget"]:
+            assert w["n_own"] == 1 and len(costs(w)) == 1 + (w["formatted"].startswith(chat.OPEN + chat.REPEATED + "system"))
+
+
+def test_long_turns_have_windows_of_their_own(spark):
+    """A turn longer than the stride, but not than the budget, stays within it."""
+    texts = ["s" * 400, "a" * 100, "b" * 4500, "c" * 100, "d" * 7000, "e" * 50, "f" * 3300, "g" * 3300, "h" * 9000]
+    turns = spark.createDataFrame([(1, i, "system" if i == 0 else "assistant", x) for i, x in enumerate(texts)],
+                                  "conv_id long, turn long, role string, text string")
+    made = sorted(rows(chat.format_windows(turns)), key=lambda w: w["window"])
+    assert [w["over_budget"] for w in made] == [False] * (len(made) - 1) + [True]
+    assert all(w["formatted"].startswith(chat.OPEN + chat.REPEATED + "system") for w in made[1:])
+    got = rows(chat.digests(chat.read_back(chat.format_windows(turns))))[0]
+    assert got["loss_sha256"] == sha("".join(texts[1:])) and got["n_turns"] == len(texts)
 
 
 def test_one_shuffle_and_no_python(spark):

@@ -7,11 +7,13 @@ turns (at most HISTORY_TOKENS tokens) repeated from the span before, and its
 own span.  Only assistant texts of the window's own span are under the loss
 mask, so every assistant text is a target exactly once.
 
-Spans are cut at multiples of a stride, half of what the budget leaves after
-the system turn and the history; as a span starts below one multiple and its
-last turn at most at the next, a window can exceed the budget only if a
-single turn is longer than the stride (then `over_budget` is true).  A
-system turn longer than half the budget is not repeated.
+Turn tokens are an estimate, code points divided by four.  Spans are cut at
+multiples of a stride, half of what the budget leaves after the system turn
+and the history, and a turn longer than the stride is a span of its own.  A
+span of shorter turns starts below one multiple and ends below the next but
+one, so it fits; history is repeated where the window has room for it.  So
+`over_budget` means a turn that doesn't fit into the budget together with the
+system turn.  A system turn longer than half the budget is not repeated.
 
 Template: `### Role: text </turn>` and a newline, `~` before the role of a
 repeated turn.  In roles and texts `\\` becomes `\\\\`, `###` becomes `\\h`
@@ -78,13 +80,17 @@ def format_windows(turns: DataFrame, *, budget: int = BUDGET, history_tokens: in
     stride = F.greatest(F.floor((budget - history_tokens - F.col("__reserve")) / 2), F.lit(1))
     rows = rows.withColumn("__cell", F.floor(F.col("__before") / stride))
     in_order = Window.partitionBy("conv_id").orderBy("__rn")
-    step = (F.col("__cell") != F.lag("__cell", 1).over(in_order)).cast("int")
+    rows = rows.withColumn("__long", F.col("__cost") > stride)
+    step = ((F.col("__cell") != F.lag("__cell", 1).over(in_order)) | F.col("__long")
+            | F.lag("__long", 1).over(in_order)).cast("int")
+    step = F.when(F.col("__rn") > 1, step)
     rows = rows.withColumn("__step", F.coalesce(step, F.lit(0)))
     rows = rows.withColumn("__span", F.sum("__step").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("__last", F.max("__span").over(whole))
     from_end = Window.partitionBy("conv_id", "__span").orderBy(F.desc("__rn"))
     rows = (rows.withColumn("__from_end", F.row_number().over(from_end))
-            .withColumn("__tail", F.sum("__cost").over(from_end.rowsBetween(Window.unboundedPreceding, 0))))
+            .withColumn("__tail", F.sum("__cost").over(from_end.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("__next", F.sum("__cost").over(Window.partitionBy("conv_id").orderBy("__span").rangeBetween(1, 1))))
     def place(span, kind):
         return F.struct(span.cast("long").alias("window"), F.lit(kind).alias("kind"))
     none = F.array().cast("array<struct<window:bigint,kind:int>>")
@@ -92,7 +98,7 @@ def format_windows(turns: DataFrame, *, budget: int = BUDGET, history_tokens: in
     places = F.concat(
         F.array(place(F.col("__span"), _OWN)),
         F.when(follows & ~F.col("__system") & (F.col("__from_end") <= history_turns)
-               & (F.col("__tail") <= history_tokens), F.array(place(F.col("__span") + 1, _HISTORY))).otherwise(none),
+               & (F.col("__tail") <= F.least(F.lit(history_tokens), budget - F.col("__reserve") - F.col("__next"))), F.array(place(F.col("__span") + 1, _HISTORY))).otherwise(none),
         F.when(F.col("__system") & (F.col("__last") > 0), F.transform(
             F.sequence(F.lit(1).cast("long"), F.greatest(F.col("__last").cast("long"), F.lit(1).cast("long"))),
             lambda s: place(s, _SYSTEM))).otherwise(none))

@@ -117,12 +117,18 @@ WITH turns AS (
   SELECT *, coalesce(sum(cost) OVER (PARTITION BY conv_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
          rn = 1 AND role = 'system' AND cost <= {BUDGET // 2} AS sys FROM costed
 ), celled AS (
-  SELECT *, floor(before / greatest(floor(({BUDGET - HISTORY_TOKENS} - max(CASE WHEN sys THEN cost ELSE 0 END)
-    OVER (PARTITION BY conv_id)) / 2.0), 1)) AS cell FROM summed
+  SELECT *, greatest(floor(({BUDGET - HISTORY_TOKENS} - reserve) / 2.0), 1) AS stride FROM (
+    SELECT *, max(CASE WHEN sys THEN cost ELSE 0 END) OVER (PARTITION BY conv_id) AS reserve FROM summed)
+), steps AS (  -- a new cell, or this turn or the one before is longer than the stride
+  SELECT *, rn > 1 AND (floor(before / stride) <> floor(lag(before, 1, 0) OVER w / stride)
+                        OR cost > stride OR lag(cost, 1, 0) OVER w > stride) AS step
+  FROM celled WINDOW w AS (PARTITION BY conv_id ORDER BY rn)
 ), spans AS (
-  SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY cell) - 1 AS span FROM celled
+  SELECT *, sum(CASE WHEN step THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY rn
+                                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS span FROM steps
 ), ends AS (
   SELECT *, max(span) OVER (PARTITION BY conv_id) AS last,
+         sum(cost) OVER (PARTITION BY conv_id ORDER BY span RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS next,
          row_number() OVER (PARTITION BY conv_id, span ORDER BY rn DESC) AS from_end,
          sum(cost) OVER (PARTITION BY conv_id, span ORDER BY rn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tail
   FROM spans
@@ -132,7 +138,8 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY rn) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(size + CASE WHEN sys THEN last * (size + 1)
-                       WHEN span < last AND from_end <= {HISTORY_TURNS} AND tail <= {HISTORY_TOKENS} THEN size + 1
+                       WHEN span < last AND from_end <= {HISTORY_TURNS} AND tail <= {HISTORY_TOKENS}
+                            AND tail + next + reserve <= {BUDGET} THEN size + 1
                        ELSE 0 END)::BIGINT AS formatted_chars
 FROM ends GROUP BY conv_id
 """
