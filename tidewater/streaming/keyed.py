@@ -2,8 +2,8 @@
 
 Two streaming queries, each with state of its own in RocksDB, keyed by KEY:
 
-* `windows`: samples -> per key the last N - 1 windowed records (a list) and
-  the time of its newest row.  A key that gets rows in a micro-batch puts out
+* `windows`: samples -> per key the last N - 1 windowed records and the time of
+  its newest row, as one value.  A key that gets rows in a micro-batch puts out
   its old tail and the new rows, which the batch operator evaluates.
 * `gate`: status rows -> per key the previous status and the last event.
 
@@ -37,7 +37,8 @@ from ..config import Thresholds
 from ..functions.codes import status_code
 from ..functions.timefn import epoch_us
 from ..operators.evaluate import KIND_WINDOW, STATUS_COLUMNS, evaluate
-from ..operators.incidents import STATE_EV, GateFold, _typed, event_records
+from ..operators.gate_runs import NEVER, NONE, GateRuns
+from ..operators.incidents import STATE_EV, _typed, event_records, transition_code
 from ..session import ship_package
 from ..sources.positions import lag_of
 from .snapshots import tail_rows
@@ -49,20 +50,24 @@ _RECORD = ["ts_us", "committed_offset", "high_watermark", "lag"]
 _RECORD_TYPES = "ts_us long, committed_offset long, high_watermark long, lag long"
 ROLE_ROWS = f"{_KEY_TYPES}, {_RECORD_TYPES}, session_us long, role string"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_LONG_AGO = -(1 << 62)
+_LONG_AGO = NEVER
 
 
-def _sorted(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+def _joined(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     parts = list(rows)
-    pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    return pdf.sort_values(by, kind="stable", ignore_index=True)
+    return parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
 
 
-def _output(key: tuple, part: pd.DataFrame, whole: list[str]) -> pd.DataFrame:
-    """`part` (not empty) behind the key's columns, with nullable whole numbers."""
-    for i, name in enumerate(S.KEY):
-        part.insert(i, name, [key[i]] * len(part))
-    return part.astype(dict.fromkeys(whole, "Int64"))
+def _longs(col: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(values with 0 for null, null mask) of a column of whole numbers."""
+    null = col.isna().to_numpy()
+    return (np.where(null, 0, col.to_numpy()) if null.any() else col.to_numpy()).astype(np.int64), null
+
+
+def _output(key: tuple, n: int, columns: dict) -> pd.DataFrame:
+    """`n` rows behind the key's columns; a pair is (whole numbers, null mask)."""
+    own = {name: np.full(n, key[i], object) for i, name in enumerate(S.KEY)}
+    return pd.DataFrame({**own, **{c: pd.arrays.IntegerArray(*v) if isinstance(v, tuple) else v for c, v in columns.items()}}, copy=False)
 
 
 def sessions(ts: np.ndarray, seen: int, start: int, ttl_us: int | None) -> np.ndarray:
@@ -102,64 +107,71 @@ class WindowTail(_Timed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.tail = handle.getListState("tail", _RECORD_TYPES)
-        self.at = handle.getValueState("at", "seen_us long, session_us long")
+        # one state per key: newest time, start of its stretch, tail as flat records
+        self.at = handle.getValueState("at", "seen_us long, session_us long, tail array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, ["ts_us", "committed_offset", "high_watermark"])
-        seen, start = self.at.get() if self.at.exists() else (_LONG_AGO, _LONG_AGO)
-        late = pdf["ts_us"].to_numpy(np.int64) <= seen
-        gone, new = pdf[late], pdf[~late]
-        new = new[new["kind"] != REMOVED] if len(new) else new
-        out = [gone.assign(session_us=start, role=LATE)] if len(gone) else []
-        if (pdf["kind"] == REMOVED).any():
-            cut = int(pdf.loc[pdf["kind"] == REMOVED, "ts_us"].max())
+        pdf = _joined(rows)
+        (ts, _), (off, no_off), (hwm, no_hwm), (lag, no_lag) = (_longs(pdf[c]) for c in _RECORD)
+        removed = (pdf["kind"] == REMOVED).to_numpy(bool)
+        order = np.lexsort((hwm, no_hwm, off, no_off, ts))  # nulls last
+        ts, removed = ts[order], removed[order]
+        values = [off[order], hwm[order], lag[order]]
+        nulls = [no_off[order], no_hwm[order], no_lag[order]]
+        was = self.at.get()
+        seen, start, tail = (_LONG_AGO, _LONG_AGO, []) if was is None else was
+        gone = np.flatnonzero(ts <= seen)
+        new = np.flatnonzero((ts > seen) & ~removed)
+        late_start = start
+        if removed.any():
+            cut = int(ts[removed].max())
             if cut >= seen:
                 self._forget(seen)
-                seen, start = _LONG_AGO, _LONG_AGO
+                seen, start, tail = _LONG_AGO, _LONG_AGO, []
+        at, old = np.zeros(0, np.int64), np.zeros((0, 4), np.int64)
         if len(new):
-            ts = new["ts_us"].to_numpy(np.int64)
-            at = sessions(ts, seen, start, self.ttl_us)
-            new = new.assign(session_us=at, role=NEW)
-            old = list(self.tail.get()) if at[0] == start else []
-            if old:
-                tail = pd.DataFrame(old, columns=_RECORD)
-                out.append(tail.assign(session_us=start, role=TAIL))
-            last = new[(new["session_us"] == at[-1]) & new["committed_offset"].notna() & new["high_watermark"].notna()]
-            records = [tuple(int(v) for v in r) for r in last[_RECORD].itertuples(index=False)]
-            keep = ((old if at[-1] == start else []) + records)[-self.n:] if self.n else []
-            self.tail.put([tuple(int(v) for v in r) for r in keep]) if keep else self.tail.clear()
-            self._set_timer(seen, int(ts[-1]))
-            self.at.update((int(ts[-1]), int(at[-1])))
-            out.append(new)
-        for part in filter(len, out):
-            yield _output(key, part[[*_RECORD, "session_us", "role"]], [*_RECORD, "session_us"])
+            at = sessions(ts[new], seen, start, self.ttl_us)
+            tail = np.asarray(tail, np.int64).reshape(-1, 4)
+            if at[0] == start:
+                old = tail
+            last = new[(at == at[-1]) & ~nulls[0][new] & ~nulls[1][new]]
+            records = np.column_stack([ts[last], *[v[last] for v in values]])
+            keep = np.r_[old if at[-1] == start else old[:0], records][-self.n:] if self.n else old[:0]
+            newest = int(ts[new[-1]])
+            self._set_timer(seen, newest)
+            self.at.update((newest, int(at[-1]), keep.ravel().tolist()))
+        n = len(gone) + len(old) + len(new)
+        if n:
+            none = np.zeros(len(old), bool)
+            whole = {c: (np.r_[v[gone], old[:, i + 1], v[new]], np.r_[m[gone], none, m[new]])
+                     for i, (c, v, m) in enumerate(zip(_RECORD[1:], values, nulls))}
+            yield _output(key, n, {
+                "ts_us": np.r_[ts[gone], old[:, 0], ts[new]], **whole,
+                "session_us": np.r_[np.full(len(gone), late_start), np.full(len(old), start), at],
+                "role": np.repeat(np.array([LATE, TAIL, NEW], object), [len(gone), len(old), len(new)])})
 
     def _forget(self, seen: int) -> None:
         if self.ttl_us is not None and seen != _LONG_AGO:
             self.handle.deleteTimer((seen + self.ttl_us) // 1000 + 1)
-        self.tail.clear()
         self.at.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.tail.clear()
         self.at.clear()
         return iter(())
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         row = initialState.iloc[0]
-        records = [tuple(int(r[c]) for c in _RECORD) for r in row["records"]]
+        records = [int(r[c]) for r in row["records"][-self.n:] for c in _RECORD] if self.n else []
         seen = int(row["seen_us"])
-        if records:
-            self.tail.put(records[-self.n:])
-        self.at.update((seen, int(row["session_us"])))
+        self.at.update((seen, int(row["session_us"]), records))
         self._set_timer(_LONG_AGO, seen)
 
 
-_PAYLOAD = [c for c in STATUS_COLUMNS if c not in S.KEY]
 GATE_ROWS = ("ts_us long, tie int, ts timestamp_ntz, kind string, current_offset long, high_watermark long, current_lag long, n_records int, "
              "window_completeness double, consumption_rate double, lag_change_rate double, is_active boolean, "
              "time_since_last_move_s double, lag_trend string, status string, health string, prev_lag long, message string")
+_GATE_NAMES = [c.split()[0] for c in GATE_ROWS.split(", ")]
+_GATE_WHOLE = {c.split()[0] for c in GATE_ROWS.split(", ") if c.split()[1] in ("int", "long")}
 GATE_OUT = f"{_KEY_TYPES}, ev int, prev_st int, last_us long, {GATE_ROWS}"
 
 
@@ -175,43 +187,50 @@ class Gate(_Timed):
         self.state = handle.getValueState("gate", "prev_st int, last_us long, seen_us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, ["ts_us", "tie"])
-        fold = GateFold(self.gate_us)
-        seen = _LONG_AGO
-        if self.state.exists():
-            prev, last, seen = self.state.get()
-            fold.prev, fold.last = int(prev), None if last == _LONG_AGO else int(last)
-        before = seen
-        new = pdf[pdf["ts_us"].to_numpy(np.int64) > seen]
-        if not len(new):
+        pdf = _joined(rows)
+        was = self.state.get()
+        prev, last, seen = (NONE, _LONG_AGO, _LONG_AGO) if was is None else was
+        ts, tie = (_longs(pdf[c])[0] for c in ("ts_us", "tie"))
+        order = np.lexsort((tie, ts))
+        order = order[ts[order] > seen]
+        if not len(order):
             return
-        removed = (new["kind"] == REMOVED).to_numpy()
-        ts = new["ts_us"].to_numpy(np.int64)
+        before, ts = seen, ts[order]
+        kind = pdf["kind"].to_numpy()[order]
+        removed = kind == REMOVED
         start = sessions(ts, seen, seen, self.ttl_us)
         fresh = np.r_[start[0] != seen, start[1:] != start[:-1]] | np.r_[False, removed[:-1]]
-        edges = [*np.flatnonzero(fresh).tolist(), len(new)]
-        if edges[0] != 0:
-            edges.insert(0, 0)
-        out = []
-        for a, b in zip(edges[:-1], edges[1:]):
-            if fresh[a]:
-                fold.prev, fold.last = GateFold.NONE, None
-            part = new.iloc[a:b]
-            part = part[part["kind"] == KIND_WINDOW]
-            if len(part):
-                at, codes = fold.run_key(part["ts_us"].to_numpy(np.int64), part["st"].to_numpy(np.int64),
-                                         part["e4"].to_numpy(bool), part["e5"].to_numpy(bool))
-                out.append(part.iloc[at].assign(ev=codes, prev_st=None, last_us=None))
+        part = np.cumsum(fresh)  # 0: goes on from the state
+        at = np.flatnonzero(kind == KIND_WINDOW)
+        rows, codes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        end = (prev, last) if part[-1] == 0 else (NONE, NEVER)
+        if len(at):
+            own = part[at]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            went_on = own[first] == 0
+            st, e4, e5 = (pdf[c].to_numpy()[order][at] for c in ("st", "e4", "e5"))
+            runs = GateRuns(first, ts[at], st.astype(np.int64), e4.astype(bool), e5.astype(bool),
+                            np.full(len(first), self.gate_us), transition_code)
+            hits, codes, prevs, lasts = runs.fold(np.where(went_on, prev, NONE), np.where(went_on, last, NEVER))
+            rows = at[hits]
+            if own[-1] == part[-1]:
+                end = int(prevs[-1]), int(lasts[-1])
         seen = int(ts[-1])
+        put, code = rows, codes
         if removed[-1]:
             self._forget(before)
         else:
             self._set_timer(before, seen)
-            self.state.update((int(fold.prev), _LONG_AGO if fold.last is None else int(fold.last), seen))
-            out.append(new.iloc[-1:].assign(ev=STATE_EV, prev_st=int(fold.prev), last_us=fold.last))
-        for part in filter(len, out):
-            yield _output(key, part[["ev", "prev_st", "last_us", *[c.split()[0] for c in GATE_ROWS.split(", ")]]],
-                          ["ev", "prev_st", "last_us", "tie", "current_offset", "high_watermark", "current_lag", "n_records", "prev_lag"])
+            self.state.update((*end, seen))
+            put, code = np.r_[rows, len(ts) - 1], np.r_[codes, STATE_EV]  # the state row comes last
+        n = len(put)
+        if n:
+            state = code == STATE_EV
+            taken = {name: pdf[name].iloc[order[put]].reset_index(drop=True) for name in _GATE_NAMES}
+            yield _output(key, n, {
+                "ev": code, "prev_st": (np.full(n, end[0]), ~state),
+                "last_us": (np.full(n, end[1]), ~state | (end[1] == NEVER)),
+                **{c: _longs(v) if c in _GATE_WHOLE else v for c, v in taken.items()}})
 
     def _forget(self, seen: int) -> None:
         if self.ttl_us is not None and seen != _LONG_AGO:
