@@ -55,6 +55,14 @@ def test_events_of_samples_take_one_shuffle_and_no_join(spark):
     assert plan.count("Exchange ") == 1 and "Join" not in plan
 
 
+def test_a_payload_is_parsed_once(spark):
+    ev = evaluate(_samples(spark), TH, messages=False)
+    env = EIO.envelope(event_records(ev, detect(ev, TH, payload=True), TH))
+    bad = CS.quarantine(CS.parse(env.withColumn("event", F.when(F.col("severity") == "info", F.expr("substring(event, 1, 9)")).otherwise(F.col("event")))))
+    assert bad._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert {r.reject_reason for r in bad.collect()} == {"invalid payload"}
+
+
 def test_bridge_holds_values_between_messages(spark):
     events = spark.createDataFrame([(0, 0.5, 0, "a"), (1, 0.6, 0, "b"), (2, 3.2, 0, "a"), (3, 2.1, 1, "b"), (4, 5.0, 1, "b")],
                                    "event_id long, h double, user_id long, event_type string")
